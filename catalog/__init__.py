@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_PARTS = ["matching"]
+_PARTS = ["matching", "rules"]
 
 
 def _collect(kind: str) -> dict:

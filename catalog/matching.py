@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from catalog.views import matched, sql
-from tallyspark.operators import assign, candidates, prepare
+from catalog.views import matched, settled, sql, vouchers
+from tallyspark.operators import assign, candidates, combine, prepare, settle
 from tallyspark.options import MatchOptions
+from tallyspark.plans import report
+from tallyspark.plans.reconcile import reconcile
 from tallyspark.sources.derive import Tables
 
 OPTIONS = MatchOptions()
@@ -76,3 +78,142 @@ def assigned_pairs(spark, folder):
 
 QUERIES["assigned_pairs"] = assigned_pairs
 ORACLE["assigned_pairs"] = matched("select * from assigned")
+
+
+def _flat(rows):
+    return rows.select(
+        "statement_id", "led_idx", "id", "invoice_no", F.array_join("bank_rows", ",").alias("bank_rows"), "score",
+        "status", F.array_join("failed_criteria", "|").alias("failed_criteria"),
+        F.array_join("reasons", " | ").alias("reasons"))
+
+
+def combined_settlements(spark, folder):
+    banks, leds = keys(spark, folder)
+    pairs = assign.two_wave_assignment(banks, leds, OPTIONS)
+    free_banks = banks.join(pairs.select("statement_id", "bank_idx"), ["statement_id", "bank_idx"], "left_anti")
+    free_leds = leds.join(pairs.select("statement_id", "led_idx"), ["statement_id", "led_idx"], "left_anti")
+    found = combine.combined_settlements(free_banks, free_leds, OPTIONS)
+    return found.select("statement_id", "led_idx", F.array_join("bank_rows", ",").alias("bank_rows"),
+                        "n_bank", "n_led", "score")
+
+
+QUERIES["combined_settlements"] = combined_settlements
+ORACLE["combined_settlements"] = settled("select * from combined")
+
+
+def two_way(spark, folder):
+    t = Tables(spark, folder)
+    return t, reconcile(t.bank(), t.ledger())
+
+
+def vouchers_two_way(spark, folder):
+    return _flat(two_way(spark, folder)[1].vouchers)
+
+
+QUERIES["vouchers_two_way"] = vouchers_two_way
+ORACLE["vouchers_two_way"] = vouchers("""select statement_id, led_idx, id, invoice_no, bank_rows, score, status,
+  failed_criteria, reasons from two_way""")
+
+
+def invoice_rollup(spark, folder):
+    return two_way(spark, folder)[1].invoices
+
+
+QUERIES["invoice_rollup"] = invoice_rollup
+ORACLE["invoice_rollup"] = vouchers("""
+select statement_id, invoice_no, invoice_date, cast(oc as double)/100 as invoice_amount,
+  cast(sc as double)/100 as total_settled, cast(greatest(0, oc - sc) as double)/100 as outstanding,
+  case when sc > oc then cast(sc - oc as double)/100 else 0.0 end as mismatch_amount, status, n_vouchers
+from rollup""".replace("greatest(0, oc - sc)", "case when oc is null then null else greatest(0, oc - sc) end"))
+
+
+def voucher_refs(spark, folder):
+    return settle.voucher_refs(two_way(spark, folder)[1].vouchers)
+
+
+QUERIES["voucher_refs"] = voucher_refs
+ORACLE["voucher_refs"] = sql("select statement_id, invoice_no, led_idx, id as voucher_ref from led")
+
+
+def matching_stats(spark, folder):
+    return two_way(spark, folder)[1].stats
+
+
+QUERIES["matching_stats"] = matching_stats
+ORACLE["matching_stats"] = vouchers("""
+select statement_id, total_invoices, fully_settled, partially_settled, not_settled, mismatched, needs_review,
+  total_bank_txns, matched_bank_txns
+from (select statement_id, count(*) as total_invoices, count_if(status = 'Fully Settled') as fully_settled,
+        count_if(status = 'Partially Settled') as partially_settled, count_if(status = 'Not Settled') as not_settled,
+        count_if(status = 'Overpaid/Mismatch') as mismatched, count_if(status = 'Needs Review') as needs_review
+      from rollup group by 1) i
+full join (select statement_id, count(*) as total_bank_txns, count_if(n_vouchers > 0) as matched_bank_txns
+      from results group by 1) b using (statement_id)""")
+
+
+def unmatched_bank_rows(spark, folder):
+    return two_way(spark, folder)[1].unmatched_bank
+
+
+QUERIES["unmatched_bank_rows"] = unmatched_bank_rows
+ORACLE["unmatched_bank_rows"] = vouchers("select statement_id, bank_idx from results where n_vouchers = 0")
+
+
+def results_two_way(spark, folder):
+    t, done = two_way(spark, folder)
+    return report.bank_results(t.bank(), done.vouchers)
+
+
+def bank_result_rows(spark, folder):
+    return report.ordered(results_two_way(spark, folder)).select(
+        "statement_id", "bank_idx", "status", "score", "n_vouchers", "rank")
+
+
+QUERIES["bank_result_rows"] = bank_result_rows
+ORACLE["bank_result_rows"] = vouchers(
+    "select statement_id, bank_idx, status, score, n_vouchers, rank from results order by statement_id, rank, bank_idx")
+
+
+def partial_bank_results(spark, folder):
+    return report.only(results_two_way(spark, folder), "partial").select("statement_id", "bank_idx", "score")
+
+
+QUERIES["partial_bank_results"] = partial_bank_results
+ORACLE["partial_bank_results"] = vouchers("select statement_id, bank_idx, score from results where rank = 1")
+
+
+def bank_stats(spark, folder):
+    return report.bank_stats(results_two_way(spark, folder))
+
+
+QUERIES["bank_stats"] = bank_stats
+ORACLE["bank_stats"] = vouchers("""
+select statement_id, count(*) as total, count_if(rank = 0) as matched, count_if(rank = 1) as partially_matched,
+  count_if(rank = 2) as unmatched, floor(count_if(rank = 0) / count(*) * 1000 + 0.5) / 10 as match_percent
+from results group by 1""")
+
+
+def reconciliation_report(spark, folder):
+    return report.report(results_two_way(spark, folder), "2-way")
+
+
+QUERIES["reconciliation_report"] = reconciliation_report
+ORACLE["reconciliation_report"] = vouchers("""
+select statement_id, bank_idx, coalesce(transaction_date, '') as date, coalesce(narration, '') as narration,
+  coalesce(reference_number, '') as reference, coalesce(credit, debit) as amount,
+  case when credit > 0 then 'Credit' else 'Debit' end as direction,
+  coalesce(array_to_string([v.n || case when coalesce(v.v, '') = '' then '' else ' (' || v.v || ')' end for v in vs], ' + '), '')
+    as matched_invoices,
+  status, score, '' as coa_validated,
+  coalesce(vs[1].r, 'No settlement found for this bank transaction') as reasons
+from results""")
+
+
+def statement_date_range(spark, folder):
+    return Tables(spark, folder).statement_header()
+
+
+QUERIES["statement_date_range"] = statement_date_range
+ORACLE["statement_date_range"] = sql("""
+select statement_id, min(transaction_date) as period_start, max(transaction_date) as period_end,
+  'NATION_' || cast(statement_id % 25 as varchar) || ' Bank' as bank_name from bank group by 1""")

@@ -37,7 +37,7 @@ led as (
          else cast(cast(floor(cents/3) as bigint) as double)/100 end as ledger_amount,
     case ok % 9 when 4 then null when 5 then 'Walk-in ' || cast(ck as varchar)
          when 6 then 'CUSTOMER-' || cast(ck as varchar) else 'Customer ' || cast(ck as varchar) end as account_name,
-    case ok % 5 when 0 then 'NATION_' || cast(statement_id % 25 as varchar) || ' Bank'
+    case (ok // 20) % 5 when 0 then 'NATION_' || cast(statement_id % 25 as varchar) || ' Bank'
          when 1 then 'Cash in Hand' when 2 then 'Unlisted Exchange 77' end as bank_cash_account
   from fx_base b cross join fx_legs l
   where k <> 13 and (leg = 0 or k = 16)),
@@ -45,13 +45,13 @@ coa as (
   select c_custkey % 50 as statement_id, 2 * (c_custkey // 50) as coa_idx,
     'C' || cast(c_custkey as varchar) as account_code, 'Customer ' || cast(c_custkey as varchar) as account_name,
     c_mktsegment || ' Debtors' as account_type, cast(null as varchar) as parent_group
-  from customer where (c_custkey // 50) % 10 <> 0
+  from customer where (c_custkey // 50) % 10 <> 0 and c_custkey % 50 <> 7
   union all
   select s_suppkey % 50, 2 * (s_suppkey // 50) + 1, 'B' || cast(s_suppkey as varchar),
     case when (s_suppkey // 50) % 2 = 0 then 'NATION_' || cast(s_nationkey as varchar) || ' Bank'
          else 'Petty Cash ' || cast(s_suppkey as varchar) end,
     case when (s_suppkey // 50) % 2 = 0 then 'Bank Account' else 'Cash-in-Hand' end, 'Current Assets'
-  from supplier),
+  from supplier where s_suppkey % 3 <> 0),
 bk as (
   select statement_id, bank_idx, narration, datediff('day', date '1970-01-01', cast(transaction_date as date)) as day,
     cast(floor(coalesce(credit, debit)*100+0.5) as bigint) as cents,
@@ -98,3 +98,140 @@ def sql(body: str, *ctes: str, recursive: bool = False) -> str:
 def matched(body: str, *ctes: str) -> str:
     """A query over the outcome of both assignment waves, by a one-pair-at-a-time recursion."""
     return sql(body, ASSIGNED, *ctes, recursive=True)
+
+
+# One target after the other, in index order, against what the earlier ones left over.
+SETTLED = """
+free_led as (select * from lk where anchor_date is not null and anchor_amount is not null
+  and not exists (select 1 from assigned a where a.statement_id = lk.statement_id and a.led_idx = lk.led_idx)),
+free_bank as (select * from bk where direction is not null
+  and not exists (select 1 from assigned a where a.statement_id = bk.statement_id and a.bank_idx = bk.bank_idx)),
+split_targets as (
+  select l.statement_id, l.transaction_type as direction, l.led_idx as idx, l.day, l.cents,
+    row_number() over (partition by l.statement_id, l.transaction_type order by l.led_idx) as rn,
+    list({'i': b.bank_idx, 'd': b.day, 'c': b.cents} order by b.bank_idx) as pool
+  from free_led l join free_bank b on l.statement_id = b.statement_id and l.transaction_type = b.direction
+    and abs(l.day - b.day) <= 5
+  group by l.statement_id, l.transaction_type, l.led_idx, l.day, l.cents),
+split_sim as (
+  select statement_id, direction, cast(0 as bigint) as rn, cast([] as bigint[]) as used,
+    cast(null as bigint) as idx, cast(null as bigint) as day, cast([] as bigint[]) as took,
+    cast([] as struct(i bigint, d bigint, c bigint)[]) as near
+  from (select distinct statement_id, direction from split_targets)
+  union all
+  select statement_id, direction, rn, list_concat(used, took), idx, day, took, near
+  from (
+    select *, case when len(near) < 1 or len(near) > 15 then cast([] as bigint[]) else coalesce(
+      flatten(list_transform(near, lambda a: list_transform(
+        list_filter(near, lambda b: a.i < b.i and a.c + b.c = cents), lambda b: [a.i, b.i])))[1],
+      flatten(list_transform(near, lambda a: flatten(list_transform(
+        list_filter(near, lambda b: a.i < b.i), lambda b: list_transform(
+          list_filter(near, lambda c: b.i < c.i and a.c + b.c + c.c = cents), lambda c: [a.i, b.i, c.i])))))[1],
+      cast([] as bigint[])) end as took
+    from (select s.statement_id, s.direction, t.rn, s.used, t.idx, t.day, t.cents,
+            list_filter(t.pool, lambda p: not list_contains(s.used, p.i)) as near
+          from split_sim s join split_targets t
+            on s.statement_id = t.statement_id and s.direction = t.direction and t.rn = s.rn + 1))),
+split as (select statement_id, idx as led_idx, took,
+    list_sum(list_transform(list_filter(near, lambda p: list_contains(took, p.i)),
+      lambda p: case when abs(p.d - day) >= 5 then 0.0 else 40.0*(1 - abs(p.d - day)/5.0) end)) / len(took) as proximity
+  from split_sim where len(took) > 0),
+pool_led as (select * from free_led l where not exists (
+  select 1 from split s where s.statement_id = l.statement_id and s.led_idx = l.led_idx)),
+pool_bank as (select * from free_bank b where not exists (
+  select 1 from (select statement_id, unnest(took) as bank_idx from split) s
+  where s.statement_id = b.statement_id and s.bank_idx = b.bank_idx)),
+joint_targets as (
+  select b.statement_id, b.direction, b.bank_idx as idx, b.day, b.cents,
+    row_number() over (partition by b.statement_id, b.direction order by b.bank_idx) as rn,
+    list({'i': l.led_idx, 'd': l.day, 'c': l.cents} order by l.led_idx) as pool
+  from pool_bank b join pool_led l on l.statement_id = b.statement_id and l.transaction_type = b.direction
+    and abs(l.day - b.day) <= 5
+  group by b.statement_id, b.direction, b.bank_idx, b.day, b.cents),
+joint_sim as (
+  select statement_id, direction, cast(0 as bigint) as rn, cast([] as bigint[]) as used,
+    cast(null as bigint) as idx, cast(null as bigint) as day, cast([] as bigint[]) as took,
+    cast([] as struct(i bigint, d bigint, c bigint)[]) as near
+  from (select distinct statement_id, direction from joint_targets)
+  union all
+  select statement_id, direction, rn, list_concat(used, took), idx, day, took, near
+  from (
+    select *, case when len(near) < 1 or len(near) > 15 then cast([] as bigint[]) else coalesce(
+      flatten(list_transform(near, lambda a: list_transform(
+        list_filter(near, lambda b: a.i < b.i and a.c + b.c = cents), lambda b: [a.i, b.i])))[1],
+      flatten(list_transform(near, lambda a: flatten(list_transform(
+        list_filter(near, lambda b: a.i < b.i), lambda b: list_transform(
+          list_filter(near, lambda c: b.i < c.i and a.c + b.c + c.c = cents), lambda c: [a.i, b.i, c.i])))))[1],
+      cast([] as bigint[])) end as took
+    from (select s.statement_id, s.direction, t.rn, s.used, t.idx, t.day, t.cents,
+            list_filter(t.pool, lambda p: not list_contains(s.used, p.i)) as near
+          from joint_sim s join joint_targets t
+            on s.statement_id = t.statement_id and s.direction = t.direction and t.rn = s.rn + 1))),
+joint as (select statement_id, idx as bank_idx, took,
+    list_sum(list_transform(list_filter(near, lambda p: list_contains(took, p.i)),
+      lambda p: case when abs(p.d - day) >= 5 then 0.0 else 40.0*(1 - abs(p.d - day)/5.0) end)) / len(took) as proximity
+  from joint_sim where len(took) > 0),
+combined as (
+  select statement_id, led_idx, array_to_string(took, ',') as bank_rows, len(took) as n_bank, 1 as n_led,
+    greatest(0.0, least(100.0, 60 + proximity - 5*greatest(0, len(took) - 2))) as score
+  from split
+  union all
+  select statement_id, unnest(took), cast(bank_idx as varchar), 1, len(took),
+    greatest(0.0, least(100.0, 60 + proximity - 5*greatest(0, len(took) - 2)))
+  from joint)
+"""
+
+# Vouchers of the two-way mode.
+VOUCHERS = """
+two_way as (
+  select l.statement_id, l.led_idx, l.id, l.invoice_no, l.invoice_date, l.invoice_amount, l.ledger_voucher,
+    l.anchor_amount, l.anchor_date,
+    coalesce(cast(a.bank_idx as varchar), c.bank_rows, '') as bank_rows,
+    cast(case when a.led_idx is not null then floor(a.raw_score + 0.5)
+         when c.led_idx is not null then floor(c.score + 0.5) else 0 end as bigint) as score,
+    case when a.led_idx is not null then
+           case when a.same_direction and a.raw_score >= 85 then 'Matched' else 'Partially Matched' end
+         when c.led_idx is not null then 'Matched (combined)' else 'Unmatched' end as status,
+    case when a.led_idx is not null then concat_ws('|', case when a.days >= 5 then 'date_out_of_range' end,
+                                                   case when not a.same_direction then 'direction_mismatch' end)
+         when c.led_idx is not null then ''
+         when l.anchor_date is not null and l.anchor_amount is not null then 'no_candidate' else '' end as failed_criteria,
+    case when a.led_idx is not null then concat_ws(' | ', 'Amount matched exactly',
+           case when a.days = 0 then 'Date matched exactly' when a.days < 5 then 'Date within tolerance (partial credit)'
+                else 'Date outside tolerance window' end,
+           case when not a.same_direction then 'Transaction type/direction mismatch' end)
+         when c.led_idx is not null then 'Matched via a combined settlement across ' || c.n_bank ||
+           ' bank transaction(s) / ' || c.n_led || ' invoice voucher(s)'
+         when l.anchor_date is null or l.anchor_amount is null then 'No settlement recorded for this invoice yet'
+         else 'No bank transaction found for Amount ' || regexp_replace(cast(l.anchor_amount as varchar), '\\.0$', '')
+           || ' around ' || l.anchor_date || ' within the 5-day tolerance window' end as reasons
+  from lk l
+  left join assigned a on a.statement_id = l.statement_id and a.led_idx = l.led_idx
+  left join combined c on c.statement_id = l.statement_id and c.led_idx = l.led_idx),
+voucher_bank as (select *, cast(unnest(string_split(bank_rows, ',')) as bigint) as bank_idx
+                 from two_way where bank_rows <> ''),
+per_bank as (
+  select statement_id, bank_idx, list({'o': led_idx, 'n': invoice_no, 'v': ledger_voucher, 's': status, 'p': score,
+    'r': reasons} order by led_idx) as vs from voucher_bank group by 1, 2),
+results as (
+  select b.*, coalesce(p.vs[1].s, 'Unmatched') as status, coalesce(p.vs[1].p, 0) as score, p.vs,
+    coalesce(len(p.vs), 0) as n_vouchers,
+    case when p.vs[1].s in ('Matched', 'Matched (combined)') then 0 when p.vs[1].s = 'Partially Matched' then 1 else 2 end as rank
+  from bank b left join per_bank p on p.statement_id = b.statement_id and p.bank_idx = b.bank_idx),
+rollup as (
+  select *, case when oc is null then 'Needs Review' when sc > oc then 'Overpaid/Mismatch'
+      when oc = sc and sc > 0 then 'Fully Settled' when sc > 0 then 'Partially Settled' else 'Not Settled' end as status
+  from (select statement_id, invoice_no, arg_min(invoice_date, led_idx) filter (invoice_date <> '') as invoice_date,
+          arg_min(cast(floor(invoice_amount*100+0.5) as bigint), led_idx) filter (invoice_amount is not null) as oc,
+          coalesce(sum(cast(floor(anchor_amount*100+0.5) as bigint)) filter (status like 'Matched%'), 0) as sc,
+          count(*) as n_vouchers
+        from two_way group by 1, 2))
+"""
+
+
+def settled(body: str, *ctes: str) -> str:
+    return sql(body, ASSIGNED, SETTLED, *ctes, recursive=True)
+
+
+def vouchers(body: str, *ctes: str) -> str:
+    return settled(body, VOUCHERS, *ctes)

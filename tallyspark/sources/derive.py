@@ -49,7 +49,7 @@ select statement_id, 2*ok+leg as led_idx, 'L' || cast(2*ok+leg as string) as id,
        else cast(cast(floor(cents/3) as bigint) as double)/100 end as ledger_amount,
   case ok % 9 when 4 then null when 5 then 'Walk-in ' || cast(ck as string)
        when 6 then 'CUSTOMER-' || cast(ck as string) else 'Customer ' || cast(ck as string) end as account_name,
-  case ok % 5 when 0 then 'NATION_' || cast(statement_id % 25 as string) || ' Bank'
+  case ok div 20 % 5 when 0 then 'NATION_' || cast(statement_id % 25 as string) || ' Bank'
        when 1 then 'Cash in Hand' when 2 then 'Unlisted Exchange 77' end as bank_cash_account
 from {base} lateral view explode(case when k = 16 then array(0, 1) else array(0) end) l as leg
 where k <> 13
@@ -59,13 +59,13 @@ _COA = """
 select c_custkey % 50 as statement_id, 2 * (c_custkey div 50) as coa_idx,
   'C' || cast(c_custkey as string) as account_code, 'Customer ' || cast(c_custkey as string) as account_name,
   c_mktsegment || ' Debtors' as account_type, cast(null as string) as parent_group
-from {customer} where c_custkey div 50 % 10 <> 0
+from {customer} where c_custkey div 50 % 10 <> 0 and c_custkey % 50 <> 7
 union all
 select s_suppkey % 50, 2 * (s_suppkey div 50) + 1, 'B' || cast(s_suppkey as string),
   case when s_suppkey div 50 % 2 = 0 then 'NATION_' || cast(s_nationkey as string) || ' Bank'
        else 'Petty Cash ' || cast(s_suppkey as string) end,
   case when s_suppkey div 50 % 2 = 0 then 'Bank Account' else 'Cash-in-Hand' end, 'Current Assets'
-from {supplier}
+from {supplier} where s_suppkey % 3 <> 0
 """
 
 
