@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_PARTS = ["matching", "rules"]
+_PARTS = ["matching", "rules", "store"]
 
 
 def _collect(kind: str) -> dict:
