@@ -2,11 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from catalog import views
 from catalog.views import matched, settled, sql, vouchers
-from tallyspark.operators import assign, candidates, combine, prepare, settle
+from tallyspark.operators import accounts, assign, candidates, combine, prepare, settle, validate
 from tallyspark.options import MatchOptions
 from tallyspark.plans import report
 from tallyspark.plans.reconcile import reconcile
+from tallyspark.rules import extra
 from tallyspark.sources.derive import Tables
 
 OPTIONS = MatchOptions()
@@ -217,3 +219,135 @@ QUERIES["statement_date_range"] = statement_date_range
 ORACLE["statement_date_range"] = sql("""
 select statement_id, min(transaction_date) as period_start, max(transaction_date) as period_end,
   'NATION_' || cast(statement_id % 25 as varchar) || ' Bank' as bank_name from bank group by 1""")
+
+
+# ---- three-way --------------------------------------------------------------
+def three_way(spark, folder):
+    t = Tables(spark, folder)
+    return t, reconcile(t.bank(), t.ledger(), t.coa(), t.statement_header(), "3-way")
+
+
+def vouchers_three_way(spark, folder):
+    rows = three_way(spark, folder)[1].vouchers
+    return rows.select(
+        "statement_id", "led_idx", "id", "invoice_no", F.array_join("bank_rows", ",").alias("bank_rows"), "score", "status",
+        F.array_join("failed_criteria", "|").alias("failed_criteria"), F.array_join("reasons", " | ").alias("reasons"),
+        F.col("party_account.name").alias("party_account"), "party_match", F.col("till_account.name").alias("till_account"),
+        "till_match", "accounts_ok")
+
+
+QUERIES["vouchers_three_way"] = vouchers_three_way
+ORACLE["vouchers_three_way"] = views.three_way("select * from three_way")
+
+
+def gap_flags(spark, folder):
+    t, done = three_way(spark, folder)
+    return report.bank_results(t.bank(), done.vouchers).select("statement_id", "bank_idx", "has_gap")
+
+
+QUERIES["gap_flags"] = gap_flags
+ORACLE["gap_flags"] = views.three_way("""select b.statement_id, b.bank_idx, coalesce(v.gap, false) as has_gap from bank b left join (
+  select statement_id, bank_idx, arg_min(contains(reasons, 'Receipt / Payment Ledger is missing') or contains(reasons, 'Invoice details missing')
+    or contains(reasons, 'Account Matched, Missing Invoice & Ledger'), coalesce(led_idx, 9223372036854775807)) as gap
+  from (select *, cast(unnest(string_split(bank_rows, ',')) as bigint) as bank_idx from three_way where bank_rows <> '') group by 1, 2) v
+on v.statement_id = b.statement_id and v.bank_idx = b.bank_idx""")
+
+
+def names_resolved(spark, folder):
+    t = Tables(spark, folder)
+    names = t.ledger().select("statement_id", F.col("account_name").alias("name"))
+    return accounts.match_by_name(names, t.coa(), OPTIONS).select("statement_id", "name", F.col("account.code").alias("account_code"), "score")
+
+
+QUERIES["accounts_by_name"] = names_resolved
+ORACLE["accounts_by_name"] = sql("""
+select b.statement_id, b.name, c.account_code, b.score from nm b join coa c on c.statement_id = b.statement_id and c.coa_idx = b.idx""",
+    views.CHART, "asked as (select statement_id, account_name as name from led)", views.best_by_name("nm", "asked", "true"))
+
+
+def narrations_resolved(spark, folder):
+    t = Tables(spark, folder)
+    return accounts.match_by_narration(t.bank(), t.coa(), OPTIONS).select(
+        "statement_id", "narration", F.col("account.code").alias("account_code"), "score")
+
+
+QUERIES["accounts_by_narration"] = narrations_resolved
+ORACLE["accounts_by_narration"] = sql("""
+select b.statement_id, b.narration, c.account_code, b.score from nm b join coa c on c.statement_id = b.statement_id and c.coa_idx = b.idx""",
+    views.CHART, views.best_by_narration("nm", "bank", "true"))
+
+
+# ---- row checks and the run gate -------------------------------------------
+def ledger_row_errors(spark, folder):
+    return validate.ledger_errors(Tables(spark, folder).ledger().withColumn(
+        "ledger_amount", F.when(F.col("led_idx") % 31 == 0, -F.col("ledger_amount")).otherwise(F.col("ledger_amount"))).withColumn(
+        "invoice_date", F.when(F.col("led_idx") % 37 == 0, "soon").otherwise(F.col("invoice_date"))))
+
+
+BROKEN = """broken as (select statement_id, led_idx, invoice_amount, case when led_idx % 31 = 0 then -ledger_amount else ledger_amount end as ledger_amount,
+  case when led_idx % 37 = 0 then 'soon' else invoice_date end as invoice_date from led),
+bad as (select * from (select statement_id, led_idx, 1 as ord, case when invoice_date = 'soon' then 'Invoice Date is not a valid date' end as error from broken
+  union all select statement_id, led_idx, 4, case when ledger_amount <= 0 then 'Ledger Amount must be a positive number' end from broken) where error is not null)"""
+QUERIES["ledger_row_errors"] = ledger_row_errors
+ORACLE["ledger_row_errors"] = sql("select statement_id, led_idx, ord, error from bad", BROKEN)
+
+
+def coa_row_errors(spark, folder):
+    t = Tables(spark, folder)
+    return validate.coa_errors(t.coa().withColumn("account_type", F.when(F.col("coa_idx") % 9 == 0, " ").otherwise(F.col("account_type"))))
+
+
+QUERIES["coa_row_errors"] = coa_row_errors
+ORACLE["coa_row_errors"] = sql("select statement_id, coa_idx, 2 as ord, 'Account Type is required' as error from coa where coa_idx % 9 = 0")
+
+
+def run_gate(spark, folder):
+    t = Tables(spark, folder)
+    return validate.run_gate(t.bank(), t.ledger(), t.coa(), "3-way")
+
+
+QUERIES["run_gate"] = run_gate
+ORACLE["run_gate"] = sql("""select statement_id, true as has_bank, true as has_ledger, true as ledger_clean,
+  count(c.coa_idx) > 0 as coa_ready, count(c.coa_idx) > 0 as can_run
+from (select distinct statement_id from bank) b left join coa c using (statement_id) group by 1""")
+
+
+# ---- optional statement checks ----------------------------------------------
+def statement_period_check(spark, folder):
+    t = Tables(spark, folder)
+    short = t.statement_header().withColumn("period_start", F.lit("1998-06-01"))
+    return extra.outside_period(t.bank(), short).select("statement_id", "bank_idx", "transaction_date")
+
+
+QUERIES["rows_outside_period"] = statement_period_check
+ORACLE["rows_outside_period"] = sql("select statement_id, bank_idx, transaction_date from bank where transaction_date < '1998-06-01'")
+
+
+def statement_totals_check(spark, folder):
+    t = Tables(spark, folder)
+    stated = t.raw("customer").select((F.col("c_custkey") % 50).alias("statement_id")).groupBy("statement_id").agg(
+        F.count("*").alias("debit_count")).withColumns({"credit_count": F.lit(None).cast("bigint"), "debit_total": F.lit(0.0),
+                                                        "credit_total": F.lit(None).cast("double")})
+    return extra.totals_check(t.bank(), stated)
+
+
+QUERIES["statement_totals_check"] = statement_totals_check
+ORACLE["statement_totals_check"] = sql("""select statement_id, debits, credits, debit_sum, credit_sum, debits = s.n and debit_sum <= 0.05 as agrees
+from (select statement_id, count(debit) as debits, count(credit) as credits, coalesce(cast(sum(cast(debit as decimal(38,6))) as double), 0) as debit_sum,
+        coalesce(cast(sum(cast(credit as decimal(38,6))) as double), 0) as credit_sum from bank group by 1)
+join (select c_custkey % 50 as statement_id, count(*) as n from customer group by 1) s using (statement_id)""")
+
+
+def running_balance_check(spark, folder):
+    bank = Tables(spark, folder).bank()
+    signed = F.coalesce("credit", F.lit(0.0)) - F.coalesce("debit", F.lit(0.0))
+    rows = bank.withColumn("balance", F.when(F.col("bank_idx") % 5 != 0, signed + F.col("bank_idx")))
+    return extra.balance_breaks(rows)
+
+
+QUERIES["running_balance_breaks"] = running_balance_check
+ORACLE["running_balance_breaks"] = sql("""select statement_id, bank_idx, expected, balance from (
+  select *, lag(balance) over (partition by statement_id order by bank_idx) + moved as expected
+  from (select statement_id, bank_idx, coalesce(credit, 0) - coalesce(debit, 0) as moved,
+          case when bank_idx % 5 <> 0 then coalesce(credit, 0) - coalesce(debit, 0) + bank_idx end as balance from bank))
+where abs(expected - balance) > 0.05""")
