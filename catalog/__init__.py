@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_PARTS = ["matching", "rules", "store"]
+_PARTS = ["matching", "rules", "store", "outputs"]
 
 
 def _collect(kind: str) -> dict:

@@ -97,7 +97,7 @@ def resolve_accounts(rows: DataFrame, coa: DataFrame, options: MatchOptions = Ma
     wanted = rows.select("statement_id", "name", "narration").distinct()
     named = match_by_name(wanted, coa, options).withColumnRenamed("score", "name_score") \
         .withColumnRenamed("account", "name_account")
-    first = wanted.join(named, ["statement_id", "name"], "left")
+    first = cut(wanted.join(named, ["statement_id", "name"], "left"))
     by_text = match_by_narration(first.filter("name_score is null"), coa, options)
     return (first.join(by_text, ["statement_id", "narration"], "left")
             .select("statement_id", "name", "narration",

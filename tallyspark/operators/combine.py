@@ -75,15 +75,16 @@ def _contenders(targets: DataFrame, pool: DataFrame, options: MatchOptions) -> D
     small = F.col("size") <= options.max_pool
     active = cut(searched(days.filter(small)))
     open_days = days.filter(~small)
-    while True:
+    while has_rows(open_days):
         takers = active.groupBy(*_DAY).agg(F.count("*").alias("n"))
         reached = cut(
             open_days.join(_per_day_window(takers, open_days, 2 * options.tolerance_days, "takers"), _DAY)
             .filter(F.col("size") - most * F.col("takers") <= options.max_pool))
         if not has_rows(reached):
-            return active
+            break
         active = cut(active.unionByName(searched(reached)))
         open_days = open_days.join(reached.select(*_DAY), _DAY, "left_anti")
+    return active
 
 
 def settle_by_sum(targets: DataFrame, pool: DataFrame, options: MatchOptions = MatchOptions()) -> DataFrame:
@@ -94,9 +95,8 @@ def settle_by_sum(targets: DataFrame, pool: DataFrame, options: MatchOptions = M
     combination, and one with too many rows is passed over once no earlier open target can
     take any of them.
     """
-    usable = "cents is not null and day is not null and direction is not null"
     most = min(options.max_combination, 3) if options.max_combination >= 2 else 2
-    open_targets = _contenders(targets.filter(usable), pool.filter(usable), options)
+    open_targets = _contenders(targets.dropna(), pool.dropna(), options)
     settled: list[DataFrame] = []
     while has_rows(open_targets):
         options_now = combinations(F.col("pool"), F.col("cents"), most)
@@ -150,8 +150,8 @@ def combined_settlements(banks: DataFrame, leds: DataFrame, options: MatchOption
 
     One row per ledger row: (statement_id, led_idx, bank_rows, n_bank, n_led, score).
     """
-    bank_side = banks.select(*_LANE, "day", F.col("bank_idx").alias("idx"), "cents")
-    led_side = leds.select(*_LANE, "day", F.col("led_idx").alias("idx"), "cents")
+    bank_side = cut(banks.select(*_LANE, "day", F.col("bank_idx").alias("idx"), "cents").dropna())
+    led_side = cut(leds.select(*_LANE, "day", F.col("led_idx").alias("idx"), "cents").dropna())
     split = cut(settle_by_sum(led_side, bank_side, options))
     used_banks = split.select("statement_id", F.explode("rows").alias("idx"))
     left_banks = bank_side.join(used_banks, ["statement_id", "idx"], "left_anti")

@@ -38,8 +38,8 @@ def is_inline(headers: Column) -> Column:
     """Content-Disposition decides; a Content-ID counts only where it is silent. The last header
     of a name wins."""
     def values_of(name: str) -> Column:
-        return F.transform(F.filter(headers, lambda h: F.lower(h.name) == name),
-                           lambda h: F.lower(F.coalesce(h.value, F.lit(""))))
+        return F.transform(F.filter(headers, lambda h: F.lower(h["name"]) == name),
+                           lambda h: F.lower(F.coalesce(h["value"], F.lit(""))))
 
     disposition = F.coalesce(F.try_element_at(values_of("content-disposition"), F.lit(-1)), F.lit(""))
     has_id = F.exists(values_of("content-id"), lambda v: v != "")

@@ -254,6 +254,8 @@ def reconcile(bank: DataFrame, ledger: DataFrame, coa: DataFrame | None = None,
     anchored = prepare.with_anchor(ledger)
     outcomes = _outcomes(keyed_bank, anchored, mode, options)
     rows = vouchers(anchored, outcomes, mode, options)
+    if mode == THREE_WAY:
+        rows = cut(rows)
     if mode == THREE_WAY:
         rows = check_accounts(rows, keyed_bank, coa, headers, options)
     else:

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
-def _folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for written tables; a folder of our own only in local runs."""
     folder = spark.conf.get(CHECKPOINT_SETTING, None)
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
@@ -26,7 +27,7 @@ def cut(df: DataFrame) -> DataFrame:
     A written table carries its size, so later joins can choose their strategy from it.
     """
     spark = df.sparkSession
-    path = f"{_folder(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
