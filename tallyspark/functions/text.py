@@ -62,6 +62,11 @@ def similarity(a: Column, b: Column) -> Column:
         1.0 - F.levenshtein(a, b) / longest)
 
 
+def may_reach(a: Column, b: Column, least: float) -> Column:
+    """Whether two texts are close enough in length for this similarity; costs next to nothing."""
+    return F.least(F.length(a), F.length(b)) >= F.greatest(F.length(a), F.length(b)) * least
+
+
 def name_similarity(a: Column, b: Column) -> Column:
     return name_similarity_of(plain_text(a), alnum(a), plain_text(b), alnum(b))
 
@@ -84,24 +89,29 @@ def long_words(c: Column) -> Column:
     return F.filter(F.split(c, "\\s+"), lambda w: F.length(w) >= MIN_WORD_LENGTH)
 
 
-def narration_score(narration: Column, account: Column) -> Column:
+def narration_score(narration: Column, account: Column, least: float = 0.0) -> Column:
+    """How well a narration names an account. Scores below ``least`` may come out as 0."""
     n, a = plain_text(narration), plain_text(account)
-    return narration_score_of(n, alnum(narration), long_words(n), a, alnum(account), long_words(a))
+    return narration_score_of(n, alnum(narration), long_words(n), a, alnum(account), long_words(a), least)
 
 
-def narration_score_of(n: Column, n_alnum: Column, n_words: Column,
-                       a: Column, a_alnum: Column, a_words: Column) -> Column:
-    def word_score(word: Column) -> Column:
-        closest = F.coalesce(
-            F.array_max(F.transform(n_words, lambda other: similarity(word, other))), F.lit(0.0))
-        return F.when(n.contains(word), F.lit(0.85)).otherwise(closest)
+def word_score(n: Column, n_words: Column, word: Column, least: float = 0.0) -> Column:
+    near = F.filter(n_words, lambda other: may_reach(word, other, least))
+    closest = F.array_max(F.transform(near, lambda other: similarity(word, other)))
+    return F.when(n.contains(word), F.lit(0.85)).otherwise(F.coalesce(closest, F.lit(0.0)))
 
-    return (
-        F.when((n == "") | (a == ""), F.lit(0.0))
-        .when(n.contains(a), F.lit(1.0))
-        .when((F.length(a_alnum) >= MIN_WORD_LENGTH) & n_alnum.contains(a_alnum), F.lit(0.95))
-        .otherwise(F.coalesce(F.array_max(F.transform(a_words, word_score)), F.lit(0.0)))
-    )
+
+def named_score(n: Column, n_alnum: Column, a: Column, a_alnum: Column) -> Column:
+    """1 or 0.95 where the whole account name is in the narration, else null."""
+    return (F.when((n == "") | (a == ""), F.lit(None).cast("double"))
+            .when(n.contains(a), F.lit(1.0))
+            .when((F.length(a_alnum) >= MIN_WORD_LENGTH) & n_alnum.contains(a_alnum), F.lit(0.95)))
+
+
+def narration_score_of(n: Column, n_alnum: Column, n_words: Column, a: Column, a_alnum: Column,
+                       a_words: Column, least: float = 0.0) -> Column:
+    by_word = F.array_max(F.transform(a_words, lambda word: word_score(n, n_words, word, least)))
+    return F.coalesce(named_score(n, n_alnum, a, a_alnum), F.when(n != "", by_word), F.lit(0.0))
 
 
 def is_bank_or_cash(account_type: Column) -> Column:

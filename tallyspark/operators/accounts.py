@@ -32,32 +32,43 @@ def _on_every_salt(blocks: DataFrame) -> DataFrame:
 
 
 def _chart_blocks(coa: DataFrame) -> DataFrame:
-    """Chart rows in blocks; coa_idx is unique in a statement, which bounds a block."""
+    """Chart rows in blocks, with the first row of every word in the block.
+
+    coa_idx is unique in a statement, which bounds a block.
+    """
     plain = text.plain_text(F.col("account_name"))
-    entry = F.struct(
+    keys = ["statement_id", "_block"]
+    rows = coa.select("statement_id", F.floor(F.col("coa_idx") / BLOCK).alias("_block"), F.struct(
         F.col("coa_idx").alias("idx"), plain.alias("plain"), text.alnum(F.col("account_name")).alias("alnum"),
-        text.long_words(plain).alias("words"), "account_code", "account_name", "account_type")
-    return (coa.groupBy("statement_id", F.floor(F.col("coa_idx") / BLOCK).alias("_block"))
-            .agg(F.collect_list(entry).alias("entries")))
+        text.long_words(plain).alias("words")).alias("e"))
+    words = (rows.select(*keys, "e.idx", F.explode("e.words").alias("word"))
+             .groupBy(*keys, "word").agg(F.min("idx").alias("idx"))
+             .groupBy(*keys).agg(F.collect_list(F.struct("word", "idx")).alias("words")))
+    return (rows.groupBy(*keys).agg(F.collect_list("e").alias("entries")).join(words, keys, "left")
+            .withColumn("words", F.coalesce("words", F.array().cast("array<struct<word:string,idx:bigint>>"))))
+
+
+def _account(code: str = "account_code", name: str = "account_name", kind: str = "account_type") -> Column:
+    return F.struct(F.col(code).alias("code"), F.col(name).alias("name"), F.col(kind).alias("type"))
 
 
-def _account(entry: Column) -> Column:
-    return F.struct(entry.account_code.alias("code"), entry.account_name.alias("name"),
-                    entry.account_type.alias("type"))
+def _best(candidates: str, score_of) -> Column:
+    """Highest score in an array, the lowest index on ties."""
+    return F.array_max(F.transform(candidates, lambda c: F.struct(
+        score_of(c).alias("score"), (-c.idx).alias("order"))))
 
 
-def _best_entry(score_of) -> Column:
-    """Highest score in a block, the lowest index on ties."""
-    return F.array_max(F.transform("entries", lambda e: F.struct(
-        score_of(e).alias("score"), (-e.idx).alias("order"), _account(e).alias("account"))))
+def _on_blocks(rows: DataFrame, blocks: DataFrame, column: str) -> DataFrame:
+    return _salted(rows, column).join(_on_every_salt(blocks), ["statement_id", "_salt"])
 
 
-def _best_over_blocks(rows: DataFrame, blocks: DataFrame, column: str, best: Column, threshold: float) -> DataFrame:
-    joined = _salted(rows, column).join(_on_every_salt(blocks), ["statement_id", "_salt"])
-    return (joined.select("statement_id", column, best.alias("best"))
-            .filter(F.col("best.score") >= threshold)
-            .groupBy("statement_id", column).agg(F.max("best").alias("best"))
-            .select("statement_id", column, "best.account", "best.score"))
+def _best_account(scored: DataFrame, coa: DataFrame, column: str, threshold: float) -> DataFrame:
+    """The best of each text's ``best`` over all blocks, with its account."""
+    found = (scored.groupBy("statement_id", column).agg(F.max("best").alias("best"))
+             .filter(F.col("best.score") >= threshold)
+             .select("statement_id", column, "best.score", (-F.col("best.order")).alias("coa_idx")))
+    chart = coa.select("statement_id", "coa_idx", _account().alias("account"))
+    return found.join(chart, ["statement_id", "coa_idx"]).select("statement_id", column, "account", "score")
 
 
 def match_by_name(names: DataFrame, coa: DataFrame, options: MatchOptions = MatchOptions()) -> DataFrame:
@@ -69,8 +80,7 @@ def match_by_name(names: DataFrame, coa: DataFrame, options: MatchOptions = Matc
             F.array(F.concat(F.lit("p"), text.plain_text(c)), F.concat(F.lit("a"), text.alnum(c))),
             lambda form: F.length(form) > 1)).alias("form")
 
-    first = (coa.select("statement_id", "coa_idx", _account(F.struct("account_code", "account_name", "account_type"))
-                        .alias("account"), forms(F.col("account_name")))
+    first = (coa.select("statement_id", "coa_idx", _account().alias("account"), forms(F.col("account_name")))
              .groupBy("statement_id", "form").agg(F.min(F.struct("coa_idx", "account")).alias("hit")))
     equal = (distinct.select("statement_id", "name", forms(F.col("name")))
              .join(first, ["statement_id", "form"])
@@ -78,18 +88,36 @@ def match_by_name(names: DataFrame, coa: DataFrame, options: MatchOptions = Matc
              .select("statement_id", "name", "hit.account", F.lit(1.0).alias("score")))
     rest = (distinct.join(equal.select("statement_id", "name"), ["statement_id", "name"], "left_anti")
             .withColumns({"plain": text.plain_text(F.col("name")), "alnum": text.alnum(F.col("name"))}))
-    best = _best_entry(lambda e: text.name_similarity_of(F.col("plain"), F.col("alnum"), e.plain, e.alnum))
-    return equal.unionByName(_best_over_blocks(rest, _chart_blocks(coa), "name", best, options.name_threshold))
+    def close(e: Column) -> Column:
+        return text.name_similarity_of(F.col("plain"), F.col("alnum"), e.plain, e.alnum)
+
+    scored = _on_blocks(rest, _chart_blocks(coa).drop("words"), "name").select(
+        "statement_id", "name", _best("entries", close).alias("best"))
+    return equal.unionByName(_best_account(scored, coa, "name", options.name_threshold))
 
 
 def match_by_narration(narrations: DataFrame, coa: DataFrame, options: MatchOptions = MatchOptions()) -> DataFrame:
-    """(statement_id, narration, account, score): the account each narration names best."""
+    """(statement_id, narration, account, score): the account each narration names best.
+
+    Whole names count first. Words are scored once per distinct word of a block, as the best
+    account by words is the first one that has the best word. Only where a name found without
+    its punctuation (0.95) meets a closer word are all accounts of the block scored one by one.
+    """
     plain = text.plain_text(F.col("narration"))
+    least = options.fuzzy_threshold
     rows = (narrations.select("statement_id", "narration").filter("narration <> ''").distinct()
-            .withColumns({"plain": plain, "alnum": text.alnum(F.col("narration")), "words": text.long_words(plain)}))
-    best = _best_entry(lambda e: text.narration_score_of(
-        F.col("plain"), F.col("alnum"), F.col("words"), e.plain, e.alnum, e.words))
-    return _best_over_blocks(rows, _chart_blocks(coa), "narration", best, options.fuzzy_threshold)
+            .withColumns({"n": plain, "n_alnum": text.alnum(F.col("narration")), "n_words": text.long_words(plain)}))
+    n, n_alnum, n_words = F.col("n"), F.col("n_alnum"), F.col("n_words")
+    whole = _best("entries", lambda e: F.coalesce(text.named_score(n, n_alnum, e.plain, e.alnum), F.lit(0.0)))
+    by_word = _best("words", lambda w: text.word_score(n, n_words, w.word, least))
+    one_by_one = _best("entries", lambda e: text.narration_score_of(n, n_alnum, n_words, e.plain, e.alnum, e.words, least))
+    found = (_on_blocks(rows, _chart_blocks(coa), "narration")
+             .withColumn("_whole", whole)
+             .withColumn("_word", F.when(F.col("_whole.score") < 1.0, by_word)))
+    best = (F.when(F.col("_whole.score") == 1.0, F.col("_whole"))
+            .when(F.col("_whole.score") == 0.0, F.col("_word"))
+            .when(F.col("_word.score") > F.col("_whole.score"), one_by_one).otherwise(F.col("_whole")))
+    return _best_account(found.select("statement_id", "narration", best.alias("best")), coa, "narration", least)
 
 
 def resolve_accounts(rows: DataFrame, coa: DataFrame, options: MatchOptions = MatchOptions()) -> DataFrame:
@@ -145,7 +173,8 @@ def match_by_account_name(banks: DataFrame, leds: DataFrame, options: MatchOptio
                                 "words": text.long_words(text.plain_text(F.col("name")))}))
         scored = F.filter(
             F.transform("entries", lambda e: F.struct(
-                (-text.narration_score_of(e.plain, e.alnum, e.words, F.col("plain"), F.col("alnum"), F.col("words")))
+                (-text.narration_score_of(e.plain, e.alnum, e.words, F.col("plain"), F.col("alnum"), F.col("words"),
+                                          options.fuzzy_threshold))
                 .alias("order"), e.idx.alias("bank_idx"))),
             lambda s: s.order <= -options.fuzzy_threshold)
         block_best = (wanted.join(_on_every_salt(blocks), [*lane, "_salt"])

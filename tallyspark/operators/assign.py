@@ -23,7 +23,7 @@ from tallyspark.operators.ranking import ranked
 from tallyspark.options import PURCHASE, SALES, MatchOptions
 from tallyspark.session import cut, has_rows
 
-GROUP_LIMIT = 64
+GROUP_LIMIT = 256
 _EDGE = ["statement_id", "led_idx", "bank_idx", "days", "exact", "same_direction"]
 
 

@@ -165,7 +165,7 @@ def check_accounts(rows: DataFrame, bank: DataFrame, coa: DataFrame, headers: Da
     has_name = F.coalesce("account_name", F.lit("")) != ""
     has_till = F.coalesce("bank_cash_account", F.lit("")) != ""
     in_text = F.when(has_name & F.col("party").isNull(),
-                     text.narration_score(F.col("narration"), F.col("account_name")))
+                     text.narration_score(F.col("narration"), F.col("account_name"), options.fuzzy_threshold))
     scored = joined.withColumns({
         "text_score": in_text,
         "bank_score": F.when(has_till & F.col("till").isNull() & (F.coalesce("bank_name", F.lit("")) != ""),
