@@ -91,16 +91,23 @@ def match_by_name(names: DataFrame, coa: DataFrame, options: MatchOptions = Matc
     def close(e: Column) -> Column:
         return text.name_similarity_of(F.col("plain"), F.col("alnum"), e.plain, e.alnum)
 
-    scored = _on_blocks(rest, _chart_blocks(coa).drop("words"), "name").select(
-        "statement_id", "name", _best("entries", close).alias("best"))
+    def possible(e: Column) -> Column:
+        mine = F.col("alnum")
+        return ((mine == "") | (e.alnum == "") | text.may_reach(mine, e.alnum, options.name_threshold)
+                | mine.contains(e.alnum) | e.alnum.contains(mine))
+
+    near = _on_blocks(rest, _chart_blocks(coa).drop("words"), "name").withColumn(
+        "_near", F.filter("entries", possible))
+    scored = near.select("statement_id", "name", _best("_near", close).alias("best"))
     return equal.unionByName(_best_account(scored, coa, "name", options.name_threshold))
 
 
 def match_by_narration(narrations: DataFrame, coa: DataFrame, options: MatchOptions = MatchOptions()) -> DataFrame:
     """(statement_id, narration, account, score): the account each narration names best.
 
-    Whole names count first. Words are scored once per distinct word of a block, as the best
-    account by words is the first one that has the best word. Only where a name found without
+    Whole names count first; letters and digits must be contained for either form of that. Words
+    are scored once per distinct word of a block, as the best account by words is the first one
+    that has the best word; a word too long or too short to reach the threshold is left out. Only where a name found without
     its punctuation (0.95) meets a closer word are all accounts of the block scored one by one.
     """
     plain = text.plain_text(F.col("narration"))
@@ -108,14 +115,19 @@ def match_by_narration(narrations: DataFrame, coa: DataFrame, options: MatchOpti
     rows = (narrations.select("statement_id", "narration").filter("narration <> ''").distinct()
             .withColumns({"n": plain, "n_alnum": text.alnum(F.col("narration")), "n_words": text.long_words(plain)}))
     n, n_alnum, n_words = F.col("n"), F.col("n_alnum"), F.col("n_words")
-    whole = _best("entries", lambda e: F.coalesce(text.named_score(n, n_alnum, e.plain, e.alnum), F.lit(0.0)))
-    by_word = _best("words", lambda w: text.word_score(n, n_words, w.word, least))
+    lengths = F.transform(n_words, lambda w: F.length(w))
+    inside = F.filter("entries", lambda e: n_alnum.contains(e.alnum))
+    useful = F.filter("words", lambda w: n.contains(w.word) | F.length(w.word).between(F.col("low"), F.col("high")))
+    whole = _best("_inside", lambda e: F.coalesce(text.named_score(n, n_alnum, e.plain, e.alnum), F.lit(0.0)))
+    by_word = _best("_useful", lambda w: text.word_score(n, n_words, w.word, least))
     one_by_one = _best("entries", lambda e: text.narration_score_of(n, n_alnum, n_words, e.plain, e.alnum, e.words, least))
-    found = (_on_blocks(rows, _chart_blocks(coa), "narration")
-             .withColumn("_whole", whole)
-             .withColumn("_word", F.when(F.col("_whole.score") < 1.0, by_word)))
+    found = (_on_blocks(rows.withColumns({"low": F.array_min(lengths) * least, "high": F.array_max(lengths) / least}),
+                        _chart_blocks(coa), "narration")
+             .withColumn("_inside", inside).withColumn("_whole", whole)
+             .withColumn("_useful", F.when(F.coalesce(F.col("_whole.score"), F.lit(0.0)) < 1.0, useful))
+             .withColumn("_word", by_word))
     best = (F.when(F.col("_whole.score") == 1.0, F.col("_whole"))
-            .when(F.col("_whole.score") == 0.0, F.col("_word"))
+            .when(F.coalesce(F.col("_whole.score"), F.lit(0.0)) == 0.0, F.col("_word"))
             .when(F.col("_word.score") > F.col("_whole.score"), one_by_one).otherwise(F.col("_whole")))
     return _best_account(found.select("statement_id", "narration", best.alias("best")), coa, "narration", least)
 
