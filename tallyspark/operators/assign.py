@@ -61,16 +61,20 @@ def _settle_small(groups: DataFrame, options: MatchOptions) -> DataFrame:
 
     pairs = F.flatten(F.transform("leds", lambda led: F.transform("banks", lambda bank: pair(led, bank))))
     allowed = F.filter(pairs, lambda p: p.days <= F.when(p.wave == 0, farthest[0]).otherwise(farthest[1]))
-    none_yet = F.slice(F.col("pairs"), 1, 0)
+    none_yet = F.struct(
+        F.array().cast("array<bigint>").alias("leds"), F.array().cast("array<bigint>").alias("banks"),
+        F.slice(F.col("pairs"), 1, 0).alias("pairs"))
 
     def take(taken: Column, p: Column) -> Column:
-        clash = F.exists(taken, lambda t: (t.led_idx == p.led_idx) | (t.bank_idx == p.bank_idx))
-        return F.when(clash, taken).otherwise(F.concat(taken, F.array(p)))
+        clash = F.array_contains(taken.leds, p.led_idx) | F.array_contains(taken.banks, p.bank_idx)
+        return F.when(clash, taken).otherwise(F.struct(
+            F.array_append(taken.leds, p.led_idx).alias("leds"), F.array_append(taken.banks, p.bank_idx).alias("banks"),
+            F.array_append(taken.pairs, p).alias("pairs")))
 
     return (groups
             .select("statement_id", F.array_sort(allowed).alias("pairs"))
             .filter(F.size("pairs") > 0)
-            .select("statement_id", F.inline(F.reduce("pairs", none_yet, take)))
+            .select("statement_id", F.inline(F.reduce("pairs", none_yet, take, lambda done: done.pairs)))
             .select("statement_id", "led_idx", "bank_idx", "days",
                     F.lit(True).alias("exact"), (F.col("wave") == 0).alias("same_direction")))
 

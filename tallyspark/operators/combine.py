@@ -39,19 +39,26 @@ def _gathered(pool: DataFrame, days: DataFrame, tolerance: int) -> DataFrame:
 
 def combinations(pool: Column, target: Column, largest: int) -> Column:
     """All pairs, then all triples, of ``pool`` that sum to ``target``, in index order."""
-    def later(row: Column) -> Column:
-        return F.filter(pool, lambda other: other.idx > row.idx)
+    amounts = pool["cents"]
 
-    pairs = F.flatten(F.transform(pool, lambda a: F.transform(
-        F.filter(pool, lambda b: (b.idx > a.idx) & (a.cents + b.cents == target)),
-        lambda b: F.array(a, b))))
+    def adding(a: Column) -> Column:
+        return F.filter(pool, lambda b: (b.idx > a.idx) & (a.cents + b.cents == target))
+
+    pairs = F.flatten(F.transform(
+        F.filter(pool, lambda a: F.array_contains(amounts, target - a.cents)),
+        lambda a: F.transform(adding(a), lambda b: F.array(a, b))))
     if largest < 3:
         return pairs
-    triples = F.flatten(F.transform(pool, lambda a: F.flatten(F.transform(
-        later(a), lambda b: F.transform(
-            F.filter(pool, lambda c: (c.idx > b.idx) & (a.cents + b.cents + c.cents == target)),
-            lambda c: F.array(a, b, c))))))
-    return F.concat(pairs, triples)
+
+    def completed(a: Column, b: Column) -> Column:
+        third = F.filter(pool, lambda c: (c.idx > b.idx) & (a.cents + b.cents + c.cents == target))
+        return F.transform(third, lambda c: F.array(a, b, c))
+
+    def started(a: Column) -> Column:
+        second = F.filter(pool, lambda b: (b.idx > a.idx) & F.array_contains(amounts, target - a.cents - b.cents))
+        return F.flatten(F.transform(second, lambda b: completed(a, b)))
+
+    return F.concat(pairs, F.flatten(F.transform(pool, started)))
 
 
 def _contenders(targets: DataFrame, pool: DataFrame, options: MatchOptions) -> DataFrame:
