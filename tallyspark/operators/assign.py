@@ -79,14 +79,14 @@ def _settle_small(groups: DataFrame, options: MatchOptions) -> DataFrame:
                     F.lit(True).alias("exact"), (F.col("wave") == 0).alias("same_direction")))
 
 
-def _mutual_round(leds: DataFrame, banks: DataFrame, keys: list[str], distance: int) -> DataFrame:
+def _mutual_round(leds: DataFrame, banks: DataFrame, keys: list[str], distance: int) -> DataFrame | None:
     """Pairs at one day distance that the greedy order is certain to take.
 
     After distance 0 a day of a group holds free rows of one side only. Days that alternate
     sides at this distance form a chain, and chains do not touch each other. A pair is certain
     when both sides offer it to each other and it comes, on both sides, before the first row of
     its chain without such an offer; the first rows of two days that offer each other are
-    certain as well, so every round makes progress.
+    certain as well, so every round makes progress. Returns None once no chain is left.
     """
     days = (leds.groupBy(*keys, "day").agg(F.lit("L").alias("side"))
             .unionByName(banks.groupBy(*keys, "day").agg(F.lit("B").alias("side"))))
@@ -99,6 +99,9 @@ def _mutual_round(leds: DataFrame, banks: DataFrame, keys: list[str], distance:
                    step.rowsBetween(Window.unboundedPreceding, 0)))
                .withColumn("links", F.count("*").over(Window.partitionBy(*keys, "residue", "chain")))
                .filter("links > 1"))
+    chained = cut(chained)
+    if not has_rows(chained):
+        return None
 
     def on_chain(rows: DataFrame, side: str) -> DataFrame:
         return rows.join(chained.filter(F.col("side") == side).select(*keys, "day", "residue", "chain"),
@@ -141,6 +144,8 @@ def _by_position(leds: DataFrame, banks: DataFrame, keys: list[str], distances:
                          .select(*keys, "led_idx", "bank_idx"))
             else:
                 pairs = _mutual_round(leds, banks, keys, distance)
+                if pairs is None:
+                    break
             pairs = cut(pairs)
             if not has_rows(pairs):
                 break
