@@ -9,6 +9,7 @@ from tallyspark.options import MatchOptions
 from tallyspark.plans import report
 from tallyspark.plans.reconcile import reconcile
 from tallyspark.rules import extra
+from tallyspark.session import cut
 from tallyspark.sources.derive import Tables
 
 OPTIONS = MatchOptions()
@@ -91,7 +92,7 @@ def _flat(rows):
 
 def combined_settlements(spark, folder):
     banks, leds = keys(spark, folder)
-    pairs = assign.two_wave_assignment(banks, leds, OPTIONS)
+    pairs = cut(assign.two_wave_assignment(banks, leds, OPTIONS))
     free_banks = banks.join(pairs.select("statement_id", "bank_idx"), ["statement_id", "bank_idx"], "left_anti")
     free_leds = leds.join(pairs.select("statement_id", "led_idx"), ["statement_id", "led_idx"], "left_anti")
     found = combine.combined_settlements(free_banks, free_leds, OPTIONS)
