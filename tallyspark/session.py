@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -24,12 +25,42 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from the written table.
 
-    A written table carries its size, so later joins can choose their strategy from it.
+    A written table carries its size, so later joins can choose their strategy from it. All tables of an application lie in
+    one folder, which is removed when the application ends; ``discard`` removes one that is no longer read.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    path = f"{_run_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables made by ``cut``; whatever still reads them fails from now on."""
+    for df in tables:
+        _remove(df.sparkSession, df._cut_path)
+
+
+_FOLDERS: set[str] = set()
+
+
+def _run_folder(spark: SparkSession) -> str:
+    path = f"{shared_folder(spark).rstrip('/')}/cut-{spark.sparkContext.applicationId}"
+    if path not in _FOLDERS:
+        _FOLDERS.add(path)
+        atexit.register(_at_end, spark, path)
+    return path
+
+
+def _at_end(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        _remove(spark, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def has_rows(df: DataFrame) -> bool:
