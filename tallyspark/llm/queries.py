@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import pieces
+from tallyspark.llm import media, pieces
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -17,8 +17,13 @@ def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.round_trip(_documents(spark, folder))
 
 
+def op9_media(spark: SparkSession, folder: str) -> DataFrame:
+    return media.store_and_read(_documents(spark, folder))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sentencepiece": op5_sentencepiece,
+    "op9_media": op9_media,
 }
 
 ORACLE: dict[str, str] = {}

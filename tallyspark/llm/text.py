@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 #: Bytes of text that a task holds as arrays at once (a longer single text is its own chunk).
 CHUNK_BYTES = 2 << 20
@@ -70,8 +70,8 @@ class _Powers:
 class Chunk:
     """Some rows of a batch: their ids (nulls kept), and the UTF-8 bytes of their texts end to end."""
 
-    def __init__(self, ids: pa.Array, data: np.ndarray, offsets: np.ndarray):
-        self.ids, self.data, self.offsets = ids, data, offsets
+    def __init__(self, ids: pa.Array, data: np.ndarray, offsets: np.ndarray, kept: dict[str, pa.Array] | None = None):
+        self.ids, self.data, self.offsets, self.kept = ids, data, offsets, kept or {}
 
     def __len__(self) -> int:
         return len(self.ids)
@@ -99,7 +99,8 @@ def chunks(batch: pa.RecordBatch, id_column: str = "doc_id", text_column: str =
     while at < len(ids):
         to = int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES, side="right")) - 1
         to = min(max(to, at + 1), len(ids))
-        yield Chunk(ids.slice(at, to - at), data[offsets[at]:offsets[to]], offsets[at:to + 1] - offsets[at])
+        kept = {n: batch.column(n).slice(at, to - at) for n in batch.schema.names if n not in (id_column, text_column)}
+        yield Chunk(ids.slice(at, to - at), data[offsets[at]:offsets[to]], offsets[at:to + 1] - offsets[at], kept)
         at = to
 
 
@@ -178,9 +179,9 @@ def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def each_chunk(df: DataFrame, kernel: Callable[[Chunk], pa.RecordBatch | None], schema: str,
+def each_chunk(df: DataFrame, kernel: Callable[[Chunk], pa.RecordBatch | None], schema: str, keep: list[str] | None = None,
                id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Run `kernel` over all rows of (id, text), chunk by chunk; it returns a batch of `schema` or None."""
+    """Run `kernel` over all rows of (id, text, kept columns), chunk by chunk; it returns a batch of `schema` or None."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,4 +190,8 @@ def each_chunk(df: DataFrame, kernel: Callable[[Chunk], pa.RecordBatch | None],
                 if out is not None and out.num_rows:
                     yield out
 
-    return df.select(F.col(id_column), F.col(text_column)).mapInArrow(run, schema)
+    return df.select(id_column, text_column, *(keep or [])).mapInArrow(run, schema)
+
+
+def kind_of(df: DataFrame, column: str = "doc_id") -> str:
+    return df.schema[column].dataType.simpleString()
