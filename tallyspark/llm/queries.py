@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import media, pieces
+from tallyspark.llm import media, mixing, pieces
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -17,12 +17,17 @@ def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.round_trip(_documents(spark, folder))
 
 
+def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(_documents(spark, folder)).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 def op9_media(spark: SparkSession, folder: str) -> DataFrame:
     return media.store_and_read(_documents(spark, folder))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sentencepiece": op5_sentencepiece,
+    "op7_mixing": op7_mixing,
     "op9_media": op9_media,
 }
 
