@@ -4,15 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallyspark.llm import media, mixing, pieces
+from tallyspark.llm import language, media, mixing, pieces
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def _remainder(of: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % of
+
+
+def op1_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _documents(spark, folder)
+    model = language.train(docs, _remainder(3) != 1)
+    held = docs.withColumn("held_out", F.coalesce(_remainder(3) == 1, F.lit(False)))
+    return language.predict(held, model, ["held_out"])
+
+
 def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.round_trip(_documents(spark, folder))
 
@@ -26,6 +37,7 @@ def op9_media(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language": op1_language,
     "op5_sentencepiece": op5_sentencepiece,
     "op7_mixing": op7_mixing,
     "op9_media": op9_media,
