@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallyspark.llm import language, media, mixing, pieces
+from tallyspark.llm import language, media, mixing, pieces, toxicity
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -24,6 +24,13 @@ def op1_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.predict(held, model, ["held_out"])
 
 
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _documents(spark, folder)
+    model = toxicity.train(docs, spark.read.parquet(f"{folder}/labels.parquet"), _remainder(5) != 0)
+    held = docs.withColumn("held_out", F.coalesce(_remainder(5) == 0, F.lit(False)))
+    return toxicity.score(held, model, ["held_out"])
+
+
 def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.round_trip(_documents(spark, folder))
 
@@ -38,6 +45,7 @@ def op9_media(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
+    "op4_toxicity": op4_toxicity,
     "op5_sentencepiece": op5_sentencepiece,
     "op7_mixing": op7_mixing,
     "op9_media": op9_media,
