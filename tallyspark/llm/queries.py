@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallyspark.llm import language, media, mixing, pieces, toxicity
+from tallyspark.llm import language, media, minhash, mixing, pieces, toxicity
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -43,12 +43,17 @@ def op9_media(spark: SparkSession, folder: str) -> DataFrame:
     return media.store_and_read(_documents(spark, folder))
 
 
+def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(_documents(spark, folder), k=3, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op4_toxicity": op4_toxicity,
     "op5_sentencepiece": op5_sentencepiece,
     "op7_mixing": op7_mixing,
     "op9_media": op9_media,
+    "op10_minhash": op10_minhash,
 }
 
 ORACLE: dict[str, str] = {}
