@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallyspark.llm import language, media, minhash, mixing, pieces, toxicity
+from tallyspark.llm import language, media, minhash, mixing, pieces, substrings, toxicity
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_documents(spark, folder)).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op8_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.digests(_documents(spark, folder))
+
+
 def op9_media(spark: SparkSession, folder: str) -> DataFrame:
     return media.store_and_read(_documents(spark, folder))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_sentencepiece": op5_sentencepiece,
     "op7_mixing": op7_mixing,
+    "op8_substrings": op8_substrings,
     "op9_media": op9_media,
     "op10_minhash": op10_minhash,
 }
