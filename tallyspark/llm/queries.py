@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallyspark.llm import language, media, minhash, mixing, pieces, substrings, toxicity
+from tallyspark.llm import language, licenses, media, minhash, mixing, pieces, substrings, toxicity
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op1_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.predict(held, model, ["held_out"])
 
 
+def op2_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(_documents(spark, folder))
+
+
 def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = _documents(spark, folder)
     model = toxicity.train(docs, spark.read.parquet(f"{folder}/labels.parquet"), _remainder(5) != 0)
@@ -53,6 +57,7 @@ def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
+    "op2_licenses": op2_licenses,
     "op4_toxicity": op4_toxicity,
     "op5_sentencepiece": op5_sentencepiece,
     "op7_mixing": op7_mixing,
