@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallyspark.llm import language, licenses, media, minhash, mixing, pieces, substrings, toxicity
+from tallyspark.llm import language, licenses, media, minhash, mixing, pieces, substrings, toxicity, vectors
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.round_trip(_documents(spark, folder))
 
 
+def op6_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.near_duplicates(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_documents(spark, folder)).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_licenses": op2_licenses,
     "op4_toxicity": op4_toxicity,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_embeddings": op6_embeddings,
     "op7_mixing": op7_mixing,
     "op8_substrings": op8_substrings,
     "op9_media": op9_media,
