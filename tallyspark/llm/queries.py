@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallyspark.llm import language, licenses, media, minhash, mixing, pieces, substrings, toxicity, vectors
+from tallyspark.llm import language, licenses, media, minhash, mixing, pieces, scoring, substrings, toxicity, vectors
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,6 +28,13 @@ def op2_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(_documents(spark, folder))
 
 
+def op3_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _documents(spark, folder)
+    model, counts = scoring.train(docs, F.coalesce(_remainder(7) != 2, F.lit(False)))
+    held = docs.withColumn("held_out", F.coalesce(_remainder(7) == 2, F.lit(False)))
+    return scoring.score(held, model, counts, ["held_out"])
+
+
 def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = _documents(spark, folder)
     model = toxicity.train(docs, spark.read.parquet(f"{folder}/labels.parquet"), _remainder(5) != 0)
@@ -62,6 +69,7 @@ def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_licenses": op2_licenses,
+    "op3_scoring": op3_scoring,
     "op4_toxicity": op4_toxicity,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_embeddings": op6_embeddings,
