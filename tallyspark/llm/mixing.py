@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyspark.llm.text import NOT_SPACE, Chunk, each_chunk, kind_of, table_of, words
 from tallyspark.session import cut, discard
@@ -25,9 +25,14 @@ WEIGHTS = (3.0, 1.0, 2.0)
 TOTAL_SHARE, MOST_COPIES = 1.5, 2.0
 
 
+def row_hash() -> Column:
+    """The hash of a row's doc_id and text that thresholds refer to."""
+    return F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 64 - BITS * LEVELS)
+
+
 def sizes(docs: DataFrame) -> DataFrame:
     """doc_id, source, hash, size: words of every text."""
-    hashed = docs.select("doc_id", "text", "source", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 64 - BITS * LEVELS).alias("hash"))
+    hashed = docs.select("doc_id", "text", "source", row_hash().alias("hash"))
 
     def kernel(chunk: Chunk) -> pa.RecordBatch:
         _, _, first = words(chunk, NOT_SPACE)
@@ -90,7 +95,7 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total_share: float = TOTAL_SHARE,
         most_copies: float = MOST_COPIES) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken: how many times the mix takes each document."""
+    """doc_id, source, hash, size, source_size, target, copies, taken: how many times the mix takes each document."""
     sized = cut(sizes(docs))
     goal = cut(targets(sized, weights, total_share, most_copies)
                .withColumn("whole", F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)))
@@ -100,4 +105,4 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total_share: floa
         F.col("g.source").alias("of"), "source_size", "target", "whole", F.coalesce("threshold", F.lit(0)).alias("threshold"))
     copies = F.col("whole") + F.when(F.col("hash") < F.col("threshold"), 1).otherwise(0)
     return (sized.join(plan, F.col("source").eqNullSafe(F.col("of")))
-            .select("doc_id", "source", "size", "source_size", "target", copies.cast("int").alias("copies"), (F.col("size") * copies).alias("taken")))
+            .select("doc_id", "source", "hash", "size", "source_size", "target", copies.cast("int").alias("copies"), (F.col("size") * copies).alias("taken")))

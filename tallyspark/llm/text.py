@@ -72,6 +72,7 @@ class Chunk:
 
     def __init__(self, ids: pa.Array, data: np.ndarray, offsets: np.ndarray, kept: dict[str, pa.Array] | None = None):
         self.ids, self.data, self.offsets, self.kept = ids, data, offsets, kept or {}
+        self.text: pa.Array | None = None
 
     def __len__(self) -> int:
         return len(self.ids)
@@ -100,7 +101,9 @@ def chunks(batch: pa.RecordBatch, id_column: str = "doc_id", text_column: str =
         to = int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES, side="right")) - 1
         to = min(max(to, at + 1), len(ids))
         kept = {n: batch.column(n).slice(at, to - at) for n in batch.schema.names if n not in (id_column, text_column)}
-        yield Chunk(ids.slice(at, to - at), data[offsets[at]:offsets[to]], offsets[at:to + 1] - offsets[at], kept)
+        chunk = Chunk(ids.slice(at, to - at), data[offsets[at]:offsets[to]], offsets[at:to + 1] - offsets[at], kept)
+        chunk.text = batch.column(text_column).slice(at, to - at)
+        yield chunk
         at = to
 
 

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyspark.llm.text import ALPHANUMERIC, LOWER, Chunk, each_chunk, kind_of, signed, span_hashes, table_of, words
+from tallyspark.llm.text import ALPHANUMERIC, LOWER, Chunk, chunks, each_chunk, kind_of, signed, span_hashes, table_of, words
 
 #: Most toxic rows that the fit may use; it takes up to twice as many clean ones.
 PER_CLASS = 2500
@@ -313,3 +313,17 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
 
     kinds = "".join(f", {c} {kind_of(docs, c)}" for c in keep)
     return each_chunk(docs, kernel, f"doc_id {kind_of(docs)}{kinds}, score double, predicted int", keep=keep)
+
+
+def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs that are not predicted toxic, with all their columns; texts do not leave their task."""
+    names = docs.columns
+
+    def run(batches):
+        for batch in batches:
+            for chunk in chunks(batch):
+                clean = pa.array(model.score(features(chunk, model.lexicon)) < 0.5)
+                columns = {**chunk.kept, "doc_id": chunk.ids, "text": chunk.text}
+                yield pa.RecordBatch.from_arrays([columns[c].filter(clean) for c in names], names=names)
+
+    return docs.mapInArrow(run, docs.schema)
