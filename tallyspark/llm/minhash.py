@@ -5,11 +5,13 @@ the set are kept, so a signature of 2 P values costs P evaluations per shingle;
 probability of their similarity. Signatures are cut into bands; documents that share a band are candidates.
 
 1. Equal sets form a class; only its smallest doc_id goes on.
-2. In each band bucket every document is paired with two of the bucket's own (the smallest id and the smallest hash): as many
-   pairs as rows. They are confirmed on full sets and linked components are formed.
-3. Buckets that still hold several components give the pairs between different components that sizes allow; these are
-   confirmed as well. A bucket of one component, however large, gives none. So no link between components is lost beyond
-   what banding misses, and no group is paired with itself in full.
+2. In each band bucket every document is paired with two of the bucket's own, the smallest id and the document that shares its
+   bands with most others (in a group of edited copies that is the one nearest to the original): at most two pairs a row. They are
+   confirmed on full sets and linked components are formed.
+3. Buckets that still hold several components are settled in full: their documents are dealt to blocks by a hash, each pair of
+   blocks is one row with the full sets, and a task counts all intersections of a row at once as a matrix product. What leaves
+   the task is a spanning forest of the links between different components, so no bucket is written out as pairs, and no link
+   between components that share a bucket is lost. A bucket of one component, however large, gives nothing.
 
 Bands are chosen so that a pair at the least similarity is missed with a probability under MISS.
 
@@ -30,6 +32,8 @@ from tallyspark.session import cut, discard, has_rows
 
 PERMUTATIONS = 40
 MISS = 1e-6
+#: Documents, and shingles, of about which a block holds; columns of a matrix of intersections.
+BLOCK_ROWS, BLOCK_SHINGLES, COLUMNS = 256, 200_000, 4096
 _RANDOM = np.random.default_rng(41)
 _XOR = _RANDOM.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
 _ODD = _RANDOM.integers(0, 1 << 62, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -135,20 +139,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     usable = signed_docs.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = cut(usable.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")))
     buckets = classes.select("rep", "n", F.explode("bands").alias("band"))
-    by_hash = F.xxhash64("rep")
-    centres = buckets.groupBy("band").agg(
-        F.count("*").alias("rows"), F.min(F.struct("rep", "n")).alias("one"), F.min(F.struct(by_hash.alias("h"), "rep", "n")).alias("two"))
-    shared = cut(buckets.join(centres.where(F.col("rows") > 1), "band").select("band", "rep", "n", "one", F.struct("two.rep", "two.n").alias("two")))
-    paired = shared.select("rep", "n", F.explode(F.array("one", "two")).alias("other"))
+    sizes = buckets.groupBy("band").agg(F.count("*").alias("rows")).where(F.col("rows") > 1)
+    shared = cut(buckets.join(sizes, "band"))
+    company = shared.groupBy("rep").agg(F.sum("rows").alias("company"))
+    centres = shared.join(company, "rep").groupBy("band").agg(
+        F.min(F.struct("rep", "n")).alias("one"), F.min(F.struct((-F.col("company")).alias("c"), "rep", "n")).alias("two"))
+    paired = shared.join(centres, "band").select("rep", "n", F.explode(F.array("one", F.struct("two.rep", "two.n"))).alias("other"))
     first_pairs = cut(paired.where(F.col("rep") != F.col("other.rep")).where(_sizes_allow(F.col("n"), F.col("other.n"), percent))
                       .select(F.greatest("rep", "other.rep").alias("a"), F.least("rep", "other.rep").alias("b")).distinct())
     links = cut(confirmed(first_pairs, docs, k, percent))
     stars = components(links)
-    left = _pairs_between_components(shared.select("band", "rep", "n"), stars, first_pairs, percent)
-    if has_rows(left):
-        more = cut(confirmed(left, docs, k, percent))
-        if has_rows(more):
-            stars = components(stars.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
+    more = cut(_links_between_components(shared, stars, docs, k, percent))
+    if has_rows(more):
+        stars = components(stars.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
     discard(shared, first_pairs)
     member = classes.drop("bands").join(stars, F.col("rep") == F.col("id"), "left").select(
         "n", "d1", "d2", F.coalesce("component", "rep").alias("component"))
@@ -158,12 +161,85 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 
-def _pairs_between_components(buckets: DataFrame, stars: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
-    """Pairs that share a bucket but no component, and were not tried yet."""
-    labelled = buckets.join(stars, F.col("rep") == F.col("id"), "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    mixed = labelled.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).where(F.col("least") < F.col("most"))
-    open_ = cut(labelled.join(mixed.select("band"), "band", "left_semi"))
-    x, y = open_.alias("x"), open_.alias("y")
-    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.rep") > F.col("y.rep")) & (F.col("x.component") != F.col("y.component"))
-                   & _sizes_allow(F.col("x.n"), F.col("y.n"), percent))
-    return cut(pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """rep, shingles: the full sets of the documents in ids (rep)."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(ids, "rep", "left_semi")
+
+    def kernel(chunk: Chunk) -> pa.RecordBatch:
+        sets, first = shingle_sets(chunk, k)
+        return pa.RecordBatch.from_arrays([chunk.ids, pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(signed(sets)))], names=["rep", "shingles"])
+
+    return each_chunk(texts, kernel, "rep long, shingles array<long>", id_column="rep")
+
+
+def _intersections(values: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """Sizes of the intersections of n sets, given as (value, row of its set)."""
+    _, column, documents = np.unique(values, return_inverse=True, return_counts=True)
+    common = documents > 1
+    number = np.cumsum(common) - 1
+    use = common[column]
+    column, row = number[column[use]], row[use]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    same = np.zeros((n, n), dtype=np.float32)
+    for low in range(0, int(common.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [low, low + COLUMNS])
+        matrix = np.zeros((n, COLUMNS), dtype=np.float32)
+        matrix[row[a:b], column[a:b] - low] = 1
+        same += matrix @ matrix.T
+    return same.astype(np.int64)
+
+
+def _links_between_components(shared: DataFrame, stars: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): links between documents that share a bucket but no component, as many as it takes to connect these."""
+    labelled = shared.join(stars, F.col("rep") == F.col("id"), "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    mixed = (labelled.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("rows"), F.sum("n").alias("all"))
+             .where(F.col("least") < F.col("most")))
+    blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("all") / BLOCK_SHINGLES)).cast("int")
+    open_rows = cut(labelled.join(mixed.select("band", blocks.alias("blocks")), "band")
+                    .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")))
+    sets = cut(_sets(docs, open_rows.select("rep").distinct(), k))
+    dealt = open_rows.select("band", "rep", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+        "band", "rep", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    gathered = dealt.join(sets, "rep").groupBy("band", "low", "high").agg(F.collect_list(F.struct("rep", "component", "block", "shingles")).alias("members"))
+
+    def run(batches):
+        for batch in batches:
+            low, high = (batch.column(c).to_numpy() for c in ("low", "high"))
+            a_out, b_out = [], []
+            for i in range(batch.num_rows):
+                members = batch.column("members").slice(i, 1).flatten()
+                rep, component, block = (members.field(c).to_numpy() for c in ("rep", "component", "block"))
+                if len(rep) < 2:
+                    continue
+                shingles = members.field("shingles")
+                sizes = shingles.value_lengths().to_numpy().astype(np.int64)
+                same = _intersections(shingles.flatten().to_numpy(), np.repeat(np.arange(len(rep)), sizes), len(rep))
+                linked = 100 * same >= percent * (sizes[:, None] + sizes[None, :] - same)
+                linked &= component[:, None] != component[None, :]
+                linked &= (block[:, None] == low[i]) & (block[None, :] == high[i])
+                for x, y in _forest(component, *np.nonzero(linked)):
+                    a_out.append(int(rep[x]))
+                    b_out.append(int(rep[y]))
+            yield table_of(["a", "b"], [pa.int64(), pa.int64()], [a_out, b_out])
+
+    return gathered.select("low", "high", "members").mapInArrow(run, "a long, b long").distinct()
+
+
+def _forest(component: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Of links between rows, enough to connect the same components."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.get(x, x) != x:
+            parent[x] = parent.get(parent[x], parent[x])
+            x = parent[x]
+        return x
+
+    chosen = []
+    for x, y in zip(a.tolist(), b.tolist()):
+        p, q = root(int(component[x])), root(int(component[y]))
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            chosen.append((x, y))
+    return chosen
