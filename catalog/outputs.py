@@ -137,11 +137,14 @@ def normalised_dates(spark, folder):
                              "days": values.days_between(F.col("iso"), F.lit("1998-01-01")).cast("bigint")})
 
 
-@register("normalised_money", """select o_orderkey as k, case o_orderkey % 5 when 0 then cast(floor(o_totalprice*100+0.5) as bigint) when 1 then 123450 when 2 then 500 when 3 then null
-  when 4 then -2 end as cents, case o_orderkey % 5 when 0 then o_totalprice when 1 then 1234.5 when 4 then -0.025 end as sheet from orders""")
+@register("normalised_money", """select o_orderkey as k, case o_orderkey % 5 when 0 then cast(floor(o_totalprice*100+0.5) as bigint) when 1 then 123450 when 2 then 500
+  when 3 then case o_orderkey % 25 when 18 then 1600 when 23 then 100000 end when 4 then -2 end as cents,
+  case o_orderkey % 5 when 0 then o_totalprice when 1 then 1234.5 when 3 then case o_orderkey % 25 when 23 then 1000.0 end when 4 then -0.025 end as sheet from orders""")
 def normalised_money(spark, folder):
     k = F.col("o_orderkey") % 5
-    raw = (F.when(k == 0, text.shortest_float(F.col("o_totalprice"))).when(k == 1, "INR 1,234.50").when(k == 2, "$5").when(k == 3, "none").otherwise("-0.025"))
+    raw = (F.when(k == 0, text.shortest_float(F.col("o_totalprice"))).when(k == 1, "INR 1,234.50").when(k == 2, "$5")
+           .when(k == 3, F.element_at(F.array(*map(F.lit, ("none", "1200D", "12f", "0x10", "1e3"))), F.floor(F.col("o_orderkey") % 25 / 5).cast("int") + 1))
+           .otherwise("-0.025"))
     return Records(spark, folder).raw("orders").select(
         F.col("o_orderkey").alias("k"), values.cents_from_text(raw).alias("cents"), values.sheet_amount(raw).alias("sheet"))
 
@@ -213,7 +216,7 @@ def responses(spark, folder):
     body = F.to_json(F.struct(F.col("conv_id"), F.col("turn"), F.col("text")))
     return Records(spark, folder).raw("conversations").select("conv_id", "turn", (
         F.when(F.col("conv_id") % 4 == 0, body).when(F.col("conv_id") % 4 == 1, F.concat(F.lit("Here it is:\n```json\n"), body, F.lit("\n```\nDone")))
-        .when(F.col("conv_id") % 4 == 2, F.concat(F.lit("The answer is "), body, F.lit(" as asked."))).otherwise(F.expr("substr(text, 1, 40) || '{broken'"))).alias("answer"))
+        .when(F.col("conv_id") % 4 == 2, F.concat(F.lit("The answer is "), body, F.lit(" as asked."))).otherwise(F.concat("text", F.lit("{broken")))).alias("answer"))
 
 
 @register("responses_recovered", """select conv_id, turn, case when conv_id % 4 <> 3 then conv_id end as found_conv, case when conv_id % 4 <> 3 then length(text) end as found_length

@@ -291,7 +291,7 @@ def schedule_wide(spark, folder):
 
 QUERIES["schedule_wide_form"] = schedule_wide
 ORACLE["schedule_wide_form"] = ctes(**REL) + "select doc_id, part_no, po_number, part_number, description, std_pack, " + ", ".join(
-    f"quantities[{j}] as week_{j}" for j in range(1, 13)) + ", list_sum(given) as total from ap"
+    f"case when width > 0 then quantities[{j}] end as week_{j}" for j in range(1, 13)) + ", list_sum(given) as total from ap"
 
 
 def schedule_labels(spark, folder):

@@ -263,19 +263,29 @@ def document_complexity(spark, folder):
     return out.withColumn("reasons", F.array_join("reasons", "|"))
 
 
-def ocr_words(spark, folder):
-    words = Records(spark, folder).raw("documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("at", "text"))
-    return words.select("doc_id", F.floor(F.col("at") / 200).alias("page"), "at", "text",
-                        ((F.col("doc_id") * 31 + F.col("at") * 7) % 101).cast("double").alias("conf"))
-
-
-@register("ocr_rollup", """with w as (select doc_id, unnest(ws) as text, generate_subscripts(ws, 1) - 1 as pos from (select doc_id, string_split(text, ' ') as ws from documents)),
-c as (select doc_id, pos // 200 as page, text, (doc_id*31 + pos*7) % 101 as conf from w)
-select doc_id, count(distinct page) as pages, count_if(trim(text) <> '' and conf > 0) as word_count,
-  coalesce(avg(conf) filter (trim(text) <> '' and conf > 0), 0.0) as confidence, coalesce(avg(conf) filter (trim(text) <> '' and conf > 0), 0.0) < 60 as low_confidence
-from c group by 1""")
+def ocr_items(spark, folder):
+    """Even documents: words with a confidence of 0 to 100; odd ones: lines from 0 to 1. Every 17th was not recognised at all."""
+    docs = Records(spark, folder).raw("documents").filter("doc_id % 17 <> 0")
+    by_line = F.col("doc_id") % 2 == 1
+    items = docs.select("doc_id", F.posexplode(F.when(by_line, F.split("text", "\n")).otherwise(F.split("text", " "))).alias("at", "text"))
+    conf = (F.col("doc_id") * 31 + F.col("at") * 7) % 101
+    return items.select("doc_id", F.floor(F.col("at") / 200).alias("page"), "at", "text", F.when(by_line, conf / 128).otherwise(conf.cast("double")).alias("conf"))
+
+
+@register("ocr_rollup", r"""with w as (select doc_id, unnest(ws) as text, generate_subscripts(ws, 1) - 1 as pos
+  from (select doc_id, string_split(text, case when doc_id % 2 = 1 then chr(10) else ' ' end) as ws from documents where doc_id % 17 <> 0)),
+c as (select doc_id, pos // 200 as page, text, (doc_id*31 + pos*7) % 101 as conf,
+  trim(text) <> '' and (doc_id % 2 = 1 or (doc_id*31 + pos*7) % 101 > 0) as counts from w),
+r as (select doc_id, count(distinct page) as pages, coalesce(sum(case when not counts then 0 when doc_id % 2 = 1 then
+    len(list_filter(string_split_regex(trim(text), '\s+'), lambda x: x <> '')) else 1 end), 0)::bigint as word_count,
+  coalesce(avg(case when doc_id % 2 = 1 then conf / 128.0 else conf end) filter (counts), 0.0) as confidence from c group by 1)
+select d.doc_id, coalesce(pages, 0) as pages, coalesce(word_count, 0) as word_count, coalesce(confidence, 0.0) as confidence,
+  coalesce(confidence, 0.0) < case when d.doc_id % 2 = 1 then 0.7 else 60 end as low_confidence
+from documents d left join r using (doc_id)""")
 def ocr_rollup(spark, folder):
-    return pages.ocr_rollup(ocr_words(spark, folder))
+    documents = Records(spark, folder).raw("documents").select(
+        "doc_id", F.when(F.col("doc_id") % 2 == 1, "PADDLEOCR").otherwise("TESSERACT").alias("engine"))
+    return pages.ocr_rollup(ocr_items(spark, folder), documents)
 
 
 @register("document_page_text", """select doc_id, replace(text, chr(10) || chr(10), chr(10) || chr(10) || '--- PAGE BREAK ---' || chr(10) || chr(10)) as text from documents""")
@@ -288,10 +298,16 @@ def document_page_text(spark, folder):
 REFS_SQL = """l as (select *, message_id || ':' || part_index || ':' || filename as source_ref,
   case when filename like '%.txt' then 'SKIPPED_UNSUPPORTED' when size_bytes > 15728640 then 'SKIPPED_UNSUPPORTED'
     when size_bytes <> 0 and size_bytes < 20480 then 'SKIPPED_INLINE' when is_inline and mime_type like 'image/%' then 'SKIPPED_INLINE' end as skip from refs),
-f as (select connection_id, source_ref, min(ord) as first_ord from l where skip is null group by 1, 2),
-planned as (select l.*, case when skip is null then d.doc_id end as existing_id, case when skip is not null then skip
-    when d.status <> 'FAILED' or ord > first_ord then 'SKIPPED_DUPLICATE' when d.status = 'FAILED' then 'RETRY' else 'CREATE' end as action
-  from l left join f using (connection_id, source_ref) left join ing d on d.source_connector_id = connection_id and d.source_ref = l.source_ref)"""
+o as (select l.*, d.doc_id, d.status, sum(case when outcome = 'pipeline_failed' then 1 else 0 end) over earlier as broken
+  from (select * from l where skip is null) l left join ing d on d.source_connector_id = connection_id and d.source_ref = l.source_ref
+  window earlier as (partition by connection_id, l.source_ref order by ord rows between unbounded preceding and 1 preceding)),
+o2 as (select *, coalesce(status = 'FAILED' or broken > 0, false) or coalesce(broken > 0, false) as retry from o),
+o3 as (select *, max(case when outcome = 'ok' or (outcome = 'download_failed' and retry) then 1 else 0 end) over
+  (partition by connection_id, source_ref order by ord rows between unbounded preceding and 1 preceding) as done from o2),
+planned as (select connection_id, run_id, ord, message_id, source_ref, doc_id as existing_id,
+    case when status <> 'FAILED' or done = 1 then 'SKIPPED_DUPLICATE' when retry then 'RETRY' else 'CREATE' end as action, outcome,
+    (outcome = 'pipeline_failed' or (outcome = 'download_failed' and not retry)) as failed from o3
+  union all select connection_id, run_id, ord, message_id, source_ref, null, skip, outcome, false from l where skip is not null)"""
 REF_TABLES = dict(refs=r.REFS, ing=r.INGESTED)
 
 
@@ -318,7 +334,7 @@ def attachment_plan(spark, folder):
 @register("sync_run_counters", ctes(**REF_TABLES, scanned="select run_id, count(distinct message_id) + 2 as messages_scanned from refs group by 1") + "," + REFS_SQL + """
 select *, case when documents_failed > 0 and documents_processed = 0 then 'FAILED' when documents_failed > 0 then 'PARTIAL' else 'COMPLETED' end as status
 from (select run_id, messages_scanned, count(distinct message_id) as messages_with_attachments, count(*) as attachments_found,
-    count_if(action = 'CREATE') as documents_created, count_if(action in ('CREATE', 'RETRY') and not failed) as documents_processed,
+    count_if(action = 'CREATE' and outcome <> 'download_failed') as documents_created, count_if(action in ('CREATE', 'RETRY') and not failed) as documents_processed,
     count_if(action in ('CREATE', 'RETRY') and failed) as documents_failed, count_if(action = 'SKIPPED_DUPLICATE') as skipped_duplicates,
     count_if(action = 'SKIPPED_UNSUPPORTED') as skipped_unsupported, count_if(action = 'SKIPPED_INLINE') as skipped_inline
   from planned join scanned using (run_id) group by 1, 2)""")

@@ -21,6 +21,10 @@ DAY_FIRST_DATE = ("^([0-9]{1,2}[-/][0-9]{1,2}[-/][0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/
 SHEET_DAY_FIRST_DATE = ("^([0-9]{1,2}-[0-9]{1,2}-[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/([0-9]{2}|[0-9]{4})"
                         "|[0-9]{1,2}-[A-Za-z]{3}-([0-9]{2}|[0-9]{4}))$")
 STATEMENT_DATE = "^[0-9]{1,2}([-/])[0-9]{1,2}\\1([0-9]{4}|[0-9]{2})$"
+NUMBER = "^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+HEXADECIMAL = "^0[xX][0-9a-fA-F]{1,15}$"
+GROUPED_NUMBER = ("^(?i)[+-]?(([0-9](_?[0-9])*[.]?([0-9](_?[0-9])*)?|[.][0-9](_?[0-9])*)(e[+-]?[0-9](_?[0-9])*)?"
+                  "|inf|infinity|nan)$")
 OTHER_TIMESTAMP_FORMATS = [
     "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss.SSS", "yyyy-MM-dd HH:mm:ss",
     "yyyy/MM/dd", "MMM d, yyyy", "d MMM yyyy",
@@ -49,7 +53,9 @@ def cents(amount: Column) -> Column:
 
 def cents_from_text(raw: Column) -> Column:
     cleaned = trimmed(F.regexp_replace(F.regexp_replace(trimmed(raw), "[₹$,]", ""), "(?i)INR", ""))
-    number = F.when(cleaned == "", F.lit(0.0)).otherwise(cleaned.try_cast("double"))
+    hexadecimal = F.conv(F.substring(cleaned, 3, 16), 16, 10).try_cast("double")
+    number = (F.when(cleaned == "", F.lit(0.0)).when(cleaned.rlike(NUMBER), cleaned.try_cast("double"))
+              .when(cleaned.rlike(HEXADECIMAL), hexadecimal))
     return F.when(raw != "", cents(number))
 
 
@@ -60,7 +66,7 @@ def amount(cents_: Column) -> Column:
 def sheet_amount(raw: Column) -> Column:
     """Amount cell of an uploaded sheet; a dollar sign is not accepted here."""
     cleaned = trimmed(F.regexp_replace(F.regexp_replace(trimmed(raw), "[₹,]", ""), "INR", ""))
-    return cleaned.try_cast("double")
+    return F.when(cleaned.rlike(GROUPED_NUMBER), F.replace(cleaned, F.lit("_"), F.lit("")).try_cast("double"))
 
 
 def _int(c: Column) -> Column:

@@ -12,6 +12,7 @@ from tallyspark.sources.tabular import UPLOAD_SUFFIXES, suffix
 # ---- fixed values -----------------------------------------------------------
 UNSUPPORTED, INLINE, DUPLICATE = "SKIPPED_UNSUPPORTED", "SKIPPED_INLINE", "SKIPPED_DUPLICATE"
 CREATE, RETRY = "CREATE", "RETRY"
+OK, DOWNLOAD_FAILED, PIPELINE_FAILED = "ok", "download_failed", "pipeline_failed"
 MAX_BYTES, MIN_BYTES = 15 * 1024 * 1024, 20 * 1024
 COUNTERS = [
     "messages_scanned", "messages_with_attachments", "attachments_found", "documents_created",
@@ -48,34 +49,43 @@ def is_inline(headers: Column) -> Column:
 
 
 def plan(refs: DataFrame, documents: DataFrame) -> DataFrame:
-    """Each listed attachment with its action.
+    """Each listed attachment with its action and whether it failed.
 
-    ``refs``: connection_id, ord, message_id, part_index, filename, mime_type, size_bytes,
-    is_inline. ``documents``: source_connector_id, source_ref, doc_id, status. Of several listings
-    of one attachment only the first can create or retry; once it has left a document behind,
-    the others are duplicates.
+    ``refs``: connection_id, ord, message_id, part_index, filename, mime_type, size_bytes, is_inline, outcome (OK,
+    DOWNLOAD_FAILED or PIPELINE_FAILED: what would come of working on it). ``documents``: source_connector_id, source_ref, doc_id,
+    status. Every listing is decided by what those before it in ``ord`` left behind: nothing if the download failed, a
+    FAILED document if the pipeline did (which is tried again, without a download), else a document that makes all later
+    listings duplicates. Two minimums per attachment say this, so no attachment's listings are gathered.
     """
     keys = ["connection_id", "source_ref"]
+    outcome = F.col("outcome")
     listed = refs.withColumns({
         "source_ref": source_ref(F.col("message_id"), F.col("part_index"), F.col("filename")), "skip": skip_reason()})
-    first = listed.filter("skip is null").groupBy(*keys).agg(F.min("ord").alias("first_ord"))
     known = documents.filter("source_ref is not null").select(
         F.col("source_connector_id").alias("connection_id"), "source_ref", F.col("doc_id").alias("existing_id"),
         F.col("status").alias("existing_status"))
-    facts = first.join(known, keys, "left")
-    action = (F.when(F.col("skip").isNotNull(), F.col("skip"))
-              .when((F.col("existing_status") != "FAILED") | (F.col("ord") > F.col("first_ord")), DUPLICATE)
-              .when(F.col("existing_status") == "FAILED", RETRY).otherwise(CREATE))
-    return listed.join(facts, keys, "left").withColumn("action", action).drop("skip", "first_ord", "existing_status")
+    open_ = listed.filter("skip is null")
+    broken = open_.groupBy(*keys).agg(F.min(F.when(outcome == PIPELINE_FAILED, F.col("ord"))).alias("broken_at"),
+                                      F.min(F.when(outcome == OK, F.col("ord"))).alias("fine_at")).join(known, keys, "left")
+    retried = F.coalesce(F.col("existing_status") == "FAILED", F.lit(False)) | F.coalesce(F.col("ord") > F.col("broken_at"), F.lit(False))
+    repaired = open_.filter(outcome == DOWNLOAD_FAILED).join(broken, keys).filter(retried).groupBy(*keys).agg(F.min("ord").alias("repaired_at"))
+    facts = broken.join(repaired, keys, "left").withColumn("done_at", F.least("fine_at", "repaired_at")).drop("fine_at", "repaired_at")
+    duplicate = (F.coalesce(F.col("existing_status") != "FAILED", F.lit(False))
+                 | F.coalesce(F.col("ord") > F.col("done_at"), F.lit(False)))
+    action = F.when(F.col("skip").isNotNull(), F.col("skip")).when(duplicate, DUPLICATE).when(retried, RETRY).otherwise(CREATE)
+    failed = F.col("action").isin(CREATE, RETRY) & (
+        (outcome == PIPELINE_FAILED) | ((outcome == DOWNLOAD_FAILED) & (F.col("action") == CREATE)))
+    return (listed.join(facts, keys, "left").withColumn("action", action).withColumn("failed", failed)
+            .drop("skip", "broken_at", "done_at", "existing_status"))
 
 
 def run_counters(items: DataFrame, scanned: DataFrame) -> DataFrame:
-    """Counters and status of each run. ``items``: run_id, message_id, action, failed."""
+    """Counters and status of each run. ``items``: run_id, message_id, action, outcome, failed."""
     action = F.col("action")
     worked = action.isin(CREATE, RETRY)
     per_run = items.groupBy("run_id").agg(
         F.count_distinct("message_id").alias("messages_with_attachments"), F.count("*").alias("attachments_found"),
-        F.count_if((action == CREATE)).alias("documents_created"),
+        F.count_if((action == CREATE) & (F.col("outcome") != DOWNLOAD_FAILED)).alias("documents_created"),
         F.count_if(worked & ~F.col("failed")).alias("documents_processed"),
         F.count_if(worked & F.col("failed")).alias("documents_failed"),
         F.count_if(action == DUPLICATE).alias("skipped_duplicates"),

@@ -22,15 +22,25 @@ SO_KEYWORDS = [
 # -----------------------------------------------------------------------------
 
 
-def ocr_rollup(words: DataFrame, threshold: float = LOW_CONFIDENCE["TESSERACT"]) -> DataFrame:
-    """Words to pages to documents: words that count, their mean confidence, the low flag."""
-    counts = (F.trim("text") != "") & (F.col("conf").cast("int") > 0)
-    per_doc = words.groupBy("doc_id").agg(
-        F.count_if(counts).alias("word_count"), F.sum(F.when(counts, F.col("conf").cast("int"))).alias("_sum"),
-        F.count_distinct("page").alias("pages"))
-    confidence = F.when(F.col("word_count") > 0, F.col("_sum") / F.col("word_count")).otherwise(0.0)
-    return per_doc.select("doc_id", "pages", "word_count", confidence.alias("confidence"),
-                          (confidence < threshold).alias("low_confidence"))
+def ocr_rollup(items: DataFrame, documents: DataFrame) -> DataFrame:
+    """Recognised items to documents: words, mean confidence, the low flag; documents without items have no confidence.
+
+    ``items``: doc_id, page, text, conf. ``documents``: doc_id, engine. Tesseract gives words with a confidence of 0 to
+    100, of which those at 0 or below do not count; PaddleOCR gives lines of any number of words, from 0 to 1.
+    """
+    by_line = F.col("engine") == "PADDLEOCR"
+    said = F.trim("text") != ""
+    whole = F.when(~by_line, F.col("conf").cast("int"))
+    counts = said & (by_line | (whole > 0))
+    in_line = F.size(F.filter(F.split(F.trim("text"), "\\s+"), lambda w: w != ""))
+    per_doc = items.join(documents.select("doc_id", "engine"), "doc_id").groupBy("doc_id").agg(
+        F.sum(F.when(counts, F.when(by_line, in_line).otherwise(1)).otherwise(0)).alias("word_count"), F.count_if(counts).alias("_items"),
+        F.sum(F.when(counts, F.coalesce(whole.cast("double"), "conf"))).alias("_sum"), F.count_distinct("page").alias("pages"))
+    joined = documents.select("doc_id", "engine").join(per_doc, "doc_id", "left")
+    confidence = F.when(F.col("_items") > 0, F.col("_sum") / F.col("_items")).otherwise(0.0)
+    limit = F.when(by_line, LOW_CONFIDENCE["PADDLEOCR"]).otherwise(LOW_CONFIDENCE["TESSERACT"])
+    return joined.select("doc_id", F.coalesce("pages", F.lit(0)).alias("pages"), F.coalesce("word_count", F.lit(0)).alias("word_count"),
+                         confidence.alias("confidence"), (confidence < limit).alias("low_confidence"))
 
 
 def document_text(pages: DataFrame) -> DataFrame:

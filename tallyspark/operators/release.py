@@ -26,10 +26,17 @@ def long_form(parts: DataFrame, columns: DataFrame) -> DataFrame:
 
 
 def wide_form(parts: DataFrame, columns: DataFrame, width: int) -> DataFrame:
-    """The schedule matrix with ``width`` week columns and a total over all cells given."""
-    cells = [F.get("cells", F.lit(j)).alias(f"week_{j + 1}") for j in range(width)]
+    """The schedule matrix with ``width`` week columns and a total over all cells given.
+
+    Every row has the cells of its document's header: none without a header. ``width`` must hold the largest header.
+    """
+    widest = columns.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if widest > width:
+        raise ValueError(f"a header has {widest} week columns, the matrix only {width}")
+    headed = columns.select("doc_id", F.lit(True).alias("headed")).distinct()
+    cells = [F.when(F.col("headed"), F.get("quantities", F.lit(j))).alias(f"week_{j + 1}") for j in range(width)]
     given = parts.withColumn("total", F.coalesce(schedule.total(F.col("quantities")), F.lit(0.0)))
-    return (aligned_parts(given, columns).withColumn("cells", F.col("quantities"))
+    return (aligned_parts(given, columns).join(headed, "doc_id", "left")
             .select("doc_id", "part_no", "po_number", "part_number", "description", "std_pack", *cells, "total"))
 
 

@@ -90,7 +90,8 @@ select 'c' || cast(user_id as string) as connection_id, 'run-' || cast(user_id a
     else 'image/heic' end as mime_type,
   cast(case when event_id % 71 = 0 then 20000000 when event_id % 37 = 0 then 0 when event_id % 41 = 0 then null else floor(value * 3000) end as bigint)
     as size_bytes,
-  event_id % 4 = 0 as is_inline, event_id % 29 = 0 as failed
+  event_id % 4 = 0 as is_inline, case when event_id % 29 <> 0 then 'ok' when (event_id + again) % 4 = 0 then 'download_failed' when (event_id + again) % 4 = 1 then 'ok'
+    else 'pipeline_failed' end as outcome
 from {events} cross join (select * from (values (0),(1)) as t(again)) w where again = 0 or event_id % 50 = 0
 """
 

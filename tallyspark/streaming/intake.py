@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tallyspark.operators import intake
 
-ITEMS = "connection_id string, ord bigint, message_id string, source_ref string, action string, existing_id bigint, failed boolean"
+ITEMS = "connection_id string, ord bigint, message_id string, source_ref string, action string, existing_id bigint, outcome string, failed boolean"
 
 
 def item_log(spark: SparkSession, path: str) -> DataFrame:
@@ -18,9 +18,10 @@ def item_log(spark: SparkSession, path: str) -> DataFrame:
 
 def known_documents(documents: DataFrame, log: DataFrame) -> DataFrame:
     """Documents on record before a batch: those given, with what earlier batches made of them."""
-    made = log.filter(F.col("action").isin(intake.CREATE, intake.RETRY)).select(
+    left = F.col("action").isin(intake.CREATE, intake.RETRY) & ~((F.col("action") == intake.CREATE) & (F.col("outcome") == intake.DOWNLOAD_FAILED))
+    made = log.filter(left).select(
         F.col("connection_id").alias("source_connector_id"), "source_ref",
-        F.struct("batch", F.when(F.col("failed"), "FAILED").otherwise("COMPLETED").alias("status")).alias("last"))
+        F.struct("batch", "ord", F.when(F.col("failed"), "FAILED").otherwise("COMPLETED").alias("status")).alias("last"))
     latest = made.groupBy("source_connector_id", "source_ref").agg(F.max("last").alias("last"))
     return (documents.join(latest, ["source_connector_id", "source_ref"], "full")
             .select("source_connector_id", "source_ref", "doc_id", F.coalesce("last.status", "status").alias("status")))
