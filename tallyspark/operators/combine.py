@@ -64,13 +64,13 @@ def combinations(pool: Column, target: Column, largest: int) -> Column:
 def _contenders(targets: DataFrame, pool: DataFrame, options: MatchOptions) -> DataFrame:
     """Targets that may consume something, with their full pool.
 
-    A target whose pool is too large at the start counts only if earlier targets could shrink
-    it enough: each of those takes at most three rows, so a day is out once its pool exceeds the
-    limit by more than that. Starting from the small pools and adding the days the bound lets in
-    until nothing changes leaves out only targets that can never take a turn.
+    A target whose pool is too large at the start counts only if earlier targets could shrink it enough. They can take no
+    more rows than three each, and no others than those in their own pools: a day is out once its pool exceeds the limit by
+    more than both. Starting from the small pools and adding the days the bounds let in until nothing changes leaves
+    out only targets that can never take a turn.
     """
     most = min(options.max_combination, 3) if options.max_combination >= 2 else 2
-    supply = pool.groupBy(*_DAY).agg(F.count("*").alias("n"))
+    supply = cut(pool.groupBy(*_DAY).agg(F.count("*").alias("n")))
     days = cut(_per_day_window(supply, targets.select(*_DAY).distinct(), options.tolerance_days, "size")
                .filter("size >= 2"))
 
@@ -84,9 +84,12 @@ def _contenders(targets: DataFrame, pool: DataFrame, options: MatchOptions) -> D
     open_days = days.filter(~small)
     while has_rows(open_days):
         takers = active.groupBy(*_DAY).agg(F.count("*").alias("n"))
+        near = _per_day_window(takers, supply, options.tolerance_days, "near").filter("near > 0")
+        in_reach = supply.join(near.select(*_DAY), _DAY, "left_semi")
         reached = cut(
             open_days.join(_per_day_window(takers, open_days, 2 * options.tolerance_days, "takers"), _DAY)
-            .filter(F.col("size") - most * F.col("takers") <= options.max_pool))
+            .join(_per_day_window(in_reach, open_days, options.tolerance_days, "rows"), _DAY)
+            .filter(F.col("size") - F.least(most * F.col("takers"), "rows") <= options.max_pool))
         if not has_rows(reached):
             break
         active = cut(active.unionByName(searched(reached)))

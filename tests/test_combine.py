@@ -43,3 +43,16 @@ def test_pairs_only(spark):
 
 def test_nothing_fits(spark):
     assert run(spark, [make(5, 5, 200, 3)], MatchOptions()) == {}
+
+
+def test_many_targets_of_a_small_pool_do_not_let_a_large_day_in(spark):
+    """Takers cannot take more rows than their pools hold: two here, whatever their number."""
+    from tallyspark.operators.combine import _contenders
+
+    targets = [(0, SALES, 100, i, 900) for i in range(300)] + [(0, SALES, 108, 300 + i, 900) for i in range(3)]
+    pool = [(0, SALES, 103, 0, 400), (0, SALES, 104, 1, 500)] + [(0, SALES, 110, 2 + i, 400 + i % 3) for i in range(400)]
+    frames = [spark.createDataFrame(rows, ROW) for rows in (targets, pool)]
+    gathered = _contenders(*frames, MatchOptions()).collect()
+    assert len(gathered) == 300 and {len(r.pool) for r in gathered} == {2}
+    settled = settle_by_sum(*frames, MatchOptions()).collect()
+    assert [(r.idx, list(r.rows)) for r in settled] == [(0, [0, 1])]
