@@ -2,18 +2,18 @@ from tallyspark.operators import intake
 from tallyspark.streaming import intake as stream
 
 REF = ("connection_id string, ord bigint, message_id string, part_index bigint, filename string, mime_type string, "
-       "size_bytes bigint, is_inline boolean, failed boolean")
+       "size_bytes bigint, is_inline boolean, outcome string")
 DOC = "doc_id bigint, source_connector_id string, source_ref string, status string"
 
 
-def ref(ord_, message, failed=False, filename="a.pdf", size=50_000):
-    return ("c", ord_, message, 0, filename, "application/pdf", size, False, failed)
+def ref(ord_, message, outcome=intake.OK, filename="a.pdf", size=50_000):
+    return ("c", ord_, message, 0, filename, "application/pdf", size, False, outcome)
 
 
 def test_state_carries_over_batches(spark, tmp_path):
     """New, repeated, failed-then-retried and skipped attachments over three files."""
     source = str(tmp_path / "refs")
-    batches = [[ref(1, "m1"), ref(2, "m2", failed=True), ref(3, "m1"), ref(4, "known")],
+    batches = [[ref(1, "m1"), ref(2, "m2", intake.PIPELINE_FAILED), ref(3, "m1"), ref(4, "known")],
                [ref(5, "m1"), ref(6, "m2"), ref(7, "old-failure")],
                [ref(8, "m2"), ref(9, "m3", filename="x.exe"), ref(10, "m4", size=10)]]
     documents = spark.createDataFrame([(1, "c", "known:0:a.pdf", "VALID"), (2, "c", "old-failure:0:a.pdf", "FAILED")], DOC)
