@@ -368,6 +368,12 @@ def run_history(spark, folder):
     return intake.run_history(runs(spark, folder)).select("connection_id", "run_id", "started_at", "position")
 
 
+@register("run_items", ctes(**REF_TABLES) + "," + REFS_SQL + """select run_id, source_ref, action, failed and action in ('CREATE', 'RETRY') as failed,
+  row_number() over (partition by run_id order by ord) as position from planned""")
+def run_items(spark, folder):
+    return intake.run_items(planned(spark, folder)).select("run_id", "source_ref", "action", "failed", "position")
+
+
 @register("messages_per_sync", ctes(**REF_TABLES, c=r.CONNECTIONS, m="select connection_id, message_id, min(ord) as ord from refs group by 1, 2") + """
 select connection_id, message_id, ord, position from (select *, row_number() over (partition by connection_id order by ord) as position from m) join c using (connection_id)
 where position <= case when coalesce(max_messages, 0) = 0 then 25 else greatest(1, least(100, max_messages)) end""")

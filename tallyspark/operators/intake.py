@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.values import half_up
+from tallyspark.operators.ranking import ranked
 from tallyspark.operators.store import top_per_key
 from tallyspark.sources.tabular import UPLOAD_SUFFIXES, suffix
 
@@ -116,6 +117,11 @@ def run_history(runs: DataFrame, n: int = 20) -> DataFrame:
     return top_per_key(runs, "connection_id", [F.desc("started_at"), F.desc("run_id")], n)
 
 
+def run_items(items: DataFrame) -> DataFrame:
+    """Items of every run with their place in the order they were worked on; a run may be of any size."""
+    return ranked(items, ["run_id"], "ord", "position")
+
+
 def capped_messages(messages: DataFrame, caps: DataFrame) -> DataFrame:
     """The first messages of each listing up to the connection's cap: 25 unless set, within 1..100."""
     cap = F.when(F.coalesce("max_messages", F.lit(0)) == 0, 25).otherwise(

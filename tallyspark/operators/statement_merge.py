@@ -7,18 +7,22 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import values
 
+# ---- fixed values -----------------------------------------------------------
+INFO = ["bank_name", "period_start", "period_end"]
+TOTALS = ["debit_total", "credit_total"]
+# -----------------------------------------------------------------------------
 
-def merged_headers(batches: DataFrame) -> DataFrame:
+
+def merged_headers(batches: DataFrame, info_columns: list[str] = INFO, total_columns: list[str] = TOTALS) -> DataFrame:
     """One row per statement from its batches.
 
-    ``batches``: statement_id, batch, failed, bank_name, period_start, period_end, opening,
-    opening_conf, closing, closing_conf, overall_conf, txn_conf, debit_total, credit_total. The
-    document info is the first batch's that has any; totals are the first known; a balance is
-    the one read with most confidence, the later batch on ties.
+    ``batches``: statement_id, batch, failed, the info and total columns (any number of each), opening, opening_conf, closing,
+    closing_conf, overall_conf, txn_conf. The document info is the first batch's that has any; every total is the first known;
+    a balance is the one read with most confidence, the later batch on ties.
     """
     ok = ~F.col("failed")
     batch = F.col("batch")
-    has_info = ok & (F.col("bank_name").isNotNull() | F.col("period_start").isNotNull() | F.col("period_end").isNotNull())
+    has_info = ok & F.coalesce(*[F.col(c).cast("string") for c in info_columns]).isNotNull()
 
     def surest(value: str, conf: str):
         confidence = F.coalesce(conf, F.lit(0.0))
@@ -33,13 +37,13 @@ def merged_headers(batches: DataFrame) -> DataFrame:
         total = F.sum(known.cast("decimal(38,6)")).cast("double")
         return F.when(F.count(known) > 0, total / F.count(known)).otherwise(0.0).alias(conf)
 
-    info = F.min_by(F.struct("bank_name", "period_start", "period_end"), F.when(has_info, batch)).alias("info")
+    info = F.min_by(F.struct(*info_columns), F.when(has_info, batch)).alias("info")
     return (batches.groupBy("statement_id")
             .agg(info, *surest("opening", "opening_conf"), *surest("closing", "closing_conf"),
-                 first_known("debit_total"), first_known("credit_total"), mean("overall_conf"), mean("txn_conf"),
+                 *map(first_known, total_columns), mean("overall_conf"), mean("txn_conf"),
                  F.count_if("failed").alias("n_failed"), F.count("*").alias("n_batches"))
             .select("statement_id", "info.*", *[c for c in (
-                "opening", "opening_conf", "closing", "closing_conf", "debit_total", "credit_total", "overall_conf",
+                "opening", "opening_conf", "closing", "closing_conf", *total_columns, "overall_conf",
                 "txn_conf", "n_failed", "n_batches")]))
 
 

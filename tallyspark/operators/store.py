@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.text import country_code, is_blank
+from tallyspark.session import cut
 
 # ---- fixed values -----------------------------------------------------------
 TERMINAL = ["VALID", "INVALID", "NEEDS_REVIEW", "COMPLETED", "FAILED"]
@@ -53,19 +54,19 @@ def in_list(documents: DataFrame, country: str, source: str | None = None) -> Da
 def neighbours(listed: DataFrame) -> DataFrame:
     """Previous and next document in the newest-first list.
 
-    The list is cut by creation day. Inside a day a window finds the neighbours; across days a
-    window over one row per day does.
+    The list is dealt to even ranges of its order, so a day that holds most documents is many tasks. Inside a range a window
+    finds the neighbours; across ranges a window over one row per range does.
     """
     order = [F.desc("created_at"), F.desc("doc_id")]
-    cut = listed.select("doc_id", "created_at", F.to_date("created_at").alias("_day"))
-    inside = Window.partitionBy("_day").orderBy(*order)
+    ranges = cut(listed.select("doc_id", "created_at").repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    inside = Window.partitionBy("_range").orderBy(*order)
     key = F.struct("created_at", "doc_id")
-    days = cut.groupBy("_day").agg(F.max(key).alias("first"), F.min(key).alias("last"))
-    along = Window.orderBy(F.desc("_day"))
-    edges = days.select("_day", F.lag("last.doc_id").over(along).alias("_before"),
+    ends = ranges.groupBy("_range").agg(F.max(key).alias("first"), F.min(key).alias("last"))
+    along = Window.orderBy("_range")
+    edges = ends.select("_range", F.lag("last.doc_id").over(along).alias("_before"),
                         F.lead("first.doc_id").over(along).alias("_after"))
-    return (cut.withColumns({"_prev": F.lag("doc_id").over(inside), "_next": F.lead("doc_id").over(inside)})
-            .join(edges, "_day")
+    return (ranges.withColumns({"_prev": F.lag("doc_id").over(inside), "_next": F.lead("doc_id").over(inside)})
+            .join(edges, "_range")
             .select("doc_id", F.coalesce("_prev", "_before").alias("prev_id"), F.coalesce("_next", "_after").alias("next_id")))
 
 

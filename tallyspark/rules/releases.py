@@ -9,43 +9,51 @@ from tallyspark.functions.values import ISO_DATE, real_date
 from tallyspark.rules import check, emit, present
 
 
-def dates_in_order(columns: DataFrame) -> DataFrame:
-    """(doc_id, ordered): known delivery dates strictly increase along the header."""
-    known = (columns.filter(F.col("delivery_date").rlike(ISO_DATE))
-             .withColumn("date", real_date(F.col("delivery_date"))).filter("date is not null"))
-    along = Window.partitionBy("doc_id").orderBy("col_no")
-    return (known.withColumn("rises", F.coalesce(F.lag("date").over(along) < F.col("date"), F.lit(True)))
-            .groupBy("doc_id").agg(F.bool_and("rises").alias("ordered")))
+def header_facts(columns: DataFrame) -> DataFrame:
+    """(doc_id, width, ordered): number of header columns, and whether the known delivery dates strictly increase along them."""
+    date = F.when(F.col("delivery_date").rlike(ISO_DATE), real_date(F.col("delivery_date")))
+    before = Window.partitionBy("doc_id").orderBy("col_no").rowsBetween(Window.unboundedPreceding, -1)
+    rises = F.coalesce(F.last("date", ignorenulls=True).over(before) < F.col("date"), F.lit(True))
+    return (columns.select("doc_id", "col_no", date.alias("date")).withColumn("rises", rises)
+            .groupBy("doc_id").agg(F.count("*").alias("width"), F.bool_and("rises").alias("ordered")))
 
 
-def _listed(rows: DataFrame, order: list[str], text: Column, name: str) -> DataFrame:
-    """Per document, the texts of its offending rows in order, as one message part."""
-    return (rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*order, text.alias("text")))).alias("found"))
-            .select("doc_id", F.array_join("found.text", ", ").alias(name)))
+def part_facts(parts: DataFrame) -> DataFrame:
+    """(doc_id, n_parts, rows): the part rows of a document in order, each with its offending cells as texts."""
+    label = F.when(present(F.col("part_number")), F.col("part_number")).otherwise(F.format_string("row %d", "part_no"))
+    cells = F.transform(F.coalesce("quantities", F.array().cast("array<double>")), lambda q, i: F.struct(q.alias("q"), i.alias("week")))
+    pack = F.when(F.col("std_pack") != 0, F.col("std_pack"))
+
+    def texts(bad) -> Column:
+        return F.transform(F.filter(cells, lambda c: bad(c.q)), lambda c: F.concat(label, F.format_string(" week %d", c.week + 1)))
+
+    row = F.struct("part_no", F.when(present(F.col("quantities_repaired")), F.col("quantities_repaired")).alias("repaired"),
+                   F.coalesce(F.size("quantities"), F.lit(0)).alias("have"), texts(lambda q: q < 0).alias("negative"),
+                   texts(lambda q: q % pack != 0).alias("off_pack"))
+    return parts.groupBy("doc_id").agg(F.count("*").alias("n_parts"), F.array_sort(F.collect_list(row)).alias("rows"))
+
+
+def _named(texts: Column) -> Column:
+    """The texts as one message part, null if there are none."""
+    return F.when(F.size(texts) > 0, F.array_join(texts, ", "))
 
 
 def run(headers: DataFrame, columns: DataFrame, parts: DataFrame) -> DataFrame:
-    """``parts``: doc_id, part_no, part_number, std_pack, quantities, quantities_repaired."""
-    widths = columns.groupBy("doc_id").agg(F.count("*").alias("width"))
-    rows = parts.join(widths, "doc_id", "left").withColumn("width", F.coalesce("width", F.lit(0)))
+    """``parts``: doc_id, part_no, part_number, std_pack, quantities, quantities_repaired.
+
+    Columns and parts are each read and shuffled once; what they say meets at the document.
+    """
     at = F.col("part_no")
-    have = F.coalesce(F.size("quantities"), F.lit(0))
-    ragged = rows.withColumn("text", F.when(
-        present(F.col("quantities_repaired")), F.format_string("row %d was %s", at, F.col("quantities_repaired")))
-        .when(have != F.col("width"), F.format_string("row %d has %d of %d", at, have, F.col("width"))))
-    label = F.when(present(F.col("part_number")), F.col("part_number")).otherwise(F.format_string("row %d", at))
-    cells = (parts.select("doc_id", "part_no", label.alias("label"), "std_pack", F.posexplode("quantities").alias("week", "q"))
-             .withColumn("text", F.concat("label", F.format_string(" week %d", F.col("week") + 1))))
-    off_pack = (F.coalesce(F.col("std_pack"), F.lit(0.0)) != 0) & (F.col("q") % F.when(F.col("std_pack") != 0, F.col("std_pack")) != 0)
-    facts = [
-        widths, dates_in_order(columns), parts.groupBy("doc_id").agg(F.count("*").alias("n_parts")),
-        _listed(ragged.filter("text is not null"), ["part_no"], F.col("text"), "ragged"),
-        _listed(cells.filter("q < 0"), ["part_no", "week"], F.col("text"), "negative"),
-        _listed(cells.filter(off_pack), ["part_no", "week"], F.col("text"), "off_pack"),
-    ]
-    docs = headers
-    for fact in facts:
-        docs = docs.join(fact, "doc_id", "left")
+    docs = headers.join(header_facts(columns), "doc_id", "left").join(part_facts(parts), "doc_id", "left")
+
+    def ragged(r: Column) -> Column:
+        have = F.coalesce("width", F.lit(0))
+        return (F.when(r.repaired.isNotNull(), F.format_string("row %d was %s", r.part_no, r.repaired))
+                .when(r.have != have, F.format_string("row %d has %d of %d", r.part_no, r.have, have)))
+
+    docs = docs.withColumns({
+        "ragged": _named(F.array_compact(F.transform("rows", ragged))),
+        "negative": _named(F.flatten("rows.negative")), "off_pack": _named(F.flatten("rows.off_pack"))}).drop("rows")
     width, n = F.coalesce("width", F.lit(0)), F.coalesce("n_parts", F.lit(0))
     ordered = F.coalesce("ordered", F.lit(True))
     supplier = F.when(present(F.col("supplier_name")), F.col("supplier_name")).when(
