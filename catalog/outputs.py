@@ -108,6 +108,32 @@ def export_statement_items(spark, folder):
     return exports.statement_items(Records(spark, folder).statement_items())
 
 
+def written_and_read(spark, table, write, read):
+    path = f"{shared_folder(spark)}/written-{uuid.uuid4().hex}"
+    write(table, path)
+    return read(path)
+
+
+WRITTEN = "select c_custkey as k, case when c_custkey % 3 <> 0 then 'a, \"b\" ' || c_custkey end as note, case when c_custkey % 5 <> 0 then c_acctbal end as amount"
+
+
+@register("report_csv", WRITTEN + " from customer")
+def report_csv(spark, folder):
+    """A report written as CSV and read back: missing values are empty cells, and quotes and commas survive."""
+    table = spark.read.parquet(f"{folder}/customer.parquet").selectExpr(
+        "c_custkey as k", "case when c_custkey % 3 <> 0 then 'a, \"b\" ' || c_custkey end as note", "case when c_custkey % 5 <> 0 then c_acctbal end as amount")
+    read = spark.read.schema(table.schema).option("header", True).option("escape", '"').csv
+    return written_and_read(spark, table, exports.write_csv, read)
+
+
+@register("report_json", WRITTEN + " from customer")
+def report_json(spark, folder):
+    """The same as JSON lines, nulls written out."""
+    table = spark.read.parquet(f"{folder}/customer.parquet").selectExpr(
+        "c_custkey as k", "case when c_custkey % 3 <> 0 then 'a, \"b\" ' || c_custkey end as note", "case when c_custkey % 5 <> 0 then c_acctbal end as amount")
+    return written_and_read(spark, table, exports.write_json, spark.read.schema(table.schema).json)
+
+
 PAYLOADS = """select o_orderkey as doc_id, case when o_orderkey % 3 = 0 then '{{"invoice":{{"document_type":" sa "}},"confidence":{{}}}}'
   when o_orderkey % 3 = 1 then '{{"invoice":{{"order_number":"A"}}}}' else '{{}}' end as corrected_json,
   case when o_orderkey % 2 = 0 then 'USA' end as country, case when o_orderkey % 5 <> 0 then 'SO' end as doc_type from {orders}"""

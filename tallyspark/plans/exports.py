@@ -172,7 +172,7 @@ def stamped_json(outputs: DataFrame) -> DataFrame:
 
 def write_csv(table: DataFrame, path: str) -> None:
     """One report as CSV; missing values are empty cells."""
-    table.write.mode("errorifexists").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
+    table.write.mode("errorifexists").option("header", True).option("nullValue", "").option("emptyValue", "").option("escape", '"').csv(path)
 
 
 def write_json(table: DataFrame, path: str) -> None:
