@@ -6,7 +6,8 @@ stochastic gradient descent in numpy, on whole documents and on random handfuls
 covered. Scores are softened by a temperature and a rejection limit is set, both on documents that were not trained on.
 After training the linear layer is applied to every embedding once: the mean of the products is the product of the mean.
 
-The fit uses about PER_LANGUAGE labelled documents of each language, chosen by a hash of doc_id; prediction covers whole texts.
+The fit uses about PER_LANGUAGE labelled documents of each language (fewer if there are very many languages), chosen by a hash of
+doc_id; prediction covers whole texts.
 
 Defined results: null texts and texts without a letter are `und` with score 0 and rejected; without any labelled row all texts
 are `und`; rows with null doc_id are never trained on; repeated rows give repeated results.
@@ -22,8 +23,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyspark.llm.text import LOWER, Chunk, each_chunk, kind_of, table_of
 
-#: Documents of each language that the fit may use, as an expected number.
-PER_LANGUAGE = 500
+#: Documents of each language, and of all languages together, that the fit may use, as expected numbers.
+PER_LANGUAGE, ALL_LANGUAGES = 500, 4000
 #: A language with fewer labelled documents than this is not learned.
 LEAST_DOCUMENTS = 5
 BUCKETS, DIMENSIONS = 1 << 14, 16
@@ -151,6 +152,7 @@ def train(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> M
     languages = sorted(x for x, n in counts.items() if n >= LEAST_DOCUMENTS)
     if not languages:
         return None
+    per_language = min(per_language, ALL_LANGUAGES / len(languages))
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language sample")), F.lit(1 << 30)) / float(1 << 30)
     limit = F.lit(0.0)
     for x in languages:
