@@ -30,7 +30,7 @@ from tallyspark.llm.components import components
 from tallyspark.llm.text import NOT_SPACE, Chunk, each_chunk, mix, signed, table_of, text_array, window_hashes, window_rows, word_hashes
 from tallyspark.session import cut, discard, has_rows
 
-PERMUTATIONS = 40
+PERMUTATIONS = 90
 MISS = 1e-6
 #: Documents, and shingles, of about which a block holds; columns of a matrix of intersections.
 BLOCK_ROWS, BLOCK_SHINGLES, COLUMNS = 256, 200_000, 4096
