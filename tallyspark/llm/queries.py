@@ -81,4 +81,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_REACHED = """links2 as (select a as x, b as y from links union all select b, a from links),
+reached as (select x as id, x as other from (select distinct x from links2) union select r.id, l.y from reached r join links2 l on l.x = r.other),
+component as (select id, min(other) as component_id from reached group by id)"""
+
+#: The others depend on trained models, on hashes of Spark's own, or on formats that SQL cannot write; they are tested against plain forms.
+ORACLE: dict[str, str] = {
+    "op6_embeddings": f"""with recursive v as (select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings
+  where label is not null and embedding is not null),
+links as (select x.vec_id as a, y.vec_id as b from v x join v y on x.label = y.label and x.vec_id > y.vec_id and len(x.e) = len(y.e)
+  where list_cosine_similarity(x.e, y.e) >= 0.98),
+{_REACHED}
+select vec_id, coalesce(n, 0) as n_links, coalesce(component_id, vec_id) as component_id, coalesce(component_id, vec_id) = vec_id as kept
+from embeddings left join component on id = vec_id left join (select x, count(*) as n from links2 group by x) on x = vec_id""",
+    "op8_substrings": f"""with w as (select doc_id, {_WORDS} as ws from documents),
+win as (select doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) as t from (select doc_id, ws, unnest(range(1, len(ws) - 48)) as i from w where len(ws) >= 50)),
+dup as (select doc_id, i from win join (select t, min(doc_id) as least from win group by t) using (t) where least < doc_id),
+gone as (select doc_id, list(distinct p) as ps from (select doc_id, unnest(range(i, i + 50)) as p from dup) group by doc_id),
+kept as (select doc_id, ws, list_filter(ws, lambda x, p: not coalesce(list_contains(ps, p), false)) as ks from w left join gone using (doc_id))
+select doc_id, len(ws) as n_words, len(ws) - len(ks) as n_removed, sha256(array_to_string(ks, ' ')) as kept_sha256 from kept""",
+    "op10_minhash": f"""with recursive w as (select doc_id, {_WORDS.replace("coalesce(text, '')", _LOWER)} as ws from documents),
+sh as (select distinct doc_id, array_to_string(ws[i:i + 2], ' ') as s from (select doc_id, ws, unnest(range(1, len(ws) - 1)) as i from w where len(ws) >= 3)
+  union all select doc_id, array_to_string(ws, ' ') from w where len(ws) between 1 and 2),
+n as (select doc_id, count(*) as n from sh group by doc_id),
+shared as (select x.doc_id as a, y.doc_id as b, count(*) as c from sh x join sh y on x.s = y.s and x.doc_id > y.doc_id group by 1, 2),
+links as (select a, b from shared join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 85 * (na.n + nb.n - c)),
+{_REACHED}
+select d.doc_id, coalesce(n, 0) as n_shingles, coalesce(component_id, d.doc_id) as component_id, coalesce(component_id, d.doc_id) = d.doc_id as kept
+from documents d left join n on n.doc_id = d.doc_id left join component on id = d.doc_id""",
+}
