@@ -11,21 +11,29 @@ from pyspark.sql import DataFrame, functions as F
 from tallyspark.session import cut, discard
 
 
-def _towards_least(directed: DataFrame) -> DataFrame:
-    """directed: (u, v). Every row with the least id that u or its v have."""
-    least = directed.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("least"))
-    return directed.join(least, "u")
+def _towards_least(directed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """directed: (u, v). Every row with the least id that u or its v have, and the table of these to discard.
+
+    The minimums are written first: joined from a table, a node with very many rows can be split.
+    """
+    least = cut(directed.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("least")))
+    return directed.join(least, "u"), least
 
 
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _towards_least(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
+    to_least, least = _towards_least(both)
+    out = cut(to_least.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("least").alias("v")).distinct())
+    discard(least)
+    return out
 
 
 def _small_star(links: DataFrame) -> DataFrame:
-    to_least = _towards_least(links)
+    to_least, least = _towards_least(links)
     moved = to_least.where(F.col("v") != F.col("least")).select(F.col("v").alias("u"), F.col("least").alias("v"))
-    return moved.union(to_least.select("u", F.col("least").alias("v"))).distinct()
+    out = cut(moved.union(to_least.select("u", F.col("least").alias("v"))).distinct())
+    discard(least)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -38,8 +46,9 @@ def components(links: DataFrame) -> DataFrame:
         if not state[0] or tuple(state) == mark:
             break
         mark = tuple(state)
-        following = cut(_small_star(_large_star(current)))
+        large = _large_star(current)
         discard(current)
-        current = following
+        current = _small_star(large)
+        discard(large)
     roots = current.select(F.col("v").alias("id")).distinct()
     return current.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots.select("id", F.col("id").alias("component")))

@@ -140,11 +140,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     classes = cut(usable.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")))
     buckets = classes.select("rep", "n", F.explode("bands").alias("band"))
     sizes = buckets.groupBy("band").agg(F.count("*").alias("rows")).where(F.col("rows") > 1)
-    shared = cut(buckets.join(sizes, "band"))
+    # tables of one row per bucket are written before they are joined, so that a bucket with very many rows can be split
+    shared = cut(buckets.join(cut(sizes), "band"))
     company = shared.groupBy("rep").agg(F.sum("rows").alias("company"))
     centres = shared.join(company, "rep").groupBy("band").agg(
         F.min(F.struct("rep", "n")).alias("one"), F.min(F.struct((-F.col("company")).alias("c"), "rep", "n")).alias("two"))
-    paired = shared.join(centres, "band").select("rep", "n", F.explode(F.array("one", F.struct("two.rep", "two.n"))).alias("other"))
+    paired = shared.join(cut(centres), "band").select("rep", "n", F.explode(F.array("one", F.struct("two.rep", "two.n"))).alias("other"))
     first_pairs = cut(paired.where(F.col("rep") != F.col("other.rep")).where(_sizes_allow(F.col("n"), F.col("other.n"), percent))
                       .select(F.greatest("rep", "other.rep").alias("a"), F.least("rep", "other.rep").alias("b")).distinct())
     links = cut(confirmed(first_pairs, docs, k, percent))
@@ -196,7 +197,7 @@ def _links_between_components(shared: DataFrame, stars: DataFrame, docs: DataFra
     mixed = (labelled.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("rows"), F.sum("n").alias("all"))
              .where(F.col("least") < F.col("most")))
     blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("all") / BLOCK_SHINGLES)).cast("int")
-    open_rows = cut(labelled.join(mixed.select("band", blocks.alias("blocks")), "band")
+    open_rows = cut(labelled.join(cut(mixed.select("band", blocks.alias("blocks"))), "band")
                     .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")))
     sets = cut(_sets(docs, open_rows.select("rep").distinct(), k))
     dealt = open_rows.select("band", "rep", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
