@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tallyspark.llm.text import NOT_SPACE, Chunk, each_chunk, kind_of, mix, ragged, signed, table_of, window_hashes, window_rows, word_hashes
-from tallyspark.session import cut
+from tallyspark.session import cut, discard
 
 WINDOW = 50
 ANCHOR = 10
@@ -119,9 +119,13 @@ def _boundary_windows(docs: DataFrame, left_over: DataFrame, window: int) -> Dat
     return each_chunk(joined, kernel, f"anchor long, span long, doc_id {kind_of(docs)}, key int, start int", keep=["key", "blocks"])
 
 
-def _with_first(rows: DataFrame) -> DataFrame:
-    """Rows with the smallest doc_id that has the same anchor and span."""
-    return rows.join(rows.groupBy("anchor", "span").agg(F.min("doc_id").alias("least")), ["anchor", "span"])
+def _copied(rows: DataFrame, how: str) -> DataFrame:
+    """Rows with the smallest doc_id that has the same anchor and span, if several documents have them (`how`: left or inner).
+
+    What repeats is few and is written first: joined from a table, a span with very many rows can be split.
+    """
+    repeated = rows.groupBy("anchor", "span").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where(F.col("least") < F.col("most"))
+    return rows.join(cut(repeated.drop("most")), ["anchor", "span"], how)
 
 
 def duplicate_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -130,12 +134,15 @@ def duplicate_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     blocks = cut(reference_blocks(known, window))
     repeated = (blocks.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
                 .where(F.col("least") < F.col("most")).select("anchor"))
-    candidates = cut(blocks.join(repeated, "anchor", "left_semi"))
-    parsed = cut(_with_first(candidates).select("doc_id", "key", "start", "count", (F.col("least") < F.col("doc_id")).alias("copied")))
+    candidates = cut(blocks.join(cut(repeated), "anchor", "left_semi"))
+    discard(blocks)
+    copied = F.coalesce(F.col("least") < F.col("doc_id"), F.lit(False))
+    parsed = cut(_copied(candidates, "left").select("doc_id", "key", "start", "count", copied.alias("copied")))
     run = F.struct("start", "count")
     left_over = parsed.where(~F.col("copied")).groupBy("doc_id", "key").agg(F.collect_list(run).alias("blocks"))
     windows = cut(_boundary_windows(known, left_over, window))
-    single = _with_first(windows).where(F.col("least") < F.col("doc_id")).select("doc_id", "key", "start", F.lit(1).alias("count"))
+    single = cut(_copied(windows, "inner").where(F.col("least") < F.col("doc_id")).select("doc_id", "key", "start", F.lit(1).alias("count")))
+    discard(candidates, windows)
     return (parsed.where("copied").select("doc_id", "key", "start", "count").union(single)
             .groupBy("doc_id", "key").agg(F.collect_list(run).alias("spans")))
 
