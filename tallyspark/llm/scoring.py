@@ -7,8 +7,9 @@ class. Frequent ids are classes of their own. Texts are scored in windows of CON
 STRIDE: every id is scored once, in the window that gives it the most ids before it, in batches with a causal mask.
 
 What is gathered from the corpus: counts of words and of subword ids over all texts to learn from (aggregated by Spark), and the
-weights. These start from a bounded sample of WARM_TEXTS texts; then every task goes on training on one window in
-EVERY of its own texts, and the weights of all tasks are averaged by their numbers of ids, so that training grows with the input.
+weights. These start from a bounded sample of WARM_TEXTS texts; then every task goes on training on windows of one in EACH of
+its own texts, chosen by a hash, and the weights of all tasks are averaged by their numbers of ids, so that training grows with
+the input.
 
 Counts of words that occur often (a table of at most FREQUENT entries, hence broadcast) are looked up in the task; all other words
 are joined by Spark with the counts and summed per text. So no word is a hot key in a join, and the vocabulary is never collected.
@@ -31,11 +32,11 @@ from tallyspark.session import cut
 
 #: Word counts that are looked up in the task, at most.
 FREQUENT = 1 << 17
-#: Texts of the first fit, at most; share of windows that the tasks train on; averaged parts that reach the driver.
-WARM_TEXTS, EVERY, PARTS = 400, 64, 8
-CONTEXT, STRIDE, WIDTH = 32, 24, 16
+#: Texts of the first fit, at most; the tasks train on one window in EVERY of one text in EACH; averaged parts that reach the driver.
+WARM_TEXTS, EACH, EVERY, PARTS = 400, 16, 4, 8
+CONTEXT, STRIDE, WIDTH = 24, 20, 16
 #: Input symbols: frequent ids, and buckets of the others. Output classes: frequent ids, and groups of the others by frequency.
-SYMBOLS, BUCKETS, SINGLE, GROUPS = 1022, 256, 126, 32
+SYMBOLS, BUCKETS, SINGLE, GROUPS = 1022, 256, 78, 24
 BEGIN, FILL = 0, 1
 WINDOWS_AT_ONCE, STEPS_BATCH, RATE, WARM_PASSES = 192, 48, 4e-3, 4
 END_HASH = np.uint64(0x9AE16A3B2F90404F)
@@ -271,7 +272,7 @@ def _warm_start(sample: DataFrame, coding: Coding, path: str) -> dict[str, np.nd
 
 
 def _train_everywhere(learn: DataFrame, start: dict[str, np.ndarray], coding: Coding, path: str) -> dict[str, np.ndarray]:
-    """Go on from `start` in every task on one window in EVERY of its texts; the average of the tasks by numbers of ids."""
+    """Go on from `start` in every task on a share of its texts; the average of the tasks' weights by numbers of ids."""
     from tallyspark.llm.text import chunks
 
     def train(batches):
@@ -299,7 +300,8 @@ def _train_everywhere(learn: DataFrame, start: dict[str, np.ndarray], coding: Co
         if seen:
             yield table_of(["ids", "weights"], [pa.int64(), pa.binary()], [[seen], [(total / seen).astype(np.float32).tobytes()]])
 
-    each = learn.select("doc_id", "text").mapInArrow(train, "ids long, weights binary")
+    chosen = learn.select("doc_id", "text").where(F.pmod(F.xxhash64("text"), F.lit(EACH)) == 0)
+    each = chosen.mapInArrow(train, "ids long, weights binary")
     parts = each.repartition(PARTS).mapInArrow(add_up, "ids long, weights binary").collect()  # at most PARTS rows
     if not parts:
         return start
