@@ -241,6 +241,17 @@ def test_every_id_is_scored_once_with_its_context():
         assert sorted(seen) == list(range(n))
 
 
+def test_windows_and_classes_are_not_made_smaller():
+    _, begin, scored = scoring.windows_of(np.array([0, 500]))
+    assert begin[1] == 24 and (scored - begin)[1:].min() == 8 and scoring.CONTEXT == 32  # 8 to 31 ids before every later id
+    for n in (31, 32, 33):
+        _, begin, scored = scoring.windows_of(np.array([0, n]))
+        assert sorted(p for b, s in zip(begin, scored) for p in range(b, min(b + 32, n)) if p >= s) == list(range(n))
+    coding = scoring.Coding.of(np.append(np.arange(3000, 0, -1.0), 50))
+    sizes = np.bincount(coding.output)
+    assert (sizes[1:127] == 1).all() and len(sizes) == scoring.CLASSES == 1 + 126 + 32
+
+
 def test_the_model_is_causal_and_sums_to_one():
     w = scoring.new_weights()
     rng = np.random.default_rng(0)
