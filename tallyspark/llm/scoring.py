@@ -7,9 +7,9 @@ class. Frequent ids are classes of their own. Texts are scored in windows of CON
 STRIDE: every id is scored once, in the window that gives it the most ids before it, in batches with a causal mask.
 
 What is gathered from the corpus: counts of words and of subword ids over all texts to learn from (aggregated by Spark), and the
-weights. These start from a bounded sample of WARM_TEXTS texts; then every task goes on training on windows of one in EACH of
-its own texts, chosen by a hash, and the weights of all tasks are averaged by their numbers of ids, so that training grows with
-the input.
+weights. These start from a bounded sample of WARM_TEXTS texts; then every task goes on training on all windows of all its own
+texts, once, and the weights of all tasks are averaged by their numbers of ids. So every id of every row to learn from, copies
+included, is trained on once and counts by its share, and training grows with the input.
 
 Counts of words that occur often (a table of at most FREQUENT entries, hence broadcast) are looked up in the task; all other words
 are joined by Spark with the counts and summed per text. So no word is a hot key in a join, and the vocabulary is never collected.
@@ -32,8 +32,8 @@ from tallyspark.session import cut
 
 #: Word counts that are looked up in the task, at most.
 FREQUENT = 1 << 17
-#: Texts of the first fit, at most; the tasks train on one window in EVERY of one text in EACH; averaged parts that reach the driver.
-WARM_TEXTS, EACH, EVERY, PARTS = 400, 16, 4, 8
+#: Texts of the first fit, at most; averaged parts that reach the driver.
+WARM_TEXTS, PARTS = 400, 8
 CONTEXT, STRIDE, WIDTH = 32, 24, 16
 #: Input symbols: frequent ids, and buckets of the others. Output classes: frequent ids, and groups of the others by frequency.
 SYMBOLS, BUCKETS, SINGLE, GROUPS = 1022, 256, 126, 32
@@ -105,7 +105,7 @@ def _forward(w: dict, tokens: np.ndarray) -> tuple:
     a += _HIDDEN
     a -= a.max(axis=2, keepdims=True)
     np.exp(a, out=a)
-    a /= a.sum(axis=2, keepdims=True)
+    a /= a @ _ONES[:CONTEXT]
     z = a @ v
     return x + z @ w["mixed"], x, q, k, v, a, z
 
@@ -209,14 +209,20 @@ class Adam:
         w = self.w
         h, x, q, k, v, a, z = _forward(w, tokens)
         picked = h[use]
-        error = np.exp(_log_chances(picked, w))
-        error[np.arange(len(picked)), output[use]] -= 1
-        error /= max(len(picked), 1)
+        error = picked @ w["out"]
+        error += w["bias"]
+        error -= error.max(axis=1, keepdims=True)
+        np.exp(error, out=error)
+        error /= (error @ _ONES[:CLASSES]) * np.float32(max(len(picked), 1))
+        error[np.arange(len(picked)), output[use]] -= np.float32(1 / max(len(picked), 1))
         dh = np.zeros_like(h)
         dh[use] = error @ w["out"].T
         dz = dh @ w["mixed"].T
         da = dz @ v.transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * np.float32(WIDTH ** -0.5)
+        da -= (da * a) @ _ONES[:CONTEXT]
+        da *= a
+        ds = da
+        ds *= np.float32(WIDTH ** -0.5)
         dqkv = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dz], axis=2)
         dx = dh + dqkv @ w["qkv"].T
         flat = tokens.ravel()
@@ -271,23 +277,26 @@ def _warm_start(sample: DataFrame, coding: Coding, path: str) -> dict[str, np.nd
     return fit.w
 
 
+def _one_pass(fit: Adam, texts: Texts, rng: np.random.Generator) -> int:
+    """Train once on every window, those of one text spread over the steps; the number of ids trained on."""
+    order, seen = rng.permutation(len(texts.row)), 0
+    for low in range(0, len(order), STEPS_BATCH):
+        tokens, follow, use = texts.batch(order[low:low + STEPS_BATCH])
+        fit.step(tokens, texts.coding.output[follow], use, RATE / 4)
+        seen += int(use.sum())
+    return seen
+
+
 def _train_everywhere(learn: DataFrame, start: dict[str, np.ndarray], coding: Coding, path: str) -> dict[str, np.ndarray]:
-    """Go on from `start` in every task on a share of its texts; the average of the tasks' weights by numbers of ids."""
+    """Go on from `start` in every task on all windows of all its texts; the average of the tasks' weights by numbers of ids."""
     from tallyspark.llm.text import chunks
 
     def train(batches):
-        fit, seen = Adam(start), 0
+        fit, seen, rng = Adam(start), 0, np.random.default_rng(7)
         for batch in batches:
             for chunk in chunks(batch):
                 _, _, ids, first = _spelt(chunk, path)
-                texts = Texts(ids, first, coding)
-                # which windows: by the ids of the text itself, so that it does not depend on the order of rows
-                mark = texts.ids[texts.first[texts.row]] * 31 + np.diff(texts.first)[texts.row] * 17 + texts.begin // STRIDE * 7
-                pick = np.flatnonzero(mark % EVERY == 0)
-                for low in range(0, len(pick), STEPS_BATCH):
-                    tokens, follow, use = texts.batch(pick[low:low + STEPS_BATCH])
-                    fit.step(tokens, coding.output[follow], use, RATE / 4)
-                    seen += int(use.sum())
+                seen += _one_pass(fit, Texts(ids, first, coding), rng)
         if seen:
             yield table_of(["ids", "weights"], [pa.int64(), pa.binary()], [[seen], [_flat(fit.w).tobytes()]])
 
@@ -300,8 +309,7 @@ def _train_everywhere(learn: DataFrame, start: dict[str, np.ndarray], coding: Co
         if seen:
             yield table_of(["ids", "weights"], [pa.int64(), pa.binary()], [[seen], [(total / seen).astype(np.float32).tobytes()]])
 
-    chosen = learn.select("doc_id", "text").where(F.pmod(F.xxhash64("text"), F.lit(EACH)) == 0)
-    each = chosen.mapInArrow(train, "ids long, weights binary")
+    each = learn.select("doc_id", "text").mapInArrow(train, "ids long, weights binary")
     parts = each.repartition(PARTS).mapInArrow(add_up, "ids long, weights binary").collect()  # at most PARTS rows
     if not parts:
         return start

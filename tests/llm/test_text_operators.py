@@ -252,6 +252,32 @@ def test_windows_and_classes_are_not_made_smaller():
     assert (sizes[1:127] == 1).all() and len(sizes) == scoring.CLASSES == 1 + 126 + 32
 
 
+def test_every_training_text_and_copy_is_trained_on(spark):
+    path = pieces.default_model()
+    start, coding = scoring.new_weights(), scoring.Coding.of(np.ones(pieces.vocabulary(path).size + 1))
+    texts = [prose(i, 60) for i in range(4)]
+
+    def trained(*chosen):
+        return scoring._flat(scoring._train_everywhere(made(spark, chosen).coalesce(1), start, coding, path))
+
+    alone = [trained(t) for t in texts]
+    assert not any(np.array_equal(w, scoring._flat(start)) for w in alone)
+    assert not np.allclose(trained(*[texts[0]] * 200), alone[0], atol=1e-5)
+
+
+def test_every_id_is_trained_on_once():
+    class Recorder:
+        places = []
+
+        def step(self, tokens, output, use, rate):
+            self.places += output[use].tolist()
+
+    ids, first = np.arange(3, 700), np.array([0, 1, 1, 40, 697])
+    coding = scoring.Coding(np.zeros(700, int), np.arange(700), np.zeros(700))
+    assert scoring._one_pass(Recorder(), scoring.Texts(ids, first, coding), np.random.default_rng(0)) == len(ids) + 4
+    assert sorted(Recorder.places) == [*ids.tolist(), *[699] * 4]  # 699: the end
+
+
 def test_the_model_is_causal_and_sums_to_one():
     w = scoring.new_weights()
     rng = np.random.default_rng(0)
