@@ -25,8 +25,10 @@ from tallyspark.llm.text import LOWER, Chunk, each_chunk, kind_of, table_of
 
 #: Documents of each language, and of all languages together, that the fit may use, as expected numbers.
 PER_LANGUAGE, ALL_LANGUAGES = 500, 4000
-#: A language with fewer labelled documents than this is not learned.
-LEAST_DOCUMENTS = 5
+#: However many languages there are, of each so many documents are expected in the fit; a language with fewer is used in full.
+LEAST_SAMPLE = 20
+#: A language with fewer documents to train on takes them in turn up to this number in each epoch.
+LEAST_VISITS = 20
 BUCKETS, DIMENSIONS = 1 << 14, 16
 EPOCHS, RATE, SHORT = 6, 8.0, 60
 #: Share of right answers that those accepted on the held-back documents must reach.
@@ -108,6 +110,13 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], answers: np.ndarray, language
     order = rng.permutation(len(bags))
     held = order[:len(order) // 5] if len(order) >= 20 else order
     train = order[len(order) // 5:] if len(order) >= 20 else order
+    only = ~np.isin(answers[held], answers[train])  # all documents of a language held back: trained on instead
+    train, held = np.concatenate([train, held[only]]), held[~only] if not only.all() else held
+    visits = [train]
+    for x, n in zip(*np.unique(answers[train], return_counts=True)):
+        if n < LEAST_VISITS:
+            visits.append(np.resize(train[answers[train] == x], LEAST_VISITS - n))
+    train = np.concatenate(visits)
 
     def handful(k: int) -> tuple[np.ndarray, np.ndarray]:
         grams, counts = bags[k]
@@ -148,11 +157,12 @@ def calibrate(model: Model, bags: list, answers: np.ndarray) -> None:
 def train(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> Model | None:
     """Fit on a hash sample of the rows where `learn` holds and lang is not null."""
     labelled = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    labelled = labelled.where(F.col("text").rlike("[A-Za-z\\x{80}-\\x{10FFFF}]"))  # others have nothing to learn from
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
-    languages = sorted(x for x, n in counts.items() if n >= LEAST_DOCUMENTS)
+    languages = sorted(counts)
     if not languages:
         return None
-    per_language = min(per_language, ALL_LANGUAGES / len(languages))
+    per_language = max(min(per_language, ALL_LANGUAGES / len(languages)), LEAST_SAMPLE)
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language sample")), F.lit(1 << 30)) / float(1 << 30)
     limit = F.lit(0.0)
     for x in languages:

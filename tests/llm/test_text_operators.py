@@ -150,6 +150,16 @@ def test_language_on_held_out_texts(spark, odd, none):
     assert language.predict(none, fitted).count() == 0
 
 
+def test_a_language_of_a_single_document_is_learned(spark):
+    rows = [(i, prose(i, 40, "abcdefghij" if i % 2 else "klmnopqrst"), "aa" if i % 2 else "bb") for i in range(60)]
+    for rare in range(60, 66):  # whichever documents are held back
+        frame = spark.createDataFrame([*rows, (rare, prose(rare, 40, "uvwxyz"), "rare"), (99, "12 !!", "digits")], "doc_id long, text string, lang string")
+        fitted = language.train(frame, F.lit(True))
+        assert fitted.languages == ["aa", "bb", "rare"]
+        got = {r["doc_id"]: r["lang_pred"] for r in language.predict(frame, fitted).collect()}
+        assert got == {i: x for i, _, x in rows} | {rare: "rare", 99: "und"}
+
+
 def test_toxicity_on_held_out_texts(spark, odd, none, labels):
     folder = "/root/testdata/sf0.1"
     docs, marks = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
