@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from tallyspark.llm import language, licenses, media, minhash, mixing, pieces, scoring, substrings, toxicity, vectors
+from tallyspark.llm import language, licenses, media, minhash, mixing, pieces, ranking, scoring, substrings, toxicity, vectors
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,6 +67,10 @@ def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(_documents(spark, folder), k=3, percent=85)
 
 
+def op12_ranking(spark: SparkSession, folder: str) -> DataFrame:
+    return ranking.search(_documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_licenses": op2_licenses,
@@ -78,11 +82,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substrings": op8_substrings,
     "op9_media": op9_media,
     "op10_minhash": op10_minhash,
+    "op12_ranking": op12_ranking,
     "pipeline": corpus_pipeline.run,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = r"regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _REACHED = """links2 as (select a as x, b as y from links union all select b, a from links),
 reached as (select x as id, x as other from (select distinct x from links2) union select r.id, l.y from reached r join links2 l on l.x = r.other),
 component as (select id, min(other) as component_id from reached group by id)"""
@@ -111,4 +117,13 @@ links as (select a, b from shared join n na on na.doc_id = a join n nb on nb.doc
 {_REACHED}
 select d.doc_id, coalesce(n, 0) as n_shingles, coalesce(component_id, d.doc_id) as component_id, coalesce(component_id, d.doc_id) = d.doc_id as kept
 from documents d left join n on n.doc_id = d.doc_id left join component on id = d.doc_id""",
+    "op12_ranking": f"""with d as (select doc_id, {_TERMS} as ws from documents),
+q as (select distinct item_id, unnest({_TERMS}) as term from benchmark),
+size as (select count(*) as n_docs, sum(len(ws))::hugeint as n_words from d where len(ws) > 0),
+tf as (select doc_id, n, term, count(*) as tf from (select doc_id, len(ws) as n, unnest(ws) as term from d) where term in (select term from q) group by all),
+df as (select term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)))::bigint as w from tf, size group by term, n_docs),
+hit as (select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_words))))::bigint as score
+  from q join tf using (term) join df using (term), size group by item_id, doc_id),
+ranked as (select item_id, row_number() over (partition by item_id order by score desc, doc_id) as rank, doc_id, score from hit where score > 0)
+select item_id, rank::int as rank, doc_id, score from ranked where rank <= 10""",
 }
