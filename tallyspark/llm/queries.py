@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from tallyspark.llm import language, licenses, media, minhash, mixing, pieces, ranking, scoring, substrings, toxicity, vectors
+from tallyspark.llm import language, licenses, media, minhash, mixing, pieces, ranking, scoring, spelling, substrings, toxicity, vectors
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,6 +67,10 @@ def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(_documents(spark, folder), k=3, percent=85)
 
 
+def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(_documents(spark, folder))
+
+
 def op12_ranking(spark: SparkSession, folder: str) -> DataFrame:
     return ranking.search(_documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
 
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substrings": op8_substrings,
     "op9_media": op9_media,
     "op10_minhash": op10_minhash,
+    "op11_spelling": op11_spelling,
     "op12_ranking": op12_ranking,
     "pipeline": corpus_pipeline.run,
 }
