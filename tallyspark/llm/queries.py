@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from tallyspark.llm import language, licenses, media, minhash, mixing, pieces, ranking, scoring, spelling, substrings, toxicity, vectors
+from tallyspark.llm import extraction, language, licenses, media, minhash, mixing, pieces, ranking, scoring, spelling, substrings, toxicity, vectors
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -75,6 +75,10 @@ def op12_ranking(spark: SparkSession, folder: str) -> DataFrame:
     return ranking.search(_documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
 
 
+def op13_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return extraction.extract(spark.read.parquet(f"{folder}/pages.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_licenses": op2_licenses,
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minhash": op10_minhash,
     "op11_spelling": op11_spelling,
     "op12_ranking": op12_ranking,
+    "op13_extraction": op13_extraction,
     "pipeline": corpus_pipeline.run,
 }
 
