@@ -1,9 +1,8 @@
 """Account resolution against a chart of accounts, and matches by account name alone.
 
-Texts are made distinct first. Equal names are found with a hash join. What is left is compared
-with the chart of its statement in blocks of at most ``BLOCK`` rows: one joined row per text and
-block, scored inside the row, so no pair is ever written out, and a hash of the text spreads a
-large statement over many tasks.
+Texts are made distinct first. Equal names are found with a hash join; containment and edit distance go through the index of
+``similar``, so a text meets only the accounts it shares an index entry with, and no product of texts and accounts is formed.
+Narrations are compared by their distinct words; a narration then takes the best accounts of its words.
 """
 
 from __future__ import annotations
@@ -12,12 +11,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import text
+from tallyspark.operators import similar
 from tallyspark.options import MatchOptions
 from tallyspark.session import cut, has_rows
 
 BLOCK = 2048
 SALTS = 32
 NAMES_PER_ROUND = 128
+STATEMENT = ["statement_id"]
+#: Scores of a name found without its punctuation, and of a word that a narration holds.
+CONTAINED, WORD_HELD = 0.95, 0.85
 
 
 def _salted(rows: DataFrame, column: str) -> DataFrame:
@@ -31,48 +34,28 @@ def _on_every_salt(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
-def _chart_blocks(coa: DataFrame) -> DataFrame:
-    """Chart rows in blocks, with the first row of every word in the block.
-
-    coa_idx is unique in a statement, which bounds a block.
-    """
-    plain = text.plain_text(F.col("account_name"))
-    keys = ["statement_id", "_block"]
-    rows = coa.select("statement_id", F.floor(F.col("coa_idx") / BLOCK).alias("_block"), F.struct(
-        F.col("coa_idx").alias("idx"), plain.alias("plain"), text.alnum(F.col("account_name")).alias("alnum"),
-        text.long_words(plain).alias("words")).alias("e"))
-    words = (rows.select(*keys, "e.idx", F.explode("e.words").alias("word"))
-             .groupBy(*keys, "word").agg(F.min("idx").alias("idx"))
-             .groupBy(*keys).agg(F.collect_list(F.struct("word", "idx")).alias("words")))
-    return (rows.groupBy(*keys).agg(F.collect_list("e").alias("entries")).join(words, keys, "left")
-            .withColumn("words", F.coalesce("words", F.array().cast("array<struct<word:string,idx:bigint>>"))))
-
-
 def _account(code: str = "account_code", name: str = "account_name", kind: str = "account_type") -> Column:
     return F.struct(F.col(code).alias("code"), F.col(name).alias("name"), F.col(kind).alias("type"))
 
 
-def _best(candidates: str, score_of) -> Column:
-    """Highest score in an array, the lowest index on ties."""
-    return F.array_max(F.transform(candidates, lambda c: F.struct(
-        score_of(c).alias("score"), (-c.idx).alias("order"))))
-
-
-def _on_blocks(rows: DataFrame, blocks: DataFrame, column: str) -> DataFrame:
-    return _salted(rows, column).join(_on_every_salt(blocks), ["statement_id", "_salt"])
-
-
-def _best_account(scored: DataFrame, coa: DataFrame, column: str, threshold: float) -> DataFrame:
-    """The best of each text's ``best`` over all blocks, with its account."""
-    found = (scored.groupBy("statement_id", column).agg(F.max("best").alias("best"))
-             .filter(F.col("best.score") >= threshold)
-             .select("statement_id", column, "best.score", (-F.col("best.order")).alias("coa_idx")))
+def _best_account(candidates: DataFrame, coa: DataFrame, column: str) -> DataFrame:
+    """The account of highest score, the lowest index on ties, for every text of candidates (statement_id, column, score, coa_idx)."""
+    best = F.min(F.struct((-F.col("score")).alias("order"), "coa_idx"))
+    found = (candidates.groupBy("statement_id", column).agg(best.alias("best"))
+             .select("statement_id", column, (-F.col("best.order")).alias("score"), "best.coa_idx"))
     chart = coa.select("statement_id", "coa_idx", _account().alias("account"))
     return found.join(chart, ["statement_id", "coa_idx"]).select("statement_id", column, "account", "score")
 
 
+def _first(rows: DataFrame, form: Column, name: str) -> DataFrame:
+    """The lowest account index of every non-empty form."""
+    return (rows.select("statement_id", form.alias(name), "coa_idx").filter(F.col(name) != "")
+            .groupBy("statement_id", name).agg(F.min("coa_idx").alias("coa_idx")))
+
+
 def match_by_name(names: DataFrame, coa: DataFrame, options: MatchOptions = MatchOptions()) -> DataFrame:
     """(statement_id, name, account, score) for the given names that are close enough."""
+    least = options.name_threshold
     distinct = names.select("statement_id", "name").filter("name <> ''").distinct()
 
     def forms(c: Column) -> Column:
@@ -86,50 +69,92 @@ def match_by_name(names: DataFrame, coa: DataFrame, options: MatchOptions = Matc
              .join(first, ["statement_id", "form"])
              .groupBy("statement_id", "name").agg(F.min("hit").alias("hit"))
              .select("statement_id", "name", "hit.account", F.lit(1.0).alias("score")))
-    rest = (distinct.join(equal.select("statement_id", "name"), ["statement_id", "name"], "left_anti")
-            .withColumns({"plain": text.plain_text(F.col("name")), "alnum": text.alnum(F.col("name"))}))
-    def close(e: Column) -> Column:
-        return text.name_similarity_of(F.col("plain"), F.col("alnum"), e.plain, e.alnum)
-
-    def possible(e: Column) -> Column:
-        mine = F.col("alnum")
-        return ((mine == "") | (e.alnum == "") | text.may_reach(mine, e.alnum, options.name_threshold)
-                | mine.contains(e.alnum) | e.alnum.contains(mine))
-
-    near = _on_blocks(rest, _chart_blocks(coa).drop("words"), "name").withColumn(
-        "_near", F.filter("entries", possible))
-    scored = near.select("statement_id", "name", _best("_near", close).alias("best"))
-    return equal.unionByName(_best_account(scored, coa, "name", options.name_threshold))
+    rest = cut(distinct.join(equal.select("statement_id", "name"), ["statement_id", "name"], "left_anti")
+               .withColumns({"plain": text.plain_text(F.col("name")), "alnum": text.alnum(F.col("name"))}))
+    accounts = coa.select("statement_id", "coa_idx", text.plain_text(F.col("account_name")).alias("plain"),
+                          text.alnum(F.col("account_name")).alias("alnum"))
+    by_alnum, alnums = _first(accounts, F.col("alnum"), "b"), rest.select("statement_id", F.col("alnum").alias("a"))
+    long = F.length("text") >= text.MIN_WORD_LENGTH, F.length("pattern") >= text.MIN_WORD_LENGTH
+    held = similar.containing(alnums.withColumnRenamed("a", "text").filter(long[0]),
+                              by_alnum.select("statement_id", F.col("b").alias("pattern")).filter(long[1]), STATEMENT)
+    holds = similar.containing(by_alnum.select("statement_id", F.col("b").alias("text")).filter(long[0]),
+                               alnums.withColumnRenamed("a", "pattern").filter(long[1]), STATEMENT)
+    contained = (held.select("statement_id", F.col("text").alias("a"), F.col("pattern").alias("b"))
+                 .union(holds.select("statement_id", F.col("pattern").alias("a"), F.col("text").alias("b")))
+                 .withColumn("score", F.lit(CONTAINED)))
+    within = (F.length("a") >= text.MIN_WORD_LENGTH) & (F.length("b") >= text.MIN_WORD_LENGTH) & (
+        F.col("a").contains(F.col("b")) | F.col("b").contains(F.col("a")))
+    close = similar.near(alnums, by_alnum, STATEMENT, least).filter(~within)
+    scored = (contained.union(close).filter(F.col("score") >= least).join(by_alnum, ["statement_id", "b"])
+              .join(rest.select("statement_id", "name", F.col("alnum").alias("a")), ["statement_id", "a"])
+              .select("statement_id", "name", "score", "coa_idx"))
+    # names or accounts without a letter or digit of a to z and 0 to 9 are compared as they are written
+    plain = scored.limit(0)
+    for mine, theirs in ((F.col("alnum") == "", F.lit(True)), (F.col("alnum") != "", F.col("alnum") == "")):
+        written, by_plain = rest.filter(mine), _first(accounts.filter(theirs), F.col("plain"), "b")
+        pairs = similar.near(written.select("statement_id", F.col("plain").alias("a")), by_plain, STATEMENT, least)
+        plain = plain.union(pairs.join(by_plain, ["statement_id", "b"])
+                            .join(written.select("statement_id", "name", F.col("plain").alias("a")), ["statement_id", "a"])
+                            .select("statement_id", "name", "score", "coa_idx"))
+    return equal.unionByName(_best_account(scored.union(plain), coa, "name"))
+
+
+def named_whole(narrations: DataFrame, names: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, narration, name, score: names (keys, name) that stand whole in a narration (keys, narration), 1 as written or 0.95 by
+    letters and digits alone."""
+    n, a = text.plain_text(F.col("narration")), text.plain_text(F.col("name"))
+    written = (narrations.select(*keys, "narration", n.alias("text")), names.select(*keys, "name", a.alias("pattern")))
+    bare = (narrations.select(*keys, "narration", text.alnum(F.col("narration")).alias("text")),
+            names.select(*keys, "name", text.alnum(F.col("name")).alias("pattern")).filter(F.length("pattern") >= text.MIN_WORD_LENGTH))
+    found = None
+    for (texts, patterns), score in ((written, 1.0), (bare, CONTAINED)):
+        hit = (similar.containing(texts, patterns, keys).join(texts, [*keys, "text"]).join(patterns, [*keys, "pattern"])
+               .select(*keys, "narration", "name", F.lit(score).alias("score")))
+        found = hit if found is None else found.union(hit)
+    return found.groupBy(*keys, "narration", "name").agg(F.max("score").alias("score"))
+
+
+def close_words(narration_words: DataFrame, name_words: DataFrame, keys: list[str], least: float) -> DataFrame:
+    """keys, a, b, score: words b of names (keys, b) that a word a of a narration (keys, a) holds (0.85) or resembles."""
+    inside = similar.containing(narration_words.withColumnRenamed("a", "text"), name_words.withColumnRenamed("b", "pattern"), keys).select(
+        *keys, F.col("text").alias("a"), F.col("pattern").alias("b"), F.lit(WORD_HELD).alias("score"))
+    alike = similar.near(narration_words, name_words, keys, least).filter(~F.col("a").contains(F.col("b")))
+    return inside.union(alike).filter(F.col("score") >= least)
 
 
 def match_by_narration(narrations: DataFrame, coa: DataFrame, options: MatchOptions = MatchOptions()) -> DataFrame:
     """(statement_id, narration, account, score): the account each narration names best.
 
-    Whole names count first; letters and digits must be contained for either form of that. Words
-    are scored once per distinct word of a block, as the best account by words is the first one
-    that has the best word; a word too long or too short to reach the threshold is left out. Only where a name found without
-    its punctuation (0.95) meets a closer word are all accounts of the block scored one by one.
+    Whole names count first. The others are scored by words: the best account by words is the first one that has the best word,
+    and a word of a narration that holds or resembles several keeps one of them, the best, and those closer than a held word
+    (which count as held where the narration holds them elsewhere). Only where a name found without its punctuation (0.95)
+    meets a closer word are the accounts of that word looked at one by one.
     """
-    plain = text.plain_text(F.col("narration"))
     least = options.fuzzy_threshold
-    rows = (narrations.select("statement_id", "narration").filter("narration <> ''").distinct()
-            .withColumns({"n": plain, "n_alnum": text.alnum(F.col("narration")), "n_words": text.long_words(plain)}))
-    n, n_alnum, n_words = F.col("n"), F.col("n_alnum"), F.col("n_words")
-    lengths = F.transform(n_words, lambda w: F.length(w))
-    inside = F.filter("entries", lambda e: n_alnum.contains(e.alnum))
-    useful = F.filter("words", lambda w: n.contains(w.word) | F.length(w.word).between(F.col("low"), F.col("high")))
-    whole = _best("_inside", lambda e: F.coalesce(text.named_score(n, n_alnum, e.plain, e.alnum), F.lit(0.0)))
-    by_word = _best("_useful", lambda w: text.word_score(n, n_words, w.word, least))
-    one_by_one = _best("entries", lambda e: text.narration_score_of(n, n_alnum, n_words, e.plain, e.alnum, e.words, least))
-    found = (_on_blocks(rows.withColumns({"low": F.array_min(lengths) * least, "high": F.array_max(lengths) / least}),
-                        _chart_blocks(coa), "narration")
-             .withColumn("_inside", inside).withColumn("_whole", whole)
-             .withColumn("_useful", F.when(F.coalesce(F.col("_whole.score"), F.lit(0.0)) < 1.0, useful))
-             .withColumn("_word", by_word))
-    best = (F.when(F.col("_whole.score") == 1.0, F.col("_whole"))
-            .when(F.coalesce(F.col("_whole.score"), F.lit(0.0)) == 0.0, F.col("_word"))
-            .when(F.col("_word.score") > F.col("_whole.score"), one_by_one).otherwise(F.col("_whole")))
-    return _best_account(found.select("statement_id", "narration", best.alias("best")), coa, "narration", least)
+    rows = cut(narrations.select("statement_id", "narration").filter("narration <> ''").distinct())
+    chart = coa.select("statement_id", "coa_idx", F.col("account_name").alias("name"))
+    whole = cut(named_whole(rows, _first(chart, F.col("name"), "name"), STATEMENT))
+    named = whole.join(chart, ["statement_id", "name"])
+    best_whole = whole.groupBy("statement_id", "narration").agg(F.max("score").alias("whole"))
+    open_ = (rows.join(best_whole, ["statement_id", "narration"], "left").filter(F.coalesce("whole", F.lit(0.0)) < 1.0)
+             .withColumn("n", text.plain_text(F.col("narration"))))
+    words = open_.select("statement_id", "narration", "n", "whole", F.explode(F.array_distinct(text.long_words(F.col("n")))).alias("a"))
+    of_accounts = cut(chart.select("statement_id", "coa_idx", F.explode(F.array_distinct(text.long_words(text.plain_text(F.col("name"))))).alias("b")))
+    first = of_accounts.groupBy("statement_id", "b").agg(F.min("coa_idx").alias("coa_idx"))
+    pairs = close_words(words.select("statement_id", "a"), first.select("statement_id", "b"), STATEMENT, least).join(first, ["statement_id", "b"])
+    loud = F.col("score") > WORD_HELD
+    choice = F.struct((-F.col("score")).alias("order"), "coa_idx", "b")
+    kept = cut(pairs.groupBy("statement_id", "a").agg(F.min(F.when(~loud, choice)).alias("one"), F.collect_set(F.when(loud, choice)).alias("more"))
+               .select("statement_id", "a", F.explode(F.array_compact(F.concat(F.array("one"), "more"))).alias("c")))
+    score = F.when(F.col("n").contains(F.col("c.b")), F.lit(WORD_HELD)).otherwise(-F.col("c.order"))
+    scored = (words.join(kept, ["statement_id", "a"]).select("statement_id", "narration", "whole", score.alias("score"), "c.coa_idx", "c.b")
+              .filter(F.col("score") >= least))
+    closer = (scored.filter(F.col("score") > F.col("whole")).drop("coa_idx").join(of_accounts, ["statement_id", "b"])
+              .join(named.select("statement_id", "narration", "coa_idx"), ["statement_id", "narration", "coa_idx"], "left_anti"))
+    fields = ["statement_id", "narration", "score", "coa_idx"]
+    candidates = (named.filter(F.col("score") >= least).select(*fields).union(scored.filter("whole is null").select(*fields))
+                  .union(closer.select(*fields)))
+    return _best_account(candidates, coa, "narration")
 
 
 def resolve_accounts(rows: DataFrame, coa: DataFrame, options: MatchOptions = MatchOptions()) -> DataFrame:
