@@ -7,6 +7,9 @@ Narrations are compared by their distinct words; a narration then takes the best
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,24 +19,12 @@ from tallyspark.options import MatchOptions
 from tallyspark.session import cut, has_rows
 
 BLOCK = 2048
-SALTS = 32
-NAMES_PER_ROUND = 128
+NAMES_PER_ROUND = 1024
 STATEMENT = ["statement_id"]
 #: Scores of a name found without its punctuation, and of a word that a narration holds.
 CONTAINED, WORD_HELD = 0.95, 0.85
 
 
-def _salted(rows: DataFrame, column: str) -> DataFrame:
-    """Spread texts evenly; the fixed partition count keeps small but costly inputs in many tasks."""
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (rows.withColumn("_salt", F.pmod(F.hash(column), F.lit(SALTS)))
-            .repartition(tasks, "statement_id", "_salt"))
-
-
-def _on_every_salt(blocks: DataFrame) -> DataFrame:
-    return blocks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-
-
 def _account(code: str = "account_code", name: str = "account_name", kind: str = "account_type") -> Column:
     return F.struct(F.col(code).alias("code"), F.col(name).alias("name"), F.col(kind).alias("type"))
 
@@ -181,61 +172,105 @@ def unclaimed_accounts(banks: DataFrame, coa: DataFrame, options: MatchOptions =
             .join(found, ["statement_id", "narration"]))
 
 
+@dataclass
+class _Wishes:
+    """Which bank rows a name asks for: by names that stand whole in a narration, and by the words of names a narration names."""
+
+    whole: DataFrame  # lane, narration, name, score
+    by_word: DataFrame  # lane, narration, b, score
+    words: DataFrame  # lane, name, b
+    lane: list[str]
+    least: float
+
+    @staticmethod
+    def of(banks: DataFrame, leds: DataFrame, lane: list[str], least: float) -> _Wishes:
+        names, narrations = leds.select(*lane, "name").distinct(), banks.select(*lane, "narration").filter("narration <> ''").distinct()
+        narrations = cut(narrations.join(names.select(*lane).distinct(), lane, "left_semi"))
+        n = text.plain_text(F.col("narration"))
+        said = narrations.select(*lane, "narration", n.alias("n"), F.explode(F.array_distinct(text.long_words(n))).alias("a"))
+        words = cut(names.select(*lane, "name", F.explode(F.array_distinct(text.long_words(text.plain_text(F.col("name"))))).alias("b")))
+        score = F.when(F.col("n").contains(F.col("b")), F.lit(WORD_HELD)).otherwise(F.col("score"))
+        by_word = (said.join(close_words(said.select(*lane, "a"), words.select(*lane, "b"), lane, least), [*lane, "a"])
+                   .groupBy(*lane, "narration", "b").agg(F.max(score).alias("score")).filter(F.col("score") >= least))
+        return _Wishes(cut(named_whole(narrations, names, lane)), cut(by_word), words, lane, least)
+
+    def choices(self, free: DataFrame, names: DataFrame) -> DataFrame:
+        """lane, name, bank_idx, order: of every name (lane, name, n) its n best free bank rows, at least.
+
+        Of a word only its n first free rows of each score are looked at, as no name can need more of them.
+        """
+        lane, rows = self.lane, free.select(*self.lane, "bank_idx", "narration")
+        order = Window.partitionBy(*lane, "b", "score").orderBy("bank_idx")
+        wanted = names.join(self.words, [*lane, "name"])
+        most = wanted.groupBy(*lane, "b").agg(F.max("n").alias("n"))
+        held = (rows.join(self.by_word, [*lane, "narration"]).join(most, [*lane, "b"])
+                .withColumn("at", F.row_number().over(order)).filter(F.col("at") <= F.col("n")).drop("n", "at"))
+        by_word = wanted.join(held, [*lane, "b"]).select(*lane, "name", "n", "bank_idx", "narration", "score")
+        named = rows.join(self.whole, [*lane, "narration"]).join(names, [*lane, "name"])
+        # a name that stands whole in a narration is scored by that, even where one of its words is closer
+        louder = by_word.filter(F.col("score") > CONTAINED).join(self.whole.select(*lane, "name", "narration"), [*lane, "name", "narration"], "left_anti")
+        fields = [*lane, "name", "n", "bank_idx", "score"]
+        every = (by_word.filter(F.col("score") <= CONTAINED).select(*fields).union(louder.select(*fields))
+                 .union(named.filter(F.col("score") >= self.least).select(*fields)))
+        best = every.groupBy(*lane, "name", "bank_idx").agg(F.max("score").alias("score"), F.first("n").alias("n"))
+        place = Window.partitionBy(*lane, "name").orderBy(F.desc("score"), "bank_idx")
+        return (best.withColumn("order", F.row_number().over(place)).filter(F.col("order") <= F.col("n"))
+                .select(*lane, "name", "bank_idx", "order", "score"))
+
+
+def _in_turn(leds: pa.Table, choices: pa.Table) -> pa.Table:
+    """One lane: its rows choose in index order, each the first bank row on its name's list that is still free."""
+    lists: dict[str, list[tuple[int, float]]] = {}
+    for row in choices.sort_by([("name", "ascending"), ("order", "ascending")]).select(["name", "bank_idx", "score"]).to_pylist():
+        lists.setdefault(row["name"], []).append((row["bank_idx"], row["score"]))
+    passed = dict.fromkeys(lists, 0)  # choices at the head of each list that are taken
+    taken, found = set(), {"led_idx": [], "bank_idx": [], "score": []}
+    for row in leds.select(["led_idx", "name"]).sort_by("led_idx").to_pylist():
+        mine = lists.get(row["name"], [])
+        at = passed.get(row["name"], 0)
+        while at < len(mine) and mine[at][0] in taken:
+            at += 1
+        if at < len(mine):
+            taken.add(mine[at][0])
+            found["led_idx"].append(row["led_idx"])
+            found["bank_idx"].append(mine[at][0])
+            found["score"].append(mine[at][1])
+        if mine:
+            passed[row["name"]] = at
+    lane = [leds.column(c)[0].as_py() for c in leds.schema.names[:2]] if leds.num_rows else [None, None]
+    n = len(found["led_idx"])
+    return pa.table({leds.schema.names[0]: pa.array([lane[0]] * n, leds.schema.types[0]), leds.schema.names[1]: pa.array([lane[1]] * n, leds.schema.types[1]),
+                     "led_idx": pa.array(found["led_idx"], pa.int64()), "bank_idx": pa.array(found["bank_idx"], pa.int64()),
+                     "score": pa.array(found["score"], pa.float64())})
+
+
 def match_by_account_name(banks: DataFrame, leds: DataFrame, options: MatchOptions = MatchOptions(),
                           per_round: int = NAMES_PER_ROUND) -> DataFrame:
     """(statement_id, led_idx, bank_idx, score) for ledger rows that carry nothing but a name.
 
-    Ledger rows choose in index order, each the free bank row of its direction that names it
-    best. A round settles the next ``per_round`` rows of every (statement, direction): of those,
-    no row can need more than its best ``per_round`` bank rows, so only these are kept per block
-    and per row. Index ``led_idx`` fixes the order; the choices of one round are replayed over
-    these bounded lists.
+    Ledger rows choose in index order, each the free bank row of its direction that names it best. What a name asks for is
+    found once, from the index. A round settles the next ``per_round`` rows of every (statement, direction): of n rows none can
+    need more than its n best bank rows, so a round gathers n lists of n at most.
     """
     lane = ["statement_id", "direction"]
-    waiting = leds.select(*lane, "led_idx", F.col("account_name").alias("name")).filter("name <> ''")
-    free = banks.filter("direction is not null").select(*lane, "bank_idx", "narration")
-    plain = text.plain_text(F.col("narration"))
-    entry = F.struct(F.col("bank_idx").alias("idx"), plain.alias("plain"), text.alnum(F.col("narration")).alias("alnum"),
-                     text.long_words(plain).alias("words"))
-    found = []
-    while has_rows(waiting):
-        waiting = cut(waiting)
-        turn = _next_turn(waiting, lane, per_round)
-        names = turn.select(*lane, "name").distinct()
-        blocks = (free.join(names.select(*lane).distinct(), lane, "left_semi")
-                  .groupBy(*lane, F.floor(F.col("bank_idx") / BLOCK).alias("_block"))
-                  .agg(F.collect_list(entry).alias("entries")))
-        wanted = (_salted(names, "name")
-                  .withColumns({"plain": text.plain_text(F.col("name")), "alnum": text.alnum(F.col("name")),
-                                "words": text.long_words(text.plain_text(F.col("name")))}))
-        scored = F.filter(
-            F.transform("entries", lambda e: F.struct(
-                (-text.narration_score_of(e.plain, e.alnum, e.words, F.col("plain"), F.col("alnum"), F.col("words"),
-                                          options.fuzzy_threshold))
-                .alias("order"), e.idx.alias("bank_idx"))),
-            lambda s: s.order <= -options.fuzzy_threshold)
-        block_best = (wanted.join(_on_every_salt(blocks), [*lane, "_salt"])
-                      .select(*lane, "name", F.explode(F.slice(F.array_sort(scored), 1, per_round)).alias("c")))
-        place = Window.partitionBy(*lane, "name").orderBy("c.order", "c.bank_idx")
-        lists = (block_best.withColumn("at", F.row_number().over(place)).filter(F.col("at") <= per_round)
-                 .groupBy(*lane, "name").agg(F.array_sort(F.collect_list("c")).alias("choices")))
-        asked = turn.join(lists, [*lane, "name"]).groupBy(*lane).agg(
-            F.array_sort(F.collect_list(F.struct("led_idx", "choices"))).alias("asked"))
-        none_yet = F.slice(F.transform("asked", lambda a: F.struct(
-            a.led_idx.alias("led_idx"), F.get(a.choices, F.lit(0)).alias("choice"))), 1, 0)
-
-        def choose(taken: Column, a: Column) -> Column:
-            open_ = F.filter(a.choices, lambda c: ~F.exists(taken, lambda t: t.choice.bank_idx == c.bank_idx))
-            pick = F.get(open_, F.lit(0))
-            return F.when(pick.isNull(), taken).otherwise(
-                F.concat(taken, F.array(F.struct(a.led_idx.alias("led_idx"), pick.alias("choice")))))
-
-        chosen = cut(asked.select(*lane, F.explode(F.reduce("asked", none_yet, choose)).alias("t"))
-                     .select(*lane, "t.led_idx", F.col("t.choice.bank_idx").alias("bank_idx"),
-                             (-F.col("t.choice.order")).alias("score")))
+    waiting = cut(leds.select(*lane, "led_idx", F.col("account_name").alias("name")).filter("name <> ''"))
+    free = cut(banks.filter("direction is not null").select(*lane, F.col("bank_idx").cast("bigint").alias("bank_idx"), "narration"))
+    kind = banks.schema["statement_id"].dataType.simpleString()
+    found, wishes = [], _Wishes.of(free, waiting, lane, options.fuzzy_threshold)
+    while True:
+        turn = cut(_next_turn(waiting, lane, per_round))
+        if not has_rows(turn):
+            break
+        sizes = turn.groupBy(*lane).agg(F.count("*").alias("n"))
+        lists = cut(wishes.choices(free, turn.select(*lane, "name").distinct().join(sizes, lane)))
+        chosen = cut(turn.select(*lane, F.col("led_idx").cast("bigint").alias("led_idx"), "name").groupBy(*lane)
+                     .cogroup(lists.groupBy(*lane))
+                     .applyInArrow(_in_turn, f"statement_id {kind}, direction string, led_idx bigint, bank_idx bigint, score double"))
         found.append(chosen)
-        waiting = waiting.join(turn.select(*lane, "led_idx"), [*lane, "led_idx"], "left_anti")
-        free = free.join(chosen.select(*lane, "bank_idx"), [*lane, "bank_idx"], "left_anti")
+        later = waiting.join(turn.select(*lane, "led_idx"), [*lane, "led_idx"], "left_anti")
+        if not has_rows(later):
+            break
+        waiting, free = cut(later), cut(free.join(chosen.select(*lane, "bank_idx"), [*lane, "bank_idx"], "left_anti"))
     if not found:
         return free.limit(0).select("statement_id", F.lit(0).cast("bigint").alias("led_idx"), "bank_idx",
                                     F.lit(0.0).alias("score"))

@@ -113,3 +113,25 @@ def test_resolution_against_all_pairs(spark, seed, name_least, fuzzy_least):
     found = accounts.match_by_narration(narrations, coa, options).collect()
     got = {(r["statement_id"], r["narration"]): (int(r["account"]["code"][1:]), r["score"]) for r in found}
     assert got == {k: (v[0], pytest.approx(v[1])) for k, v in want.items() if v}
+
+
+@pytest.mark.parametrize("seed, per_round, least", [(1, 1000, 0.6), (2, 7, 0.6), (3, 5, 0.8), (4, 6, 0.96)])
+def test_rows_with_only_a_name_choose_in_order(spark, seed, per_round, least):
+    rnd = random.Random(seed)
+    ways = ["Sales Receipt", "Purchase Payment"]
+    bank = [(s, i, rnd.choice([*ways, None]), rnd.choice([phrase(rnd, 2), "neft customer", "NEFT-Acme Ltd", None, ""])) for s in range(3) for i in range(40)]
+    leds = [(s, i, rnd.choice(ways), rnd.choice([phrase(rnd, 2), "Customer", "Acme", "acme-ltd", "", None])) for s in range(4) for i in range(40)]
+    want = {}
+    for s in range(4):
+        used = set()
+        for _, led, way, name in [r for r in leds if r[0] == s]:
+            pool = [(narration_score(n or "", name or ""), -i) for x, i, w, n in bank if x == s and w == way and i not in used]
+            top = max(pool, default=(0.0, 0))
+            if name and top[0] >= least:
+                want[(s, led)] = (-top[1], pytest.approx(top[0]))
+                used.add(-top[1])
+    banks = spark.createDataFrame(bank, "statement_id long, bank_idx long, direction string, narration string")
+    rows = spark.createDataFrame(leds, "statement_id long, led_idx long, direction string, account_name string")
+    found = accounts.match_by_account_name(banks, rows, MatchOptions(fuzzy_threshold=least), per_round).collect()
+    assert {(r["statement_id"], r["led_idx"]): (r["bank_idx"], r["score"]) for r in found} == want and len(found) == len(want)
+    assert accounts.match_by_account_name(banks, rows.limit(0)).count() == 0
