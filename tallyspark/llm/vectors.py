@@ -5,8 +5,9 @@ Hadamard rotations with random signs; the axis of its largest coordinate, with i
 these are a bucket of one of TABLES tables. A vector also probes the PROBES buckets that it missed by least. Two vectors meet
 where one of them is at home and the other one is at home or probes.
 
-1. Equal vectors form a class; only the smallest vec_id goes on, with the number of its equals.
-2. Ids meet in buckets; buckets without a meeting drop out before any vector is moved.
+1. Equal vectors with equal labels form a class; one vector goes on for each, with the smallest vec_id and the number of its equals.
+   From here on a class is known by a hash of its label and digests, as a vec_id may stand for several vectors.
+2. Classes meet in buckets; buckets without a meeting drop out before any vector is moved.
 3. The members of a bucket are dealt to blocks of about BLOCK by a hash, and every pair of blocks is one row with its vectors. All
    cosines of the row are computed at once. A link is counted only in the first table and bucket where its ends meet, which
    a task sees from the vectors alone. What leaves the row are degrees and a spanning forest of its links, not pairs.
@@ -34,7 +35,7 @@ from tallyspark.session import cut
 
 LEAST_COSINE = 0.98
 TABLES, HASHES, PROBES = 6, 2, 3
-BLOCK = 256
+BLOCK = 1024
 #: Rows that are turned at once.
 ROWS = 2048
 #: (first hash, second hash): which best vertex of each a probe takes.
@@ -97,8 +98,8 @@ def _digests(x: np.ndarray) -> np.ndarray:
 
 
 def hashed(vectors: DataFrame) -> DataFrame:
-    """vec_id, label, d1, d2, homes (a bucket per table), probes (all tables) of usable rows."""
-    names = ["vec_id", "label", "length", "d1", "d2", "homes", "probes"]
+    """vec_id, label, embedding, length, d1, d2 (digests), homes (a bucket per table), probes (all tables) of usable rows."""
+    names = ["vec_id", "label", "embedding", "length", "d1", "d2", "homes", "probes"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,12 +110,12 @@ def hashed(vectors: DataFrame) -> DataFrame:
                     rows = batch.take(pa.array(part[k:k + ROWS]))
                     x = _matrix(rows.column("embedding"), 0, rows.num_rows, int(lengths[part[0]]))
                     b, d = buckets(x), _digests(x)
-                    yield table_of(names, [None, None, pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())],
-                                   [rows.column("vec_id"), rows.column("label"), lengths[part[k:k + ROWS]], signed(d[:, 0].copy()), signed(d[:, 1].copy()),
+                    yield table_of(names, [None, None, None, pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())],
+                                   [rows.column("vec_id"), rows.column("label"), rows.column("embedding"), lengths[part[k:k + ROWS]], signed(d[:, 0].copy()), signed(d[:, 1].copy()),
                                     list(b[:, :, 0]), list(b[:, :, 1:].reshape(len(b), -1))])
 
-    label = vectors.schema["label"].dataType.simpleString()
-    return vectors.mapInArrow(run, f"vec_id long, label {label}, length int, d1 long, d2 long, homes array<long>, probes array<long>")
+    label, embedding = (vectors.schema[c].dataType.simpleString() for c in ("label", "embedding"))
+    return vectors.mapInArrow(run, f"vec_id long, label {label}, embedding {embedding}, length int, d1 long, d2 long, homes array<long>, probes array<long>")
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -167,21 +168,23 @@ def near_duplicates(vectors: DataFrame, least_cosine: float = LEAST_COSINE) -> D
             & F.exists("embedding", lambda v: v != 0))
     usable = rows.where(F.coalesce(good, F.lit(False)))
     keys = ["label", "length", "d1", "d2"]
-    signed_rows = cut(hashed(usable))
-    classes = cut(signed_rows.groupBy(*keys).agg(F.min("vec_id").alias("rep"), F.count("*").alias("equals"),
-                                                 F.min_by("homes", "vec_id").alias("homes"), F.min_by("probes", "vec_id").alias("probes")))
+    signed_rows = cut(hashed(usable).withColumn("cls", F.xxhash64(*keys)).drop("d1", "d2"))
+    classes = cut(signed_rows.groupBy("cls").agg(
+        *[F.first(c).alias(c) for c in ("label", "length", "embedding", "homes", "probes")], F.min("vec_id").alias("rep"), F.count("*").alias("equals")))
     place = F.expr("explode(concat(transform(homes, (b, i) -> struct(i AS table, b AS bucket, true AS home)), "
                    "transform(probes, (b, i) -> struct(CAST(i DIV %d AS INT) AS table, b AS bucket, false AS home))))" % PROBES)
     at = ["label", "length", "table", "bucket"]
-    placed = classes.select("label", "length", "rep", "equals", place.alias("p")).select("label", "length", "rep", "equals", "p.table", "p.bucket", "p.home")
-    sizes = placed.groupBy(*at).agg(F.count("*").alias("members"), F.max("home").alias("lived_in")).where((F.col("members") > 1) & F.col("lived_in"))
+    placed = classes.select("label", "length", "cls", "equals", place.alias("p")).select("label", "length", "cls", "equals", "p.table", "p.bucket", "p.home")
+    # one row per bucket, written before it is joined, so that a bucket with very many members can be split
+    sizes = cut(placed.groupBy(*at).agg(F.count("*").alias("members"), F.max("home").alias("lived_in"))
+                .where((F.col("members") > 1) & F.col("lived_in")).drop("lived_in"))
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     met = (placed.join(sizes, at).withColumn("blocks", blocks)
-           .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")))
-    pairs = met.select(*at, "rep", "equals", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        *at, "rep", "equals", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    embedded = pairs.join(usable.select(F.col("vec_id").alias("rep"), "label", "embedding"), ["rep", "label"])
-    gathered = embedded.groupBy(*at, "low", "high").agg(F.collect_list(F.struct("rep", "block", "equals", "embedding")).alias("members"))
+           .withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")))
+    pairs = met.select(*at, "cls", "equals", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+        *at, "cls", "equals", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    embedded = pairs.join(classes.select("cls", "embedding"), "cls")
+    gathered = embedded.groupBy(*at, "low", "high").agg(F.collect_list(F.struct("cls", "block", "equals", "embedding")).alias("members"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,7 +192,7 @@ def near_duplicates(vectors: DataFrame, least_cosine: float = LEAST_COSINE) -> D
             lists, where = batch.column("members"), batch.select(["table", "bucket", "low", "high", "length"]).to_pylist()
             for k, w in enumerate(where):
                 inner = lists.slice(k, 1).flatten()
-                ids, block, equals = (inner.field(c).to_numpy() for c in ("rep", "block", "equals"))
+                ids, block, equals = (inner.field(c).to_numpy() for c in ("cls", "block", "equals"))
                 if len(ids) < 2:
                     continue
                 x = inner.field("embedding").flatten().to_numpy().astype(np.float64).reshape(len(ids), w["length"])
@@ -198,13 +201,15 @@ def near_duplicates(vectors: DataFrame, least_cosine: float = LEAST_COSINE) -> D
                 ids_out += ids[some].tolist() + [int(ids[a]) for a, _ in forest]
                 other_out += [None] * len(some) + [int(ids[b]) for _, b in forest]
                 links_out += degree[some].tolist() + [0] * len(forest)
-            yield table_of(["rep", "other", "links"], [pa.int64()] * 3, [ids_out, other_out, links_out])
-
-    found = cut(gathered.select("table", "bucket", "low", "high", "length", "members").mapInArrow(run, "rep long, other long, links long"))
-    degrees = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    stars = components(found.where(F.col("other").isNotNull()).select(F.col("rep").alias("a"), F.col("other").alias("b")))
-    known = (classes.select(*keys, "rep", "equals").join(degrees, "rep", "left").join(stars, F.col("rep") == F.col("id"), "left")
-             .select(*keys, (F.coalesce("links", F.lit(0)) + F.col("equals") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
-    done = signed_rows.select("vec_id", *keys).join(known, keys).select("vec_id", "n_links", "component_id")
+            yield table_of(["cls", "other", "links"], [pa.int64()] * 3, [ids_out, other_out, links_out])
+
+    found = cut(gathered.select("table", "bucket", "low", "high", "length", "members").mapInArrow(run, "cls long, other long, links long"))
+    degrees = found.groupBy("cls").agg(F.sum("links").alias("links"))
+    stars = components(found.where(F.col("other").isNotNull()).select(F.col("cls").alias("a"), F.col("other").alias("b")))
+    linked = cut(classes.select("cls", "rep").join(stars.withColumnRenamed("id", "cls"), "cls").select("cls", "component", "rep"))
+    least = linked.join(linked.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("cls", "component_id")
+    known = (classes.select("cls", "rep", "equals").join(degrees, "cls", "left").join(least, "cls", "left")
+             .select("cls", (F.coalesce("links", F.lit(0)) + F.col("equals") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id")))
+    done = signed_rows.select("vec_id", "cls").join(known, "cls").select("vec_id", "n_links", "component_id")
     rest = rows.where(~F.coalesce(good, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return done.union(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
