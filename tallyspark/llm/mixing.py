@@ -25,9 +25,9 @@ WEIGHTS = (3.0, 1.0, 2.0)
 TOTAL_SHARE, MOST_COPIES = 1.5, 2.0
 
 
-def row_hash() -> Column:
-    """The hash of a row's doc_id and text that thresholds refer to."""
-    return F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 64 - BITS * LEVELS)
+def row_hash(inside: str = "") -> Column:
+    """The hash of a row's doc_id and text that thresholds refer to (`inside`: the struct that holds them, with a dot)."""
+    return F.shiftrightunsigned(F.xxhash64(f"{inside}doc_id", f"{inside}text"), 64 - BITS * LEVELS)
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -89,7 +89,7 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
         if level == LEVELS or boundary.where(F.col("least") < F.col("most")).isEmpty():
             break
     nearer = F.abs(F.col("upto") - F.col("rest")) < F.abs(F.col("below") - F.col("rest"))
-    # All documents of the boundary bucket share one hash now; a source without a boundary takes all it has.
+    # All documents of the boundary bucket share one hash now. A source has no boundary only if its rest is 0 or it has no words.
     return open_.select("source", F.when(nearer, F.col("most") + 1).otherwise(F.col("least")).alias("threshold"))
 
 

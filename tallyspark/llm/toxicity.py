@@ -4,11 +4,13 @@ Features of a text are densities: hits of a word list and of a lexicon that is l
 word beginnings, so that endings do not matter), second-person words and hits close to them, capitals, punctuation, digits or
 signs inside words, and stretched letters. The trees, the lexicon limits and the calibration come from numpy code here.
 
-The fit uses at most PER_CLASS toxic and twice as many clean labelled rows, those with the smallest hash of doc_id; lexicon statistics of
-these rows are counted by Spark. Scores are calibrated to the share of each class among all rows to learn from.
+The fit uses at most PER_CLASS toxic and twice as many clean labelled rows, those with the smallest hash of doc_id. Lexicon and trees are
+learned on seven in ten of them, the lexicon statistics counted by Spark; the calibration uses the other three, which neither has
+seen. Scores are calibrated to the share of each class among all rows to learn from.
 
 Defined results: null and empty texts have all features zero and are scored like any other; without labelled rows of both
 classes every score is the share of toxic ones (0 without labels); rows with null doc_id are scored but not learned from;
+of rows that repeat a doc_id all are scored and one is learned from;
 repeated label rows count as often as they occur.
 """
 
@@ -21,9 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyspark.llm.text import ALPHANUMERIC, LOWER, Chunk, chunks, each_chunk, kind_of, signed, span_hashes, table_of, words
+from tallyspark.session import cut
 
 #: Most toxic rows that the fit may use; it takes up to twice as many clean ones.
 PER_CLASS = 2500
+#: Tenths of these rows that only the calibration uses.
+HELD_TENTHS = 3
 #: Lengths in bytes of the word beginnings that the lexicon may hold.
 PREFIXES = (4, 5, 6)
 #: Most lexicon entries, and the least log-likelihood ratio of an entry's counts against the share of toxic rows in the sample.
@@ -228,10 +233,16 @@ class Model:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
-    """doc_id, text, toxic of the rows to learn from. The ids are at most three times per_class, hence the broadcast."""
+    """doc_id, text, toxic, held of at most three times per_class label rows, hence the broadcasts.
+
+    Of a doc_id with several texts the smallest one counts. `held` rows, three in ten by a hash, are for the calibration alone.
+    """
     by_hash = [F.xxhash64(F.col("doc_id"), F.lit("toxicity sample")), "doc_id"]
     chosen = [labels.where(F.col("toxic") == k).select("doc_id", "toxic").orderBy(*by_hash).limit(per_class * (2 - k)) for k in (0, 1)]
-    return docs.select("doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")
+    rows = cut(chosen[0].union(chosen[1]))
+    texts = docs.select("doc_id", "text").join(F.broadcast(rows.select("doc_id").distinct()), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    held = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(10)) < HELD_TENTHS
+    return texts.join(F.broadcast(rows), "doc_id").withColumn("held", held)
 
 
 def _lexicon(sample: DataFrame, share: float) -> tuple[np.ndarray, np.ndarray]:
@@ -277,22 +288,21 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PE
         return Model(share)
     sample = _sample(docs, usable, per_class)
     taken = [min(counts[0], 2 * per_class), min(counts[1], per_class)]
-    lexicon = _lexicon(sample, taken[1] / sum(taken))
+    lexicon = _lexicon(sample.where(~F.col("held")), taken[1] / sum(taken))
 
     def kernel(chunk: Chunk) -> pa.RecordBatch:
         x = features(chunk, lexicon)
-        return table_of(["doc_id", "toxic", "x"], [None, None, pa.list_(pa.float64())], [chunk.ids, chunk.kept["toxic"], list(x)])
+        return table_of(["toxic", "held", "x"], [None, None, pa.list_(pa.float64())], [chunk.kept["toxic"], chunk.kept["held"], list(x)])
 
-    rows = each_chunk(sample, kernel, f"doc_id {kind_of(docs)}, toxic int, x array<double>",
-                      keep=["toxic"]).toArrow()
+    rows = each_chunk(sample, kernel, "toxic int, held boolean, x array<double>", keep=["toxic", "held"]).toArrow()
     if not rows.num_rows:
         return Model(share)
     x = np.array(rows.column("x").to_pylist())
     y = rows.column("toxic").to_numpy().astype(float)
-    order = np.lexsort((*x.T, y))  # the same rows in any order give the same fit
-    x, y = x[order], y[order]
-    fold = np.random.default_rng(11).random(len(y))
-    fitted, held = fold >= 0.3, fold < 0.3
+    held = rows.column("held").to_numpy()
+    order = np.lexsort((*x.T, y, held))  # the same rows in any order give the same fit
+    x, y, held = x[order], y[order], held[order]
+    fitted = ~held
     if len(set(y[fitted])) < 2 or len(set(y[held])) < 2:
         fitted = held = np.ones(len(y), dtype=bool)
     if len(set(y)) < 2:
@@ -318,12 +328,14 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs that are not predicted toxic, with all their columns; texts do not leave their task."""
     names = docs.columns
+    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])  # names may hold dots
+    doc_id, text = (f"c{names.index(c)}" for c in ("doc_id", "text"))
 
     def run(batches):
         for batch in batches:
-            for chunk in chunks(batch):
+            for chunk in chunks(batch, doc_id, text):
                 clean = pa.array(model.score(features(chunk, model.lexicon)) < 0.5)
-                columns = {**chunk.kept, "doc_id": chunk.ids, "text": chunk.text}
-                yield pa.RecordBatch.from_arrays([columns[c].filter(clean) for c in names], names=names)
+                columns = {**chunk.kept, doc_id: chunk.ids, text: chunk.text}
+                yield pa.RecordBatch.from_arrays([columns[c].filter(clean) for c in batch.schema.names], names=batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
