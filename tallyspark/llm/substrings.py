@@ -81,7 +81,7 @@ class Parsed:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """Rows are joined by doc_id and a hash of the text, as doc_id alone may repeat."""
-    return docs.select("doc_id", "text", F.hash("text").alias("key"))
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
 
 
 def reference_blocks(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -93,7 +93,7 @@ def reference_blocks(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         return table_of(["anchor", "span", "doc_id", "key", "start", "count"], [pa.int64(), pa.int64(), None, None, pa.int32(), pa.int32()],
                         [signed(anchor), signed(span), chunk.ids.take(row), chunk.kept["key"].take(row), start, count])
 
-    return each_chunk(_keyed(docs), kernel, f"anchor long, span long, doc_id {kind_of(docs)}, key int, start int, count int", keep=["key"])
+    return each_chunk(_keyed(docs), kernel, f"anchor long, span long, doc_id {kind_of(docs)}, key long, start int, count int", keep=["key"])
 
 
 def _boundary_windows(docs: DataFrame, left_over: DataFrame, window: int) -> DataFrame:
@@ -115,8 +115,8 @@ def _boundary_windows(docs: DataFrame, left_over: DataFrame, window: int) -> Dat
                         [signed(parsed.least[at]), signed(window_hashes(parsed.words, window)[at]), chunk.ids.take(rows), chunk.kept["key"].take(rows),
                          at - parsed.first[row]])
 
-    joined = _keyed(docs).join(left_over.hint("shuffle_hash"), ["doc_id", "key"])
-    return each_chunk(joined, kernel, f"anchor long, span long, doc_id {kind_of(docs)}, key int, start int", keep=["key", "blocks"])
+    joined = _keyed(docs).join(left_over, ["doc_id", "key"])
+    return each_chunk(joined, kernel, f"anchor long, span long, doc_id {kind_of(docs)}, key long, start int", keep=["key", "blocks"])
 
 
 def _copied(rows: DataFrame, how: str) -> DataFrame:
@@ -160,7 +160,7 @@ def _kept_words(body: bytes, starts: np.ndarray, counts: np.ndarray, window: int
 
 def _apply(docs: DataFrame, window: int, as_text: bool) -> DataFrame:
     known = _keyed(docs.where(F.col("doc_id").isNotNull()))
-    joined = known.join(duplicate_windows(docs, window).hint("shuffle_hash"), ["doc_id", "key"], "left")
+    joined = known.join(duplicate_windows(docs, window), ["doc_id", "key"], "left")
     none = _keyed(docs.where(F.col("doc_id").isNull())).withColumn("spans", F.lit(None).cast(joined.schema["spans"].dataType))
     names = ["doc_id", "key", "n_words", "n_removed", "new_text" if as_text else "kept_sha256"]
 
@@ -181,7 +181,7 @@ def _apply(docs: DataFrame, window: int, as_text: bool) -> DataFrame:
             result.append((body.decode() if n > len(kept) else None) if as_text else hashlib.sha256(body).hexdigest())
         return table_of(names, [None, None, pa.int64(), pa.int64(), pa.string()], [chunk.ids, chunk.kept["key"], n_words, n_removed, result])
 
-    return each_chunk(joined.unionByName(none), kernel, f"doc_id {kind_of(docs)}, key int, n_words long, n_removed long, {names[-1]} string", keep=["key", "spans"])
+    return each_chunk(joined.unionByName(none), kernel, f"doc_id {kind_of(docs)}, key long, n_words long, n_removed long, {names[-1]} string", keep=["key", "spans"])
 
 
 def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -190,5 +190,5 @@ def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def changed_texts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, key, new_text of the rows that lose words; key is `hash(text)` of the row."""
+    """doc_id, key, new_text of the rows that lose words; key is `xxhash64(text)` of the row."""
     return _apply(docs, window, as_text=True).where(F.col("n_removed") > 0).select("doc_id", "key", "new_text")
