@@ -34,7 +34,7 @@ from tallyspark.session import cut, has_rows
 
 #: Words of the shortest repeated substring (a power of two), and the least share of unique words.
 LEAST, UNIQUE = 8, 20
-PART_BYTES = 8 << 20
+PART_BYTES = 2 << 20
 
 _TAG = re.compile(r"""<!--(?:-?>|.*?--!?>)|(?P<open><!--)|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attributes>(?:[^>"'=]+|=\s*"[^"]*"|=\s*'[^']*'|["'=])*+)>|<[!?/][^>]*>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")

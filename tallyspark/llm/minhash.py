@@ -109,20 +109,20 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
 
 
-def _texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """cls, text: one text for each of the classes (cls, doc_id, key). Repeated rows give one."""
-    found = _keyed(docs).join(classes, ["doc_id", "key"]).groupBy("doc_id", "key")
-    return found.agg(F.first("cls").alias("cls"), F.first("text").alias("text")).select("cls", "text")
+def _texts(docs: DataFrame, classes: DataFrame, repeated: bool) -> DataFrame:
+    """cls, text: one text for each of the classes (cls, doc_id, key); `repeated`: whether a row may occur several times."""
+    found = _keyed(docs).join(classes, ["doc_id", "key"])
+    if not repeated:
+        return found.select("cls", "text")
+    return found.groupBy("doc_id", "key").agg(F.first("cls").alias("cls"), F.first("text").alias("text")).select("cls", "text")
 
 
 def _sizes_allow(n: Column, m: Column, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets are similar: 100 * intersection >= percent * union."""
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    texts = cut(_texts(docs, classes.join(wanted, "cls", "left_semi")))
+def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose full sets are similar: 100 * intersection >= percent * union. texts: cls, text."""
     left = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
 
@@ -159,20 +159,22 @@ def decided(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     least = F.min(F.struct("doc_id", "key")).alias("least")
     classes = cut(usable.groupBy("cls").agg(least, F.first("n").alias("n"), F.first("bands").alias("bands"))
                   .select("cls", "n", "bands", "least.doc_id", "least.key"))
-    texts_of = classes.select("cls", "doc_id", "key")
     buckets = classes.select("cls", "n", F.explode("bands").alias("band"))
     sizes = buckets.groupBy("band").agg(F.count("*").alias("rows")).where(F.col("rows") > 1)
     # tables of one row per bucket are written before they are joined, so that a bucket with very many rows can be split
     shared = cut(buckets.join(cut(sizes), "band"))
+    repeated = has_rows(usable.groupBy("doc_id", "key").count().where(F.col("count") > 1))
+    meeting = classes.select("cls", "doc_id", "key").join(shared.select("cls").distinct(), "cls")
+    texts = cut(_texts(docs, meeting, repeated))  # of the classes that share a bucket at all
     company = shared.groupBy("cls").agg(F.sum("rows").alias("company"))
     centres = shared.join(company, "cls").groupBy("band").agg(
         F.min(F.struct("cls", "n")).alias("one"), F.min(F.struct((-F.col("company")).alias("c"), "cls", "n")).alias("two"))
     paired = shared.join(cut(centres), "band").select("cls", "n", F.explode(F.array("one", F.struct("two.cls", "two.n"))).alias("other"))
     first_pairs = cut(paired.where(F.col("cls") != F.col("other.cls")).where(_sizes_allow(F.col("n"), F.col("other.n"), percent))
                       .select(F.greatest("cls", "other.cls").alias("a"), F.least("cls", "other.cls").alias("b")).distinct())
-    links = cut(confirmed(first_pairs, docs, texts_of, k, percent))
+    links = cut(confirmed(first_pairs, texts, k, percent))
     stars = components(links)
-    more = cut(_links_between_components(shared, stars, docs, texts_of, k, percent))
+    more = cut(_links_between_components(shared, stars, texts, k, percent))
     if has_rows(more):
         stars = components(stars.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
     discard(shared, first_pairs)
@@ -216,7 +218,7 @@ def _intersections(values: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     return same.astype(np.int64)
 
 
-def _links_between_components(shared: DataFrame, stars: DataFrame, docs: DataFrame, texts_of: DataFrame, k: int, percent: int) -> DataFrame:
+def _links_between_components(shared: DataFrame, stars: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b): links between classes that share a bucket but no component, as many as it takes to connect these."""
     labelled = shared.join(stars, F.col("cls") == F.col("id"), "left").select("band", "cls", "n", F.coalesce("component", "cls").alias("component"))
     mixed = (labelled.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("rows"),
@@ -229,8 +231,8 @@ def _links_between_components(shared: DataFrame, stars: DataFrame, docs: DataFra
     near = (x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.cls") > F.col("y.cls")) & (F.col("x.component") != F.col("y.component"))
                    & _sizes_allow(F.col("x.n"), F.col("y.n"), percent))
             .select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct())
-    some = confirmed(cut(near), docs, texts_of, k, percent)
-    return some.union(_links_in_blocks(open_rows.where(F.col("rows") > FEW), docs, texts_of, k, percent))
+    some = confirmed(cut(near), texts, k, percent)
+    return some.union(_links_in_blocks(open_rows.where(F.col("rows") > FEW), texts, k, percent))
 
 
 def block_rows(open_rows: DataFrame) -> DataFrame:
@@ -244,9 +246,9 @@ def block_rows(open_rows: DataFrame) -> DataFrame:
     return dealt.join(useful.select(*at), at, "left_semi")
 
 
-def _links_in_blocks(open_rows: DataFrame, docs: DataFrame, texts_of: DataFrame, k: int, percent: int) -> DataFrame:
+def _links_in_blocks(open_rows: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     members = cut(block_rows(open_rows))
-    sets = cut(_sets(_texts(docs, texts_of.join(members.select("cls").distinct(), "cls", "left_semi")), k))
+    sets = cut(_sets(texts.join(members.select("cls").distinct(), "cls", "left_semi"), k))
     gathered = members.join(sets, "cls").groupBy("band", "low", "high").agg(F.collect_list(F.struct("cls", "component", "block", "shingles")).alias("members"))
 
     def run(batches):

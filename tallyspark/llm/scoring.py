@@ -7,9 +7,10 @@ class. Frequent ids are classes of their own. Texts are scored in windows of CON
 STRIDE: every id is scored once, in the window that gives it the most ids before it, in batches with a causal mask.
 
 What is gathered from the corpus: counts of words and of subword ids over all texts to learn from (aggregated by Spark), and the
-weights. These start from a bounded sample of WARM_TEXTS texts; then every task goes on training on all windows of all its own
-texts, once, and the weights of all tasks are averaged by their numbers of ids. So every id of every row to learn from, copies
-included, is trained on once and counts by its share, and training grows with the input.
+weights. These start from a bounded sample, the first WARM_IDS ids of WARM_TEXTS texts; then texts are dealt to shards by a hash,
+every shard goes on training on all windows of all its texts, once, and the weights of all shards are averaged by their numbers of
+ids. Equal texts are trained on as one with their number as weight. So every id of every row to learn from counts by its share,
+training grows with the input, and the same rows give the same scores in any partitioning.
 
 Counts of words that occur often (a table of at most FREQUENT entries, hence broadcast) are looked up in the task; all other words
 are joined by Spark with the counts and summed per text. So no word is a hot key in a join, and the vocabulary is never collected.
@@ -27,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tallyspark.llm.pieces import default_model, vocabulary
-from tallyspark.llm.text import LOWER, NOT_SPACE, Chunk, each_chunk, kind_of, ragged, signed, span_hashes, table_of, words
+from tallyspark.llm.text import LOWER, NOT_SPACE, Chunk, chunks, each_chunk, kind_of, ragged, signed, span_hashes, table_of, words
 from tallyspark.session import cut
 
 #: Word counts that are looked up in the task, at most.
 FREQUENT = 1 << 17
-#: Texts of the first fit, at most; averaged parts that reach the driver.
-WARM_TEXTS, PARTS = 400, 8
+#: Texts of the first fit, and ids of each, at most.
+WARM_TEXTS, WARM_IDS = 400, 1 << 12
+#: Ids of a shard that one task trains on, averages of shards that reach the driver, and shards of one average.
+SHARD_IDS, PARTS, FAN = 1 << 22, 8, 64
 CONTEXT, STRIDE, WIDTH = 32, 24, 16
 #: Input symbols: frequent ids, and buckets of the others. Output classes: frequent ids, and groups of the others by frequency.
 SYMBOLS, BUCKETS, SINGLE, GROUPS = 1022, 256, 126, 32
@@ -93,23 +96,6 @@ def new_weights(seed: int = 3) -> dict[str, np.ndarray]:
             "out": random(WIDTH, CLASSES, scale=0.25), "bias": np.zeros(CLASSES, np.float32)}
 
 
-_HIDDEN = np.triu(np.full((CONTEXT, CONTEXT), -1e9, dtype=np.float32), 1)
-
-
-def _forward(w: dict, tokens: np.ndarray) -> tuple:
-    """Hidden states after each position of windows of symbols."""
-    x = w["symbol"][tokens] + w["place"]
-    q, k, v = np.split(x @ w["qkv"], 3, axis=2)
-    a = q @ k.transpose(0, 2, 1)
-    a *= np.float32(WIDTH ** -0.5)
-    a += _HIDDEN
-    a -= a.max(axis=2, keepdims=True)
-    np.exp(a, out=a)
-    a /= a @ _ONES[:CONTEXT]
-    z = a @ v
-    return x + z @ w["mixed"], x, q, k, v, a, z
-
-
 _SEEN = np.tril(np.ones((CONTEXT, CONTEXT), dtype=np.float32))
 _ONES = np.ones((max(CONTEXT, CLASSES), 1), dtype=np.float32)
 #: Exponents are cut here, far below the range of floats; trained weights stay far below it.
@@ -122,6 +108,20 @@ def _exponential(x: np.ndarray) -> np.ndarray:
     return np.exp(x, out=x)
 
 
+def _forward(w: dict, tokens: np.ndarray) -> tuple:
+    """Hidden states after each position of windows of symbols, and what the gradient needs."""
+    x = w["symbol"][tokens] + w["place"]
+    qkv = x @ w["qkv"]
+    q, k, v = qkv[:, :, :WIDTH], qkv[:, :, WIDTH:2 * WIDTH], qkv[:, :, 2 * WIDTH:]
+    a = q @ k.transpose(0, 2, 1)
+    a *= np.float32(WIDTH ** -0.5)
+    a = _exponential(a)
+    a *= _SEEN
+    a /= a @ _ONES[:CONTEXT]
+    z = a @ v
+    return x + z @ w["mixed"], x, q, k, v, a, z
+
+
 class Scorer:
     """The same model as `_forward`, with fewer passes over the attention and the logits."""
 
@@ -145,12 +145,6 @@ class Scorer:
         return chosen - np.log(_exponential(logits) @ _ONES[:CLASSES])[:, 0]
 
 
-def _log_chances(h: np.ndarray, w: dict) -> np.ndarray:
-    logits = h @ w["out"] + w["bias"]
-    logits -= logits.max(axis=1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
-
-
 def windows_of(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows over sequences of begin mark and ids: row, place of the window's begin in the row's sequence, first place it scores.
 
@@ -205,18 +199,24 @@ class Adam:
         self.s = {k: np.zeros_like(v) for k, v in weights.items()}
         self.t = 0
 
-    def step(self, tokens: np.ndarray, output: np.ndarray, use: np.ndarray, rate: float) -> None:
+    def step(self, tokens: np.ndarray, output: np.ndarray, use: np.ndarray, weight: np.ndarray, rate: float) -> None:
+        """One step on some windows; `use`: places that count, `weight`: of each window."""
         w = self.w
         h, x, q, k, v, a, z = _forward(w, tokens)
-        picked = h[use]
-        error = picked @ w["out"]
-        error += w["bias"]
-        error -= error.max(axis=1, keepdims=True)
-        np.exp(error, out=error)
-        error /= (error @ _ONES[:CLASSES]) * np.float32(max(len(picked), 1))
-        error[np.arange(len(picked)), output[use]] -= np.float32(1 / max(len(picked), 1))
+        picked, target = h[use], output[use]
+        share = np.repeat(weight, use.sum(axis=1)).astype(np.float32)[:, None]
+        share /= max(share.sum(), 1)
+        # with e = exp(logits): the error e / sum(e) - target, times share, is never written out
+        e = picked @ w["out"]
+        e += w["bias"]
+        e = _exponential(e)
+        scale = share / (e @ _ONES[:CLASSES])
         dh = np.zeros_like(h)
-        dh[use] = error @ w["out"].T
+        dh[use] = (e @ w["out"].T) * scale - w["out"].T[target] * share
+        dout, dbias = (picked * scale).T @ e, (scale.T @ e)[0]
+        dbias -= np.bincount(target, share[:, 0], CLASSES)
+        for c, column in enumerate((picked * share).T):
+            dout[c] -= np.bincount(target, column, CLASSES)
         dz = dh @ w["mixed"].T
         da = dz @ v.transpose(0, 2, 1)
         da -= (da * a) @ _ONES[:CONTEXT]
@@ -228,7 +228,7 @@ class Adam:
         flat = tokens.ravel()
         symbol = np.stack([np.bincount(flat, c, len(w["symbol"])) for c in dx.reshape(-1, WIDTH).T], axis=1)
         self._apply({"symbol": symbol, "place": dx.sum(axis=0), "qkv": np.tensordot(x, dqkv, ([0, 1], [0, 1])),
-                     "mixed": np.tensordot(z, dh, ([0, 1], [0, 1])), "out": picked.T @ error, "bias": error.sum(axis=0)}, rate)
+                     "mixed": np.tensordot(z, dh, ([0, 1], [0, 1])), "out": dout, "bias": dbias}, rate)
 
     def _apply(self, gradient: dict[str, np.ndarray], rate: float) -> None:
         self.t += 1
@@ -241,7 +241,12 @@ class Adam:
 
 
 def _flat(w: dict) -> np.ndarray:
-    return np.concatenate([w[k].ravel() for k in sorted(w)]).astype(np.float32)
+    return np.concatenate([w[k].ravel() for k in sorted(w)]).astype(np.float64)
+
+
+def _part(shard: int, ids: int, weights: np.ndarray) -> pa.Table:
+    """A row of averaged weights and the number of ids they stand for."""
+    return pa.table({"shard": pa.array([shard], pa.int32()), "ids": pa.array([ids], pa.int64()), "weights": pa.array([weights.tobytes()], pa.binary())})
 
 
 def _unflat(values: np.ndarray) -> dict[str, np.ndarray]:
@@ -259,7 +264,7 @@ def _warm_start(sample: DataFrame, coding: Coding, path: str) -> dict[str, np.nd
 
     def kernel(chunk: Chunk) -> pa.RecordBatch:
         _, _, ids, first = _spelt(chunk, path)
-        return table_of(["ids"], [pa.list_(pa.int32())], [[ids[a:b] for a, b in zip(first[:-1], first[1:])]])
+        return table_of(["ids"], [pa.list_(pa.int32())], [[ids[a:min(b, a + WARM_IDS)] for a, b in zip(first[:-1], first[1:])]])
 
     rows = each_chunk(sample, kernel, "ids array<int>").toArrow().column("ids").to_pylist()
     rows.sort()  # any order of the rows gives the same fit
@@ -273,48 +278,61 @@ def _warm_start(sample: DataFrame, coding: Coding, path: str) -> dict[str, np.nd
         order = rng.permutation(len(texts.row))[:per_pass]
         for low in range(0, len(order), STEPS_BATCH):
             tokens, follow, use = texts.batch(order[low:low + STEPS_BATCH])
-            fit.step(tokens, coding.output[follow], use, RATE * (1 - turn / WARM_PASSES))
+            fit.step(tokens, coding.output[follow], use, np.ones(len(tokens)), RATE * (1 - turn / WARM_PASSES))
     return fit.w
 
 
-def _one_pass(fit: Adam, texts: Texts, rng: np.random.Generator) -> int:
-    """Train once on every window, those of one text spread over the steps; the number of ids trained on."""
+def _one_pass(fit: Adam, texts: Texts, weight: np.ndarray, rng: np.random.Generator) -> int:
+    """Train once on every window, those of one text spread over the steps; the number of ids trained on, copies included.
+
+    `weight`: how many rows hold each text.
+    """
     order, seen = rng.permutation(len(texts.row)), 0
     for low in range(0, len(order), STEPS_BATCH):
-        tokens, follow, use = texts.batch(order[low:low + STEPS_BATCH])
-        fit.step(tokens, texts.coding.output[follow], use, RATE / 4)
-        seen += int(use.sum())
+        pick = order[low:low + STEPS_BATCH]
+        tokens, follow, use = texts.batch(pick)
+        fit.step(tokens, texts.coding.output[follow], use, weight[texts.row[pick]], RATE / 4)
+        seen += int((use.sum(axis=1) * weight[texts.row[pick]]).sum())
     return seen
 
 
-def _train_everywhere(learn: DataFrame, start: dict[str, np.ndarray], coding: Coding, path: str) -> dict[str, np.ndarray]:
-    """Go on from `start` in every task on all windows of all its texts; the average of the tasks' weights by numbers of ids."""
-    from tallyspark.llm.text import chunks
+def _train_everywhere(learn: DataFrame, n_ids: int, start: dict[str, np.ndarray], coding: Coding, path: str) -> dict[str, np.ndarray]:
+    """Go on from `start` in every shard on all windows of all its texts; the average of the shards' weights by numbers of ids.
+
+    Shards hold about SHARD_IDS ids. Equal texts are one text of their number, and a text's shard and its place there come from its
+    hash, so the result does not depend on how the rows lie in files or partitions.
+    """
+    shards = max(1, -(-n_ids // SHARD_IDS))
+    hashed = F.xxhash64("text", F.lit("shard"))
+    distinct = learn.groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.count("*").alias("weight"))
+    dealt = distinct.select(F.pmod(hashed, F.lit(shards)).cast("int").alias("shard"), hashed.alias("doc_id"), "text", "weight")
 
-    def train(batches):
+    def train(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
         fit, seen, rng = Adam(start), 0, np.random.default_rng(7)
-        for batch in batches:
+        for batch in group.to_batches():
             for chunk in chunks(batch):
                 _, _, ids, first = _spelt(chunk, path)
-                seen += _one_pass(fit, Texts(ids, first, coding), rng)
-        if seen:
-            yield table_of(["ids", "weights"], [pa.int64(), pa.binary()], [[seen], [_flat(fit.w).tobytes()]])
-
-    def add_up(batches):
-        total, seen = None, 0
-        for batch in batches:
-            for n, raw in zip(batch.column("ids").to_pylist(), batch.column("weights").to_pylist()):
-                part = np.frombuffer(raw, dtype=np.float32).astype(np.float64) * n
-                total, seen = part if total is None else total + part, seen + n
-        if seen:
-            yield table_of(["ids", "weights"], [pa.int64(), pa.binary()], [[seen], [(total / seen).astype(np.float32).tobytes()]])
-
-    each = learn.select("doc_id", "text").mapInArrow(train, "ids long, weights binary")
-    parts = each.repartition(PARTS).mapInArrow(add_up, "ids long, weights binary").collect()  # at most PARTS rows
-    if not parts:
+                seen += _one_pass(fit, Texts(ids, first, coding), chunk.kept["weight"].to_numpy(), rng)
+        return _part(group.column("shard")[0].as_py(), seen, _flat(fit.w))
+
+    def add_up(group: pa.Table) -> pa.Table:
+        group = group.sort_by("shard")
+        total, seen = 0.0, 0
+        for n, raw in zip(group.column("ids").to_pylist(), group.column("weights").to_pylist()):
+            total, seen = total + np.frombuffer(raw) * n, seen + n
+        return _part(group.column("up")[0].as_py(), seen, total / max(seen, 1))
+
+    kind = "shard int, ids long, weights binary"
+    parts = cut(dealt.groupBy("shard").applyInArrow(train, kind))
+    while shards > PARTS:  # a tree of averages, each of FAN shards
+        parts = cut(parts.withColumn("up", F.floor(F.col("shard") / FAN).cast("int")).groupBy("up").applyInArrow(add_up, kind))
+        shards = -(-shards // FAN)
+    rows = sorted(parts.collect(), key=lambda r: r["shard"])  # at most PARTS rows
+    seen = sum(r["ids"] for r in rows)
+    if not seen:
         return start
-    seen = sum(r["ids"] for r in parts)
-    return _unflat(sum(np.frombuffer(bytes(r["weights"]), dtype=np.float32).astype(np.float64) * (r["ids"] / seen) for r in parts))
+    return _unflat(sum(np.frombuffer(bytes(r["weights"])) * (r["ids"] / seen) for r in rows))
 
 
 @dataclass
@@ -360,9 +378,10 @@ def train(docs: DataFrame, learn, model: str | None = None) -> tuple[Model, Data
     keys, values = frequent.column("hash").to_numpy().view(np.uint64), frequent.column("count").to_numpy()
     order = np.argsort(keys)
     coding = Coding.of(counts)
-    sample = texts.orderBy(F.xxhash64(F.col("doc_id"), F.lit("language model")), "doc_id").select("doc_id").limit(WARM_TEXTS)
-    weights = _warm_start(texts.join(F.broadcast(sample), "doc_id", "left_semi"), coding, path)  # WARM_TEXTS ids
-    weights = _train_everywhere(texts, weights, coding, path)
+    sample = texts.select("doc_id", F.xxhash64("text").alias("key")).orderBy(F.xxhash64("doc_id", F.lit("language model"), "key"), "doc_id").limit(WARM_TEXTS)
+    keyed = texts.withColumn("key", F.xxhash64("text")).join(F.broadcast(sample.distinct()), ["doc_id", "key"], "left_semi")  # WARM_TEXTS rows
+    weights = _warm_start(keyed.groupBy("doc_id", "key").agg(F.min("text").alias("text")), coding, path)
+    weights = _train_everywhere(texts, int(counts.sum()) + (totals["ends"] or 0), weights, coding, path)
     return Model(weights, coding, totals["n"] or 0, totals["v"], (keys[order], values[order]), totals["ends"] or 0, path), table
 
 

@@ -262,29 +262,82 @@ def test_windows_and_classes_are_not_made_smaller():
     assert (sizes[1:127] == 1).all() and len(sizes) == scoring.CLASSES == 1 + 126 + 32
 
 
-def test_every_training_text_and_copy_is_trained_on(spark):
+def test_every_training_text_and_copy_counts(spark):
     path = pieces.default_model()
     start, coding = scoring.new_weights(), scoring.Coding.of(np.ones(pieces.vocabulary(path).size + 1))
     texts = [prose(i, 60) for i in range(4)]
 
     def trained(*chosen):
-        return scoring._flat(scoring._train_everywhere(made(spark, chosen).coalesce(1), start, coding, path))
+        return scoring._flat(scoring._train_everywhere(made(spark, chosen), 100, start, coding, path))
 
     alone = [trained(t) for t in texts]
     assert not any(np.array_equal(w, scoring._flat(start)) for w in alone)
-    assert not np.allclose(trained(*[texts[0]] * 200), alone[0], atol=1e-5)
+    even, uneven = trained(texts[0], texts[1]), trained(*[texts[0]] * 200, texts[1])
+    assert np.abs(uneven - alone[0]).max() < np.abs(even - alone[0]).max()
+
+
+@pytest.mark.parametrize("shard_ids", [1 << 22, 300])
+def test_scores_do_not_depend_on_the_partitioning(spark, monkeypatch, shard_ids):
+    monkeypatch.setattr(scoring, "SHARD_IDS", shard_ids)
+    monkeypatch.setattr(scoring, "PARTS", 2)
+    monkeypatch.setattr(scoring, "FAN", 3)
+    docs = made(spark, [prose(i % 25, 40 + i) for i in range(40)] + [None, ""])
+    results = []
+    for frame in (docs.coalesce(1), docs.repartition(8), docs.orderBy(F.desc("doc_id")).repartition(3)):
+        fitted, counts = scoring.train(frame, F.lit(True))
+        results.append({i: r["score"] for i, r in by_id(scoring.score(frame, fitted, counts, [])).items()})
+    for other in results[1:]:
+        assert all(other[i] == pytest.approx(results[0][i], rel=1e-6) for i in results[0])
+
+
+def test_steps_follow_the_gradient():
+    """The step's gradient against differences of the weighted loss."""
+    rng = np.random.default_rng(1)
+    w = {k: v.astype(np.float64) for k, v in scoring.new_weights().items()}
+    tokens, output = rng.integers(0, 300, (3, scoring.CONTEXT)), rng.integers(0, scoring.CLASSES, (3, scoring.CONTEXT))
+    use, weight = rng.random((3, scoring.CONTEXT)) < 0.7, np.array([1.0, 5.0, 2.0])
+
+    def loss(w):
+        return -log_chances(w, tokens)[use, output[use]] @ np.repeat(weight, use.sum(axis=1)) / np.repeat(weight, use.sum(axis=1)).sum()
+
+    class Keep(scoring.Adam):
+        def _apply(self, gradient, rate):
+            self.gradient = gradient
+
+    fit = Keep({k: v.astype(np.float32) for k, v in w.items()})
+    fit.step(tokens, output, use, weight, 1.0)
+    for name, g in fit.gradient.items():
+        for _ in range(4):
+            at = np.unravel_index(np.argmax(np.abs(g)) if _ == 0 else rng.integers(g.size), g.shape)
+            up, down = ({k: v.copy() for k, v in w.items()} for _ in range(2))
+            up[name][at] += 1e-5
+            down[name][at] -= 1e-5
+            assert g[at] == pytest.approx((loss(up) - loss(down)) / 2e-5, abs=2e-5), (name, at)
+
+
+def log_chances(w, tokens):
+    """Plain causal self-attention: natural logarithms of all classes at every place."""
+    x = w["symbol"][tokens] + w["place"]
+    q, k, v = np.split(x @ w["qkv"], 3, axis=2)
+    a = q @ k.transpose(0, 2, 1) / np.sqrt(scoring.WIDTH)
+    a = np.where(np.tril(np.ones(a.shape[1:])) > 0, a, -np.inf)
+    a = np.exp(a - a.max(axis=2, keepdims=True))
+    a /= a.sum(axis=2, keepdims=True)
+    logits = (x + a @ v @ w["mixed"]) @ w["out"] + w["bias"]
+    logits -= logits.max(axis=2, keepdims=True)
+    return logits - np.log(np.exp(logits).sum(axis=2, keepdims=True))
 
 
 def test_every_id_is_trained_on_once():
     class Recorder:
         places = []
 
-        def step(self, tokens, output, use, rate):
+        def step(self, tokens, output, use, weight, rate):
             self.places += output[use].tolist()
 
     ids, first = np.arange(3, 700), np.array([0, 1, 1, 40, 697])
     coding = scoring.Coding(np.zeros(700, int), np.arange(700), np.zeros(700))
-    assert scoring._one_pass(Recorder(), scoring.Texts(ids, first, coding), np.random.default_rng(0)) == len(ids) + 4
+    assert scoring._one_pass(Recorder(), scoring.Texts(ids, first, coding), np.ones(4, int), np.random.default_rng(0)) == len(ids) + 4
     assert sorted(Recorder.places) == [*ids.tolist(), *[699] * 4]  # 699: the end
 
 
@@ -297,7 +350,7 @@ def test_the_model_is_causal_and_sums_to_one():
     a, b = scoring._forward(w, tokens)[0], scoring._forward(w, other)[0]
     assert np.allclose(a[:, :15], b[:, :15]) and not np.allclose(a[:, 15:], b[:, 15:])
     use = np.ones(tokens.shape, dtype=bool)
-    slow = scoring._log_chances(a.reshape(-1, scoring.WIDTH), w)
+    slow = log_chances(w, tokens).reshape(-1, scoring.CLASSES)
     assert np.allclose(np.exp(slow).sum(axis=1), 1, atol=1e-4)
     output = rng.integers(0, scoring.CLASSES, tokens.size)
     assert np.allclose(scoring.Scorer(w).log_chances(tokens, use, output), slow[np.arange(tokens.size), output], atol=1e-4)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tallyspark.llm import minhash, pieces, queries, substrings, vectors
 from tallyspark.llm.components import components
+from tests.llm.conftest import prose
 
 
 def test_components_of_chains_stars_and_rings(spark):
@@ -71,6 +72,15 @@ def test_embeddings_against_all_pairs(spark, monkeypatch, block):
     assert vectors.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_rows_that_repeat_a_vec_id_are_rows_of_their_own(spark):
+    a, b = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0]
+    near = lambda x: [v + 0.01 for v in x]
+    rows = [(1, a, 0), (1, b, 0), (2, near(a), 0), (3, near(b), 0), (4, a * 2, 0), (4, a, 1), (5, a * 2, 0), (5, a * 2, 0)]
+    got = sorted(tuple(r) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect())
+    assert got == sorted([(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 2, 4, True), (4, 0, 4, True),
+                          (5, 2, 4, False), (5, 2, 4, False)])
+
+
 def test_recall_on_the_test_table(spark):
     frame = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     rows = frame.collect()
@@ -115,6 +125,41 @@ def test_stages_take_odd_and_empty_tables(spark, odd, none, tmp_path):
         assert stage(spark, none, folder).count() == 0
 
 
+def test_rows_that_share_a_doc_id_are_told_apart(spark, tmp_path):
+    copy, clean = prose(5, 90), prose(6, 90)
+    part = " ".join(prose(7, 70).split())
+    rows = [(1, copy), (2, copy), (2, clean), (3, None), (3, ""), (4, clean + " x " + part), (5, part + " " + prose(8, 60)), (5, prose(9, 60)), (None, copy)]
+    names = ["_own", "_text", "_id", "_key", "_gone", "_copies", "_copy", "_hash", "row", "id", "key", "new_text", "copies", "hash", "a.b"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 7) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select("*", *[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names])
+    stages = dict(corpus_pipeline.STAGES)
+    left = stages["near_duplicates"](spark, docs, None)
+    assert left.columns == docs.columns
+    assert sorted(left.select("doc_id", "text").collect(), key=repr) == sorted([tuple(r) for r in rows if r != (2, copy)], key=repr)
+    cut = stages["substrings"](spark, left, None)
+    assert cut.columns == docs.columns
+    texts = sorted(((r["doc_id"], r["text"]) for r in cut.collect()), key=repr)
+    want = [(1, copy), (2, clean), (3, None), (3, ""), (4, "x " + part), (5, prose(8, 60)), (5, prose(9, 60)), (None, copy)]
+    assert texts == sorted(want, key=repr)
+    mixed = stages["mixing"](spark, cut, None)
+    assert mixed.columns == docs.columns and 0 < mixed.count() <= 2 * len(want)
+    for r in mixed.collect():
+        assert (r["doc_id"], r["text"]) in want
+        assert all(r[n] == (None if r["doc_id"] is None else f"{n}{r['doc_id']}") for n in names)
+        assert r["n_chars"] == (7 if r["text"] is None or (r["doc_id"], r["text"]) in [tuple(x) for x in rows] else len(r["text"]))
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    assert stages["toxicity"](spark, docs, str(tmp_path)).columns == docs.columns
+
+
+def test_members_of_a_bucket_meet_in_few_blocks(spark, monkeypatch):
+    """Two very long sets in one bucket are dealt to two blocks, not one for every BLOCK_SHINGLES of theirs."""
+    rows = [(7, 1, 20_000_000, 1), (7, 2, 20_000_000, 2)]
+    open_rows = spark.createDataFrame(rows, "band long, cls long, n long, component long").withColumns({"rows": F.lit(2).cast("long"), "all": F.lit(40_000_000)})
+    seen = minhash.block_rows(open_rows).groupBy("cls").count().collect()
+    assert all(r["count"] <= 2 for r in seen)
+
+
 def test_registration():
-    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")} == set(range(1, 14))
     assert "pipeline" in queries.QUERIES and pieces.default_model().endswith("piece_bpe_32k.model")
