@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.operators.candidates import window_totals
+from tallyspark.operators.levels import levels, waves_by_level
 from tallyspark.operators.ranking import ranked
 from tallyspark.options import PURCHASE, SALES, MatchOptions
 from tallyspark.session import cut, has_rows
@@ -34,32 +35,37 @@ def score(options: MatchOptions, exact: Column, days: Column, same_direction: Co
             + F.when(same_direction, options.direction_weight).otherwise(0.0))
 
 
+def _tied(options: MatchOptions) -> bool:
+    """Whether several kinds of pair of one wave have the same score."""
+    return any(len(kinds) > 1 for same in (True, False) for kinds in levels(options, same))
+
+
 def _runs(options: MatchOptions, same_direction: bool) -> list[tuple[bool, list[int]]]:
-    """Score tiers of a wave, highest first, cut into runs of exact and inexact amounts."""
-    tiers = [(options.pair_score(exact, d, same_direction), exact, d)
-             for exact in (True, False) for d in options.distances(exact, same_direction)]
-    if len({t[0] for t in tiers}) < len(tiers):
-        raise ValueError("these weights give different pairs the same score; choose others")
+    """Score levels of a wave, highest first, cut into runs of equal and unequal amounts; for weights without ties."""
     runs: list[tuple[bool, list[int]]] = []
-    for _, exact, d in sorted(tiers, reverse=True):
+    for ((exact, days),) in levels(options, same_direction):
         if runs and runs[-1][0] == exact:
-            runs[-1][1].append(d)
+            runs[-1][1].append(days)
         else:
-            runs.append((exact, [d]))
+            runs.append((exact, [days]))
     return runs
 
 
 def _settle_small(groups: DataFrame, options: MatchOptions) -> DataFrame:
     """Both waves inside each gathered group, as one fold over its ordered pairs."""
     farthest = [max(options.distances(True, same), default=-1) for same in (True, False)]
-
+    scores = sorted({options.date_score(d) for d in range(options.tolerance_days + 1)}, reverse=True)
+    places = F.array(*[F.lit(scores.index(options.date_score(d))) for d in range(options.tolerance_days + 1)])
     def pair(led: Column, bank: Column) -> Column:
         return F.struct(
             F.when(led.direction == bank.direction, 0).otherwise(1).alias("wave"),
-            F.abs(led.day - bank.day).alias("days"),
-            led.idx.alias("led_idx"), bank.idx.alias("bank_idx"))
+            F.element_at(places, F.abs(led.day - bank.day) + 1).alias("level"),
+            led.idx.alias("led_idx"), bank.idx.alias("bank_idx"), F.abs(led.day - bank.day).alias("days"))
+
+    def near(led: Column) -> Column:
+        return F.filter("banks", lambda bank: F.abs(led.day - bank.day) <= max(farthest))
 
-    pairs = F.flatten(F.transform("leds", lambda led: F.transform("banks", lambda bank: pair(led, bank))))
+    pairs = F.flatten(F.transform("leds", lambda led: F.transform(near(led), lambda bank: pair(led, bank))))
     allowed = F.filter(pairs, lambda p: p.days <= F.when(p.wave == 0, farthest[0]).otherwise(farthest[1]))
     none_yet = F.struct(
         F.array().cast("array<bigint>").alias("leds"), F.array().cast("array<bigint>").alias("banks"),
@@ -193,7 +199,10 @@ def two_wave_assignment(banks: DataFrame, leds: DataFrame, options: MatchOptions
     """(statement_id, led_idx, bank_idx, days, exact, same_direction) of every assigned pair."""
     bank_side = banks.select("statement_id", "cents", "day", "direction", "bank_idx")
     led_side = leds.select("statement_id", "cents", "day", "direction", "led_idx")
+    tied = _tied(options)
     if options.distances(False, True) or options.distances(False, False):
+        if tied or has_rows(bank_side.filter("day is not null and direction is null")):
+            return _collected(waves_by_level(led_side, bank_side, options), bank_side)
         found = _waves_by_position(led_side.filter("day is not null"), bank_side.filter("day is not null"), options)
         return _collected(found, bank_side)
 
@@ -220,8 +229,8 @@ def two_wave_assignment(banks: DataFrame, leds: DataFrame, options: MatchOptions
     if not any_oversized:
         return settled.select(*_EDGE)
     two_sided = oversized.filter(F.col("n_leds").between(1, F.col("n") - 1)).select(*group)
-    found = _waves_by_position(led_side.join(two_sided, group, "left_semi"),
-                               bank_side.join(two_sided, group, "left_semi"), options)
+    waves = waves_by_level if tied else _waves_by_position
+    found = waves(led_side.join(two_sided, group, "left_semi"), bank_side.join(two_sided, group, "left_semi"), options)
     return _collected([settled, *found], bank_side)
 
 

@@ -18,7 +18,7 @@ def greedy(leds, banks, options):
             for b in exact or pool:
                 if (b["direction"] == led["direction"]) != same:
                     continue
-                score = options.pair_score(b["cents"] == led["cents"], abs(b["day"] - led["day"]), same)
+                score = options.pair_score(led["cents"] is not None and b["cents"] == led["cents"], abs(b["day"] - led["day"]), same)
                 pairs.append((-score, led["idx"], b["idx"]))
         for negative, led, bank in sorted(pairs):
             if led in taken or bank in used or -negative < options.min_score:
