@@ -83,6 +83,25 @@ QUERIES["assigned_pairs"] = assigned_pairs
 ORACLE["assigned_pairs"] = matched("select * from assigned")
 
 
+def _assigned_with(options, silent):
+    def query(spark, folder):
+        banks, leds = keys(spark, folder)
+        known = F.col("bank_idx") % silent != 0
+        banks = banks.withColumns({"cents": F.when(known, F.col("cents")), "direction": F.when(known, F.col("direction"))})
+        return assign.two_wave_assignment(banks, leds, options).select(
+            "statement_id", "led_idx", "bank_idx", F.col("days").cast("bigint").alias("days"), "exact", "same_direction")
+
+    return query
+
+
+#: Unequal amounts may match, and some bank rows state neither debit nor credit.
+QUERIES["assigned_any_amount"] = _assigned_with(MatchOptions(min_score=30.0), 11)
+ORACLE["assigned_any_amount"] = views.assigned_with(30, 50, 40, 10, 11)
+#: An equal amount weighs as much as two days, so kinds of pair tie.
+QUERIES["assigned_tied_weights"] = _assigned_with(MatchOptions(min_score=20.0, amount_weight=16.0), 13)
+ORACLE["assigned_tied_weights"] = views.assigned_with(20, 16, 40, 10, 13)
+
+
 def _flat(rows):
     return rows.select(
         "statement_id", "led_idx", "id", "invoice_no", F.array_join("bank_rows", ",").alias("bank_rows"), "score",

@@ -100,6 +100,38 @@ def matched(body: str, *ctes: str) -> str:
     return sql(body, ASSIGNED, *ctes, recursive=True)
 
 
+def assigned_with(least: float, amount: float, date: float, direction: float, silent: int) -> str:
+    """Both waves for any weights, one pair at a time; of every `silent`-th bank row neither debit nor credit is known."""
+    parts = [f"""
+ab as (select statement_id, bank_idx, day, case when bank_idx % {silent} <> 0 then cents end as cents,
+  case when bank_idx % {silent} <> 0 then direction end as direction from bk),
+al as (select statement_id, led_idx, day, cents, transaction_type from lk where anchor_date is not null and anchor_amount is not null)"""]
+    for wave, same, banks, leds in (("a", "is not distinct from", "ab", "al"), ("b", "is distinct from", "ab_left", "al_left")):
+        if wave == "b":
+            parts.append("""
+ab_left as (select * from ab where not exists (select 1 from took_a t where t.statement_id = ab.statement_id and t.bank_idx = ab.bank_idx)),
+al_left as (select * from al where not exists (select 1 from took_a t where t.statement_id = al.statement_id and t.led_idx = al.led_idx))""")
+        parts.append(f"""
+near_{wave} as (select l.statement_id, l.led_idx, b.bank_idx, abs(l.day - b.day) as days, coalesce(l.cents = b.cents, false) as exact,
+    max(coalesce(l.cents = b.cents, false)) over (partition by l.statement_id, l.led_idx) as any_exact, b.direction {same} l.transaction_type as fits
+  from {leds} l join {banks} b on l.statement_id = b.statement_id and abs(l.day - b.day) <= 5),
+pairs_{wave} as (select *, row_number() over (partition by statement_id order by score desc, led_idx, bank_idx) as rn
+  from (select *, (case when exact then {amount}e0 else 0e0 end) + (case when days >= 5 then 0e0 else {date}e0 * (1e0 - days / 5e0) end)
+        + {direction if wave == "a" else 0}e0 as score from near_{wave} where fits and (exact or not any_exact))
+  where score >= {least}),
+sim_{wave} as (
+  select statement_id, cast(0 as bigint) as rn, cast([] as bigint[]) as ul, cast([] as bigint[]) as ub, cast(null as bigint) as led_idx,
+    cast(null as bigint) as bank_idx, cast(0 as bigint) as days, false as exact, cast(0 as double) as score, false as took
+  from (select distinct statement_id from pairs_{wave})
+  union all
+  select s.statement_id, p.rn, case when list_contains(s.ul, p.led_idx) or list_contains(s.ub, p.bank_idx) then s.ul else list_append(s.ul, p.led_idx) end,
+    case when list_contains(s.ul, p.led_idx) or list_contains(s.ub, p.bank_idx) then s.ub else list_append(s.ub, p.bank_idx) end,
+    p.led_idx, p.bank_idx, p.days, p.exact, p.score, not (list_contains(s.ul, p.led_idx) or list_contains(s.ub, p.bank_idx))
+  from sim_{wave} s join pairs_{wave} p on s.statement_id = p.statement_id and p.rn = s.rn + 1),
+took_{wave} as (select statement_id, led_idx, bank_idx, days, exact, {"true" if wave == "a" else "false"} as same_direction from sim_{wave} where took)""")
+    return sql("select * from took_a union all select * from took_b", *parts, recursive=True)
+
+
 # One target after the other, in index order, against what the earlier ones left over.
 SETTLED = """
 free_led as (select * from lk where anchor_date is not null and anchor_amount is not null
