@@ -277,16 +277,27 @@ def payload_envelopes(spark, folder):
                        json_text.document_type(F.col("doc"), F.lit("SO")).alias("document_type"), F.size("doc").alias("n_fields"))
 
 
-MAIL = """select 'm' || cast(event_id as string) as message_id,
-  '{{"mimeType":"multipart/mixed","parts":[{{"mimeType":"multipart/related","filename":"","parts":[{{"mimeType":"text/html","filename":"","body":{{"size":10}}}},{{"mimeType":"image/png","filename":"logo.png","headers":[{{"name":"Content-ID","value":"<x>"}}],"body":{{"attachmentId":"A'
-  || cast(event_id as string) || '","size":4000}}}}]}},{{"filename":"inv.pdf","headers":[{{"name":"Content-Disposition","value":"ATTACHMENT; x"}},{{"name":"Content-ID","value":"<f>"}}],"body":{{'
+#: Parts nested one to ten levels deep, and headers in several spellings.
+MAIL = """select 'm' || cast(event_id as string) as message_id, 't' || cast(event_id div 3 as string) as thread_id,
+  '{{"mimeType":"multipart/mixed",' || case when event_id % 7 <> 6 then '"headers":[{{"name":"FROM","value":"u' || cast(event_id % 50 as string)
+  || '@x.example"}},{{"name":"Subject","value":"Bill ' || cast(event_id as string) || '"}},{{"name":"Date","value":"'
+  || case event_id % 7 when 0 then 'Tue, 14 Oct 2025 09:31:00 +0530' when 1 then '1 Feb 99 7:05 EST' when 2 then 'not a date' when 3 then '31 Feb 2024 10:00:00 +0000'
+     when 4 then 'Sat, 29 Feb 2020 23:59:59 -0000 (x)' else '14 Oct 2025 09:31:00 GMT' end || '"}}],' else '' end
+  || '"parts":[' || repeat('{{"mimeType":"multipart/related","filename":"","parts":[', cast(event_id % 10 as int))
+  || '{{"mimeType":"text/html","filename":"","body":{{"size":10}}}},{{"mimeType":"image/png","filename":"logo.png","headers":[{{"name":"Content-ID","value":"<x>"}}],"body":{{"attachmentId":"A'
+  || cast(event_id as string) || '","size":4000}}}}' || repeat(']}}', cast(event_id % 10 as int))
+  || ',{{"filename":"inv.pdf","headers":[{{"name":"Content-Disposition","value":"ATTACHMENT; x"}},{{"name":"Content-ID","value":"<f>"}}],"body":{{'
   || case when event_id % 3 <> 0 then '"attachmentId":"B' || cast(event_id as string) || '",' else '' end || '"size":' || cast(event_id as string) || '}}}},{{"mimeType":"text/plain","filename":"n.txt","body":{{"attachmentId":"C","size":0}}}}]}}' as payload
 from {events}"""
 
+MESSAGE = """'m' || event_id as message_id, 't' || event_id // 3 as thread_id, case when event_id % 7 <> 6 then 'u' || event_id % 50 || '@x.example' else '' end as from_address,
+  case when event_id % 7 <> 6 then 'Bill ' || event_id else '' end as subject, case event_id % 7 when 0 then '2025-10-14T09:31:00+05:30' when 1 then '1999-02-01T07:05:00-05:00'
+  when 4 then '2020-02-29T23:59:59' when 5 then '2025-10-14T09:31:00+00:00' else '' end as received_at"""
 
-@register("mail_attachments", """select 'm' || event_id as message_id, 'logo.png' as filename, 'A' || event_id as attachment_id, 'image/png' as mime_type, 4000 as size_bytes, true as is_inline, 0 as part_index from events
-union all select 'm' || event_id, 'inv.pdf', 'B' || event_id, 'application/octet-stream', event_id, false, 1 from events where event_id % 3 <> 0
-union all select 'm' || event_id, 'n.txt', 'C', 'text/plain', 0, false, case when event_id % 3 <> 0 then 2 else 1 end from events""")
+
+@register("mail_attachments", f"""select {MESSAGE}, 'logo.png' as filename, 'A' || event_id as attachment_id, 'image/png' as mime_type, 4000 as size_bytes, true as is_inline, 0 as part_index from events
+union all select {MESSAGE}, 'inv.pdf', 'B' || event_id, 'application/octet-stream', event_id, false, 1 from events where event_id % 3 <> 0
+union all select {MESSAGE}, 'n.txt', 'C', 'text/plain', 0, false, case when event_id % 3 <> 0 then 2 else 1 end from events""")
 def mail_attachments(spark, folder):
     return mime.attachments(Records(spark, folder).records(MAIL, "events"))
 

@@ -294,6 +294,34 @@ ORACLE["schedule_wide_form"] = ctes(**REL) + "select doc_id, part_no, po_number,
     f"case when width > 0 then quantities[{j}] end as week_{j}" for j in range(1, 13)) + ", list_sum(given) as total from ap"
 
 
+#: Every tenth release has 35 week columns: its own ones and as many more as it takes, with the quantities to go with them.
+LONG_WEEKS = 35
+
+
+def long_releases(spark, folder):
+    t = Documents(spark, folder)
+    columns, parts = t.release_columns(), t.release_parts()
+    long = columns.filter("doc_id % 10 = 0").select("doc_id").distinct()
+    every = long.select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(LONG_WEEKS))).alias("col_no"))
+    more = every.join(columns.select("doc_id", "col_no"), ["doc_id", "col_no"], "left_anti")
+    cells = F.when(F.col("doc_id") % 10 == 0, F.concat("quantities", F.transform(
+        F.sequence(F.lit(1), LONG_WEEKS - F.size("quantities") - F.col("part_no") % 2), lambda k: (F.col("part_no") * 100 + k).cast("double"))))
+    return columns.unionByName(more, allowMissingColumns=True), parts.withColumn("quantities", F.coalesce(cells, "quantities"))
+
+
+def schedule_wide_long(spark, folder):
+    columns, parts = long_releases(spark, folder)
+    return release.wide_form(parts, columns)
+
+
+QUERIES["schedule_wide_form_35"] = schedule_wide_long
+ORACLE["schedule_wide_form_35"] = ctes(**REL) + f""", lw as (select doc_id, case when doc_id % 10 = 0 then greatest(width, {LONG_WEEKS}) else width end as width from w),
+lp as (select p.*, lw.width as w2, case when p.doc_id % 10 = 0 then list_concat(quantities, list_transform(range(1, {LONG_WEEKS} - len(quantities) - part_no % 2 + 1),
+    lambda k: (part_no * 100 + k)::double)) else quantities end as cells from (select * from p) p left join lw using (doc_id))
+select doc_id, part_no, po_number, part_number, description, std_pack, """ + ", ".join(
+    f"case when w2 >= {j} then cells[{j}] end as week_{j}" for j in range(1, LONG_WEEKS + 1)) + ", list_sum(cells) as total from lp"
+
+
 def schedule_labels(spark, folder):
     return release.header_labels(release_tables(spark, folder)[1])
 

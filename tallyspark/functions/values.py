@@ -25,6 +25,12 @@ NUMBER = "^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 HEXADECIMAL = "^0[xX][0-9a-fA-F]{1,15}$"
 GROUPED_NUMBER = ("^(?i)[+-]?(([0-9](_?[0-9])*[.]?([0-9](_?[0-9])*)?|[.][0-9](_?[0-9])*)(e[+-]?[0-9](_?[0-9])*)?"
                   "|inf|infinity|nan)$")
+MAIL_DATE = ("^\\s*(?:[A-Za-z]+\\s*,?\\s+)?([0-9]{1,2})[\\s-]+([A-Za-z]{3})[a-z]*[\\s-]+([0-9]{4}|[0-9]{2})\\s+"
+             "([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?\\s*([+-][0-9]{4}|[A-Za-z]+)?\\s*(?:[(].*)?$")
+MAIL_ZONES = {
+    "UT": "+0000", "UTC": "+0000", "GMT": "+0000", "Z": "+0000", "AST": "-0400", "ADT": "-0300", "EST": "-0500", "EDT": "-0400",
+    "CST": "-0600", "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700",
+}
 OTHER_TIMESTAMP_FORMATS = [
     "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss.SSS", "yyyy-MM-dd HH:mm:ss",
     "yyyy/MM/dd", "MMM d, yyyy", "d MMM yyyy",
@@ -154,3 +160,23 @@ def utc_timestamp(raw: Column) -> Column:
     text = F.when(zoned, raw).otherwise(F.concat(raw, F.lit("Z")))
     parsed = text.try_cast("timestamp")
     return F.to_utc_timestamp(parsed, F.current_timezone()).cast("timestamp_ntz")
+
+
+def mail_date(raw: Column) -> Column:
+    """The date of a mail header (RFC 2822) in ISO form with its offset; null if it cannot be read.
+
+    An unknown zone, none, or -0000 gives a time without an offset.
+    """
+    def part(k: int) -> Column:
+        return F.regexp_extract(raw, MAIL_DATE, k)
+
+    month = F.element_at(F.create_map(*[F.lit(x) for item in MONTHS.items() for x in item]), F.lower(part(2)))
+    year = F.when(F.length(part(3)) == 2, _pivot_year(_int(part(3)))).otherwise(_int(part(3)))
+    second = F.when(part(6) == "", "00").otherwise(part(6))
+    time = F.try_to_timestamp(F.format_string("%04d-%02d-%02d %02d:%s:%s", year, month, _int(part(1)), _int(part(4)), part(5), second),
+                              F.lit("yyyy-MM-dd HH:mm:ss"))
+    zones = F.create_map(*[F.lit(x) for item in MAIL_ZONES.items() for x in item])
+    zone = F.when(part(7).rlike("^[+-]"), part(7)).otherwise(F.try_element_at(zones, F.upper(part(7))))
+    offset = F.when(zone.isNull() | (zone == "-0000"), "").otherwise(F.concat(F.substring(zone, 1, 3), F.lit(":"), F.substring(zone, 4, 2)))
+    return F.when(raw.rlike(MAIL_DATE) & month.isNotNull() & time.isNotNull(), F.concat(
+        F.format_string("%04d-%02d-%02dT%02d:%s:%s", year, month, _int(part(1)), _int(part(4)), part(5), second), offset))

@@ -2,39 +2,57 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.functions.values import mail_date
 from tallyspark.operators.intake import is_inline
-from tallyspark.session import cut, has_rows
 
 _HEADERS = "array<struct<name:string,value:string>>"
 
 
-def attachments(messages: DataFrame) -> DataFrame:
-    """Attachment parts of (message_id, payload JSON text), numbered in reading order.
+def _parts(payload: Column) -> Column:
+    """(path, part) of a payload and of all parts nested in it, to any depth.
 
-    Parts are unfolded one nesting level per step; the path of child positions orders them.
+    One nesting level is unfolded per step, and a payload nests no deeper than the word for its parts occurs in it.
     """
-    level = cut(messages.select("message_id", F.try_parse_json("payload").alias("part"),
-                                F.array().cast("array<int>").alias("path")).select("message_id", F.to_json("part").alias("part"), "path"))
-    levels = []
-    while has_rows(level):
-        levels.append(level)
-        children = F.try_variant_get(F.parse_json("part"), "$.parts", "array<variant>")
-        level = cut(level.select("message_id", "path", F.posexplode(children).alias("at", "child"))
-                    .select("message_id", F.to_json("child").alias("part"), F.concat("path", F.array("at")).alias("path")))
-    if not levels:
-        levels = [level]
-    parts = reduce(DataFrame.unionByName, levels).withColumn("v", F.parse_json("part"))
-
-    def get(path: str, kind: str = "string"):
-        return F.try_variant_get("v", path, kind)
+    root = F.try_parse_json(payload)
+    none = F.array().cast("array<int>")
+    level = F.filter(F.array(F.struct(none.alias("path"), root.alias("part"))), lambda p: p.part.isNotNull())
+    steps = F.sequence(F.lit(0), F.coalesce(F.regexp_count(payload, F.lit('"parts"')), F.lit(0)))
+
+    def children(p: Column) -> Column:
+        inner = F.coalesce(F.try_variant_get(p.part, "$.parts", "array<variant>"), F.array().cast("array<variant>"))
+        return F.transform(inner, lambda child, at: F.struct(F.concat(p.path, F.array(at)).alias("path"), child.alias("part")))
+
+    def deeper(seen: Column, _step: Column) -> Column:
+        below = F.flatten(F.transform(seen.level, children))
+        return F.struct(F.concat(seen.found, seen.level).alias("found"), below.alias("level"))
+
+    start = F.struct(F.slice(level, 1, 0).alias("found"), level.alias("level"))
+    return F.aggregate(steps, start, deeper, lambda seen: seen.found)
+
+
+def _header(headers: Column, name: str) -> Column:
+    """The first header of that name in any case, empty if there is none."""
+    mine = F.filter(headers, lambda h: F.lower(F.coalesce(h["name"], F.lit(""))) == name)
+    return F.coalesce(F.get(mine, F.lit(0))["value"], F.lit(""))
+
+
+def attachments(messages: DataFrame) -> DataFrame:
+    """Attachment parts of (message_id, payload JSON text[, thread_id]), numbered in reading order, with their message's headers."""
+    thread = F.col("thread_id") if "thread_id" in messages.columns else F.lit(None).cast("string")
+    headers = F.coalesce(F.try_variant_get(F.try_parse_json("payload"), "$.headers", _HEADERS), F.array().cast(_HEADERS))
+    parts = messages.select(
+        "message_id", thread.alias("thread_id"), _header(headers, "from").alias("from_address"), _header(headers, "subject").alias("subject"),
+        F.coalesce(mail_date(_header(headers, "date")), F.lit("")).alias("received_at"), F.explode(_parts(F.col("payload"))).alias("p"))
+
+    def get(path: str, kind: str = "string") -> Column:
+        return F.try_variant_get("p.part", path, kind)
 
     found = parts.select(
-        "message_id", "path", get("$.filename").alias("filename"), get("$.body.attachmentId").alias("attachment_id"),
+        "message_id", "thread_id", "from_address", "subject", "received_at", F.col("p.path").alias("path"),
+        get("$.filename").alias("filename"), get("$.body.attachmentId").alias("attachment_id"),
         F.when(F.coalesce(get("$.mimeType"), F.lit("")) == "", "application/octet-stream").otherwise(get("$.mimeType")).alias("mime_type"),
         F.coalesce(get("$.body.size", "bigint"), F.lit(0)).alias("size_bytes"),
         is_inline(F.coalesce(get("$.headers", _HEADERS), F.array().cast(_HEADERS))).alias("is_inline"),

@@ -25,19 +25,29 @@ def long_form(parts: DataFrame, columns: DataFrame) -> DataFrame:
             .join(columns.select("doc_id", "col_no", "week_label", "delivery_date"), ["doc_id", "col_no"]))
 
 
-def wide_form(parts: DataFrame, columns: DataFrame, width: int) -> DataFrame:
-    """The schedule matrix with ``width`` week columns and a total over all cells given.
-
-    Every row has the cells of its document's header: none without a header. ``width`` must hold the largest header.
-    """
-    widest = columns.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    if widest > width:
-        raise ValueError(f"a header has {widest} week columns, the matrix only {width}")
-    headed = columns.select("doc_id", F.lit(True).alias("headed")).distinct()
-    cells = [F.when(F.col("headed"), F.get("quantities", F.lit(j))).alias(f"week_{j + 1}") for j in range(width)]
+def matrix(parts: DataFrame, columns: DataFrame) -> DataFrame:
+    """The schedule matrix with one ``cells`` array a row, as wide as its document's header (none without one), and a total over all cells given."""
     given = parts.withColumn("total", F.coalesce(schedule.total(F.col("quantities")), F.lit(0.0)))
+    headed = columns.select("doc_id", F.lit(True).alias("headed")).distinct()
+    cells = F.when(F.col("headed"), F.col("quantities")).otherwise(F.array().cast("array<double>"))
     return (aligned_parts(given, columns).join(headed, "doc_id", "left")
-            .select("doc_id", "part_no", "po_number", "part_number", "description", "std_pack", *cells, "total"))
+            .select("doc_id", "part_no", "po_number", "part_number", "description", "std_pack", cells.alias("cells"), "total"))
+
+
+def widest(columns: DataFrame) -> int:
+    """Week columns of the widest header."""
+    return columns.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def wide_form(parts: DataFrame, columns: DataFrame, width: int | None = None) -> DataFrame:
+    """The schedule matrix with a column for each week and a total over all cells given.
+
+    The widest header of the table decides the columns, ``width`` at least; cells beyond a document's own header are null.
+    """
+    n = max(width or 0, widest(columns))
+    return matrix(parts, columns).select(
+        "doc_id", "part_no", "po_number", "part_number", "description", "std_pack",
+        *[F.get("cells", F.lit(j)).alias(f"week_{j + 1}") for j in range(n)], "total")
 
 
 def header_labels(columns: DataFrame) -> DataFrame:

@@ -18,24 +18,33 @@ def header_facts(columns: DataFrame) -> DataFrame:
             .groupBy("doc_id").agg(F.count("*").alias("width"), F.bool_and("rises").alias("ordered")))
 
 
-def part_facts(parts: DataFrame) -> DataFrame:
-    """(doc_id, n_parts, rows): the part rows of a document in order, each with its offending cells as texts."""
+def part_facts(parts: DataFrame, widths: DataFrame) -> DataFrame:
+    """(doc_id, n_parts, ragged, negative, off_pack): the part rows counted, and the offending ones named in order, null if none.
+
+    Every row is reduced to its offending texts before it is shuffled; a document gathers these alone. ``widths``: doc_id, width.
+    """
     label = F.when(present(F.col("part_number")), F.col("part_number")).otherwise(F.format_string("row %d", "part_no"))
     cells = F.transform(F.coalesce("quantities", F.array().cast("array<double>")), lambda q, i: F.struct(q.alias("q"), i.alias("week")))
     pack = F.when(F.col("std_pack") != 0, F.col("std_pack"))
 
     def texts(bad) -> Column:
-        return F.transform(F.filter(cells, lambda c: bad(c.q)), lambda c: F.concat(label, F.format_string(" week %d", c.week + 1)))
+        found = F.transform(F.filter(cells, lambda c: bad(c.q)), lambda c: F.concat(label, F.format_string(" week %d", c.week + 1)))
+        return F.when(F.size(found) > 0, F.array_join(found, ", "))
 
-    row = F.struct("part_no", F.when(present(F.col("quantities_repaired")), F.col("quantities_repaired")).alias("repaired"),
-                   F.coalesce(F.size("quantities"), F.lit(0)).alias("have"), texts(lambda q: q < 0).alias("negative"),
-                   texts(lambda q: q % pack != 0).alias("off_pack"))
-    return parts.groupBy("doc_id").agg(F.count("*").alias("n_parts"), F.array_sort(F.collect_list(row)).alias("rows"))
+    rows = parts.select(
+        "doc_id", "part_no", F.when(present(F.col("quantities_repaired")), F.col("quantities_repaired")).alias("repaired"),
+        F.coalesce(F.size("quantities"), F.lit(0)).alias("have"), texts(lambda q: q < 0).alias("negative"), texts(lambda q: q % pack != 0).alias("off_pack"))
+    width = F.coalesce("width", F.lit(0))
+    ragged = (F.when(F.col("repaired").isNotNull(), F.format_string("row %d was %s", "part_no", "repaired"))
+              .when(F.col("have") != width, F.format_string("row %d has %d of %d", "part_no", "have", width)))
+    judged = rows.join(widths, "doc_id", "left").select("doc_id", "part_no", ragged.alias("ragged"), "negative", "off_pack")
+    return judged.groupBy("doc_id").agg(F.count("*").alias("n_parts"), *[_named(name).alias(name) for name in ("ragged", "negative", "off_pack")])
 
 
-def _named(texts: Column) -> Column:
-    """The texts as one message part, null if there are none."""
-    return F.when(F.size(texts) > 0, F.array_join(texts, ", "))
+def _named(name: str) -> Column:
+    """The texts of a group in the order of its rows as one message part, null if there are none."""
+    texts = F.array_sort(F.collect_list(F.when(F.col(name).isNotNull(), F.struct("part_no", name))))
+    return F.when(F.size(texts) > 0, F.array_join(F.transform(texts, lambda t: t[name]), ", "))
 
 
 def run(headers: DataFrame, columns: DataFrame, parts: DataFrame) -> DataFrame:
@@ -44,16 +53,8 @@ def run(headers: DataFrame, columns: DataFrame, parts: DataFrame) -> DataFrame:
     Columns and parts are each read and shuffled once; what they say meets at the document.
     """
     at = F.col("part_no")
-    docs = headers.join(header_facts(columns), "doc_id", "left").join(part_facts(parts), "doc_id", "left")
-
-    def ragged(r: Column) -> Column:
-        have = F.coalesce("width", F.lit(0))
-        return (F.when(r.repaired.isNotNull(), F.format_string("row %d was %s", r.part_no, r.repaired))
-                .when(r.have != have, F.format_string("row %d has %d of %d", r.part_no, r.have, have)))
-
-    docs = docs.withColumns({
-        "ragged": _named(F.array_compact(F.transform("rows", ragged))),
-        "negative": _named(F.flatten("rows.negative")), "off_pack": _named(F.flatten("rows.off_pack"))}).drop("rows")
+    facts = header_facts(columns)
+    docs = headers.join(facts, "doc_id", "left").join(part_facts(parts, facts.select("doc_id", "width")), "doc_id", "left")
     width, n = F.coalesce("width", F.lit(0)), F.coalesce("n_parts", F.lit(0))
     ordered = F.coalesce("ordered", F.lit(True))
     supplier = F.when(present(F.col("supplier_name")), F.col("supplier_name")).when(

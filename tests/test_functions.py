@@ -1,7 +1,9 @@
+from email.utils import parsedate_to_datetime
+
 from pyspark.sql import functions as F
 
 from tallyspark.functions import schedule, text, values
-from tallyspark.operators import intake, mime
+from tallyspark.operators import intake, mime, release
 from tallyspark.operators.accounts import match_by_account_name
 from tallyspark.operators.store import neighbours
 
@@ -74,6 +76,43 @@ def test_nested_mail_parts_keep_reading_order(spark):
         ("deep.pdf", 0, 5), ("b.png", 1, 0), ("c.txt", 2, 0)]
 
 
+def test_mail_dates_are_read_as_the_standard_library_reads_them(spark):
+    raw = ["Tue, 14 Oct 2025 09:31:00 +0530", "14 Oct 2025 09:31 GMT", "1 Feb 99 7:05:09 EST", "Sat, 29 Feb 2020 23:59:59 -0000", "31 Feb 2024 10:00:00 +0000",
+           "not a date", "", "Mon, 5 May 2031 00:00:00 XYZ", "Mon 5 May 2031 1:02:03 -0815 (comment)", "5 May 68 10:00:00 PDT", "5 Foo 2031 10:00:00 +0000",
+           "5 May 2031 25:00:00 +0000", "05-May-2031 10:11:12 +0100", None]
+
+    def expected(text):
+        try:
+            return parsedate_to_datetime(text).isoformat() if text else None
+        except (TypeError, ValueError):
+            return None
+
+    got = one(spark, [(r, expected(r)) for r in raw], "r string, want string", values.mail_date(F.col("r")), "want")
+    assert all(a == b for a, b in got), got
+
+
+def test_messages_give_their_headers_to_every_attachment(spark):
+    part = '{"filename":"a.pdf","body":{"attachmentId":"1","size":"5"}}'
+    for depth in range(10):
+        part = f'{{"filename":"","headers":[{{"name":"Subject","value":"inner"}}],"parts":[{part},{{"filename":"d{depth}","body":{{"attachmentId":"x"}}}}]}}'
+    payload = '{"headers":[{"name":"from"},{"name":"FROM","value":"later"},{"name":"subJECT","value":"S"},{"name":"Date","value":"x"}],"parts":[' + part + "]}"
+    rows = [("m", "t", payload), ("n", None, '{"filename":"z","body":{"attachmentId":"9"}}'), ("o", "t", None)]
+    got = mime.attachments(spark.createDataFrame(rows, "message_id string, thread_id string, payload string")).orderBy("message_id", "part_index").collect()
+    assert [(r.filename, r.part_index) for r in got] == [("a.pdf", 0), *[(f"d{k}", k + 1) for k in range(10)], ("z", 0)]
+    assert {(r.thread_id, r.from_address, r.subject, r.received_at) for r in got if r.message_id == "m"} == {("t", "", "S", "")}
+
+
+def test_releases_of_any_width_stand_side_by_side(spark):
+    columns = spark.createDataFrame([(d, c) for d, n in ((1, 3), (2, 40)) for c in range(1, n + 1)], "doc_id bigint, col_no bigint")
+    parts = spark.createDataFrame([(1, 1, [1.0, 2.0]), (2, 1, [float(k) for k in range(45)]), (3, 1, [5.0]), (1, 2, None)], "doc_id bigint, part_no bigint, quantities array<double>")
+    for name in ("po_number", "part_number", "description", "std_pack"):
+        parts = parts.withColumn(name, F.lit(None).cast("string"))
+    got = {(r.doc_id, r.part_no): r for r in release.wide_form(parts, columns, 12).collect()}
+    cells = {k: [r[f"week_{j}"] for j in range(1, 41)] for k, r in got.items()}
+    assert cells[(1, 1)] == [1.0, 2.0] + [None] * 38 and cells[(3, 1)] == cells[(1, 2)] == [None] * 40
+    assert cells[(2, 1)] == [float(k) for k in range(40)] and got[(2, 1)].total == sum(range(45))
+
+
 def test_account_name_choices_in_several_rounds(spark):
     """Seven ledger rows, two per round, must choose as one after the other would."""
     names = ["asha rao", "ravi menon", "asha rao", "ravi menon", "asha rao", "nobody else", "ravi menon"]
