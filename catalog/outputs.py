@@ -1,7 +1,5 @@
 """Queries of the scalar functions, exports, response recovery, mail parsing and streams."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from catalog.store import REF_TABLES, REFS_SQL, ctes
@@ -10,7 +8,7 @@ from tallyspark.functions import json_text, text, values
 from tallyspark.operators import mime
 from tallyspark.plans import exports
 from tallyspark.rules import extra
-from tallyspark.session import shared_folder
+from tallyspark.session import run_path
 from tallyspark.sources import documents as d
 from tallyspark.sources import records as r
 from tallyspark.sources.records import Records
@@ -109,7 +107,7 @@ def export_statement_items(spark, folder):
 
 
 def written_and_read(spark, table, write, read):
-    path = f"{shared_folder(spark)}/written-{uuid.uuid4().hex}"
+    path = run_path(spark, "written")
     write(table, path)
     return read(path)
 
@@ -303,28 +301,31 @@ def mail_attachments(spark, folder):
 
 
 # ---- streams ----------------------------------------------------------------
-def streamed(spark, folder, name):
-    table = spark.read.parquet(f"{folder}/{name}.parquet")
-    return spark.readStream.schema(table.schema).parquet(f"{folder}/{name}*.parquet")
+def arriving(spark, folder, name, order, files=4):
+    """A stream over a table that arrives in several files, one micro-batch each, in the order of a column."""
+    table, source = spark.read.parquet(f"{folder}/{name}.parquet"), run_path(spark, "arriving")
+    low, high = table.agg(F.min(order), F.max(order)).first()
+    step = (high - low) // files + 1 if low is not None else 1
+    for k in range(files):
+        part = table.filter(F.floor((F.col(order) - F.lit(low)) / F.lit(step)) == k)
+        part.coalesce(1).write.mode("append").parquet(source)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(source)
 
 
 @register("intake_stream", ctes(**REF_TABLES) + "," + REFS_SQL + "select connection_id, ord, source_ref, action from planned")
 def intake_stream(spark, folder):
     t = Records(spark, folder)
-    refs = spark.sql(r.REFS, events=streamed(spark, folder, "events"))
-    work = f"{shared_folder(spark)}/intake-{uuid.uuid4().hex}"
-    stream.start(refs, t.records(r.INGESTED, "events"), f"{work}/items", f"{work}/checkpoint").awaitTermination()
+    refs = spark.sql(r.REFS, events=arriving(spark, folder, "events", "event_id"))
+    work = run_path(spark, "intake")
+    known = stream.known_documents(spark, f"{work}/known")
+    stream.start(refs, t.records(r.INGESTED, "events"), f"{work}/items", f"{work}/checkpoint", known).awaitTermination()
     return stream.item_log(spark, f"{work}/items").select("connection_id", "ord", "source_ref", "action")
 
 
 @register("document_state_stream", ctes(x=r.LOG) + "select document_id, step, status, id from x qualify row_number() over (partition by document_id order by created_at desc, id desc) = 1")
 def document_state_stream(spark, folder):
-    log = spark.sql(r.LOG, events=streamed(spark, folder, "events"))
-    work = f"{shared_folder(spark)}/state-{uuid.uuid4().hex}"
-
-    def save(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{work}/state")
-
-    (stream.current_state(log).writeStream.outputMode("complete").foreachBatch(save)
-     .option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start().awaitTermination())
-    return spark.read.parquet(f"{work}/state").select("document_id", "step", "status", "id")
+    log = spark.sql(r.LOG, events=arriving(spark, folder, "events", "event_id"))
+    work = run_path(spark, "state")
+    states = stream.state_table(log, f"{work}/table")
+    stream.track(log, states, f"{work}/checkpoint").awaitTermination()
+    return states.read().select("document_id", "step", "status", "id")

@@ -39,7 +39,7 @@ def cut(df: DataFrame) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Remove tables made by ``cut``; whatever still reads them fails from now on."""
     for df in tables:
-        _remove(df.sparkSession, df._cut_path)
+        remove(df.sparkSession, df._cut_path)
 
 
 _FOLDERS: set[str] = set()
@@ -55,12 +55,33 @@ def _run_folder(spark: SparkSession) -> str:
 
 def _at_end(spark: SparkSession, path: str) -> None:
     if spark.sparkContext._jsc is not None:
-        _remove(spark, path)
+        remove(spark, path)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def run_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for something that lasts as long as the application, and goes with it."""
+    return f"{_run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _file_system(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder and all in it, wherever Spark can reach it."""
+    target, system = _file_system(spark, path)
+    system.delete(target, True)
+
+
+def folders(spark: SparkSession, path: str, complete: bool = False) -> list[str]:
+    """Names of the folders in a folder, none if it does not exist; ``complete``: those that Spark finished writing."""
+    target, system = _file_system(spark, path)
+    if not system.exists(target):
+        return []
+    inner = [status.getPath() for status in system.listStatus(target) if status.isDirectory()]
+    marked = [p for p in inner if not complete or system.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return [p.getName() for p in marked]
 
 
 def has_rows(df: DataFrame) -> bool:

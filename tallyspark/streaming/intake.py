@@ -1,4 +1,4 @@
-"""Attachment intake and status tracking as streams."""
+"""Attachment intake and status tracking as streams, with state in keyed tables."""
 
 from __future__ import annotations
 
@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyspark.operators import intake
+from tallyspark.sources.keyed import KeyedTable
 
 ITEMS = "connection_id string, ord bigint, message_id string, source_ref string, action string, existing_id bigint, outcome string, failed boolean"
+DOCUMENTS = "source_connector_id string, source_ref string, doc_id bigint, status string"
+STATES = "document_id {id}, step string, status string, created_at {created}, id {row}"
 
 
 def item_log(spark: SparkSession, path: str) -> DataFrame:
@@ -16,38 +19,66 @@ def item_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(f"{ITEMS}, batch bigint").parquet(path)
 
 
-def known_documents(documents: DataFrame, log: DataFrame) -> DataFrame:
-    """Documents on record before a batch: those given, with what earlier batches made of them."""
+def known_documents(spark: SparkSession, path: str, buckets: int = 64) -> KeyedTable:
+    """The documents on record, by the attachment they came from."""
+    return KeyedTable(spark, path, DOCUMENTS, ("source_connector_id", "source_ref"), buckets)
+
+
+def _made(items: DataFrame) -> DataFrame:
+    """What a batch leaves of each attachment it worked on: the document's status after the last item."""
     left = F.col("action").isin(intake.CREATE, intake.RETRY) & ~((F.col("action") == intake.CREATE) & (F.col("outcome") == intake.DOWNLOAD_FAILED))
-    made = log.filter(left).select(
-        F.col("connection_id").alias("source_connector_id"), "source_ref",
-        F.struct("batch", "ord", F.when(F.col("failed"), "FAILED").otherwise("COMPLETED").alias("status")).alias("last"))
-    latest = made.groupBy("source_connector_id", "source_ref").agg(F.max("last").alias("last"))
-    return (documents.join(latest, ["source_connector_id", "source_ref"], "full")
-            .select("source_connector_id", "source_ref", "doc_id", F.coalesce("last.status", "status").alias("status")))
+    last = F.max(F.struct("ord", "existing_id", F.when(F.col("failed"), "FAILED").otherwise("COMPLETED").alias("status"))).alias("last")
+    return (items.filter(left).groupBy(F.col("connection_id").alias("source_connector_id"), "source_ref").agg(last)
+            .select("source_connector_id", "source_ref", F.col("last.existing_id").alias("doc_id"), "last.status"))
 
 
-def start(refs: DataFrame, documents: DataFrame, log_path: str, checkpoint: str) -> StreamingQuery:
-    """Settle streamed attachment refs batch by batch against the documents on record.
+def settle(batch: DataFrame, batch_id: int, known: KeyedTable, log_path: str) -> None:
+    """Settle one batch of refs: write its items, then what they make of the documents.
 
-    A batch overwrites its own folder of the log and reads only the folders of earlier batches,
-    so a batch that is run again after a failure leaves the same result.
+    Of the documents on record only the buckets of the batch's attachments are read and written. Version 0 of the table is
+    what was on record at the start and version n + 1 follows batch n, so a batch that is run again finds the same state,
+    overwrites its own folder of the log and its own version, and leaves the same result.
     """
-    spark = refs.sparkSession
-    nothing = spark.createDataFrame([], f"{ITEMS}, batch bigint")
+    spark = batch.sparkSession
+    keys = batch.select(F.col("connection_id").alias("source_connector_id"),
+                        intake.source_ref(F.col("message_id"), F.col("part_index"), F.col("filename")).alias("source_ref"))
+    before = max(v for v in known.versions() if v <= batch_id)
+    planned = intake.plan(batch, known.read(before, known.touched(keys)))
+    columns = [field.split()[0] for field in ITEMS.split(", ")]
+    folder = f"{log_path}/batch={batch_id}"
+    planned.select(*columns).write.mode("overwrite").parquet(folder)
+    known.change(batch_id + 1, _made(spark.read.schema(ITEMS).parquet(folder)))
 
-    def settle(batch: DataFrame, batch_id: int) -> None:
-        earlier = item_log(spark, log_path).filter(F.col("batch") < batch_id) if batch_id > 0 else nothing
-        planned = intake.plan(batch, known_documents(documents, earlier))
-        columns = [field.split()[0] for field in ITEMS.split(", ")]
-        planned.select(*columns).write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
 
-    return (refs.writeStream.foreachBatch(settle).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+def start(refs: DataFrame, documents: DataFrame, log_path: str, checkpoint: str, known: KeyedTable) -> StreamingQuery:
+    """Settle streamed attachment refs batch by batch. ``documents``, on record before the first batch, are loaded once."""
+    if not known.versions():
+        known.change(0, documents.filter("source_ref is not null and source_connector_id is not null"))
+    return (refs.writeStream.foreachBatch(lambda batch, batch_id: settle(batch, batch_id, known, log_path))
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def current_state(log: DataFrame) -> DataFrame:
-    """Newest step of every document; on a stream, for update or complete mode."""
+    """Newest step of every document."""
     row = F.struct("step", "status", "created_at", "id")
     return (log.groupBy("document_id").agg(F.max_by(row, F.struct("created_at", "id")).alias("r"))
             .select("document_id", "r.*"))
+
+
+def state_table(log: DataFrame, path: str, buckets: int = 64) -> KeyedTable:
+    """Where ``track`` keeps the newest step of every document of a status log."""
+    kinds = {c: log.schema[c].dataType.simpleString() for c in ("document_id", "created_at", "id")}
+    schema = STATES.format(id=kinds["document_id"], created=kinds["created_at"], row=kinds["id"])
+    return KeyedTable(log.sparkSession, path, schema, ("document_id",), buckets)
+
+
+def save_states(batch: DataFrame, batch_id: int, states: KeyedTable) -> None:
+    """Bring the documents a batch speaks of up to date; all others keep their files. Run again, it changes nothing."""
+    newest = current_state(batch.filter("document_id is not null"))
+    states.change(batch_id + 1, newest, merge=lambda old, new: current_state(old.unionByName(new)))
+
+
+def track(log: DataFrame, states: KeyedTable, checkpoint: str) -> StreamingQuery:
+    """Follow a streamed status log."""
+    return (log.writeStream.foreachBatch(lambda batch, batch_id: save_states(batch, batch_id, states))
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
