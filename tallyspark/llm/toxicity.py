@@ -4,9 +4,10 @@ Features of a text are densities: hits of a word list and of a lexicon that is l
 word beginnings, so that endings do not matter), second-person words and hits close to them, capitals, punctuation, digits or
 signs inside words, and stretched letters. The trees, the lexicon limits and the calibration come from numpy code here.
 
-The fit uses at most PER_CLASS toxic and twice as many clean labelled rows, those with the smallest hash of doc_id. Lexicon and trees are
-learned on seven in ten of them, the lexicon statistics counted by Spark; the calibration uses the other three, which neither has
-seen. Scores are calibrated to the share of each class among all rows to learn from.
+The fit uses at most PER_CLASS toxic and twice as many clean labelled rows, those with the smallest hash of doc_id, in FOLDS parts. The
+features of a part come from a lexicon that the other parts teach (counted by Spark), so the trees see words as they will see
+those of new texts, and the calibration takes each part's margins from trees that the other parts teach. The lexicon and
+the trees that are kept use all of these rows. Scores are calibrated to the share of each class among all rows to learn from.
 
 Defined results: null and empty texts have all features zero and are scored like any other; without labelled rows of both
 classes every score is the share of toxic ones (0 without labels); rows with null doc_id are scored but not learned from;
@@ -27,8 +28,8 @@ from tallyspark.session import cut
 
 #: Most toxic rows that the fit may use; it takes up to twice as many clean ones.
 PER_CLASS = 2500
-#: Tenths of these rows that only the calibration uses.
-HELD_TENTHS = 3
+#: Parts of these rows; each is described by a lexicon, and calibrated by trees, that the others teach.
+FOLDS = 4
 #: Lengths in bytes of the word beginnings that the lexicon may hold.
 PREFIXES = (4, 5, 6)
 #: Most lexicon entries, and the least log-likelihood ratio of an entry's counts against the share of toxic rows in the sample.
@@ -233,16 +234,15 @@ class Model:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
-    """doc_id, text, toxic, held of at most three times per_class label rows, hence the broadcasts.
+    """doc_id, text, toxic, fold of at most three times per_class label rows, hence the broadcasts.
 
-    Of a doc_id with several texts the smallest one counts. `held` rows, three in ten by a hash, are for the calibration alone.
+    Of a doc_id with several texts the smallest one counts. Its fold comes from a hash of doc_id.
     """
     by_hash = [F.xxhash64(F.col("doc_id"), F.lit("toxicity sample")), "doc_id"]
     chosen = [labels.where(F.col("toxic") == k).select("doc_id", "toxic").orderBy(*by_hash).limit(per_class * (2 - k)) for k in (0, 1)]
     rows = cut(chosen[0].union(chosen[1]))
     texts = docs.select("doc_id", "text").join(F.broadcast(rows.select("doc_id").distinct()), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
-    held = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(10)) < HELD_TENTHS
-    return texts.join(F.broadcast(rows), "doc_id").withColumn("held", held)
+    return texts.join(F.broadcast(rows), "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int"))
 
 
 def _lexicon(sample: DataFrame, share: float) -> tuple[np.ndarray, np.ndarray]:
@@ -286,30 +286,35 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PE
     share = counts.get(1, 0) / max(sum(counts.values()), 1)
     if len(counts) < 2:
         return Model(share)
-    sample = _sample(docs, usable, per_class)
-    taken = [min(counts[0], 2 * per_class), min(counts[1], per_class)]
-    lexicon = _lexicon(sample.where(~F.col("held")), taken[1] / sum(taken))
+    sample = cut(_sample(docs, usable, per_class))
+    expected = min(counts[1], per_class) / (min(counts[0], 2 * per_class) + min(counts[1], per_class))
 
-    def kernel(chunk: Chunk) -> pa.RecordBatch:
-        x = features(chunk, lexicon)
-        return table_of(["toxic", "held", "x"], [None, None, pa.list_(pa.float64())], [chunk.kept["toxic"], chunk.kept["held"], list(x)])
+    def features_of(rows: DataFrame, lexicon: tuple[np.ndarray, np.ndarray]) -> pa.Table:
+        def kernel(chunk: Chunk) -> pa.RecordBatch:
+            return table_of(["toxic", "fold", "x"], [None, None, pa.list_(pa.float64())], [chunk.kept["toxic"], chunk.kept["fold"], list(features(chunk, lexicon))])
+
+        return each_chunk(rows, kernel, "toxic int, fold int, x array<double>", keep=["toxic", "fold"]).toArrow()
 
-    rows = each_chunk(sample, kernel, "toxic int, held boolean, x array<double>", keep=["toxic", "held"]).toArrow()
+    parts = []
+    for k in range(FOLDS):  # each fold is described by what the others teach
+        lexicon = _lexicon(sample.where(F.col("fold") != k), expected)
+        parts.append(features_of(sample.where(F.col("fold") == k), lexicon))
+    rows = pa.concat_tables(parts)
     if not rows.num_rows:
         return Model(share)
     x = np.array(rows.column("x").to_pylist())
-    y = rows.column("toxic").to_numpy().astype(float)
-    held = rows.column("held").to_numpy()
-    order = np.lexsort((*x.T, y, held))  # the same rows in any order give the same fit
-    x, y, held = x[order], y[order], held[order]
-    fitted = ~held
-    if len(set(y[fitted])) < 2 or len(set(y[held])) < 2:
-        fitted = held = np.ones(len(y), dtype=bool)
+    y, fold = rows.column("toxic").to_numpy().astype(float), rows.column("fold").to_numpy()
+    order = np.lexsort((*x.T, y, fold))  # the same rows in any order give the same fit
+    x, y, fold = x[order], y[order], fold[order]
     if len(set(y)) < 2:
         return Model(share)
-    trees = boost(x[fitted], y[fitted])
+    trees = boost(x, y)
+    margin = np.empty(len(y))
+    for k in range(FOLDS):
+        others = fold != k
+        margin[~others] = (boost(x[others], y[others]) if len(set(y[others])) == 2 else trees).margin(x[~others])
     weight = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
-    return Model(share, lexicon, trees, isotonic(trees.margin(x[held]), y[held], weight[held]))
+    return Model(share, _lexicon(sample, expected), trees, isotonic(margin, y, weight))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
