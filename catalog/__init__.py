@@ -21,4 +21,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return _collect("ORACLE")
+    found = _collect("ORACLE")
+    return found | import_module("catalog.outputs").late_oracle(found)

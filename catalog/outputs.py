@@ -1,5 +1,8 @@
 """Queries of the scalar functions, exports, response recovery, mail parsing and streams."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog.store import REF_TABLES, REFS_SQL, ctes
@@ -8,9 +11,10 @@ from tallyspark.functions import json_text, text, values
 from tallyspark.operators import mime
 from tallyspark.plans import exports
 from tallyspark.rules import extra
-from tallyspark.session import run_path
+from tallyspark.session import cut, run_path
 from tallyspark.sources import documents as d
 from tallyspark.sources import records as r
+from tallyspark.sources import reports
 from tallyspark.sources.records import Records
 from tallyspark.streaming import intake as stream
 
@@ -112,6 +116,57 @@ def written_and_read(spark, table, write, read):
     return read(path)
 
 
+#: The reports of one run: how each is made, the columns that order its rows, and its format.
+RUN = {
+    "invoice_header": ("export_invoice_header", ["doc_id", "section", "ord"], reports.CSV),
+    "invoice_lines": ("export_invoice_lines", ["doc_id", "line_no"], reports.CSV),
+    "order_header": ("export_order_header", ["doc_id", "section", "ord"], reports.JSON),
+    "order_lines": ("export_order_lines", ["doc_id", "line_no"], reports.CSV),
+    "release_header": ("export_release_header", ["doc_id", "section", "ord"], reports.CSV),
+    "release_schedule": ("export_schedule_sheet", ["doc_id", "line_no"], reports.CSV),
+    "notes": ("export_notes", ["doc_id", "ord"], reports.JSON),
+    "statement_header": ("export_statement_header", ["doc_id", "section", "ord"], reports.CSV),
+    "statement_items": ("export_statement_items", ["doc_id", "side", "item_no"], reports.CSV),
+    "stamped_json": ("export_stamped_json", ["doc_id"], reports.JSON),
+    "reconciliation": ("reconciliation_report", ["statement_id", "bank_idx"], reports.CSV),
+}
+
+
+def _written_run(names):
+    """Write reports as one run, read them back, and count rows that went missing or changed on the way."""
+    def query(spark, folder):
+        import catalog
+        made = {name: reports.Report(cut(catalog.queries()[RUN[name][0]](spark, folder)), RUN[name][1], RUN[name][2]) for name in names}
+        root = run_path(spark, "reports")
+        reports.write_run(spark, root, "run-1", made, file_rows=20_000)
+        rows = []
+        for name, report in made.items():
+            was = reports.blank_as_null(report.table) if report.format == reports.CSV else report.table
+            back = reports.read_report(spark, root, "run-1", name)
+            tell = F.lit(name).alias("report")
+            rows.append(back.select(tell, F.lit("rows").alias("what")))
+            rows.append(was.exceptAll(back).select(tell, F.lit("missing").alias("what")))
+            rows.append(back.exceptAll(was).select(tell, F.lit("changed").alias("what")))
+        return reduce(DataFrame.unionByName, rows).groupBy("report").agg(
+            *[F.count_if(F.col("what") == w).alias(f"n_{w}") for w in ("rows", "missing", "changed")])
+
+    return query
+
+
+DOCUMENT_REPORTS = [name for name in RUN if name != "reconciliation"]
+QUERIES["reports_written"] = _written_run(DOCUMENT_REPORTS)
+QUERIES["reconciliation_written"] = _written_run(["reconciliation"])
+
+
+def late_oracle(every):
+    """SQL of the written runs: the rows of each report's own SQL, none of them missing or changed."""
+    def counted(names):
+        return " union all ".join(
+            f"select '{name}' as report, (select count(*) from ({every[RUN[name][0]]}) t) as n_rows, 0 as n_missing, 0 as n_changed" for name in names)
+
+    return {"reports_written": counted(DOCUMENT_REPORTS), "reconciliation_written": counted(["reconciliation"])}
+
+
 WRITTEN = "select c_custkey as k, case when c_custkey % 3 <> 0 then 'a, \"b\" ' || c_custkey end as note, case when c_custkey % 5 <> 0 then c_acctbal end as amount"
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import schedule
 from tallyspark.operators import release
+from tallyspark.plans import exports
 from tallyspark.rules import india, orders, registry, releases, statements
 from tallyspark.sources import documents as d
 from tallyspark.sources.documents import Documents
@@ -331,6 +332,25 @@ ORACLE["schedule_header_labels"] = ctes(**REL) + """select doc_id, col_no,
   concat_ws(' ', nullif(week_label, ''), coalesce(nullif(raw_delivery_date, ''), delivery_date)) as label from cols"""
 
 
+def schedule_sheets(spark, folder):
+    t = Documents(spark, folder)
+    return exports.schedule_sheet(t.release_parts(), schedule.derive_dates(t.release_columns(), t.releases(), DEFAULT_YEAR))
+
+
+def _csv(cell):
+    return f"""coalesce(case when regexp_matches({cell}, '[",\r\n]') then '"' || replace({cell}, '"', '""') || '"' else {cell} end, '')"""
+
+
+QUERIES["export_schedule_sheet"] = schedule_sheets
+ORACLE["export_schedule_sheet"] = ctes(**REL) + f""", labelled as (select doc_id, list(concat_ws(' ', nullif(week_label, ''), coalesce(nullif(raw_delivery_date, ''), delivery_date))
+    order by col_no) as labels from cols group by 1)
+select p.doc_id, 0::bigint as line_no, array_to_string(list_transform(list_concat(list_concat(['PO', 'Part Number', 'Description', 'Std Pack'], coalesce(labels, []::varchar[])), ['Total']),
+  lambda c: {_csv("c")}), ',') as line from (select distinct doc_id from p) p left join labelled using (doc_id)
+union all select doc_id, part_no, {_csv("po_number")} || ',' || {_csv("part_number")} || ',' || {_csv("description")} || ',' || coalesce(std_pack::varchar, '') || ',' ||
+  array_to_string(list_concat(list_transform(case when width > 0 then quantities else []::double[] end, lambda q: coalesce(q::varchar, '')),
+    [coalesce(list_sum(given), 0.0)::double::varchar]), ',') from ap"""
+
+
 def release_checks(spark, folder):
     return releases.run(*release_tables(spark, folder))
 

@@ -47,6 +47,7 @@ RELEASE_HEADER = [
     ("Release Number", "release_number"), ("Release Date", "release_date"), ("Received By", "received_by"),
     ("Received At", "received_at"),
 ]
+SCHEDULE_HEAD, SCHEDULE_TOTAL = ["PO", "Part Number", "Description", "Std Pack"], "Total"
 RELEASE_PARTIES = [("Issuer", "issuer"), ("Supplier", "supplier")]
 STATEMENT_HEADER = [
     ("Company Name", "company_name"), ("Bank Name", "bank_name"), ("Account Number", "account_number"),
@@ -128,10 +129,35 @@ def release_header(releases: DataFrame) -> DataFrame:
     return _listed(releases, entries)
 
 
-def release_matrix(parts: DataFrame, columns: DataFrame, width: int) -> DataFrame:
+def release_matrix(parts: DataFrame, columns: DataFrame, width: int | None = None) -> DataFrame:
     return release.wide_form(parts, columns, width)
 
 
+def _cell(c: Column) -> Column:
+    """A CSV cell: empty for a missing value, quoted where it must be."""
+    quoted = F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.coalesce(F.when(c.rlike('[",\r\n]'), quoted).otherwise(c), F.lit(""))
+
+
+def schedule_sheet(parts: DataFrame, columns: DataFrame) -> DataFrame:
+    """(doc_id, line_no, line): the delivery schedule of each release as CSV lines, its own week labels in line 0.
+
+    Releases of any width stand side by side, as a line is one text.
+    """
+    label = F.struct("col_no", "label")
+    labels = release.header_labels(columns).groupBy("doc_id").agg(F.array_sort(F.collect_list(label)).alias("labels"))
+    head = [F.lit(x) for x in SCHEDULE_HEAD]
+    lead, tail = F.array(*head), F.array(F.lit(SCHEDULE_TOTAL))
+    first = (parts.select("doc_id").distinct().join(labels, "doc_id", "left")
+             .withColumn("cells", F.concat(lead, F.coalesce("labels.label", F.array().cast("array<string>")), tail)))
+    rows = release.matrix(parts, columns)
+    own = F.array("po_number", "part_number", "description", shortest_float(F.col("std_pack").cast("double")))
+    body = rows.withColumn("cells", F.concat(own, F.transform("cells", shortest_float), F.array(shortest_float(F.col("total")))))
+    line = F.array_join(F.transform("cells", _cell), ",").alias("line")
+    return first.select("doc_id", F.lit(0).cast("bigint").alias("line_no"), line).unionByName(
+        body.select("doc_id", F.col("part_no").cast("bigint").alias("line_no"), line))
+
+
 def notes(documents: DataFrame, column: str) -> DataFrame:
     """Terms and notes, one row each."""
     return documents.select("doc_id", F.posexplode(column).alias("at", "note")).select(
