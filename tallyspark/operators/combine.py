@@ -4,18 +4,25 @@ Target rows take their turn in index order. At its turn a target looks at the fr
 direction inside the date window; with 1 to ``max_pool`` of them it takes the first pair, else the
 first triple, that adds up to its amount. Pool sizes depend on (statement, direction, day) only,
 so they come from per-day counts, and only pools small enough to be searched are gathered.
+
+Targets further apart than two windows share no pool row, so the days of a lane fall into segments that do not touch. A
+segment of up to ``SEGMENT`` targets is replayed in its order in one task, all such segments in one pass; only larger ones
+go through rounds.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.options import MatchOptions
 from tallyspark.session import cut, has_rows
 
+#: Targets of a segment that is replayed in one task.
+SEGMENT = 512
 _LANE = ["statement_id", "direction"]
 _DAY = [*_LANE, "day"]
 
@@ -97,16 +104,95 @@ def _contenders(targets: DataFrame, pool: DataFrame, options: MatchOptions) -> D
     return active
 
 
-def settle_by_sum(targets: DataFrame, pool: DataFrame, options: MatchOptions = MatchOptions()) -> DataFrame:
+def settle_by_sum(targets: DataFrame, pool: DataFrame, options: MatchOptions = MatchOptions(), segment: int = SEGMENT) -> DataFrame:
     """(statement_id, idx, rows, proximity): each settled target with the rows it consumes.
 
-    Both sides have statement_id, direction, day, idx, cents. Conflicts are resolved in rounds:
-    a target is final once no earlier open target has a use for any row of its first
-    combination, and one with too many rows is passed over once no earlier open target can
-    take any of them.
+    Both sides have statement_id, direction, day, idx, cents.
     """
     most = min(options.max_combination, 3) if options.max_combination >= 2 else 2
-    open_targets = _contenders(targets.dropna(), pool.dropna(), options)
+    contenders = segments(_contenders(targets.dropna(), pool.dropna(), options), 2 * options.tolerance_days)
+    small = F.col("targets") <= segment
+    pairs = _replayed(contenders.filter(small), options.max_pool, most)
+    large = contenders.filter(~small).drop("segment", "targets")
+    if has_rows(large):
+        pairs = pairs.unionByName(_in_rounds(large, options, most))
+    tolerance = float(options.tolerance_days)
+
+    def proximity(row: Column) -> Column:
+        away = F.abs(row.day - F.col("day"))
+        return F.when(away >= options.tolerance_days, 0.0).otherwise(options.date_weight * (1 - away / tolerance))
+
+    total = F.reduce(F.transform("first", proximity), F.lit(0.0), lambda acc, x: acc + x)
+    return pairs.select("statement_id", "idx", F.col("first.idx").alias("rows"),
+                        (total / F.size("first")).alias("proximity"))
+
+
+def segments(targets: DataFrame, reach: int) -> DataFrame:
+    """Targets with the number of their segment in the lane, and how many targets it has.
+
+    Days of targets belong together while the next one is within ``reach``; a lane has one row a day here.
+    """
+    days = targets.groupBy(*_DAY).agg(F.count("*").alias("n"))
+    order = Window.partitionBy(*_LANE).orderBy("day")
+    starts = F.coalesce(F.col("day") - F.lag("day").over(order) > reach, F.lit(True))
+    numbered = days.withColumn("starts", starts).withColumn("segment", F.sum(F.col("starts").cast("int")).over(order))
+    sized = numbered.withColumn("targets", F.sum("n").over(Window.partitionBy(*_LANE, "segment")))
+    return cut(targets.join(sized.select(*_DAY, "segment", "targets"), _DAY))
+
+
+def first_sum(amounts: list[int], target: int, most: int) -> tuple[int, ...] | None:
+    """Places of the first pair, else of the first triple, that adds up to the target, in order of places."""
+    last: dict[int, int] = {}
+    places: dict[int, list[int]] = {}
+    for k, cents in enumerate(amounts):
+        last[cents] = k
+        places.setdefault(cents, []).append(k)
+    for i, cents in enumerate(amounts):
+        if last.get(target - cents, -1) > i:
+            return i, next(j for j in places[target - cents] if j > i)
+    if most >= 3:
+        for i, one in enumerate(amounts):
+            for j in range(i + 1, len(amounts)):
+                third = target - one - amounts[j]
+                if last.get(third, -1) > j:
+                    return i, j, next(k for k in places[third] if k > j)
+    return None
+
+
+def _replayed(targets: DataFrame, max_pool: int, most: int) -> DataFrame:
+    """lane, idx, day, first: whole segments in the order of their targets, one row a segment."""
+    row = F.struct("idx", "day", "cents", "pool")
+    gathered = targets.groupBy(*_LANE, "segment").agg(F.collect_list(row).alias("rows"))
+    kinds = {f.name: f.dataType.simpleString() for f in targets.schema}
+
+    def run(batches):
+        for batch in batches:
+            at, idx, day, first = [], [], [], []
+            for k, rows in enumerate(batch.column("rows")):
+                used: set[int] = set()
+                for t in sorted(rows.as_py(), key=lambda r: r["idx"]):
+                    near = [p for p in t["pool"] if p["idx"] not in used]
+                    found = first_sum([p["cents"] for p in near], t["cents"], most) if 1 <= len(near) <= max_pool else None
+                    if found:
+                        used.update(near[i]["idx"] for i in found)
+                        at.append(k)
+                        idx.append(t["idx"])
+                        day.append(t["day"])
+                        first.append([near[i] for i in found])
+            inner = batch.schema.field("rows").type.value_type
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("statement_id").take(take), batch.column("direction").take(take), pa.array(idx, inner.field("idx").type),
+                 pa.array(day, inner.field("day").type), pa.array(first, inner.field("pool").type)], names=[*_LANE, "idx", "day", "first"])
+
+    return gathered.select(*_LANE, "rows").mapInArrow(
+        run, f"statement_id {kinds['statement_id']}, direction string, idx {kinds['idx']}, day {kinds['day']}, first {kinds['pool']}")
+
+
+def _in_rounds(open_targets: DataFrame, options: MatchOptions, most: int) -> DataFrame:
+    """lane, idx, day, first of large segments. A target is final once no earlier open target has a use for any row of its
+    first combination, and one with too many rows is passed over once no earlier open target can take any of them.
+    """
     settled: list[DataFrame] = []
     while has_rows(open_targets):
         options_now = combinations(F.col("pool"), F.col("cents"), most)
@@ -135,18 +221,7 @@ def settle_by_sum(targets: DataFrame, pool: DataFrame, options: MatchOptions = M
             .withColumn("pool", F.when(F.col("lost").isNull(), F.col("pool")).otherwise(
                 F.filter("pool", lambda p: ~F.array_contains("lost", p.idx))))
             .select(*open_targets.columns))
-    if not settled:
-        settled = [open_targets.select(*_LANE, "idx", "day", F.col("pool").alias("first"))]
-    pairs = reduce(DataFrame.unionByName, [s.select(*_LANE, "idx", "day", "first") for s in settled])
-    tolerance = float(options.tolerance_days)
-
-    def proximity(row: Column) -> Column:
-        away = F.abs(row.day - F.col("day"))
-        return F.when(away >= options.tolerance_days, 0.0).otherwise(options.date_weight * (1 - away / tolerance))
-
-    total = F.reduce(F.transform("first", proximity), F.lit(0.0), lambda acc, x: acc + x)
-    return pairs.select("statement_id", "idx", F.col("first.idx").alias("rows"),
-                        (total / F.size("first")).alias("proximity"))
+    return reduce(DataFrame.unionByName, [s.select(*_LANE, "idx", "day", "first") for s in settled])
 
 
 def combined_score(options: MatchOptions, legs: Column, proximity: Column) -> Column:

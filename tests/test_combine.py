@@ -1,19 +1,20 @@
 import random
+from itertools import combinations
 
 import pytest
 
-from tallyspark.operators.combine import settle_by_sum
+from tallyspark.operators.combine import first_sum, settle_by_sum
 from tallyspark.options import PURCHASE, SALES, MatchOptions
 from tests import sequential
 
 ROW = "statement_id bigint, direction string, day int, idx bigint, cents bigint"
 
 
-def run(spark, cases, options):
+def run(spark, cases, options, segment=512):
     def frame(side):
         return spark.createDataFrame(
             [(s, r["direction"], r["day"], r["idx"], r["cents"]) for s, c in enumerate(cases) for r in c[side]], ROW)
-    got = {(r.statement_id, r.idx): tuple(r.rows) for r in settle_by_sum(frame(0), frame(1), options).collect()}
+    got = {(r.statement_id, r.idx): tuple(r.rows) for r in settle_by_sum(frame(0), frame(1), options, segment).collect()}
     want = {(s, i): combo for s, c in enumerate(cases)
             for i, combo in sequential.settle_by_sum(c[0], c[1], options).items()}
     assert got == want
@@ -29,8 +30,25 @@ def make(seed, n_targets, n_pool, days):
     return rows(n_targets, 2, 14), rows(n_pool, 1, 8)
 
 
-def test_conflicting_pools(spark):
-    assert run(spark, [make(s, 12, 14, 20) for s in range(6)], MatchOptions())
+@pytest.mark.parametrize("segment", [512, 3, 0])
+def test_conflicting_pools(spark, segment):
+    assert run(spark, [make(s, 12, 14, 20) for s in range(6)], MatchOptions(), segment)
+
+
+def test_segments_do_not_touch(spark):
+    """Many far apart days in one lane are one pass, whatever their number, and equal the sequential order."""
+    case = make(9, 80, 260, 500)
+    assert run(spark, [case], MatchOptions())
+    assert run(spark, [case], MatchOptions(), 2)
+
+
+def test_first_sums_are_those_of_all_combinations():
+    rng = random.Random(4)
+    for _ in range(400):
+        amounts, target = [rng.randint(-3, 9) for _ in range(rng.randint(0, 9))], rng.randint(0, 20)
+        for most in (2, 3):
+            want = next((c for n in range(2, most + 1) for c in combinations(range(len(amounts)), n) if sum(amounts[i] for i in c) == target), None)
+            assert first_sum(amounts, target, most) == want
 
 
 def test_pools_that_only_become_small_enough_at_their_turn(spark):
