@@ -6,7 +6,9 @@ from catalog.views import sql
 from tallyspark.functions import text
 from tallyspark.operators import intake, pages, statement_merge, store
 from tallyspark.sources import records as r
+from tallyspark.session import run_path
 from tallyspark.sources import tabular
+from tallyspark.sources.keyed import KeyedTable
 from tallyspark.sources.records import Records
 
 QUERIES, ORACLE = {}, {}
@@ -95,6 +97,34 @@ def abandoned_documents_failed(spark, folder):
     return store.reaped_documents(docs(spark, folder)).select("doc_id", "status")
 
 
+def _kept(spark, rows, *keys):
+    """Rows as the first version of a stored table."""
+    table = KeyedTable(spark, run_path(spark, "kept"), rows.schema, keys)
+    table.change(1, rows)
+    return table
+
+
+@register("stale_pending_stored", ORACLE["stale_pending_purged"])
+def stale_pending_stored(spark, folder):
+    table = _kept(spark, Records(spark, folder).records(r.CONNECTIONS, "customer"), "connection_id")
+    store.purge_stale_pending(table, 2, F.lit("2024-01-01 00:30:00").cast("timestamp"))
+    return table.read().select("connection_id", "status")
+
+
+@register("interrupted_runs_stored", ORACLE["interrupted_runs_closed"])
+def interrupted_runs_stored(spark, folder):
+    table = _kept(spark, Records(spark, folder).records(r.RUNS, "events"), "run_id")
+    store.reap_runs(table, 2, F.lit("2024-02-01"))
+    return table.read().select("run_id", "status", "error_message", "finished_at")
+
+
+@register("abandoned_documents_stored", ORACLE["abandoned_documents_failed"])
+def abandoned_documents_stored(spark, folder):
+    table = _kept(spark, docs(spark, folder), "doc_id")
+    store.reap_documents(table, 2)
+    return table.read().select("doc_id", "status")
+
+
 @register("latest_extraction", ctes(x=r.EXTRACTIONS) + "select doc_id, id, created_at, invoice_json from (" + LATEST.format(t="x", k="doc_id") + ")")
 def latest_extraction(spark, folder):
     rows = Records(spark, folder).records(r.EXTRACTIONS, "orders")
@@ -143,6 +173,14 @@ def review_submit(spark, folder):
     return store.submitted(fin, cor, ex, va)
 
 
+@register("review_submit_stored", ORACLE["review_submit"])
+def review_submit_stored(spark, folder):
+    ex, va, _, _, fin, cor = stored(spark, folder)
+    table = _kept(spark, fin, "doc_id")
+    store.submit(table, 2, cor, ex, va)
+    return table.read()
+
+
 @register("export_output", ctes(**STORED) + """select doc_id, coalesce(f.invoice, e.j) as output, case when f.invoice is not null then 'final' else 'extraction' end as origin
 from docs left join fin f using (doc_id) left join (select doc_id, coalesce(nullif(invoice_json, ''), '{}') as j from ex) e using (doc_id)
 where coalesce(f.invoice, e.j) is not null""")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.text import country_code, is_blank
 from tallyspark.session import cut
+from tallyspark.sources.keyed import KeyedTable
 
 # ---- fixed values -----------------------------------------------------------
 TERMINAL = ["VALID", "INVALID", "NEEDS_REVIEW", "COMPLETED", "FAILED"]
@@ -107,8 +108,11 @@ def reaped_runs(runs: DataFrame, now: Column) -> DataFrame:
 
 
 def reaped_documents(documents: DataFrame) -> DataFrame:
-    stuck = (F.coalesce("source", F.lit("")) == "CONNECTOR") & F.col("status").isin(ABANDONED)
-    return documents.withColumn("status", F.when(stuck, "FAILED").otherwise(F.col("status")))
+    return documents.withColumn("status", F.when(_abandoned(), "FAILED").otherwise(F.col("status")))
+
+
+def _abandoned() -> Column:
+    return (F.coalesce("source", F.lit("")) == "CONNECTOR") & F.col("status").isin(ABANDONED)
 
 
 def given(raw: Column, empty: str) -> Column:
@@ -148,11 +152,8 @@ def review(documents: DataFrame, pages: DataFrame, extractions: DataFrame, valid
         given(F.col("errors_json"), "[]").alias("errors"))
 
 
-def submitted(finals: DataFrame, corrections: DataFrame, extractions: DataFrame, validations: DataFrame) -> DataFrame:
-    """Final outputs after a batch of reviews: one row per document, a new one replaces the old.
-
-    ``corrections``: doc_id, corrected_invoice (JSON text), submitted_at.
-    """
+def submissions(corrections: DataFrame, extractions: DataFrame, validations: DataFrame) -> DataFrame:
+    """The final output of each reviewed document. ``corrections``: doc_id, corrected_invoice (JSON text), submitted_at."""
     ex = latest(extractions, ["doc_id"], ["created_at", "id"])
     va = latest(validations, ["doc_id"], ["created_at", "id"]).withColumnRenamed("status", "validation_status")
     built = (corrections.join(ex.select("doc_id", "invoice_json", "confidence_json"), "doc_id", "left")
@@ -162,10 +163,40 @@ def submitted(finals: DataFrame, corrections: DataFrame, extractions: DataFrame,
                      F.coalesce("validation_status", F.lit("PENDING")).alias("validation_status"),
                      F.coalesce(F.get_json_object("invoice_json", "$.metadata"), F.lit("{}")).alias("metadata"),
                      "submitted_at"))
-    new = latest(built, ["doc_id"], ["submitted_at"])
+    return latest(built, ["doc_id"], ["submitted_at"])
+
+
+def submitted(finals: DataFrame, corrections: DataFrame, extractions: DataFrame, validations: DataFrame) -> DataFrame:
+    """Final outputs after a batch of reviews: one row per document, a new one replaces the old."""
+    new = submissions(corrections, extractions, validations)
     return finals.join(new.select("doc_id"), "doc_id", "left_anti").unionByName(new)
 
 
+def submit(finals: KeyedTable, version: int, corrections: DataFrame, extractions: DataFrame, validations: DataFrame) -> None:
+    """The same on a stored table: only the buckets of reviewed documents are read and written."""
+    finals.change(version, submissions(corrections, extractions, validations))
+
+
+def purge_stale_pending(connections: KeyedTable, version: int, now: Column, minutes: int = 10) -> None:
+    """Remove stale pending connections from a stored table."""
+    table = connections.read()
+    kept = without_stale_pending(table, now, minutes)
+    gone = table.select(*connections.keys).join(kept.select(*connections.keys), list(connections.keys), "left_anti")
+    connections.change(version, table.limit(0), removed=gone)
+
+
+def reap_runs(runs: KeyedTable, version: int, now: Column) -> None:
+    """Close interrupted runs of a stored table; buckets without one keep their files."""
+    runs.change(version, reaped_runs(runs.read().filter("status = 'RUNNING'"), now))
+
+
+def reap_documents(documents: KeyedTable, version: int) -> None:
+    """Fail abandoned documents of a stored table; buckets without one keep their files."""
+    table = documents.read()
+    failed = reaped_documents(table.filter(_abandoned()))
+    documents.change(version, failed)
+
+
 def export_json(documents: DataFrame, finals: DataFrame, extractions: DataFrame) -> DataFrame:
     """The corrected output of each document, else its newest extraction; documents with neither are left out."""
     ex = latest(extractions, ["doc_id"], ["created_at", "id"]).select("doc_id", given(F.col("invoice_json"), "{}").alias("_ex"))

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallyspark.session import cut, folders, remove
 
@@ -23,11 +24,11 @@ _BUCKET = "_bucket"
 
 @dataclass(frozen=True)
 class KeyedTable:
-    """``schema`` in DDL form without the bucket; ``keys`` are never null in a row that is stored."""
+    """``schema`` as a type or in DDL form, without the bucket; ``keys`` are never null in a row that is stored."""
 
     spark: SparkSession
     path: str
-    schema: str
+    schema: StructType | str
     keys: tuple[str, ...]
     buckets: int = 64
 
