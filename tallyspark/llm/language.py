@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyspark.llm.text import LOWER, Chunk, each_chunk, kind_of, table_of
+from tallyspark.session import cut
 
 #: Documents of each language, and of all languages together, that the fit may use, as expected numbers.
 PER_LANGUAGE, ALL_LANGUAGES = 500, 4000
@@ -156,17 +157,15 @@ def calibrate(model: Model, bags: list, answers: np.ndarray) -> None:
 
 def train(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> Model | None:
     """Fit on a hash sample of the rows where `learn` holds and lang is not null."""
-    labelled = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    labelled = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     labelled = labelled.where(F.col("text").rlike("[A-Za-z\\x{80}-\\x{10FFFF}]"))  # others have nothing to learn from
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
-    languages = sorted(counts)
+    counted = cut(labelled.groupBy("lang").agg(F.count("*").alias("n")))
+    languages = sorted(r["lang"] for r in counted.select("lang").collect())  # one row a language
     if not languages:
         return None
     per_language = max(min(per_language, ALL_LANGUAGES / len(languages)), LEAST_SAMPLE)
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language sample")), F.lit(1 << 30)) / float(1 << 30)
-    limit = F.lit(0.0)
-    for x in languages:
-        limit = F.when(F.col("lang") == x, min(1.0, per_language / counts[x])).otherwise(limit)
+    sampled = labelled.join(counted.withColumnRenamed("n", "rows_of_lang"), "lang").where(place < F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("rows_of_lang")))
 
     def kernel(chunk: Chunk) -> pa.RecordBatch:
         grams, first, _ = subwords(chunk)
@@ -174,13 +173,13 @@ def train(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> M
         return table_of(["doc_id", "lang", "grams", "counts"], [None, None, pa.list_(pa.int32()), pa.list_(pa.int32())],
                         [chunk.ids, chunk.kept["lang"], [g for g, _ in bags], [c for _, c in bags]])
 
-    sample = each_chunk(labelled.where(place < limit), kernel, f"doc_id {kind_of(docs)}, lang string, grams array<int>, counts array<int>", keep=["lang"]).toArrow()
+    sample = each_chunk(sampled, kernel, f"doc_id {kind_of(docs)}, lang string, grams array<int>, counts array<int>", keep=["lang"]).toArrow()
     rows = sorted(((i, k) for k, i in enumerate(sample.column("doc_id").to_pylist())))
-    grams, counted, langs = sample.column("grams"), sample.column("counts"), sample.column("lang").to_pylist()
+    grams, uses, langs = sample.column("grams"), sample.column("counts"), sample.column("lang").to_pylist()
     bags, answers = [], []
     for _, k in rows:
         if len(grams[k].values):
-            bags.append((grams[k].values.to_numpy(), counted[k].values.to_numpy().astype(np.float64)))
+            bags.append((grams[k].values.to_numpy(), uses[k].values.to_numpy().astype(np.float64)))
             answers.append(languages.index(langs[k]))
     return fit(bags, np.array(answers), languages) if bags else None
 

@@ -8,10 +8,13 @@ is the run of ANCHOR words in it with the least hash, so equal windows have equa
 same anchor, as one span of words. Then, in Spark:
 
 1. Anchors that occur in a single document cannot lie in a repeated window: their blocks are literals and drop out.
-2. A document is factored greedily against the index: each block whose span occurs in a smaller document continues the current
-   factor, and all its windows are duplicates.
-3. At factor boundaries, the blocks left over (the first documents of their spans among them, which stand for all others) give
-   their single windows, and each is compared with the smallest document that holds the same words.
+2. Every other block is looked up in the index, which answers with the place of its span in the smallest document that has it,
+   and ships the spans of the SHIPPED blocks after that place.
+3. A task parses each document greedily: a factor begins at the first block that a smaller document holds, and goes on as long as
+   the reference does, block by block, by what was shipped and by what the next blocks' own answers say of the same reference.
+   Factors are (start, words, reference document, reference start); each has WINDOW words at least and is a duplicate span.
+4. At factor boundaries stand blocks that no smaller document holds as a whole (the first documents of their spans among them). Their
+   single windows are compared with the smallest document that holds the same words.
 
 So the result is exact, while long copies and frequent passages cost one row per block. Hashes: a span is told apart by 64 bits
 of all its words and 64 bits of its anchor. Frequent anchors, spans and windows are aggregated before they are shuffled and joined
@@ -28,13 +31,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyspark.llm.text import NOT_SPACE, Chunk, each_chunk, kind_of, mix, ragged, signed, table_of, window_hashes, window_rows, word_hashes
 from tallyspark.session import cut, discard
 
 WINDOW = 50
 ANCHOR = 10
+#: Blocks after a reference place whose spans the index ships with it.
+SHIPPED = 4
 _BASE = 0xD6E8FEB86659FD93
 
 
@@ -119,32 +124,92 @@ def _boundary_windows(docs: DataFrame, left_over: DataFrame, window: int) -> Dat
     return each_chunk(joined, kernel, f"anchor long, span long, doc_id {kind_of(docs)}, key long, start int", keep=["key", "blocks"])
 
 
-def _copied(rows: DataFrame, how: str) -> DataFrame:
-    """Rows with the smallest doc_id that has the same anchor and span, if several documents have them (`how`: left or inner).
-
-    What repeats is few and is written first: joined from a table, a span with very many rows can be split.
-    """
+def _copied(rows: DataFrame) -> DataFrame:
+    """Rows with the smallest doc_id that has the same anchor and span, if several documents have them. What repeats is written first."""
     repeated = rows.groupBy("anchor", "span").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where(F.col("least") < F.col("most"))
-    return rows.join(cut(repeated.drop("most")), ["anchor", "span"], how)
+    return rows.join(cut(repeated.drop("most")), ["anchor", "span"])
+
+
+def _parse(own: int, blocks: list[dict], window: int) -> tuple[list[tuple], list[dict]]:
+    """Greedy parse of one document's blocks, in order: factors (start, words, reference, reference start), and blocks left over."""
+    factors, left_over = [], []
+    at = 0
+    while at < len(blocks):
+        first = blocks[at]
+        reference, begin = first["least"], first["least_start"]
+        if reference is None or reference >= own:
+            left_over.append(first)
+            at += 1
+            continue
+        shipped, end = first["shipped"], first["start"] + first["count"]
+        at += 1
+        while at < len(blocks) and blocks[at]["start"] == end:
+            block = blocks[at]
+            if block["least"] == reference and block["least_start"] == begin + end - first["start"]:
+                shipped = block["shipped"]  # its own answer is the same reference, and ships further
+            elif shipped and shipped[0] == block["span"]:
+                shipped = shipped[1:]
+            else:
+                break
+            end = block["start"] + block["count"]
+            at += 1
+        factors.append((first["start"], end - first["start"] + window - 1, reference, begin))
+    return factors, left_over
+
+
+def _parsed(docs: DataFrame, window: int) -> DataFrame:
+    """doc_id, key, factors (start, words, reference, reference_start), left_over (start, count) of documents with repeated anchors."""
+    blocks = cut(reference_blocks(docs, window))
+    repeated = (blocks.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+                .where(F.col("least") < F.col("most")).select("anchor"))
+    candidates = cut(blocks.join(cut(repeated), "anchor", "left_semi"))
+    discard(blocks)
+    order = Window.partitionBy("doc_id", "key").orderBy("start")
+    ends = F.col("start") + F.col("count")
+    island = candidates.withColumn("joins", F.coalesce(F.lag(ends).over(order) == F.col("start"), F.lit(False)))
+    run = island.withColumn("run", F.sum((~F.col("joins")).cast("int")).over(order))
+    after = Window.partitionBy("doc_id", "key", "run").orderBy("start")
+    placed = run.withColumn("shipped", F.collect_list("span").over(after.rowsBetween(1, SHIPPED)))
+    answers = (placed.groupBy("anchor", "span").agg(F.min(F.struct("doc_id", "start", "shipped")).alias("r"), F.max("doc_id").alias("most"))
+               .where(F.col("r.doc_id") < F.col("most")).select("anchor", "span", "r"))
+    # what repeats is few and is written first: joined from a table, a span with very many rows can be split
+    known = candidates.join(cut(answers), ["anchor", "span"], "left")
+    block = F.struct("start", "count", "span", F.col("r.doc_id").alias("least"), F.col("r.start").alias("least_start"), F.col("r.shipped").alias("shipped"))
+    gathered = known.groupBy("doc_id", "key").agg(F.collect_list(block).alias("blocks"))
+    kind = kind_of(docs)
+    factor = f"struct<start:int,words:int,reference:{kind},reference_start:int>"
+
+    def run_all(batches):
+        for batch in batches:
+            factors, left_over = [], []
+            for own, found in zip(batch.column("doc_id").to_pylist(), batch.column("blocks")):
+                mine, rest = _parse(own, sorted(found.as_py(), key=lambda b: b["start"]), window)
+                factors.append([dict(zip(("start", "words", "reference", "reference_start"), f)) for f in mine])
+                left_over.append([{"start": b["start"], "count": b["count"]} for b in rest])
+            own = batch.schema.field("doc_id").type
+            shape = pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32()), ("reference", own), ("reference_start", pa.int32())]))
+            yield table_of(["doc_id", "key", "factors", "left_over"], [None, None, shape, pa.list_(pa.struct([("start", pa.int32()), ("count", pa.int32())]))],
+                           [batch.column("doc_id"), batch.column("key"), factors, left_over])
+
+    return cut(gathered.mapInArrow(run_all, f"doc_id {kind}, key long, factors array<{factor}>, left_over array<struct<start:int,count:int>>"))
+
+
+def factors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, key, start, words, reference, reference_start: the factors of every document, words counted from 0."""
+    known = docs.where(F.col("doc_id").isNotNull())
+    return _parsed(known, window).select("doc_id", "key", F.inline("factors"))
 
 
 def duplicate_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, key, spans: runs (start, count) of windows that also start in a smaller document, in no order."""
     known = docs.where(F.col("doc_id").isNotNull())
-    blocks = cut(reference_blocks(known, window))
-    repeated = (blocks.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-                .where(F.col("least") < F.col("most")).select("anchor"))
-    candidates = cut(blocks.join(cut(repeated), "anchor", "left_semi"))
-    discard(blocks)
-    copied = F.coalesce(F.col("least") < F.col("doc_id"), F.lit(False))
-    parsed = cut(_copied(candidates, "left").select("doc_id", "key", "start", "count", copied.alias("copied")))
-    run = F.struct("start", "count")
-    left_over = parsed.where(~F.col("copied")).groupBy("doc_id", "key").agg(F.collect_list(run).alias("blocks"))
+    parsed = _parsed(known, window)
+    left_over = parsed.where(F.size("left_over") > 0).select("doc_id", "key", F.col("left_over").alias("blocks"))
     windows = cut(_boundary_windows(known, left_over, window))
-    single = cut(_copied(windows, "inner").where(F.col("least") < F.col("doc_id")).select("doc_id", "key", "start", F.lit(1).alias("count")))
-    discard(candidates, windows)
-    return (parsed.where("copied").select("doc_id", "key", "start", "count").union(single)
-            .groupBy("doc_id", "key").agg(F.collect_list(run).alias("spans")))
+    single = cut(_copied(windows).where(F.col("least") < F.col("doc_id")).select("doc_id", "key", "start", F.lit(1).alias("count")))
+    discard(windows)
+    copied = parsed.select("doc_id", "key", F.inline("factors")).select("doc_id", "key", "start", (F.col("words") - window + 1).alias("count"))
+    return copied.union(single).groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "count")).alias("spans"))
 
 
 def _kept_words(body: bytes, starts: np.ndarray, counts: np.ndarray, window: int) -> tuple[list[bytes], int]:

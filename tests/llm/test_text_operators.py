@@ -120,6 +120,45 @@ def test_mixing_meets_targets_and_never_doubles_twice(spark, odd, none):
     assert mixing.mix(none).count() == 0
 
 
+def plain_mix(rows):
+    """Targets by resharing in a loop, and copies by hashes in order: rows of (source, hash, size)."""
+    sources = sorted({r[0] for r in rows}, key=lambda s: (s is None, s or ""))
+    weight = {s: mixing.WEIGHTS[k % 3] for k, s in enumerate(sources)}
+    size = {s: sum(r[2] for r in rows if r[0] == s) for s in sources}
+    total, target, free = 1.5 * sum(size.values()), {}, set(sources)
+    while free:
+        share = (total - sum(target.values())) / sum(weight[s] for s in free)
+        full = {s for s in free if weight[s] * share > 2 * size[s]}
+        for s in full or free:
+            target[s] = 2.0 * size[s] if s in full else weight[s] * share
+        free -= full or free
+    copies = {}
+    for s in sources:
+        whole, rest = divmod(target[s], size[s]) if size[s] else (0, 0)
+        below, limit, own = 0, 0, sorted({r[1] for r in rows if r[0] == s and r[2]})
+        for h in own if rest > 1e-9 else []:
+            upto = below + sum(r[2] for r in rows if r[0] == s and r[1] == h)
+            if upto > rest:
+                limit = h + 1 if abs(upto - rest) < abs(below - rest) else h
+                break
+            below = upto
+        copies[s] = (int(whole), limit)
+    return target, copies
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_mixing_against_a_plain_resharing_and_thresholds(spark, seed):
+    rnd = random.Random(seed)
+    names = [None, "", "a", "b", "B", "é", "c", "d"][:3 + seed * 2]
+    rows = [(rnd.randrange(400), "w " * rnd.choice([0, 1, 3, 9, 40, 900 if rnd.random() < 0.02 else 5]), rnd.choice(names[:2] + names)) for _ in range(500)]
+    docs = spark.createDataFrame([*rows, *rows[:40]], "doc_id long, text string, source string")
+    got = [(r["source"], r["hash"], r["size"], r["target"], r["copies"], r["taken"]) for r in mixing.mix(docs).collect()]
+    target, copies = plain_mix([g[:3] for g in got])
+    for source, h, size, aim, n, taken in got:
+        whole, limit = copies[source]
+        assert aim == pytest.approx(target[source]) and n == whole + (h < limit) and taken == n * size
+
+
 def test_a_small_source_is_doubled_and_its_excess_reshared(spark):
     docs = spark.createDataFrame([(i, "w " * 10, s) for i, s in enumerate(["a"] + ["b"] * 50 + [None] * 50)], "doc_id long, text string, source string")
     target = {r["source"]: r["target"] for r in mixing.mix(docs).select("source", "target").distinct().collect()}
@@ -191,6 +230,54 @@ def base_places(text):
     return len(words), len(places), places[0] if places else None, places[-1] if places else None, ",".join(sorted(found))
 
 
+def plain_template_spans(text, template):
+    """(first word, last word, coverage) of the matches of one long template, by comparing all grams."""
+    k = licenses.LONG_GRAM
+    words, of = ALNUM.findall(lowered(text)), ALNUM.findall(lowered(template))
+    n = len(of) - k + 1
+    votes = {}
+    for i in range(len(words) - k + 1):
+        for p in range(n):
+            if words[i:i + k] == of[p:p + k]:
+                votes.setdefault(i - p, set()).add(p)
+    groups, last = [], None
+    for diagonal in sorted(votes):
+        if last is None or diagonal - last > licenses.MERGE_DISTANCE:
+            groups.append((diagonal, diagonal, set()))
+        low, _, places = groups[-1]
+        groups[-1] = (low, diagonal, places | votes[diagonal])
+        last = diagonal
+    return sorted((max(low + min(places), 0), high + max(places) + k - 1, len(places) / n) for low, high, places in groups if len(places) / n >= licenses.COVERAGE)
+
+
+def test_long_templates_against_all_grams(spark):
+    rnd = random.Random(6)
+    templates = [t for t in licenses.TEMPLATES if len(ALNUM.findall(lowered(t))) > licenses.PHRASE_WORDS]
+    texts = []
+    for _ in range(120):
+        words = prose(rnd.random(), rnd.randint(0, 12)).split()
+        for _ in range(rnd.randint(1, 3)):
+            piece = rnd.choice(templates).upper().split() if rnd.random() < 0.3 else rnd.choice(templates).split()
+            a = rnd.randint(0, len(piece) // 3)
+            piece = piece[a:rnd.randint(len(piece) // 2, len(piece))]
+            for _ in range(rnd.randint(0, 2)):  # words changed, dropped and added
+                at = rnd.randrange(max(len(piece), 1))
+                piece[at:at + 1] = rnd.choice([[], ["other"], piece[at:at + 1] + ["more"]])
+            words += piece + prose(rnd.random(), rnd.randint(0, 8)).split()
+        texts.append(" ".join(words))
+    found = {}
+    number = {t: k for k, t in enumerate([*licenses.BASE, *licenses.TEMPLATES])}
+    for r in licenses.matches(made(spark, texts).withColumn("key", F.xxhash64("text"))).collect():
+        found.setdefault((r["doc_id"], r["template"]), []).append((r["first_word"], r["last_word"], r["coverage"]))
+    hits = 0
+    for i, text in enumerate(texts):
+        for t in templates:
+            want = plain_template_spans(text, t)
+            assert sorted(found.get((i, number[t]), [])) == [(a, b, pytest.approx(c)) for a, b, c in want], (i, t)
+            hits += len(want)
+    assert hits > 50
+
+
 def test_license_places(spark, odd, none):
     bits = ["MIT License", "mit", "License", "CC-BY", "cc by", "Apache License", "GNU General Public License", "general public", "x", "\n", "é"]
     rnd = random.Random(2)
@@ -398,6 +485,21 @@ def test_substrings_against_all_windows(spark, seed):
         assert r["kept_sha256"] == hashlib.sha256(" ".join(kept).encode()).hexdigest()
 
 
+def test_documents_are_parsed_into_factors(spark):
+    """Long copies are one factor each, with the reference they come from; every factor is what it says."""
+    long, other = prose(70, 400).split(), prose(71, 300).split()
+    texts = [long, other, prose(72, 30).split() + long[50:350] + prose(73, 20).split() + other[10:200],
+             long[:200] + other[100:], long[20:45] + prose(74, 60).split()]
+    rows = [" ".join(t) for t in texts]
+    got = sorted((r["doc_id"], r["start"], r["words"], r["reference"], r["reference_start"]) for r in substrings.factors(made(spark, rows)).collect())
+    for doc, start, words, reference, begin in got:
+        assert reference < doc and words >= substrings.WINDOW and texts[doc][start:start + words] == texts[reference][begin:begin + words]
+    assert {g[0] for g in got} == {2, 3}
+    # only blocks cut by a factor's ends are left to single windows: a factor misses less than a window at each end
+    assert [(g[0], g[3]) for g in got] == [(2, 0), (2, 1), (3, 0), (3, 1)]
+    assert all(words > whole - 2 * substrings.WINDOW for (_, _, words, _, _), whole in zip(got, (300, 190, 200, 200)))
+
+
 def test_substrings_of_odd_rows(spark, odd, none):
     rows = substrings.digests(odd).collect()
     assert len(rows) == ROWS
