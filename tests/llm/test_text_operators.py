@@ -254,7 +254,7 @@ def test_long_templates_against_all_grams(spark):
     rnd = random.Random(6)
     templates = [t for t in licenses.TEMPLATES if len(ALNUM.findall(lowered(t))) > licenses.PHRASE_WORDS]
     texts = []
-    for _ in range(120):
+    for _ in range(240):
         words = prose(rnd.random(), rnd.randint(0, 12)).split()
         for _ in range(rnd.randint(1, 3)):
             piece = rnd.choice(templates).upper().split() if rnd.random() < 0.3 else rnd.choice(templates).split()
