@@ -87,7 +87,11 @@ def _day_month_year(s: Column) -> tuple[Column, Column, Column]:
 
 
 def iso_date(raw: Column) -> Column:
-    """Canonical ``YYYY-MM-DD`` text; day 1-31 and month 1-12 are the only range checks."""
+    """Canonical ``YYYY-MM-DD`` text; day 1-31 and month 1-12 are the only range checks.
+
+    Text in none of these layouts is read by OTHER_TIMESTAMP_FORMATS, and by nothing else: the free forms that a browser's own
+    date parser guesses at (``Apr 9`` without a year, say) are null here.
+    """
     s = trimmed(raw)
     day, month, year = _day_month_year(s)
     full_year = F.when(F.length(year) == 2, 2000 + _int(year)).otherwise(_int(year))

@@ -11,6 +11,17 @@ from tallyspark.functions.values import half_up
 PAGE_BREAK = "\n\n--- PAGE BREAK ---\n\n"
 LOW_CONFIDENCE = {"TESSERACT": 60.0, "PADDLEOCR": 0.70}
 VISION = "OPENAI_VISION_LLM"
+LEVELS = [(40, "SIMPLE"), (60, "MEDIUM"), (80, "HIGH")]
+HIGHEST_LEVEL = "VERY_HIGH"
+# measured feature: (limit, points beyond it, reason), the first that applies
+LINE_COUNT = [(6, 20.0, "complex_table_structure"), (2, 10.0, "simple_table_structure")]
+DARK_RATIO = [(0.15, 15.0, "high_text_density"), (0.08, 8.0, "medium_text_density")]
+SHARPNESS_BELOW = [(100, 20.0, "possible_handwriting_or_low_quality"), (300, 10.0, "moderate_image_quality")]
+REGION_COUNT = [(200, 20.0, "many_distinct_regions"), (80, 10.0, "moderate_regions")]
+COLUMN_GAPS = (1, 15.0, 3, "multi_column_layout")
+SMALL_PAGE = (800, 600, 10.0, "low_resolution")
+UNREADABLE_PAGE = (20.0, "unreadable_page")
+MOST_POINTS = 100.0
 SA_KEYWORDS = [
     "SHIPPING AUTHORIZATION", "DELIVERY RELEASE", "PLANNING RELEASE", "MATERIAL RELEASE", "STD PACK",
     "SUPPLIER CODE", "DELIVERY DATE", "SHIP DATE",
@@ -78,36 +89,37 @@ def vision_retry_candidates(documents: DataFrame) -> DataFrame:
 
 
 def level(score: Column) -> Column:
-    return F.when(score <= 40, "SIMPLE").when(score <= 60, "MEDIUM").when(score <= 80, "HIGH").otherwise("VERY_HIGH")
+    named = F.lit(HIGHEST_LEVEL)
+    for limit, name in reversed(LEVELS):
+        named = F.when(score <= limit, name).otherwise(named)
+    return named
 
 
 def page_scores(features: DataFrame) -> DataFrame:
     """Score and reason tags of each page from its measured features; null width means unreadable."""
-    def graded(column: str, *steps: tuple[Column, float, str]) -> tuple[Column, Column]:
+    def graded(steps: list[tuple[float, float, str]], beyond) -> tuple[Column, Column]:
         points, tag = F.lit(0.0), F.lit(None).cast("string")
-        for condition, worth, name in reversed(steps):
-            points = F.when(condition, worth).otherwise(points)
-            tag = F.when(condition, name).otherwise(tag)
+        for limit, worth, name in reversed(steps):
+            points = F.when(beyond(limit), worth).otherwise(points)
+            tag = F.when(beyond(limit), name).otherwise(tag)
         return points, tag
 
-    lines, dark, gaps = F.col("line_count"), F.col("dark_ratio"), F.col("gap_regions")
-    sharp, regions = F.col("laplacian_var"), F.col("region_count")
+    gaps, (few, worth, most, columns) = F.col("gap_regions"), COLUMN_GAPS
+    width, height, size_worth, small = SMALL_PAGE
     parts = [
-        graded("lines", (lines > 6, 20.0, "complex_table_structure"), (lines > 2, 10.0, "simple_table_structure")),
-        graded("dark", (dark > 0.15, 15.0, "high_text_density"), (dark > 0.08, 8.0, "medium_text_density")),
-        (F.when(gaps > 1, 15 * F.least(gaps / 3, F.lit(1.0))).otherwise(0.0),
-         F.when(gaps > 1, "multi_column_layout")),
-        graded("sharp", (sharp < 100, 20.0, "possible_handwriting_or_low_quality"),
-               (sharp < 300, 10.0, "moderate_image_quality")),
-        graded("regions", (regions > 200, 20.0, "many_distinct_regions"), (regions > 80, 10.0, "moderate_regions")),
-        graded("size", ((F.col("width") < 800) | (F.col("height") < 600), 10.0, "low_resolution")),
+        graded(LINE_COUNT, lambda x: F.col("line_count") > x),
+        graded(DARK_RATIO, lambda x: F.col("dark_ratio") > x),
+        (F.when(gaps > few, worth * F.least(gaps / most, F.lit(1.0))).otherwise(0.0), F.when(gaps > few, columns)),
+        graded(SHARPNESS_BELOW, lambda x: F.col("laplacian_var") < x),
+        graded(REGION_COUNT, lambda x: F.col("region_count") > x),
+        graded([(width, size_worth, small)], lambda x: (F.col("width") < x) | (F.col("height") < height)),
     ]
-    score = F.least(sum((p for p, _ in parts[1:]), parts[0][0]), F.lit(100.0))
+    score = F.least(sum((p for p, _ in parts[1:]), parts[0][0]), F.lit(MOST_POINTS))
     readable = F.col("width").isNotNull()
     return features.select(
-        "doc_id", "page", F.when(readable, score).otherwise(20.0).alias("score"),
+        "doc_id", "page", F.when(readable, score).otherwise(UNREADABLE_PAGE[0]).alias("score"),
         F.when(readable, F.array_compact(F.array(*[t for _, t in parts])))
-        .otherwise(F.array(F.lit("unreadable_page"))).alias("reasons"))
+        .otherwise(F.array(F.lit(UNREADABLE_PAGE[1]))).alias("reasons"))
 
 
 def document_complexity(documents: DataFrame, scores: DataFrame) -> DataFrame:

@@ -9,6 +9,13 @@ from tallyspark.functions.text import is_blank, trimmed
 from tallyspark.functions.values import iso_date
 from tallyspark.options import PURCHASE, SALES, THREE_WAY
 
+# ---- fixed values -----------------------------------------------------------
+WRONG_TYPE = 'Transaction Type must be "Sales Receipt" or "Purchase Payment"'
+WRONG_INVOICE_DATE, WRONG_INVOICE_AMOUNT = "Invoice Date is not a valid date", "Invoice Amount must be a non-negative number"
+WRONG_LEDGER_DATE, WRONG_LEDGER_AMOUNT = "Ledger Date must be a valid date", "Ledger Amount must be a positive number"
+NO_CODE, NO_NAME, NO_TYPE = "Account Code is required", "Account Name is required", "Account Type is required"
+# -----------------------------------------------------------------------------
+
 
 def _listed(rows: DataFrame, idx: str, problems: list) -> DataFrame:
     listed = F.array(*[F.when(bad, F.struct(F.lit(i).alias("ord"), F.lit(message).alias("error")))
@@ -24,11 +31,11 @@ def ledger_errors(ledger: DataFrame) -> DataFrame:
     invoiced, paid = F.col("invoice_amount"), F.col("ledger_amount")
     return _listed(ledger, "led_idx", [
         (~F.coalesce(F.col("transaction_type").isin(SALES, PURCHASE), F.lit(False)),
-         'Transaction Type must be "Sales Receipt" or "Purchase Payment"'),
-        (bad_date("invoice_date"), "Invoice Date is not a valid date"),
-        (F.isnan(invoiced) | (invoiced < 0), "Invoice Amount must be a non-negative number"),
-        (bad_date("ledger_date"), "Ledger Date must be a valid date"),
-        (F.isnan(paid) | (paid <= 0), "Ledger Amount must be a positive number")])
+         WRONG_TYPE),
+        (bad_date("invoice_date"), WRONG_INVOICE_DATE),
+        (F.isnan(invoiced) | (invoiced < 0), WRONG_INVOICE_AMOUNT),
+        (bad_date("ledger_date"), WRONG_LEDGER_DATE),
+        (F.isnan(paid) | (paid <= 0), WRONG_LEDGER_AMOUNT)])
 
 
 def coa_errors(coa: DataFrame) -> DataFrame:
@@ -36,8 +43,8 @@ def coa_errors(coa: DataFrame) -> DataFrame:
         return F.coalesce(trimmed(F.col(name)), F.lit("")) == ""
 
     return _listed(coa, "coa_idx", [
-        (missing("account_code"), "Account Code is required"), (missing("account_name"), "Account Name is required"),
-        (missing("account_type"), "Account Type is required")])
+        (missing("account_code"), NO_CODE), (missing("account_name"), NO_NAME),
+        (missing("account_type"), NO_TYPE)])
 
 
 def run_gate(bank: DataFrame, ledger: DataFrame, coa: DataFrame, mode: str) -> DataFrame:

@@ -33,6 +33,10 @@ UPLOAD_MIME_TYPES = [
     "application/pdf", "image/jpeg", "image/jpg", "image/png", "image/webp", "image/tiff", "image/bmp",
     "image/heic", "image/heif", "image/heic-sequence", "image/heif-sequence",
 ]
+MISSING_COLUMNS, REJECTED = "Missing required column(s): ", "Row %d: "
+REQUIRED, UNPARSEABLE, NOT_NUMERIC = "%s is required", "%s is unparseable", "%s is not numeric"
+WRONG_TYPE = 'Transaction Type must be "Sales Receipt" or "Purchase Payment"'
+UNSUPPORTED_TYPE, UNKNOWN_TYPE, FAILED_STAGE = "Unsupported file type: ", "unknown", "VALIDATE"
 UPLOAD_SUFFIXES = [".pdf", ".jpg", ".jpeg", ".png", ".webp", ".tiff", ".tif", ".bmp", ".heic", ".heif"]
 # -----------------------------------------------------------------------------
 
@@ -59,12 +63,12 @@ def recognised(sheet: DataFrame, fields: dict) -> tuple[DataFrame, list[str]]:
 def _split(rows: DataFrame, problems: list[Column]) -> tuple[DataFrame, DataFrame]:
     judged = rows.withColumn("_problems", F.array_compact(F.array(*problems)))
     rejected = judged.filter(F.size("_problems") > 0).select(
-        F.col("row_no"), F.concat(F.format_string("Row %d: ", "row_no"), F.array_join("_problems", "; ")).alias("error"))
+        F.col("row_no"), F.concat(F.format_string(REJECTED, "row_no"), F.array_join("_problems", "; ")).alias("error"))
     return judged.filter(F.size("_problems") == 0).drop("_problems"), rejected
 
 
 def _no_rows(rows: DataFrame, missing: list[str]) -> tuple[DataFrame, DataFrame]:
-    message = f"Missing required column(s): {', '.join(missing)}"
+    message = MISSING_COLUMNS + ", ".join(missing)
     one = rows.sparkSession.createDataFrame([(None, message)], "row_no bigint, error string")
     return rows.limit(0), one
 
@@ -78,7 +82,7 @@ def chart_of_accounts(sheet: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows, missing = recognised(sheet, COA_FIELDS)
     if missing:
         return _no_rows(rows, missing)
-    required = [F.when(is_blank(F.col(name)), f"{label} is required")
+    required = [F.when(is_blank(F.col(name)), REQUIRED % label)
                 for name, (label, needed) in COA_FIELDS.items() if needed]
     good, errors = _split(rows, required)
     return good.select("row_no", *[_text(name).alias(name) for name in COA_FIELDS]), errors
@@ -96,14 +100,13 @@ def ledger(sheet: DataFrame) -> tuple[DataFrame, DataFrame]:
         **{f"_{n}": values.sheet_amount(F.col(n)) for n in ("invoice_amount", "ledger_amount")},
     })
 
-    def unreadable(name: str, what: str) -> Column:
-        return F.when(~is_blank(F.col(name)) & F.col(f"_{name}").isNull(), f"{LEDGER_FIELDS[name][0]} is {what}")
+    def unreadable(name: str, message: str) -> Column:
+        return F.when(~is_blank(F.col(name)) & F.col(f"_{name}").isNull(), message % LEDGER_FIELDS[name][0])
 
     good, errors = _split(parsed, [
-        F.when(~F.coalesce(F.col("_kind").isin(TRANSACTION_TYPES), F.lit(False)),
-               'Transaction Type must be "Sales Receipt" or "Purchase Payment"'),
-        unreadable("invoice_date", "unparseable"), unreadable("invoice_amount", "not numeric"),
-        unreadable("ledger_date", "unparseable"), unreadable("ledger_amount", "not numeric")])
+        F.when(~F.coalesce(F.col("_kind").isin(TRANSACTION_TYPES), F.lit(False)), WRONG_TYPE),
+        unreadable("invoice_date", UNPARSEABLE), unreadable("invoice_amount", NOT_NUMERIC),
+        unreadable("ledger_date", UNPARSEABLE), unreadable("ledger_amount", NOT_NUMERIC)])
     return good.select(
         "row_no", F.when(F.col("_kind").isin(SALES_TYPES), SALES).otherwise(PURCHASE).alias("transaction_type"),
         F.coalesce(_text("invoice_no"), F.lit("")).alias("invoice_no"),
@@ -132,9 +135,9 @@ def admission(files: DataFrame) -> DataFrame:
     """Accept a file by its declared type, else by its suffix; the rest fail at stage VALIDATE."""
     mime, ending = F.coalesce("content_type", F.lit("")), suffix(F.coalesce("filename", F.lit("")))
     accepted = mime.isin(UPLOAD_MIME_TYPES) | ending.isin(UPLOAD_SUFFIXES)
-    shown = F.when(mime != "", mime).when(ending != "", ending).otherwise("unknown")
+    shown = F.when(mime != "", mime).when(ending != "", ending).otherwise(UNKNOWN_TYPE)
     return files.withColumns({
         "accepted": accepted,
-        "stage": F.when(~accepted, "VALIDATE"),
-        "error": F.when(~accepted, F.concat(F.lit("Unsupported file type: "), shown)),
+        "stage": F.when(~accepted, FAILED_STAGE),
+        "error": F.when(~accepted, F.concat(F.lit(UNSUPPORTED_TYPE), shown)),
     })
