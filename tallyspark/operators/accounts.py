@@ -29,80 +29,86 @@ def _account(code: str = "account_code", name: str = "account_name", kind: str =
     return F.struct(F.col(code).alias("code"), F.col(name).alias("name"), F.col(kind).alias("type"))
 
 
-def _best_account(candidates: DataFrame, coa: DataFrame, column: str) -> DataFrame:
-    """The account of highest score, the lowest index on ties, for every text of candidates (statement_id, column, score, coa_idx)."""
+def _best_account(candidates: DataFrame, coa: DataFrame, column: str, keys: list[str]) -> DataFrame:
+    """The account of highest score, the lowest index on ties, for every text of candidates (keys, column, score, coa_idx)."""
     best = F.min(F.struct((-F.col("score")).alias("order"), "coa_idx"))
-    found = (candidates.groupBy("statement_id", column).agg(best.alias("best"))
-             .select("statement_id", column, (-F.col("best.order")).alias("score"), "best.coa_idx"))
-    chart = coa.select("statement_id", "coa_idx", _account().alias("account"))
-    return found.join(chart, ["statement_id", "coa_idx"]).select("statement_id", column, "account", "score")
+    found = (candidates.groupBy(*keys, column).agg(best.alias("best"))
+             .select(*keys, column, (-F.col("best.order")).alias("score"), "best.coa_idx"))
+    chart = coa.select(*keys, "coa_idx", _account().alias("account"))
+    return found.join(chart, [*keys, "coa_idx"]).select(*keys, column, "account", "score")
 
 
-def _first(rows: DataFrame, form: Column, name: str) -> DataFrame:
+def _first(rows: DataFrame, form: Column, name: str, keys: list[str]) -> DataFrame:
     """The lowest account index of every non-empty form."""
-    return (rows.select("statement_id", form.alias(name), "coa_idx").filter(F.col(name) != "")
-            .groupBy("statement_id", name).agg(F.min("coa_idx").alias("coa_idx")))
+    return (rows.select(*keys, form.alias(name), "coa_idx").filter(F.col(name) != "")
+            .groupBy(*keys, name).agg(F.min("coa_idx").alias("coa_idx")))
 
 
-def match_by_name(names: DataFrame, coa: DataFrame, options: MatchOptions = MatchOptions()) -> DataFrame:
-    """(statement_id, name, account, score) for the given names that are close enough."""
+def match_by_name(names: DataFrame, coa: DataFrame, options: MatchOptions = MatchOptions(), keys: list[str] = STATEMENT) -> DataFrame:
+    """(keys, name, account, score) for the given names that are close enough; names meet the chart with the same keys."""
     least = options.name_threshold
-    distinct = names.select("statement_id", "name").filter("name <> ''").distinct()
+    distinct = names.select(*keys, "name").filter("name <> ''").distinct()
 
     def forms(c: Column) -> Column:
         return F.explode(F.filter(
             F.array(F.concat(F.lit("p"), text.plain_text(c)), F.concat(F.lit("a"), text.alnum(c))),
             lambda form: F.length(form) > 1)).alias("form")
 
-    first = (coa.select("statement_id", "coa_idx", _account().alias("account"), forms(F.col("account_name")))
-             .groupBy("statement_id", "form").agg(F.min(F.struct("coa_idx", "account")).alias("hit")))
-    equal = (distinct.select("statement_id", "name", forms(F.col("name")))
-             .join(first, ["statement_id", "form"])
-             .groupBy("statement_id", "name").agg(F.min("hit").alias("hit"))
-             .select("statement_id", "name", "hit.account", F.lit(1.0).alias("score")))
-    rest = cut(distinct.join(equal.select("statement_id", "name"), ["statement_id", "name"], "left_anti")
+    first = (coa.select(*keys, "coa_idx", _account().alias("account"), forms(F.col("account_name")))
+             .groupBy(*keys, "form").agg(F.min(F.struct("coa_idx", "account")).alias("hit")))
+    equal = (distinct.select(*keys, "name", forms(F.col("name")))
+             .join(first, [*keys, "form"])
+             .groupBy(*keys, "name").agg(F.min("hit").alias("hit"))
+             .select(*keys, "name", "hit.account", F.lit(1.0).alias("score")))
+    rest = cut(distinct.join(equal.select(*keys, "name"), [*keys, "name"], "left_anti")
                .withColumns({"plain": text.plain_text(F.col("name")), "alnum": text.alnum(F.col("name"))}))
-    accounts = coa.select("statement_id", "coa_idx", text.plain_text(F.col("account_name")).alias("plain"),
+    accounts = coa.select(*keys, "coa_idx", text.plain_text(F.col("account_name")).alias("plain"),
                           text.alnum(F.col("account_name")).alias("alnum"))
-    by_alnum, alnums = _first(accounts, F.col("alnum"), "b"), rest.select("statement_id", F.col("alnum").alias("a"))
+    by_alnum, alnums = _first(accounts, F.col("alnum"), "b", keys), rest.select(*keys, F.col("alnum").alias("a"))
     long = F.length("text") >= text.MIN_WORD_LENGTH, F.length("pattern") >= text.MIN_WORD_LENGTH
     held = similar.containing(alnums.withColumnRenamed("a", "text").filter(long[0]),
-                              by_alnum.select("statement_id", F.col("b").alias("pattern")).filter(long[1]), STATEMENT)
-    holds = similar.containing(by_alnum.select("statement_id", F.col("b").alias("text")).filter(long[0]),
-                               alnums.withColumnRenamed("a", "pattern").filter(long[1]), STATEMENT)
-    contained = (held.select("statement_id", F.col("text").alias("a"), F.col("pattern").alias("b"))
-                 .union(holds.select("statement_id", F.col("pattern").alias("a"), F.col("text").alias("b")))
+                              by_alnum.select(*keys, F.col("b").alias("pattern")).filter(long[1]), keys)
+    holds = similar.containing(by_alnum.select(*keys, F.col("b").alias("text")).filter(long[0]),
+                               alnums.withColumnRenamed("a", "pattern").filter(long[1]), keys)
+    contained = (held.select(*keys, F.col("text").alias("a"), F.col("pattern").alias("b"))
+                 .union(holds.select(*keys, F.col("pattern").alias("a"), F.col("text").alias("b")))
                  .withColumn("score", F.lit(CONTAINED)))
     within = (F.length("a") >= text.MIN_WORD_LENGTH) & (F.length("b") >= text.MIN_WORD_LENGTH) & (
         F.col("a").contains(F.col("b")) | F.col("b").contains(F.col("a")))
-    close = similar.near(alnums, by_alnum, STATEMENT, least).filter(~within)
-    scored = (contained.union(close).filter(F.col("score") >= least).join(by_alnum, ["statement_id", "b"])
-              .join(rest.select("statement_id", "name", F.col("alnum").alias("a")), ["statement_id", "a"])
-              .select("statement_id", "name", "score", "coa_idx"))
+    close = similar.near(alnums, by_alnum, keys, least).filter(~within)
+    fields = [*keys, "name", "score", "coa_idx"]
+    scored = (contained.union(close).filter(F.col("score") >= least).join(by_alnum, [*keys, "b"])
+              .join(rest.select(*keys, "name", F.col("alnum").alias("a")), [*keys, "a"]).select(*fields))
     # names or accounts without a letter or digit of a to z and 0 to 9 are compared as they are written
-    plain = scored.limit(0)
-    for mine, theirs in ((F.col("alnum") == "", F.lit(True)), (F.col("alnum") != "", F.col("alnum") == "")):
-        written, by_plain = rest.filter(mine), _first(accounts.filter(theirs), F.col("plain"), "b")
-        pairs = similar.near(written.select("statement_id", F.col("plain").alias("a")), by_plain, STATEMENT, least)
-        plain = plain.union(pairs.join(by_plain, ["statement_id", "b"])
-                            .join(written.select("statement_id", "name", F.col("plain").alias("a")), ["statement_id", "a"])
-                            .select("statement_id", "name", "score", "coa_idx"))
-    return equal.unionByName(_best_account(scored.union(plain), coa, "name"))
+    bare = (F.col("alnum") == "") & (F.col("plain") != "")
+    for mine, theirs, needed in ((bare, F.col("plain") != "", rest), (F.col("alnum") != "", bare, accounts)):
+        if not has_rows(needed.filter(bare)):
+            continue
+        written, by_plain = rest.filter(mine), _first(accounts.filter(theirs), F.col("plain"), "b", keys)
+        pairs = similar.near(written.select(*keys, F.col("plain").alias("a")), by_plain, keys, least)
+        scored = scored.union(pairs.join(by_plain, [*keys, "b"])
+                              .join(written.select(*keys, "name", F.col("plain").alias("a")), [*keys, "a"]).select(*fields))
+    return equal.unionByName(_best_account(scored, coa, "name", keys))
 
 
 def named_whole(narrations: DataFrame, names: DataFrame, keys: list[str]) -> DataFrame:
     """keys, narration, name, score: names (keys, name) that stand whole in a narration (keys, narration), 1 as written or 0.95 by
-    letters and digits alone."""
-    n, a = text.plain_text(F.col("narration")), text.plain_text(F.col("name"))
-    written = (narrations.select(*keys, "narration", n.alias("text")), names.select(*keys, "name", a.alias("pattern")))
-    bare = (narrations.select(*keys, "narration", text.alnum(F.col("narration")).alias("text")),
-            names.select(*keys, "name", text.alnum(F.col("name")).alias("pattern")).filter(F.length("pattern") >= text.MIN_WORD_LENGTH))
-    found = None
-    for (texts, patterns), score in ((written, 1.0), (bare, CONTAINED)):
-        hit = (similar.containing(texts, patterns, keys).join(texts, [*keys, "text"]).join(patterns, [*keys, "pattern"])
-               .select(*keys, "narration", "name", F.lit(score).alias("score")))
-        found = hit if found is None else found.union(hit)
-    return found.groupBy(*keys, "narration", "name").agg(F.max("score").alias("score"))
+    letters and digits alone. What stands there as written stands there by letters and digits too, so names with enough of
+    these are looked up by them alone.
+    """
+    said = narrations.select(*keys, "narration", text.plain_text(F.col("narration")).alias("plain_n"), text.alnum(F.col("narration")).alias("text"))
+    asked = names.select(*keys, "name", text.plain_text(F.col("name")).alias("plain"), text.alnum(F.col("name")).alias("pattern"))
+    long = F.length("pattern") >= text.MIN_WORD_LENGTH
+    bare = asked.filter(long)
+    score = F.when(F.col("plain_n").contains(F.col("plain")), 1.0).otherwise(CONTAINED)
+    found = (similar.containing(said, bare, keys).join(said, [*keys, "text"]).join(bare, [*keys, "pattern"])
+             .select(*keys, "narration", "name", score.alias("score")))
+    short = asked.filter(~long & (F.col("plain") != ""))
+    if not has_rows(short):
+        return found
+    texts, patterns = said.select(*keys, "narration", F.col("plain_n").alias("text")), short.select(*keys, "name", F.col("plain").alias("pattern"))
+    return found.union(similar.containing(texts, patterns, keys).join(texts, [*keys, "text"]).join(patterns, [*keys, "pattern"])
+                       .select(*keys, "narration", "name", F.lit(1.0).alias("score")))
 
 
 def close_words(narration_words: DataFrame, name_words: DataFrame, keys: list[str], least: float) -> DataFrame:
@@ -113,8 +119,9 @@ def close_words(narration_words: DataFrame, name_words: DataFrame, keys: list[st
     return inside.union(alike).filter(F.col("score") >= least)
 
 
-def match_by_narration(narrations: DataFrame, coa: DataFrame, options: MatchOptions = MatchOptions()) -> DataFrame:
-    """(statement_id, narration, account, score): the account each narration names best.
+def match_by_narration(narrations: DataFrame, coa: DataFrame, options: MatchOptions = MatchOptions(),
+                       keys: list[str] = STATEMENT) -> DataFrame:
+    """(keys, narration, account, score): the account each narration names best.
 
     Whole names count first. The others are scored by words: the best account by words is the first one that has the best word,
     and a word of a narration that holds or resembles several keeps one of them, the best, and those closer than a held word
@@ -122,41 +129,41 @@ def match_by_narration(narrations: DataFrame, coa: DataFrame, options: MatchOpti
     meets a closer word are the accounts of that word looked at one by one.
     """
     least = options.fuzzy_threshold
-    rows = cut(narrations.select("statement_id", "narration").filter("narration <> ''").distinct())
-    chart = coa.select("statement_id", "coa_idx", F.col("account_name").alias("name"))
-    whole = cut(named_whole(rows, _first(chart, F.col("name"), "name"), STATEMENT))
-    named = whole.join(chart, ["statement_id", "name"])
-    best_whole = whole.groupBy("statement_id", "narration").agg(F.max("score").alias("whole"))
-    open_ = (rows.join(best_whole, ["statement_id", "narration"], "left").filter(F.coalesce("whole", F.lit(0.0)) < 1.0)
+    rows = cut(narrations.select(*keys, "narration").filter("narration <> ''").distinct())
+    chart = coa.select(*keys, "coa_idx", F.col("account_name").alias("name"))
+    whole = cut(named_whole(rows, _first(chart, F.col("name"), "name", keys), keys))
+    named = whole.join(chart, [*keys, "name"])
+    best_whole = whole.groupBy(*keys, "narration").agg(F.max("score").alias("whole"))
+    open_ = (rows.join(best_whole, [*keys, "narration"], "left").filter(F.coalesce("whole", F.lit(0.0)) < 1.0)
              .withColumn("n", text.plain_text(F.col("narration"))))
-    words = open_.select("statement_id", "narration", "n", "whole", F.explode(F.array_distinct(text.long_words(F.col("n")))).alias("a"))
-    of_accounts = cut(chart.select("statement_id", "coa_idx", F.explode(F.array_distinct(text.long_words(text.plain_text(F.col("name"))))).alias("b")))
-    first = of_accounts.groupBy("statement_id", "b").agg(F.min("coa_idx").alias("coa_idx"))
-    pairs = close_words(words.select("statement_id", "a"), first.select("statement_id", "b"), STATEMENT, least).join(first, ["statement_id", "b"])
+    words = open_.select(*keys, "narration", "n", "whole", F.explode(F.array_distinct(text.long_words(F.col("n")))).alias("a"))
+    of_accounts = cut(chart.select(*keys, "coa_idx", F.explode(F.array_distinct(text.long_words(text.plain_text(F.col("name"))))).alias("b")))
+    first = of_accounts.groupBy(*keys, "b").agg(F.min("coa_idx").alias("coa_idx"))
+    pairs = close_words(words.select(*keys, "a"), first.select(*keys, "b"), keys, least).join(first, [*keys, "b"])
     loud = F.col("score") > WORD_HELD
     choice = F.struct((-F.col("score")).alias("order"), "coa_idx", "b")
-    kept = cut(pairs.groupBy("statement_id", "a").agg(F.min(F.when(~loud, choice)).alias("one"), F.collect_set(F.when(loud, choice)).alias("more"))
-               .select("statement_id", "a", F.explode(F.array_compact(F.concat(F.array("one"), "more"))).alias("c")))
+    kept = cut(pairs.groupBy(*keys, "a").agg(F.min(F.when(~loud, choice)).alias("one"), F.collect_set(F.when(loud, choice)).alias("more"))
+               .select(*keys, "a", F.explode(F.array_compact(F.concat(F.array("one"), "more"))).alias("c")))
     score = F.when(F.col("n").contains(F.col("c.b")), F.lit(WORD_HELD)).otherwise(-F.col("c.order"))
-    scored = (words.join(kept, ["statement_id", "a"]).select("statement_id", "narration", "whole", score.alias("score"), "c.coa_idx", "c.b")
+    scored = (words.join(kept, [*keys, "a"]).select(*keys, "narration", "whole", score.alias("score"), "c.coa_idx", "c.b")
               .filter(F.col("score") >= least))
-    closer = (scored.filter(F.col("score") > F.col("whole")).drop("coa_idx").join(of_accounts, ["statement_id", "b"])
-              .join(named.select("statement_id", "narration", "coa_idx"), ["statement_id", "narration", "coa_idx"], "left_anti"))
-    fields = ["statement_id", "narration", "score", "coa_idx"]
+    closer = (scored.filter(F.col("score") > F.col("whole")).drop("coa_idx").join(of_accounts, [*keys, "b"])
+              .join(named.select(*keys, "narration", "coa_idx"), [*keys, "narration", "coa_idx"], "left_anti"))
+    fields = [*keys, "narration", "score", "coa_idx"]
     candidates = (named.filter(F.col("score") >= least).select(*fields).union(scored.filter("whole is null").select(*fields))
                   .union(closer.select(*fields)))
-    return _best_account(candidates, coa, "narration")
+    return _best_account(candidates, coa, "narration", keys)
 
 
-def resolve_accounts(rows: DataFrame, coa: DataFrame, options: MatchOptions = MatchOptions()) -> DataFrame:
-    """(statement_id, name, narration, account, score, kind): by name, else by narration."""
-    wanted = rows.select("statement_id", "name", "narration").distinct()
-    named = match_by_name(wanted, coa, options).withColumnRenamed("score", "name_score") \
+def resolve_accounts(rows: DataFrame, coa: DataFrame, options: MatchOptions = MatchOptions(), keys: list[str] = STATEMENT) -> DataFrame:
+    """(keys, name, narration, account, score, kind): by name, else by narration."""
+    wanted = rows.select(*keys, "name", "narration").distinct()
+    named = match_by_name(wanted, coa, options, keys).withColumnRenamed("score", "name_score") \
         .withColumnRenamed("account", "name_account")
-    first = cut(wanted.join(named, ["statement_id", "name"], "left"))
-    by_text = match_by_narration(first.filter("name_score is null"), coa, options)
-    return (first.join(by_text, ["statement_id", "narration"], "left")
-            .select("statement_id", "name", "narration",
+    first = cut(wanted.join(named, [*keys, "name"], "left"))
+    by_text = match_by_narration(first.filter("name_score is null"), coa, options, keys)
+    return (first.join(by_text, [*keys, "narration"], "left")
+            .select(*keys, "name", "narration",
                     F.coalesce("name_account", "account").alias("account"),
                     F.coalesce("name_score", "score").alias("score"),
                     F.when(F.col("name_score").isNotNull(), "name")

@@ -13,6 +13,12 @@ from pyspark.sql import functions as F
 GRAM = 4
 
 
+def _spread(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Distinct rows over a fixed number of partitions: few texts can be many index entries, so sizes in bytes would undersell them."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select(*columns).repartition(tasks, *columns).distinct()
+
+
 def _grams(text: Column, size: Column) -> Column:
     last = F.length(text) - size + 1
     places = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
@@ -25,15 +31,15 @@ def containing(texts: DataFrame, patterns: DataFrame, keys: list[str]) -> DataFr
     A pattern is indexed under one gram only, that of its grams which the fewest texts of the group hold; a text is looked up
     under all its grams. Grams of several sizes are cut only where a pattern is shorter than GRAM.
     """
-    texts = texts.select(*keys, "text").filter("text <> ''").distinct()
+    texts = _spread(texts.filter("text <> ''"), [*keys, "text"])
     size = F.least(F.length("pattern"), F.lit(GRAM))
     sized = patterns.select(*keys, "pattern").filter("pattern <> ''").distinct().withColumn("size", size)
     wanted = sized.select(*keys, "size").distinct()
     held = texts.join(wanted, keys).select(*keys, "size", "text", F.explode(_grams(F.col("text"), F.col("size"))).alias("gram"))
     at = [*keys, "size", "gram"]
-    common = held.groupBy(*at).agg(F.count("*").alias("texts"))
-    rarest = (sized.select(*keys, "size", "pattern", F.explode(_grams(F.col("pattern"), F.col("size"))).alias("gram"))
-              .join(common, at).groupBy(*keys, "size", "pattern").agg(F.min(F.struct("texts", "gram")).alias("rarest"))
+    asked = sized.select(*keys, "size", "pattern", F.explode(_grams(F.col("pattern"), F.col("size"))).alias("gram"))
+    common = held.join(asked.select(*at).distinct(), at, "left_semi").groupBy(*at).agg(F.count("*").alias("texts"))
+    rarest = (asked.join(common, at).groupBy(*keys, "size", "pattern").agg(F.min(F.struct("texts", "gram")).alias("rarest"))
               .select(*keys, "size", "pattern", F.col("rarest.gram").alias("gram")))
     return held.join(rarest, at).filter(F.col("text").contains(F.col("pattern"))).select(*keys, "text", "pattern")
 
@@ -50,7 +56,7 @@ def near(left: DataFrame, right: DataFrame, keys: list[str], least: float) -> Da
     j-th segment is preceded by at most j edits and followed by at most k - j. k follows from the longer length of the two, so
     b is cut once for each k that its partners can bring, and a is looked up only under lengths that occur in its group.
     """
-    left = left.select(*keys, "a").filter("a <> ''").distinct()
+    left = _spread(left.filter("a <> ''"), [*keys, "a"])
     right = right.select(*keys, "b").filter("b <> ''").distinct()
     lengths = right.groupBy(*keys).agg(F.collect_set(F.length("b")).alias("lengths"))  # bounded by the longest text
     short, long = f"{least!r}D * {{0}} - 1e-6D", f"{{0}} / {least!r}D + 1e-6D"

@@ -144,12 +144,16 @@ def check_accounts(rows: DataFrame, bank: DataFrame, coa: DataFrame, headers: Da
     base = (rows.withColumn("first_bank", F.get("bank_rows", F.lit(0)))
             .join(first_bank, ["statement_id", "first_bank"], "left")
             .join(headers.select("statement_id", "bank_name"), "statement_id", "left"))
-    party = accounts.resolve_accounts(base.withColumn("name", F.col("account_name")), coa, options).select(
+    # both checks in one pass: each row asks for its party in the whole chart, and for its till among bank and cash accounts
+    pool, keys = F.col("pool"), ["statement_id", "pool"]
+    asked = base.select("statement_id", F.lit("party").alias("pool"), F.col("account_name").alias("name"), "narration").union(
+        base.filter(F.col("bank_cash_account") != "").select("statement_id", F.lit("till"), "bank_cash_account", "narration"))
+    pools = F.when(text.is_bank_or_cash(F.col("account_type")), F.array(F.lit("party"), F.lit("till"))).otherwise(F.array(F.lit("party")))
+    resolved = cut(accounts.resolve_accounts(asked, coa.withColumn("pool", F.explode(pools)), options, keys))
+    party = resolved.filter(pool == "party").select(
         "statement_id", F.col("name").alias("account_name"), "narration",
         F.col("account").alias("party"), F.col("score").alias("party_score"), F.col("kind").alias("party_kind"))
-    tills = coa.filter(text.is_bank_or_cash(F.col("account_type")))
-    till_rows = base.filter(F.col("bank_cash_account") != "").withColumn("name", F.col("bank_cash_account"))
-    till = accounts.resolve_accounts(till_rows, tills, options).select(
+    till = resolved.filter(pool == "till").select(
         "statement_id", F.col("name").alias("bank_cash_account"), "narration",
         F.col("account").alias("till"), F.col("score").alias("till_score"), F.col("kind").alias("till_kind"))
 
