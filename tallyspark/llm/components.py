@@ -37,7 +37,10 @@ def _small_star(links: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, component) of every id in `links` (a, b): component is the smallest id reachable. Self links and nulls are ignored."""
+    """(id, component) of every id in `links` (a, b): component is the smallest id reachable.
+
+    Defined results: self links, repeated links and links with a null are ignored; without links there are no rows.
+    """
     a, b = F.col("a").cast("long"), F.col("b").cast("long")
     current = cut(links.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     mark = None

@@ -45,23 +45,21 @@ def sizes(docs: DataFrame) -> DataFrame:
 def targets(sized: DataFrame, weights: tuple[float, ...], total_share: float, most_copies: float) -> DataFrame:
     """One row per source: source, source_size, target. Weights go round in code point order of the sources.
 
-    What a source cannot take is shared out again by weight until no target is above its limit; each round is one sum over
-    the sources and adds at least one source to those at their limit.
+    What a source cannot take is shared out again by weight until no target is above its limit. In the order of limit by weight the
+    sources that reach their limits come first, so running sums over one row per source give the final share in one pass.
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())  # one row per source
     weight = F.element_at(F.array(*map(F.lit, weights)), F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))).cast("int") + 1)
     sources = cut(sized.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("weight", weight)
                   .withColumn("limit", F.col("source_size") * F.lit(most_copies)))
-    share, settled = 0.0, -1
-    while True:
-        full = F.col("limit") < F.col("weight") * F.lit(share)
-        row = sources.agg(F.sum("source_size").alias("all"), F.count_if(full).alias("n"),
-                          F.sum(F.when(full, F.col("limit"))).alias("held"), F.sum(F.when(~full, F.col("weight"))).alias("free")).first()
-        if row["n"] == settled or not row["free"]:
-            break
-        settled = row["n"]
-        share = (total_share * row["all"] - (row["held"] or 0.0)) / row["free"]
-    return sources.select("source", "source_size", F.least("limit", F.col("weight") * F.lit(share)).alias("target"))
+    by_limit = Window.orderBy(F.col("limit") / F.col("weight"), F.col("source").asc_nulls_last())
+    held = F.coalesce(F.sum("limit").over(by_limit.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    free = F.sum("weight").over(by_limit.rowsBetween(0, Window.unboundedFollowing))
+    everything = F.sum("source_size").over(Window.partitionBy())
+    shares = sources.select("limit", "weight", F.row_number().over(by_limit).alias("at"), ((F.lit(total_share) * everything - held) / free).alias("share"))
+    first = shares.where(F.col("limit") >= F.col("weight") * F.col("share")).agg(F.min(F.struct("at", "share"))["share"]).first()[0]
+    target = F.col("limit") if first is None else F.least("limit", F.col("weight") * F.lit(first))
+    return sources.select("source", "source_size", target.alias("target"))
 
 
 def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
