@@ -5,7 +5,7 @@ import random
 import pytest
 
 from tallyspark.operators import intake
-from tallyspark.streaming.intake import ITEMS, known_documents
+from tallyspark.streaming import intake as stream
 
 REFS = ("connection_id string, ord bigint, message_id string, part_index int, filename string, mime_type string, size_bytes bigint, "
         "is_inline boolean, outcome string, run_id string")
@@ -47,15 +47,13 @@ def one_by_one(refs, documents):
 
 
 @pytest.mark.parametrize("parts", [1, 2, 4])
-def test_batches_agree_with_one_listing_at_a_time(spark, parts):
+def test_batches_agree_with_one_listing_at_a_time(spark, tmp_path, parts):
     refs, documents = cases(parts)
-    known = spark.createDataFrame(documents, DOCS)
-    log = spark.createDataFrame([], f"{ITEMS}, batch bigint")
+    known, log = stream.known_documents(spark, str(tmp_path / "known"), 8), str(tmp_path / "log")
+    known.change(0, spark.createDataFrame(documents, DOCS))
     for k in range(parts):
-        batch = spark.createDataFrame([r for r in refs if r[1] * parts // 12 == k], REFS)
-        planned = intake.plan(batch, known_documents(known, log)).selectExpr(*[c.split()[0] for c in ITEMS.split(", ")], f"{k}L as batch")
-        log = spark.createDataFrame([*log.collect(), *planned.collect()], log.schema)
-    assert {(r.connection_id, r.ord): (r.action, r.failed) for r in log.collect()} == one_by_one(refs, documents)
+        stream.settle(spark.createDataFrame([r for r in refs if r[1] * parts // 12 == k], REFS), k, known, log)
+    assert {(r.connection_id, r.ord): (r.action, r.failed) for r in stream.item_log(spark, log).collect()} == one_by_one(refs, documents)
 
 
 def test_failed_downloads_create_nothing(spark):
