@@ -12,7 +12,8 @@ differ by exactly one inserted, deleted or replaced code point.
    pivot, both words agree from there to the end; otherwise they agree from the start through the first pivot. So the
    index holds a word's start through each prefix gram and its rest from each prefix gram, under its length, and
    a word asks with two of these for each of the three lengths in question.
-4. Candidates are verified by their edit distance inside the join, so no other pair leaves it. Words over LONG code points do not
+4. Candidates are verified by their edit distance inside the join, so no other pair leaves it. A part that very many words share
+   is cut into squares of the two sides, so no task has all of its pairs. Words over LONG code points do not
    travel with their keys; their few candidates are verified after a second join.
 
 The form of a word is its near word of largest count, if that is at least RATIO times its own; roots follow forms by
@@ -39,6 +40,8 @@ SHORTEST, OFTEN, RATIO = 6, 5, 5
 #: Every REMOVED-th (document, run) by its crc32 loses a code point; None switches this off.
 REMOVED = 199
 LONG = 64
+#: Pairs of words that meet under one part, of which about a task verifies at once.
+MEETINGS = 1 << 22
 #: Distinct words that a task holds before it hands them on.
 HELD = 1 << 19
 
@@ -232,15 +235,29 @@ def _keys(words: DataFrame, order: dict[str, int], asking: bool) -> DataFrame:
     return words.select("word", "id").mapInArrow(run, "part long, size int, id long, last int, short string")
 
 
+def _dealt(ask: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the square (row, column) in which they meet: a part with many words on both sides is cut into squares of
+    about MEETINGS pairs; each word has a strip of its own on its side, and comes to all strips of the other one."""
+    at = ["part", "size"]
+    pairs = F.col("asks") * F.col("holds")
+    squares = F.ceil(F.sqrt(pairs / F.lit(float(MEETINGS)))).cast("int")
+    hot = cut(ask.groupBy(*at).agg(F.count("*").alias("asks")).join(index.groupBy(*at).agg(F.count("*").alias("holds")), at)
+              .where(pairs > MEETINGS).select(*at, squares.alias("squares")))
+    side = F.coalesce("squares", F.lit(1))
+    strip, every = F.pmod(F.xxhash64("id", F.lit("strip")), side).cast("int"), F.explode(F.sequence(F.lit(0), side - 1))
+    left = ask.join(hot, at, "left").withColumn("row", strip).withColumn("column", every).drop("squares")
+    return left, index.join(hot, at, "left").withColumn("column", strip).withColumn("row", every).drop("squares")
+
+
 def near_words(words: DataFrame) -> DataFrame:
     """a, b: ids of all near words of words (word, id), each pair in both directions once."""
     order = bigram_order(words)
-    ask = cut(_keys(words, order, asking=True))
-    index = cut(_keys(words, order, asking=False))
+    ask, index = _dealt(cut(_keys(words, order, asking=True)), cut(_keys(words, order, asking=False)))
     x, y = ask.alias("x"), index.alias("y")
     both = F.col("x.short").isNotNull() & F.col("y.short").isNotNull()
     near = F.levenshtein("x.short", "y.short", 1) == 1
-    found = x.join(y, (F.col("x.part") == F.col("y.part")) & (F.col("x.size") == F.col("y.size")) & (F.col("x.last") <= F.col("y.last"))
+    meet = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("part", "size", "row", "column")]
+    found = x.join(y, meet[0] & meet[1] & meet[2] & meet[3] & (F.col("x.last") <= F.col("y.last"))
                    & (F.col("x.id") != F.col("y.id")) & F.when(both, near).otherwise(F.lit(True)))
     pairs = cut(found.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), both.alias("sure")).distinct())
     long = pairs.where(~F.col("sure"))

@@ -79,8 +79,9 @@ def spelled_rows(seed):
     return [(i, t) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("removed, often", [(199, 5), (3, 2), (None, 1)])
-def test_variants_against_all_pairs(spark, removed, often):
+@pytest.mark.parametrize("removed, often, meetings", [(199, 5, spelling.MEETINGS), (3, 2, 4), (None, 1, 30)])
+def test_variants_against_all_pairs(spark, monkeypatch, removed, often, meetings):
+    monkeypatch.setattr(spelling, "MEETINGS", meetings)
     rows = spelled_rows(removed or 7) + [(500, None), (501, ""), (None, "abcabcabc abcabcabd"), (3, "déjàvuu"), (3, "déjàvuu")]
     frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("word", F.lit("x")).withColumn("n", F.lit(1))
     want = plain_variants(rows, removed, often)
