@@ -74,3 +74,20 @@ def test_many_targets_of_a_small_pool_do_not_let_a_large_day_in(spark):
     assert len(gathered) == 300 and {len(r.pool) for r in gathered} == {2}
     settled = settle_by_sum(*frames, MatchOptions()).collect()
     assert [(r.idx, list(r.rows)) for r in settled] == [(0, [0, 1])]
+
+
+@pytest.mark.parametrize("segment", [512, 3, 0])
+def test_lanes_over_the_limit_go_by_segments(spark, segment):
+    cases = [make(s, 12, 14, 20) for s in range(70, 74)]
+    frames = [spark.createDataFrame([(s, r["direction"], r["day"], r["idx"], r["cents"]) for s, c in enumerate(cases) for r in c[side]], ROW)
+              for side in (0, 1)]
+    by_limit = [{(r.statement_id, r.idx): tuple(r.rows) for r in settle_by_sum(*frames, MatchOptions(), segment, lane).collect()} for lane in (0, 9, 1 << 20)]
+    assert by_limit[0] == by_limit[1] == by_limit[2] and by_limit[0]
+
+
+def test_dense_lanes_need_no_search_of_contenders(spark, monkeypatch):
+    """Pools around the limit on every day: what earlier targets may take is not bounded first, the lane is replayed."""
+    from tallyspark.operators import combine
+
+    monkeypatch.setattr(combine, "_contenders", lambda *_: pytest.fail("a lane of this size is replayed in one task"))
+    assert run(spark, [make(s, 300, 420, 150) for s in range(80, 82)], MatchOptions())
