@@ -91,3 +91,21 @@ def test_dense_lanes_need_no_search_of_contenders(spark, monkeypatch):
 
     monkeypatch.setattr(combine, "_contenders", lambda *_: pytest.fail("a lane of this size is replayed in one task"))
     assert run(spark, [make(s, 300, 420, 150) for s in range(80, 82)], MatchOptions())
+
+
+def test_targets_whose_pool_never_fits_are_not_looked_at(monkeypatch):
+    """A dense lane costs array work alone: only targets whose pool is, or becomes, small enough take a turn."""
+    import numpy as np
+
+    from tallyspark.operators import combine
+
+    looked = []
+    pop = combine.heapq.heappop
+    monkeypatch.setattr(combine.heapq, "heappop", lambda heap: looked.append(1) or pop(heap))
+    rng = np.random.default_rng(1)
+    dense = rng.integers(0, 200, 40_000)
+    day, is_target = np.concatenate([dense, [900] * 18]).astype(np.int32), np.concatenate([dense % 2 == 0, [True, True] + [False] * 16])
+    cents = np.concatenate([rng.integers(1, 9, 40_000), [30, 30], [10, 20] * 8]).astype(np.int64)
+    options = MatchOptions(max_pool=16)
+    assert combine._turns(day, np.arange(len(day)), cents, is_target, options, 3) == [(40_000, [40_002, 40_003]), (40_001, [40_004, 40_005])]
+    assert len(looked) == 2
