@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.text import country_code, is_blank
-from tallyspark.session import cut
+from tallyspark.session import cut, shuffled
 from tallyspark.sources.keyed import KeyedTable
 
 # ---- fixed values -----------------------------------------------------------
@@ -181,7 +181,7 @@ def purge_stale_pending(connections: KeyedTable, version: int, now: Column, minu
     """Remove stale pending connections from a stored table."""
     table = connections.read()
     kept = without_stale_pending(table, now, minutes)
-    gone = table.select(*connections.keys).join(kept.select(*connections.keys), list(connections.keys), "left_anti")
+    gone = table.select(*connections.keys).join(shuffled(kept.select(*connections.keys)), list(connections.keys), "left_anti")
     connections.change(version, table.limit(0), removed=gone)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tallyspark.session import cut, folders, remove
+from tallyspark.session import cut, folders, remove, shuffled
 
 #: Rows of a file, at most.
 FILE_ROWS = 2_000_000
@@ -74,9 +74,11 @@ class KeyedTable:
         if touched:
             old = self.read(earlier[-1], touched) if earlier else self.spark.createDataFrame([], self.schema)
             if gone is not None:
-                old = old.join(gone, list(self.keys), "left_anti")
-            if merge is None:
-                new = old.join(rows.select(*self.keys), list(self.keys), "left_anti").unionByName(rows)
+                old = old.join(shuffled(gone), list(self.keys), "left_anti")
+            if merge is None and not earlier:
+                new = rows
+            elif merge is None:
+                new = old.join(shuffled(rows.select(*self.keys)), list(self.keys), "left_anti").unionByName(rows)
             else:
                 new = merge(old, rows)
             data = f"{self.path}/data/v={version}"

@@ -51,3 +51,18 @@ def test_upkeep_of_stored_tables(spark, tmp_path):
     store.purge_stale_pending(pending, 2, F.lit("2024-01-01 00:12:00").cast("timestamp"))
     assert {r.connection_id for r in pending.read().collect()} == set(range(2, 9))
     assert rows.count() == 9  # a reader of the version before is not disturbed
+
+
+def test_changed_keys_are_not_gathered_in_the_driver(spark, tmp_path, monkeypatch):
+    """Written keys are a small part of their rows in memory: a change shuffles them, however few bytes they have."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from tallyspark.sources.keyed import KeyedTable
+
+    table, plans, join = KeyedTable(spark, str(tmp_path / "kept"), "id bigint, x bigint", ("id",), 2), [], DataFrame.join
+    table.change(1, spark.range(10).selectExpr("id", "id as x"))
+    monkeypatch.setattr(DataFrame, "join", lambda self, *more: plans.append(join(self, *more)) or plans[-1])
+    table.change(2, spark.range(5).selectExpr("id", "7L as x"), removed=spark.range(9, 10))
+    assert len(plans) == 2 and not any("BroadcastHashJoin" in p._jdf.queryExecution().executedPlan().toString() for p in plans)
+    monkeypatch.undo()
+    assert sorted(map(tuple, table.read().collect())) == [(i, 7 if i < 5 else i) for i in range(9)]
