@@ -135,3 +135,35 @@ def test_rows_with_only_a_name_choose_in_order(spark, seed, per_round, least):
     found = accounts.match_by_account_name(banks, rows, MatchOptions(fuzzy_threshold=least), per_round).collect()
     assert {(r["statement_id"], r["led_idx"]): (r["bank_idx"], r["score"]) for r in found} == want and len(found) == len(want)
     assert accounts.match_by_account_name(banks, rows.limit(0)).count() == 0
+
+
+def test_one_edit_equals_all_pairs(spark):
+    rng = random.Random(8)
+    texts = sorted({"".join(rng.choice("ab1") for _ in range(rng.randint(1, 7))) for _ in range(160)})
+    left, right = texts[::2], texts[1::2] + texts[:20:2]
+    frames = [spark.createDataFrame([(1, t) for t in side], f"statement_id int, {name} string") for side, name in ((left, "a"), (right, "b"))]
+    got = {(r.a, r.b): r.score for r in similar.one_edit(*frames, ["statement_id"], 0.5).collect()}
+    assert got == pytest.approx({(a, b): alike(a, b) for a in left for b in right if distance(a, b) <= 1 and alike(a, b) >= 0.5})
+
+
+def test_names_with_an_account_at_one_edit_ask_for_no_others(spark, monkeypatch):
+    """Numbered names resemble a large part of the chart; only names without a nearer account meet that part."""
+    asked, near = [], similar.near
+    monkeypatch.setattr(similar, "near", lambda left, *more: asked.append({r.a for r in left.collect()}) or near(left, *more))
+    coa = spark.createDataFrame([(1, i, f"C{i}", f"Customer {10_000 + 10 * i}", "Debtors") for i in range(200)],
+                                "statement_id int, coa_idx int, account_code string, account_name string, account_type string")
+    names = spark.createDataFrame([(1, f"Customer {10_005 + 10 * i}") for i in range(200)] + [(1, "Custmer 10007")], "statement_id int, name string")
+    found = {r.name: (r.account.code, r.score) for r in accounts.match_by_name(names, coa).collect()}
+    assert set().union(*asked) == {"custmer10007"}
+    for name, (code, score) in found.items():
+        best = max((alike(alnum(name), alnum(f"Customer {10_000 + 10 * i}")), -i) for i in range(200))
+        assert (code, score) == (f"C{-best[1]}", pytest.approx(best[0]))
+    assert len(found) == 201
+
+
+def test_charts_are_not_gathered_in_the_driver(spark):
+    """A written chart is a small part of its rows in memory: joins with it are shuffled, however few bytes it has."""
+    coa = spark.createDataFrame([(1, i, f"C{i}", f"Customer {i}", "Debtors") for i in range(20)],
+                                "statement_id int, coa_idx int, account_code string, account_name string, account_type string")
+    best = accounts._best_account(coa.selectExpr("statement_id", "account_name as name", "1D as score", "coa_idx"), coa, "name", ["statement_id"])
+    assert "BroadcastHashJoin" not in best._jdf.queryExecution().executedPlan().toString() and best.count() == 20
