@@ -127,3 +127,17 @@ def test_neighbours_cross_days(spark):
     docs = spark.createDataFrame([(i, f"2024-01-0{1 + i // 2}T10:00:00") for i in range(6)], "doc_id bigint, created_at string")
     got = {r.doc_id: (r.prev_id, r.next_id) for r in neighbours(docs).collect()}
     assert got == {5: (None, 4), 4: (5, 3), 3: (4, 2), 2: (3, 1), 1: (2, 0), 0: (1, None)}
+
+
+def test_attachments_are_numbered_without_a_shuffle(spark):
+    """Each message is read where it is, however deep its parts nest, and sizes and names of other types are read as text and number."""
+    part = '{"filename":"in.pdf","body":{"attachmentId":7,"size":"9"}},{"filename":"","body":{"attachmentId":"x"}},{"filename":"no.pdf","body":"none"},3,null'
+    for _ in range(12):
+        part = f'{{"filename":"w","parts":[{part}]}}'
+    payload = f'{{"filename":"root.txt","mimeType":"","body":{{"attachmentId":"r"}},"parts":[{part},{{"filename":"last","mimeType":"a/b","body":{{"attachmentId":"l","size":2.0}}}},"parts"]}}'
+    messages = spark.createDataFrame([(f"m{k}", payload) for k in range(3)], "message_id string, payload string")
+    got = mime.attachments(messages)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    want = [("root.txt", "r", "application/octet-stream", 0, 0), ("in.pdf", "7", "application/octet-stream", 9, 1), ("last", "l", "a/b", 2, 2)]
+    rows = got.orderBy("message_id", "part_index").collect()
+    assert [(r.filename, r.attachment_id, r.mime_type, r.size_bytes, r.part_index) for r in rows] == want * 3
