@@ -60,3 +60,29 @@ def test_schedule_sheets_of_several_widths(spark):
     assert got[(1, 1)] == '"P,1",,"x ""y""",5.0,1.0,,1.0'
     assert got[(2, 1)] == ",N,,," + ",".join(f"{k}.0" for k in range(36)) + f",{sum(range(40))}.0"
     assert got[(3, 0)] == "PO,Part Number,Description,Std Pack,Total" and got[(3, 1)] == "Q,,,,0.0"
+
+
+def test_a_report_that_changed_on_the_way_is_found(spark, table):
+    """Rows lost, repeated or changed count one by one, nulls in other columns included; equal tables are told by their marks alone."""
+    rows = spark.createDataFrame([(k, "x" if k % 2 else None, None if k % 2 else "x") for k in range(50)] * 2, "k bigint, a string, b string")
+    was = reports.marks(rows)
+    unread = rows.withColumn("a", F.raise_error(F.lit("read")).cast("string"))
+    assert reports.compare(unread, was, rows.repartition(7)) == (100, 0, 0)
+    assert reports.compare(rows, was, rows.limit(0)) == (0, 100, 0)
+    swapped = rows.select("k", F.when(F.col("k") == 3, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(F.col("k") == 3, F.col("a")).otherwise(F.col("b")).alias("b"))
+    assert reports.compare(rows, was, swapped) == (100, 2, 2)
+    assert reports.compare(rows, was, rows.union(rows.filter("k = 4").limit(1)).filter("k <> 5")) == (99, 2, 1)
+
+
+def test_reports_are_made_one_at_a_time_and_packed(spark, table, tmp_path):
+    seen = []
+
+    def made():
+        for name in ("a", "b"):
+            yield name, Report(table, ["k"])
+            seen.append(len(list(tmp_path.glob("r/attempt-*/*"))))
+
+    reports.write_run(spark, str(tmp_path), "r", made(), file_rows=7, compression="gzip")
+    assert seen == [1, 2] and len(list(tmp_path.glob("r/attempt-*/a/part-*.csv.gz"))) >= len(ODD) * 3 // 7
+    for name in ("a", "b"):
+        assert reports.compare(table, reports.marks(reports.as_read(table, CSV)), reports.read_report(spark, str(tmp_path), "r", name)) == (len(ODD) * 3, 0, 0)
