@@ -19,10 +19,17 @@ def aligned_parts(parts: DataFrame, columns: DataFrame) -> DataFrame:
 
 
 def long_form(parts: DataFrame, columns: DataFrame) -> DataFrame:
-    """One row per part and week, joined to its header column by position."""
-    cells = parts.select("doc_id", "part_no", "part_number", F.posexplode("quantities").alias("_at", "quantity"))
-    return (cells.withColumn("col_no", F.col("_at") + 1).drop("_at")
-            .join(columns.select("doc_id", "col_no", "week_label", "delivery_date"), ["doc_id", "col_no"]))
+    """One row per part and week, joined to its header column by position.
+
+    A document's header columns meet its parts as one list, no longer than the rows they head, and cells are unfolded after the join.
+    """
+    week = F.struct("col_no", "week_label", "delivery_date")
+    headers = columns.groupBy("doc_id").agg(F.collect_list(week).alias("_weeks"))
+    met = parts.select("doc_id", "part_no", "part_number", "quantities").join(headers, "doc_id")
+    cells = met.select("doc_id", "part_no", "part_number", "quantities", F.inline("_weeks"))
+    return (cells.filter(F.col("col_no").between(1, F.size("quantities")))
+            .select("doc_id", F.col("col_no").cast("int").alias("col_no"), "part_no", "part_number", F.get("quantities", F.col("col_no").cast("int") - 1).alias("quantity"),
+                    "week_label", "delivery_date"))
 
 
 def matrix(parts: DataFrame, columns: DataFrame) -> DataFrame:

@@ -141,3 +141,17 @@ def test_attachments_are_numbered_without_a_shuffle(spark):
     want = [("root.txt", "r", "application/octet-stream", 0, 0), ("in.pdf", "7", "application/octet-stream", 9, 1), ("last", "l", "a/b", 2, 2)]
     rows = got.orderBy("message_id", "part_index").collect()
     assert [(r.filename, r.attachment_id, r.mime_type, r.size_bytes, r.part_index) for r in rows] == want * 3
+
+
+def test_weeks_meet_parts_as_lists(spark):
+    """Gaps, repeats and columns beyond a part's cells join by position as before; cells are unfolded after the join, not shuffled."""
+    columns = spark.createDataFrame([(1, c, f"W{c}", None) for c in (1, 2, 2, 4, 9)] + [(2, 1, "only", "d")] + [(5, 1, "x", "d")],
+                                    "doc_id bigint, col_no bigint, week_label string, delivery_date string")
+    parts = spark.createDataFrame([(1, 1, "P", [1.0, 2.0, 3.0, None]), (1, 2, None, None), (1, 3, "Q", []), (2, 1, "R", [5.0, 6.0]), (3, 1, "S", [7.0])],
+                                  "doc_id bigint, part_no bigint, part_number string, quantities array<double>")
+    got = release.long_form(parts, columns)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Generate inline" in plan and "posexplode" not in plan
+    assert sorted((r.doc_id, r.part_no, r.col_no, r.week_label, r.quantity) for r in got.collect() if r.quantity is not None) == [
+        (1, 1, 1, "W1", 1.0), (1, 1, 2, "W2", 2.0), (1, 1, 2, "W2", 2.0), (2, 1, 1, "only", 5.0)]
+    assert [(r.col_no, r.week_label) for r in got.collect() if r.quantity is None] == [(4, "W4")]
