@@ -19,8 +19,9 @@ def aligned(quantities: Column, width: Column) -> Column:
 
 def repair_note(quantities: Column, width: Column) -> Column:
     n = F.coalesce(F.size(quantities), F.lit(0))
-    return (F.when((width > 0) & (n < width), F.format_string("padded from %d to %d", n, width))
-            .when((width > 0) & (n > width), F.format_string("trimmed from %d to %d", n, width)))
+    sizes = F.concat(n.cast("string"), F.lit(" to "), width.cast("string"))
+    return (F.when((width > 0) & (n < width), F.concat(F.lit("padded from "), sizes))
+            .when((width > 0) & (n > width), F.concat(F.lit("trimmed from "), sizes)))
 
 
 def total(quantities: Column) -> Column:

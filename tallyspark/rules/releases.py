@@ -23,28 +23,30 @@ def part_facts(parts: DataFrame, widths: DataFrame) -> DataFrame:
 
     Every row is reduced to its offending texts before it is shuffled; a document gathers these alone. ``widths``: doc_id, width.
     """
-    label = F.when(present(F.col("part_number")), F.col("part_number")).otherwise(F.format_string("row %d", "part_no"))
-    cells = F.transform(F.coalesce("quantities", F.array().cast("array<double>")), lambda q, i: F.struct(q.alias("q"), i.alias("week")))
+    label = F.when(present(F.col("part_number")), F.col("part_number")).otherwise(F.concat(F.lit("row "), _digits(F.col("part_no"))))
     pack = F.when(F.col("std_pack") != 0, F.col("std_pack"))
 
     def texts(bad) -> Column:
-        found = F.transform(F.filter(cells, lambda c: bad(c.q)), lambda c: F.concat(label, F.format_string(" week %d", c.week + 1)))
-        return F.when(F.size(found) > 0, F.array_join(found, ", "))
+        # one pass over the cells; what is not offending is null, and a join leaves nulls out
+        named = F.transform("quantities", lambda q, i: F.when(bad(q), F.concat(label, F.lit(" week "), (i + 1).cast("string"))))
+        return F.nullif(F.array_join(named, ", "), F.lit(""))
 
     rows = parts.select(
         "doc_id", "part_no", F.when(present(F.col("quantities_repaired")), F.col("quantities_repaired")).alias("repaired"),
         F.coalesce(F.size("quantities"), F.lit(0)).alias("have"), texts(lambda q: q < 0).alias("negative"), texts(lambda q: q % pack != 0).alias("off_pack"))
-    width = F.coalesce("width", F.lit(0))
-    ragged = (F.when(F.col("repaired").isNotNull(), F.format_string("row %d was %s", "part_no", "repaired"))
-              .when(F.col("have") != width, F.format_string("row %d has %d of %d", "part_no", "have", width)))
+    width, row = F.coalesce("width", F.lit(0)), F.concat(F.lit("row "), _digits(F.col("part_no")))
+    ragged = (F.when(F.col("repaired").isNotNull(), F.concat(row, F.lit(" was "), "repaired"))
+              .when(F.col("have") != width, F.concat(row, F.lit(" has "), F.col("have").cast("string"), F.lit(" of "), width.cast("string"))))
     judged = rows.join(widths, "doc_id", "left").select("doc_id", "part_no", ragged.alias("ragged"), "negative", "off_pack")
-    return judged.groupBy("doc_id").agg(F.count("*").alias("n_parts"), *[_named(name).alias(name) for name in ("ragged", "negative", "off_pack")])
+    names = ("ragged", "negative", "off_pack")
+    found = F.struct("part_no", *names)
+    gathered = judged.groupBy("doc_id").agg(
+        F.count("*").alias("n_parts"), F.sort_array(F.collect_list(F.when(F.coalesce(*names).isNotNull(), found))).alias("found"))
+    return gathered.select("doc_id", "n_parts", *[F.nullif(F.array_join(f"found.{name}", ", "), F.lit("")).alias(name) for name in names])
 
 
-def _named(name: str) -> Column:
-    """The texts of a group in the order of its rows as one message part, null if there are none."""
-    texts = F.array_sort(F.collect_list(F.when(F.col(name).isNotNull(), F.struct("part_no", name))))
-    return F.when(F.size(texts) > 0, F.array_join(F.transform(texts, lambda t: t[name]), ", "))
+def _digits(number: Column) -> Column:
+    return F.coalesce(number.cast("string"), F.lit("null"))
 
 
 def run(headers: DataFrame, columns: DataFrame, parts: DataFrame) -> DataFrame:
@@ -89,9 +91,10 @@ def run(headers: DataFrame, columns: DataFrame, parts: DataFrame) -> DataFrame:
               "parts", n > 0),
     )
     named = present(F.col("part_number"))
-    per_part = emit(parts, check(
-        6, at, F.format_string("sa_part_%d_part_number", at), named,
+    # one check a row, so no list of checks is unfolded
+    per_part = parts.select("doc_id", check(
+        6, at, F.concat(F.lit("sa_part_"), _digits(at), F.lit("_part_number")), named,
         F.when(named, F.concat(F.lit("Part number "), "part_number"))
-        .otherwise(F.format_string("Row %d has no part number", at)),
-        F.format_string("parts.%d.part_number", at - 1)))
+        .otherwise(F.concat(F.lit("Row "), _digits(at), F.lit(" has no part number"))),
+        F.concat(F.lit("parts."), _digits(at - 1), F.lit(".part_number"))).alias("made")).select("doc_id", "made.*")
     return per_doc.unionByName(per_part)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import schedule, text, values
 from tallyspark.operators import intake, mime, release
+from tallyspark.rules import releases
 from tallyspark.operators.accounts import match_by_account_name
 from tallyspark.operators.store import neighbours
 
@@ -155,3 +156,18 @@ def test_weeks_meet_parts_as_lists(spark):
     assert sorted((r.doc_id, r.part_no, r.col_no, r.week_label, r.quantity) for r in got.collect() if r.quantity is not None) == [
         (1, 1, 1, "W1", 1.0), (1, 1, 2, "W2", 2.0), (1, 1, 2, "W2", 2.0), (2, 1, 1, "only", 5.0)]
     assert [(r.col_no, r.week_label) for r in got.collect() if r.quantity is None] == [(4, "W4")]
+
+
+def test_offending_cells_of_a_release_are_named_in_one_gathering(spark):
+    parts = spark.createDataFrame([
+        (1, 12, "B", 5.0, [5.0, -10.0, None, 7.0], None), (1, 2, None, 4.0, [-6.0, 4.0, 8.0], "padded from 3 to 4"), (1, 3, "C", 0.0, [1.5, 2.5, 3.5, 0.0], None),
+        (2, 1, "D", None, [1.0], None), (3, 1, "", 2.0, None, None)],
+        "doc_id bigint, part_no bigint, part_number string, std_pack double, quantities array<double>, quantities_repaired string")
+    widths = spark.createDataFrame([(1, 4)], "doc_id bigint, width bigint")
+    facts = releases.part_facts(parts, widths)
+    assert {r.doc_id: tuple(r)[1:] for r in facts.collect()} == {
+        1: (3, "row 2 was padded from 3 to 4", "row 2 week 1, B week 2", "row 2 week 1, B week 4"),
+        2: (1, "row 1 has 1 of 0", None, None), 3: (1, None, None, None)}
+    plan = facts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list(") == 1  # the three messages share one list of a document's offending rows
+    assert "format_string" not in plan  # a formatter for each cell and row took most of the time
