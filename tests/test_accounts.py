@@ -167,3 +167,17 @@ def test_charts_are_not_gathered_in_the_driver(spark):
                                 "statement_id int, coa_idx int, account_code string, account_name string, account_type string")
     best = accounts._best_account(coa.selectExpr("statement_id", "account_name as name", "1D as score", "coa_idx"), coa, "name", ["statement_id"])
     assert "BroadcastHashJoin" not in best._jdf.queryExecution().executedPlan().toString() and best.count() == 20
+
+
+def test_words_that_only_resemble_are_looked_up_for_names_that_need_them(spark, monkeypatch):
+    """Numbers resemble a large part of all numbers; a name whose held word is free on enough bank rows does not ask for them."""
+    asked, near = [], similar.near
+    monkeypatch.setattr(similar, "near", lambda left, right, keys, least: asked.append((least, {r.b for r in right.collect()})) or near(left, right, keys, least))
+    banks = spark.createDataFrame([(1, i, "Sales Receipt", f"neft customer {10_000 + 10 * i}") for i in range(30)] + [(1, 30, "Sales Receipt", "Acme Tidewatr")],
+                                  "statement_id long, bank_idx long, direction string, narration string")
+    names = [f"Customer {20_005 + 10 * i}" for i in range(20)] + ["Tidewater"] * 2 + ["Customer 10290"]
+    leds = spark.createDataFrame([(1, i, "Sales Receipt", n) for i, n in enumerate(names)], "statement_id long, led_idx long, direction string, account_name string")
+    found = {r.led_idx: (r.bank_idx, r.score) for r in accounts.match_by_account_name(banks, leds).collect()}
+    assert found == {**{i: (i, 0.85) for i in range(20)}, 20: (30, pytest.approx(alike("tidewater", "tidewatr"))), 22: (29, 1.0)}
+    low = [words for least, words in asked if least < accounts.WORD_HELD]
+    assert low and all(words == {"tidewater"} for words in low)
