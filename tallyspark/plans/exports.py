@@ -151,11 +151,13 @@ def schedule_sheet(parts: DataFrame, columns: DataFrame) -> DataFrame:
     first = (parts.select("doc_id").distinct().join(labels, "doc_id", "left")
              .withColumn("cells", F.concat(lead, F.coalesce("labels.label", F.array().cast("array<string>")), tail)))
     rows = release.matrix(parts, columns)
-    own = F.array("po_number", "part_number", "description", shortest_float(F.col("std_pack").cast("double")))
-    body = rows.withColumn("cells", F.concat(own, F.transform("cells", shortest_float), F.array(shortest_float(F.col("total")))))
+    # numbers hold nothing that is quoted, so only texts are looked at for it
+    own = F.array(*[_cell(F.col(c)) for c in ("po_number", "part_number", "description")])
+    numbers = F.concat(F.array(F.col("std_pack").cast("double")), "cells", F.array("total"))
+    body = rows.select("doc_id", "part_no", F.array_join(F.concat(own, F.transform(numbers, lambda x: F.coalesce(shortest_float(x), F.lit("")))), ",").alias("line"))
     line = F.array_join(F.transform("cells", _cell), ",").alias("line")
     return first.select("doc_id", F.lit(0).cast("bigint").alias("line_no"), line).unionByName(
-        body.select("doc_id", F.col("part_no").cast("bigint").alias("line_no"), line))
+        body.select("doc_id", F.col("part_no").cast("bigint").alias("line_no"), "line"))
 
 
 def notes(documents: DataFrame, column: str) -> DataFrame:

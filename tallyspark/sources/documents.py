@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.session import shuffled
 from tallyspark.sources.derive import Tables
 
 INVOICE_LINES = """
@@ -172,14 +173,18 @@ class Documents(Tables):
     def _sql(self, text: str, *names: str) -> DataFrame:
         return self.spark.sql(text, **{n: self.raw(n) for n in names})
 
+    def _with_lines(self, text: str) -> DataFrame:
+        """Headers next to sums of their lines: shuffled, as a header becomes many rows and a broadcast leaves it to the tasks that read the file."""
+        return self.spark.sql(text, orders=shuffled(self.raw("orders")), lineitem=self.raw("lineitem"))
+
     def invoices(self) -> DataFrame:
-        return self._sql(INVOICES, "orders", "lineitem")
+        return self._with_lines(INVOICES)
 
     def invoice_lines(self) -> DataFrame:
         return self._sql(INVOICE_LINES, "lineitem")
 
     def orders(self) -> DataFrame:
-        return self._sql(ORDERS, "orders", "lineitem")
+        return self._with_lines(ORDERS)
 
     def order_lines(self) -> DataFrame:
         return self._sql(ORDER_LINES, "lineitem")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.plans import exports
 from tallyspark.sources import reports
+from tallyspark.sources.documents import Documents
 from tallyspark.sources.reports import CSV, JSON, Report
 
 ODD = ["plain", "a, b", 'say "so"', "two\nlines", " lead and trail ", "", None, "'", "\\", "\t", "é漢", "#", "\\N", "null", '"', ",", "\r\n"]
@@ -86,3 +87,30 @@ def test_reports_are_made_one_at_a_time_and_packed(spark, table, tmp_path):
     assert seen == [1, 2] and len(list(tmp_path.glob("r/attempt-*/a/part-*.csv.gz"))) >= len(ODD) * 3 // 7
     for name in ("a", "b"):
         assert reports.compare(table, reports.marks(reports.as_read(table, CSV)), reports.read_report(spark, str(tmp_path), "r", name)) == (len(ODD) * 3, 0, 0)
+
+
+def test_rows_of_a_json_report_are_counted_by_lines(spark, table, tmp_path, monkeypatch):
+    """Line ends inside values are escaped, so a line is a row; folders by column and a report without rows included."""
+    monkeypatch.setattr(reports, "_stored", None)  # not parsed
+    parted = Report(table.withColumn("part", F.col("k") % 4), ["part", "k"], JSON, ["part"])
+    reports.write_run(spark, str(tmp_path), "r", {"a": Report(table, ["k"], JSON), "b": parted, "none": Report(table.limit(0), ["k"], JSON)}, file_rows=7, compression="gzip")
+    assert {e["report"]: e["rows"] for e in reports.manifest(spark, str(tmp_path), "r")} == {"a": len(ODD) * 3, "b": len(ODD) * 3, "none": 0}
+
+
+def test_numbers_of_a_schedule_sheet_are_not_searched_for_quotes(spark):
+    columns = spark.createDataFrame([(1, 1, "W1", None, None)], "doc_id bigint, col_no bigint, week_label string, raw_delivery_date string, delivery_date string")
+    parts = spark.createDataFrame([(1, 1, "P,1", None, 'x "y"', 5.0, [float("inf")]), (1, 2, "P", "N", None, None, [None]), (1, 3, "", "N", "a\nb", 0.5, [1e9])],
+                                  "doc_id bigint, part_no bigint, po_number string, part_number string, description string, std_pack double, quantities array<double>")
+    sheet = exports.schedule_sheet(parts, columns)
+    got = {r.line_no: r.line for r in sheet.collect()}
+    assert got[2] == "P,N,,,,0.0" and got[3] == ',N,"a\nb",0.5,1000000000.0,1000000000.0' and got[1].startswith('"P,1",,"x ""y""",5.0,')
+    plan = sheet._jdf.queryExecution().analyzed().toString()
+    assert plan.count("RLIKE") == 4  # three texts of a part, and the texts of the first line
+
+
+def test_headers_of_a_file_with_few_tasks_are_dealt_out(spark):
+    """A header becomes many rows, so its join with the lines is shuffled and not left to the few tasks that read the file."""
+    source = Documents(spark, "/root/testdata/sf0.001")
+    for headers in (source.invoices(), source.orders()):
+        plan = headers._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
